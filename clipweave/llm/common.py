@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 _own_dirs: dict[str, str] = {}
 
 #: Words cached in a Python worker before its cache starts anew.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -41,6 +41,8 @@ WIDTH = 20
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 28
 #: Cells of a block, the unit in which sketches are merged.
 BLOCK_BITS = 16
+#: Bytes of text hashed at once, and window cells gathered before a task sends them: they bound a task's memory.
+PIECE, MOST_GATHERED = 4 << 20, 6_000_000
 #: More exact copies than this are taken out by a shuffled join, not a broadcast one.
 MOST_BROADCAST_ROWS = 1_000_000
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -73,26 +75,34 @@ def _sketch(texts: DataFrame, cells: int, width: int):
     blocks = max(1, cells >> BLOCK_BITS)
     block_bits = min(BLOCK_BITS, cells.bit_length() - 1)
 
+    def send(parts: list[list[np.ndarray]]):
+        rows = []
+        for r, gathered in enumerate(parts):
+            c = np.sort(np.concatenate(gathered))
+            # A cell is listed once, or twice when it was counted more than once: counts saturate at two.
+            third = np.zeros(len(c), bool)
+            third[2:] = (c[2:] == c[1:-1]) & (c[1:-1] == c[:-2])
+            c = c[~third]
+            cut = np.searchsorted(c, (np.arange(blocks + 1) << block_bits).astype(np.int64))
+            low = (c & ((1 << block_bits) - 1)).astype("<u2")
+            rows += [(r, b, low[cut[b] : cut[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cut)).tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary())], names=["row", "block", "cells"])
+
     def count(batches):
         cache = WordHashes()
+        parts, n = [[] for _ in SEEDS], 0
         for batch in batches:
             col = texts_of(batch.column(0))
-            for a, z in in_pieces(col, 24 << 20):
+            for a, z in in_pieces(col, PIECE):
                 h = _hashes(col[a:z], cache, width)[0]
-                rows = []
                 for r in range(len(SEEDS)):
-                    c = np.sort(_cells(h, r, cells))
-                    again = np.empty(len(c), bool)
-                    again[:1] = False
-                    again[1:] = c[1:] == c[:-1]
-                    # A cell is listed once, or twice when the task counted it more than once: counts saturate at two.
-                    third = np.zeros(len(c), bool)
-                    third[2:] = again[2:] & again[1:-1]
-                    c = c[~third]
-                    cut = np.searchsorted(c, np.arange(blocks + 1) << block_bits)
-                    low = (c & ((1 << block_bits) - 1)).astype("<u2")
-                    rows += [(r, b, low[cut[b] : cut[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cut)).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary())], names=["row", "block", "cells"])
+                    parts[r].append(_cells(h, r, cells).astype(np.uint32))
+                n += len(h)
+                if n >= MOST_GATHERED:
+                    yield send(parts)
+                    parts, n = [[] for _ in SEEDS], 0
+        if n:
+            yield send(parts)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         seen = np.zeros(1 << block_bits, np.uint8)
@@ -141,45 +151,50 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None
         cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(1, 2 * windows).bit_length()))
     bits = _sketch(single.select("text"), cells, width)
 
+    def passing(col, cache, b):
+        """Windows of the texts whose bits are all set: both hashes, document index, word position."""
+        out = []
+        for a, z in in_pieces(col, PIECE):
+            h1, h2, doc, pos = _hashes(col[a:z], cache, width)
+            keep = np.ones(len(h1), bool)
+            for r in range(len(SEEDS)):
+                c = _cells(h1, r, cells)
+                keep &= ((b[r][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1).astype(bool)
+            out.append((h1[keep], h2[keep].astype(np.uint32), (doc[keep] + a).astype(np.int32), pos[keep].astype(np.int32)))
+        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+
+    def document_ranks(keys: list, ties: list) -> np.ndarray:
+        """Place of each row in document order; rows equal in both have one place."""
+        order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, ties[i]))
+        rank, step = np.empty(len(keys), np.int64), 0
+        for n, i in enumerate(order):
+            if n and (keys[i], ties[i]) != (keys[order[n - 1]], ties[order[n - 1]]):
+                step += 1
+            rank[i] = step
+        return rank
+
     def candidates(batches):
         cache, b = WordHashes(), bits.value
-        fields = ["h1", "h2", "doc_id", "_cw_th", "lo", "hi"]
         for batch in batches:
-            ids, ths, col = batch.column(0), batch.column(1), texts_of(batch.column(2))
-            for a, z in in_pieces(col, 16 << 20):
-                h1, h2, doc, pos = _hashes(col[a:z], cache, width)
-                keep = np.ones(len(h1), bool)
-                for r in range(len(SEEDS)):
-                    c = _cells(h1, r, cells)
-                    keep &= ((b[r][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1).astype(bool)
-                h1, h2, doc, pos = h1[keep], h2[keep], doc[keep], pos[keep]
-                if not len(h1):
-                    continue
-                # Rank the batch's rows in document order, then keep each window's first start.
-                key = ids.slice(a, z - a).to_pylist()
-                tie = ths.slice(a, z - a).to_pylist()
-                order = sorted(range(z - a), key=lambda i: (key[i] is not None, key[i] or 0, tie[i]))
-                rank = np.empty(z - a, np.int64)
-                step = 0
-                for n, i in enumerate(order):
-                    if n and (key[i], tie[i]) != (key[order[n - 1]], tie[order[n - 1]]):
-                        step += 1
-                    rank[i] = step
-                o = np.lexsort((pos, rank[doc], h2, h1))
-                h1, h2, doc, pos = h1[o], h2[o], doc[o], pos[o]
-                head = np.ones(len(h1), bool)
-                head[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-                lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-                twin = (rank[doc] == rank[doc[lead]]) & (pos == pos[lead])  # the first start, or the same start of a repeated row
-                later = ~twin
-                rd, rf, rt = _merged_ranges(doc[later], pos[later], width) if later.any() else (np.zeros(0, np.int64),) * 3
-                hd, hp = doc[head], pos[head]
-                take = pa.array(np.concatenate([hd, rd]))
-                spread = mix(rd.astype(np.uint64) * np.uint64(1 << 32) + rf.astype(np.uint64) + np.uint64(1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([h1[head], spread]).view(np.int64)), pa.array(np.concatenate([h2[head].astype(np.int64), np.full(len(rd), -1)])), ids.slice(a, z - a).take(take), ths.slice(a, z - a).take(take),
-                     pa.array(np.concatenate([hp, rf]).astype(np.int32)), pa.array(np.concatenate([hp + width, rt]).astype(np.int32))], names=fields
-                )
+            ids, ths = batch.column(0), batch.column(1)
+            h1, h2, doc, pos = passing(texts_of(batch.column(2)), cache, b)
+            if not len(h1):
+                continue
+            rank = document_ranks(ids.to_pylist(), ths.to_pylist())
+            o = np.lexsort((pos, rank[doc], h2, h1))
+            h1, h2, doc, pos = h1[o], h2[o], doc[o], pos[o]
+            head = np.ones(len(h1), bool)
+            head[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+            later = (rank[doc] != rank[doc[lead]]) | (pos != pos[lead])  # not the first start, nor that of a repeated row
+            rd, rf, rt = _merged_ranges(doc[later], pos[later], width) if later.any() else (np.zeros(0, np.int32),) * 3
+            hd, hp = doc[head], pos[head]
+            take = pa.array(np.concatenate([hd, rd]))
+            spread = mix(rd.astype(np.uint64) * np.uint64(1 << 32) + rf.astype(np.uint64) + np.uint64(1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([h1[head], spread]).view(np.int64)), pa.array(np.concatenate([h2[head].astype(np.int64), np.full(len(rd), -1)])), ids.take(take), ths.take(take),
+                 pa.array(np.concatenate([hp, rf]).astype(np.int32)), pa.array(np.concatenate([hp + width, rt]).astype(np.int32))], names=["h1", "h2", "doc_id", "_cw_th", "lo", "hi"]
+            )
 
     found = single.select("doc_id", "_cw_th", "text").mapInArrow(candidates, "h1 long, h2 long, doc_id long, _cw_th long, lo int, hi int")
     # h2 = -1 marks ranges that a batch has settled; the others lose only the first start of their window.
