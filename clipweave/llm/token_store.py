@@ -8,12 +8,13 @@ recipe and one over all recipes of each recipe file in doc_id order. Layout:
   <path>/chunks    Parquet: chunk_id binary(16), ids binary (little-endian unsigned 16
                    or 32 bit), unique
   <path>/recipes   Parquet, ascending doc_id: doc_id, start, n_tokens, chunk_ids, root
+  <path>/coded     what tasks wrote first: recipes, and chunks once per task
   <path>/manifest  Parquet, one row per recipe part: part, first and last doc_id,
                    documents, tokens, root
 
 Start is the exclusive running sum of n_tokens over doc_id order: Spark range-sorts
 the recipes, sums each part, and adds the sums of the parts before (one row per part).
-Only chunk bytes that a task has not seen yet are shuffled.
+Only chunk bytes that a task has not seen yet are written and shuffled.
 
 Null or empty texts are documents of the end id alone. Rows that repeat a doc_id stay
 rows of their own, ordered by recipe root. An empty table writes an empty store.
@@ -79,61 +80,67 @@ def merkle_root(names: list[bytes]) -> bytes:
     return level[0]
 
 
-def _chunks(batch, code, end_id, wide):
-    """For each sub-batch: (first row, last row + 1, raw bytes, chunk ends, chunk names, chunk counts per document, sizes)."""
-    texts = texts_of(batch.column(1))
-    unit = "<u4" if wide else "<u2"
-    for a, z in in_pieces(texts, 2 << 20):
-        ids, off = code.encode(texts[a:z], end_id)
-        ends = cut_points(ids, off)
-        raw, w = ids.astype(unit).tobytes(), np.dtype(unit).itemsize
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        pieces = [raw[w * s : w * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        names = [hashlib.blake2b(p, digest_size=16).digest() for p in pieces]
-        per_doc = np.searchsorted(ends, off[1:], "right") - np.searchsorted(ends, off[:-1], "right")
-        yield a, z, pieces, names, per_doc, np.diff(off)
+CODED = "doc_id long, n_tokens long, chunk_ids array<binary>, root binary, new array<struct<chunk_id: binary, ids: binary>>"
+#: Chunk names that a task remembers, so as not to send a chunk again.
+MOST_SEEN = 300_000
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, wide: bool = False) -> None:
-    """Writes chunks, recipes and manifest of docs under path. wide: 32-bit ids (for vocabularies over 65,536)."""
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def coded(docs: DataFrame, tokenizer_path: str, end_id: int, wide: bool = False) -> DataFrame:
+    """A row per document: its recipe, and the chunks that its task had not met before."""
+    unit = "<u4" if wide else "<u2"
+    w = np.dtype(unit).itemsize
+    kind = pa.list_(pa.struct([("chunk_id", pa.binary()), ("ids", pa.binary())]))
 
-    def recipes(batches):
-        code = encoder(tokenizer_path)
+    def run(batches):
+        code, seen = encoder(tokenizer_path), set()
         for batch in batches:
-            for a, z, _, names, per_doc, sizes in _chunks(batch, code, end_id, wide):
-                lists, at = [], 0
+            texts = texts_of(batch.column(1))
+            for a, z in in_pieces(texts, 2 << 20):
+                ids, off = code.encode(texts[a:z], end_id)
+                ends = cut_points(ids, off)
+                raw, at, names, new = ids.astype(unit).tobytes(), 0, [], []
+                if len(seen) > MOST_SEEN:
+                    seen = set()
+                per_doc = np.searchsorted(ends, off[1:], "right") - np.searchsorted(ends, off[:-1], "right")
+                cuts = iter(ends.tolist())
                 for k in per_doc.tolist():
-                    lists.append(names[at : at + k])
-                    at += k
+                    mine, fresh = [], []
+                    for _ in range(k):
+                        e = next(cuts)
+                        piece, at = raw[w * at : w * e], e
+                        name = hashlib.blake2b(piece, digest_size=16).digest()
+                        mine.append(name)
+                        if name not in seen:
+                            seen.add(name)
+                            fresh.append({"chunk_id": name, "ids": piece})
+                    names.append(mine)
+                    new.append(fresh)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, z - a), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.binary())), pa.array([merkle_root(x) for x in lists], pa.binary())], names=["doc_id", "n_tokens", "chunk_ids", "root"]
+                    [batch.column(0).slice(a, z - a), pa.array(np.diff(off), pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array([merkle_root(x) for x in names], pa.binary()), pa.array(new, kind)], names=["doc_id", "n_tokens", "chunk_ids", "root", "new"]
                 )
 
-    def chunks(batches):
-        code, seen = encoder(tokenizer_path), set()
-        for batch in batches:
-            for _, _, pieces, names, _, _ in _chunks(batch, code, end_id, wide):
-                fresh = {n: p for n, p in zip(names, pieces, strict=True) if n not in seen}
-                if len(seen) < 2_000_000:
-                    seen.update(fresh)
-                yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array(list(fresh.values()), pa.binary())], names=["chunk_id", "ids"])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, CODED)
+
+
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, wide: bool = False) -> None:
+    """Writes chunks, recipes and manifest of docs under path. wide: 32-bit ids (for vocabularies over 65,536)."""
 
     def once(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            names = batch.column(0).to_pylist()
             keep = []
-            for i, n in enumerate(names):
+            for i, n in enumerate(batch.column(0).to_pylist()):
                 if n not in seen:
                     seen.add(n)
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64()))
 
-    fields = "chunk_id binary, ids binary"
-    source.mapInArrow(chunks, fields).repartition("chunk_id").mapInArrow(once, fields).write.parquet(f"{path}/chunks")
+    coded(docs, tokenizer_path, end_id, wide).write.option("compression", "zstd").parquet(f"{path}/coded")
+    plain = docs.sparkSession.read.parquet(f"{path}/coded")
+    chunks = plain.select(F.explode("new").alias("c")).select("c.chunk_id", "c.ids")
+    chunks.repartition("chunk_id").mapInArrow(once, "chunk_id binary, ids binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
 
-    plain = materialize(source.mapInArrow(recipes, "doc_id long, n_tokens long, chunk_ids array<binary>, root binary"), "recipes")
+    plain = plain.drop("new")
     ordered = plain.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("part", F.spark_partition_id())
     ordered = materialize(ordered, "ordered")
     sums = ordered.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))  # a row per part

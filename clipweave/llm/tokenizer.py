@@ -25,52 +25,90 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
+        vocab = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocab.values()) + 1, bool)  # ids that close a pre-token
+        self.is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.parts: dict[bytes, np.ndarray] = {}
-        self._clear_words()
-
-    def _clear_words(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.index: dict[bytes, int] = {}  # word -> place in starts and sizes
+        self.parts: dict[bytes, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = self.count = 0
 
     @staticmethod
-    def _divide(word: bytes) -> tuple[bytes, ...]:
-        """Parts whose ids, in a row, are the word's: its letters and the marks after them."""
+    def _divide(word: bytes) -> tuple[bytes, bytes]:
+        """Two parts whose ids, in a row, are the word's: its letters and the marks after them; the second may be empty."""
         core = word.rstrip(TAIL)
         if core.isalpha():  # bytes: A-Z and a-z only
-            return (core.lower(),) if len(core) == len(word) else (core.lower(), word[len(core) :])
-        if core and len(core) < len(word) and core.decode("utf-8", "replace").isalpha():
+            return core.lower(), word[len(core) :]
+        if core and core.decode("utf-8", "replace").isalpha():
             return core, word[len(core) :]
-        return (word,)
-
-    def _add(self, words: list[bytes]) -> None:
-        divided = [self._divide(w) for w in words]
-        fresh = list({p for ps in divided for p in ps if p not in self.parts})
-        if len(self.parts) + len(fresh) > self.most_words:
-            self.parts = {}
-            fresh = list({p for ps in divided for p in ps})
-        coded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in fresh], add_special_tokens=False)
-        self.parts.update((p, e.ids) for p, e in zip(fresh, coded, strict=True))
-        ids = [self.parts[ps[0]] if len(ps) == 1 else self.parts[ps[0]] + self.parts[ps[1]] for ps in divided]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, more = len(self.index), int(sizes.sum())
+        return word, b""
+
+    def _encode_parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the parts in a row, and their sizes. Single pre-tokens are encoded many to a string and told apart by their closing ids."""
+        text = [p.decode("utf-8", "replace") for p in parts]
+        single = [t.isalpha() or (t != "" and not p.strip(TAIL)) for p, t in zip(parts, text, strict=True)]
+        joined, other = [t for t, x in zip(text, single, strict=True) if x], [t for t, x in zip(text, single, strict=True) if not x]
+        coded = self.tokenizer.encode_batch_fast([" ".join(joined[i : i + 64]) for i in range(0, len(joined), 64)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in coded), np.int64)
+        sizes = np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
+        if len(sizes) != len(joined) or int(sizes.sum()) != len(ids):  # a vocabulary without word ends: one by one
+            joined, other, single = [], text, [False] * len(parts)
+            ids = sizes = np.zeros(0, np.int64)
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        if not lists:
+            return ids, sizes
+        both = np.empty(len(parts), np.int64)
+        mask = np.asarray(single, bool)
+        both[mask], both[~mask] = sizes, np.fromiter(map(len, lists), np.int64, len(lists))
+        owner = np.repeat(mask, both)
+        out = np.empty(int(both.sum()), np.int64)
+        out[owner], out[~owner] = ids, np.fromiter(chain.from_iterable(lists), np.int64)
+        return out, both
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Appends entries; the place of the first."""
+        n, more = len(sizes), int(sizes.sum())
+        if len(ids) and int(ids.max()) > 0xFFFF and self.flat.dtype == np.uint16:
+            self.flat = self.flat.astype(np.uint32)
         while self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(words) > len(self.starts):
+        while self.count + n > len(self.starts):
             self.starts, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes))
-        self.flat[self.used : self.used + more] = np.fromiter((i for x in ids for i in x), np.uint32, more)
-        self.sizes[n : n + len(words)] = sizes
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.used += more
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+        self.flat[self.used : self.used + more] = ids
+        self.sizes[self.count : self.count + n] = sizes
+        self.starts[self.count : self.count + n] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.count = self.used + more, self.count + n
+        return self.count - n
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the entries in a row, and their sizes."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], sizes
+
+    def _add(self, words: list[bytes]) -> None:
+        divided = list(map(self._divide, words))
+        flat = list(chain.from_iterable(divided))
+        fresh = list(set(flat).difference(self.parts))
+        if fresh:
+            n = self._store(*self._encode_parts(fresh))
+            self.parts.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+        at = np.fromiter(map(self.parts.__getitem__, flat), np.int64, len(flat))
+        whole = self.sizes[at[1::2]] == 0
+        both = np.flatnonzero(~whole)
+        ids, sizes = self._gather(at.reshape(-1, 2)[both].ravel())
+        n = self._store(ids, sizes.reshape(-1, 2).sum(1))
+        place = at[::2].copy()
+        place[both] = np.arange(n, n + len(both))
+        self.index.update(zip(words, place.tolist(), strict=True))
 
     def encode(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in a row, each followed by the id end; offsets has len(texts) + 1 entries."""
-        if len(self.index) > self.most_words:
-            self._clear_words()
+        if max(len(self.index), len(self.parts)) > self.most_words:
+            self._clear()
         split = [t.split() if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         words = list(chain.from_iterable(split))
@@ -80,9 +118,8 @@ class WordEncoder:
             lost = [words[i] for i in missing]
             self._add(list(set(lost)))
             at[missing] = np.fromiter(map(self.index.__getitem__, lost), np.int64, len(lost))
-        sizes = self.sizes[at]
+        ids, sizes = self._gather(at)
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]  # ids before each text
         offsets = upto + np.arange(len(texts) + 1)
         out = np.full(int(offsets[-1]), end, np.uint32)
