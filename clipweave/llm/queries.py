@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, substring_dedup, token_store
+from . import minhash, packing, quality, substring_dedup, token_store, url_filter, warc
 from .common import new_path
 
 
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
 
@@ -39,6 +43,57 @@ FROM x
 """
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def _like(glob: str) -> str:
+    return "c LIKE '" + glob.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_") + "' ESCAPE '\\'"
+
+
+OP5_SQL = f"""
+WITH r AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS r FROM pages),
+u AS (SELECT page_id,
+        translate(regexp_extract(r, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+        regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path,
+        translate(regexp_extract(r, '^[^#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS c FROM r),
+v AS (SELECT page_id, host, path, c, CASE
+        WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/en/1') THEN 'example.org/en/1'
+        WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/es/') THEN 'example.org/es/'
+        WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/de/') THEN 'com/de/'
+        WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/fr/') THEN 'com/fr/'
+        WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/') THEN 'org/' END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'example.org/en/1', 'com/fr/') THEN 'allow'
+  WHEN rule IS NOT NULL THEN 'block' WHEN {" OR ".join(_like(g) for g in url_filter.BLOCK_GLOBS)} THEN 'block' ELSE 'allow' END AS verdict FROM v
+"""
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    records = warc.read_warc(spark, path)
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    revisit = F.col("record_type") == "revisit"
+    return records.select(
+        page("record_id").alias("page_id"),
+        F.when(revisit, F.col("payload_length")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(revisit, F.col("digest")).otherwise(F.sha1("payload")).alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS n, sha1(b) AS h FROM p),
+m AS (SELECT h, max(page_id) AS top FROM d WHERE n >= 1000 GROUP BY h)
+SELECT d.page_id, n AS payload_bytes, d.h AS payload_digest,
+       CASE WHEN n >= 1000 AND d.page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND d.page_id < top THEN top END AS refers_to
+FROM d LEFT JOIN m ON m.h = d.h
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe())
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -50,5 +105,31 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op7_best_fit_packing, op8_token_store)}
-SQL = {"op4_substring_dedup": OP4_SQL}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, k=3)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])))) END AS sh
+  FROM d),
+cls AS MATERIALIZED (SELECT min(doc_id) AS rep, sh, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+x AS MATERIALIZED (SELECT rep, n, unnest(sh) AS g FROM cls),
+p AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(v, c) AS (SELECT rep, rep FROM cls UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v AND r.c < e.b),
+m AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.c, s.doc_id) AS component_id,
+       coalesce(m.c, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN cls ON cls.sh = s.sh LEFT JOIN m ON m.v = cls.rep
+"""
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_substring_dedup, op5_url_filters, op6_warc, op7_best_fit_packing, op8_token_store, op9_minhash_near_dedup)}
+SQL = {"op4_substring_dedup": OP4_SQL, "op5_url_filters": OP5_SQL, "op6_warc": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL}
