@@ -39,9 +39,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def doc_key():
-    """(doc_id, text hash) names a document: rows that repeat both are one document."""
-    return [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_cw_th")]
+#: A list of doc_ids longer than this is joined by a shuffle, not broadcast.
+MOST_BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df (narrow, materialized) with a broadcast hint if its row count allows it; otherwise its join shuffles."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST_ROWS else df
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without those whose doc_id is in gone; documents without a doc_id stay."""
+    return docs.join(few(materialize(gone.distinct(), "gone")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def split_words(text: bytes | None) -> list[bytes]:

@@ -34,14 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, in_pieces, materialize, mix, split_words, texts_of, window_hashes
+from .common import WordHashes, few, in_pieces, materialize, mix, split_words, texts_of, window_hashes
 
 SHINGLE, BANDS, ROWS, LANES, BITS = 3, 24, 5, 128, 4
 #: Members of a bucket compared with each other in one task.
 BLOCK = 1024
-LEAST_ESTIMATE = 0.68
-#: A list of doc_ids longer than this is joined by a shuffle, not broadcast.
-MOST_BROADCAST_ROWS = 1_000_000
+#: How far below the threshold a pair's estimate may be and still be confirmed: five standard deviations.
+MARGIN = 0.17
 _MULTIPLIERS = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _LANE_LOW = np.uint64(0x1111111111111111)
 
@@ -101,11 +100,6 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands binary, bits binary")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its row count allows it; otherwise the join shuffles."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST_ROWS else df
-
-
 def estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose estimated similarity is at least `least`."""
     bits = sigs.select("rep", "bits")
@@ -122,7 +116,7 @@ def estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union. pairs are materialized."""
-    ids = _few(materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids"))
+    ids = few(materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids"))
     texts = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi"), "texts")
     left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(t)) for c, t in (("a", "s"), ("b", "t")))
 
@@ -197,7 +191,7 @@ def _cross_pairs(least: float):
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, least_estimate: float | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    least = percent / 100 - 0.17 if least_estimate is None else least_estimate
+    least = percent / 100 - MARGIN if least_estimate is None else least_estimate
     sigs = materialize(signatures(docs, k), "signatures")
     linkable = sigs.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, quality, substring_dedup, token_store, url_filter, warc
+from . import decontam, html_extract, minhash, packing, quality, substring_dedup, token_store, toxicity, url_filter, warc
 from .common import new_path
 
 
@@ -19,10 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
 
@@ -131,5 +139,10 @@ FROM s LEFT JOIN cls ON cls.sh = s.sh LEFT JOIN m ON m.v = cls.rep
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_substring_dedup, op5_url_filters, op6_warc, op7_best_fit_packing, op8_token_store, op9_minhash_near_dedup)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak of a test item: one row per document and item, no row for clean documents."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_html_extraction, op4_substring_dedup, op5_url_filters, op6_warc, op7_best_fit_packing, op8_token_store, op9_minhash_near_dedup, op10_benchmark_decontamination)}
 SQL = {"op4_substring_dedup": OP4_SQL, "op5_url_filters": OP5_SQL, "op6_warc": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL}
