@@ -1,0 +1 @@
+"""Empty: the jobs of this library are batch jobs; no operator works on arrival time."""
