@@ -11,12 +11,14 @@ those equal by chance. Links are confirmed on the full sets.
    sets, and connected components are found.
 3. Only buckets that still hold several components are searched further: inside such a
    bucket, blocks of BLOCK members are compared by signature, and pairs of different
-   components with a high enough estimate are emitted (in their first common band) and
-   confirmed. Pairs inside a component are never made; a group whose members all link
-   costs a star. A bucket larger than BLOCK is split over tasks.
+   components with a high enough estimate are confirmed on their sets there and then, in
+   their first common band. Only links leave the task. Pairs inside a component are never
+   made; a group whose members all link costs a star. A bucket larger than BLOCK is split
+   over tasks.
 
-With 24 bands of 5 a pair at similarity 0.85 shares no band with probability 8e-7, and
-its estimate is five standard deviations above `least_estimate`.
+Bands follow the threshold: 24 of 5 from 85 % on, else 32 of 4. A pair at similarity 0.85
+shares no band with probability 8e-7 (at 0.8: 5e-8), and `least_estimate` is five standard
+deviations of the estimate below the threshold.
 
 Null or empty texts have an empty set and link with nothing. Rows that repeat a doc_id
 share its vertex: links of any of them count. Rows without a doc_id link with nothing,
@@ -29,14 +31,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, few, in_pieces, materialize, mix, split_words, texts_of, window_hashes
 
-SHINGLE, BANDS, ROWS, LANES, BITS = 3, 24, 5, 128, 4
+SHINGLE, LANES, BITS = 3, 128, 4
 #: Members of a bucket compared with each other in one task.
 BLOCK = 1024
 #: How far below the threshold a pair's estimate may be and still be confirmed: five standard deviations.
@@ -78,7 +79,12 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((LANES - unlike) / LANES - chance) / (1 - chance)
 
 
-def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows of a band): a pair at the threshold shares no band with probability below 1e-6."""
+    return (24, 5) if percent >= 85 else (32, 4)
+
+
+def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, set_key (digest of the set), bands (packed keys), bits (packed signature)."""
 
     def run(batches):
@@ -88,9 +94,9 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             for a, z in in_pieces(texts, 8 << 20):
                 sets = [shingle_set(split_words(t.lower() if t else t), cache, k) for t in texts[a:z]]
                 lows = np.stack([minima(s) for s in sets])
-                keys = np.zeros((len(sets), BANDS), np.uint64)
-                for r in range(ROWS):
-                    keys = keys * np.uint64(0xD6E8FEB86659FD93) + lows[:, r : BANDS * ROWS : ROWS]
+                keys = np.zeros((len(sets), bands), np.uint64)
+                for r in range(rows):
+                    keys = keys * np.uint64(0xD6E8FEB86659FD93) + lows[:, r : bands * rows : rows]
                 keys, bits = mix(keys), pack(lows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, z - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary())],
@@ -160,39 +166,99 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _cross_pairs(least: float):
-    """In one bucket block: pairs (a, b) of different components, estimated similar, whose first common band this is."""
-    words = LANES * BITS // 64
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", kind="stable")
-        rep, comp, part = (pdf[c].to_numpy() for c in ("rep", "comp", "part"))
-        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(-1, words)
-        keys = np.frombuffer(b"".join(pdf["bands"]), np.uint64).reshape(-1, BANDS)
-        band, lo, hi = int(pdf["band"].iloc[0]), int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        rows, cols = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        a, b = [], []
-        for i in range(0, len(rows), 32):
-            r = rows[i : i + 32]
-            near = (estimate(bits[r][:, None, :], bits[cols][None, :, :]) >= least) & (comp[r][:, None] != comp[cols][None, :])
-            if lo == hi:
-                near &= r[:, None] < cols[None, :]
-            x, y = np.nonzero(near)
-            x, y = r[x], cols[y]
-            if band:
-                new = ~(keys[x, :band] == keys[y, :band]).any(1)
-                x, y = x[new], y[new]
-            a.append(np.minimum(rep[x], rep[y]))
-            b.append(np.maximum(rep[x], rep[y]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return run
+def _cross_links(rows: dict[str, np.ndarray], texts: list[bytes], least: float, percent: int, k: int, cache: WordHashes):
+    """Links (a, b) between different components of one bucket block whose first common band this is. rows are sorted by rep."""
+    rep, comp, part = rows["rep"], rows["comp"], rows["part"]
+    if comp.min() == comp.max():
+        return []
+    bits, keys = rows["bits"], rows["bands"]
+    band, lo, hi = int(rows["band"][0]), rows["lo"][0], rows["hi"][0]
+    left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+    sets: dict[int, np.ndarray] = {}
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(split_words(texts[i].lower()), cache, k)
+        return sets[i]
+
+    out = []
+    for i in range(0, len(left), 32):
+        r = left[i : i + 32]
+        near = (estimate(bits[r][:, None, :], bits[right][None, :, :]) >= least) & (comp[r][:, None] != comp[right][None, :])
+        if lo == hi:
+            near &= r[:, None] < right[None, :]
+        x, y = np.nonzero(near)
+        x, y = r[x], right[y]
+        if band and len(x):
+            new = ~(keys[x, :band] == keys[y, :band]).any(1)
+            x, y = x[new], y[new]
+        for u, v in zip(x.tolist(), y.tolist(), strict=True):
+            p, q = shingles(u), shingles(v)
+            if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    out.append((min(rep[u], rep[v]), max(rep[u], rep[v])))
+    return out
+
+
+def cross_links(dealt: DataFrame, least: float, percent: int, k: int) -> DataFrame:
+    """a, b: links inside the blocks (band, key, lo, hi) of dealt. A task reads its blocks one after the other, in order."""
+    group = ["band", "key", "lo", "hi"]
+
+    def run(batches):
+        cache, carried = WordHashes(), []
+        names = None
+
+        def solve(batch):
+            n = batch.num_rows
+            col = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+            rows = {c: col[c].to_numpy(zero_copy_only=False) for c in (*group, "rep", "comp", "part")}
+            rows["bits"] = np.frombuffer(b"".join(col["bits"].to_pylist()), np.uint64).reshape(n, -1)
+            rows["bands"] = np.frombuffer(b"".join(col["bands"].to_pylist()), np.uint64).reshape(n, -1)
+            texts = texts_of(col["text"])
+            new = np.any([rows[c][1:] != rows[c][:-1] for c in group], 0)
+            cut = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+            found = []
+            for a, z in zip(cut[:-1], cut[1:], strict=True):
+                if z - a > 1:
+                    found += _cross_links({c: v[a:z] for c, v in rows.items()}, texts[a:z], least, percent, k, cache)
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = names or batch.schema.names
+            # The last block of a batch may go on in the next one.
+            keys = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in group]
+            last = np.all([v == v[-1] for v in keys], 0)
+            start = int(np.argmin(last[::-1])) if not last.all() else batch.num_rows
+            start = batch.num_rows - start
+            if carried:
+                same = all(carried[-1].column(carried[-1].schema.get_field_index(c))[-1].as_py() == v[0] for c, v in zip(group, keys, strict=True))
+                if not same or start > 0:
+                    yield solve(_one([*carried, batch.slice(0, start)] if same else carried))
+                    if same:
+                        batch, start = batch.slice(start), 0
+                    carried = []
+            if start:
+                yield solve(batch.slice(0, start))
+            carried.append(batch.slice(start))
+        if carried:
+            yield solve(_one(carried))
+
+    columns = [*group, "rep", "comp", "part", "bands", "bits", "text"]
+    return dealt.select(*columns).repartition(*group).sortWithinPartitions(*group, "rep").mapInArrow(run, "a long, b long")
+
+
+def _one(batches: list) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, least_estimate: float | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     least = percent / 100 - MARGIN if least_estimate is None else least_estimate
-    sigs = materialize(signatures(docs, k), "signatures")
+    bands, per_band = banding(percent)
+    sigs = materialize(signatures(docs, k, bands, per_band), "signatures")
     linkable = sigs.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     copied = materialize(classes.filter("n > 1").select("set_key", "rep"), "copied")
@@ -202,9 +268,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, least_
 
     def explode(batches):
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, BANDS)
-            rep = batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))
-            yield pa.RecordBatch.from_arrays([rep, pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))), pa.array(keys.ravel())], names=["rep", "band", "key"])
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, bands)
+            rep = batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), bands)))
+            yield pa.RecordBatch.from_arrays([rep, pa.array(np.tile(np.arange(bands, dtype=np.int32), len(keys))), pa.array(keys.ravel())], names=["rep", "band", "key"])
 
     banded = reps.select("rep", "bands").mapInArrow(explode, "rep long, band int, key long")
     shared = banded.groupBy("band", "key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("n")).filter("first < last")
@@ -219,11 +285,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, least_
     at = materialize(at, "at")
     mixed = at.groupBy("band", "key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p < q").select("band", "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = at.join(mixed, ["band", "key"], "left_semi").join(reps, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    dealt = materialize(at.join(mixed, ["band", "key"], "left_semi").withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int")), "mixed")
+    ids = few(materialize(dealt.select(F.col("rep").alias("doc_id")).distinct(), "ids"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    sides = reps.join(texts, "rep")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
-    cross = dealt.select("band", "key", "rep", "comp", "part", "bands", "bits", "lo", "hi").groupBy("band", "key", "lo", "hi").applyInPandas(_cross_pairs(least), "a long, b long")
-    cross = materialize(cross.distinct().join(tried, ["a", "b"], "left_anti"), "cross")
-    more = materialize(confirmed(cross, docs, percent, k), "more")
+    more = materialize(cross_links(dealt.join(sides, "rep"), least, percent, k).distinct(), "more")
     if not more.isEmpty():
         label = components(links.union(more))
 
