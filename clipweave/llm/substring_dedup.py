@@ -8,7 +8,7 @@ Three passes over the texts, none of which shuffles windows that occur once:
    only share cells pass as well. Cells grow with the corpus (at least two per window,
    up to MOST_CELLS a row, which bounds the broadcast bits to 2 * MOST_CELLS / 8
    bytes; beyond that more windows pass and the result stays the same).
-2. Windows with both bits set are resolved exactly by a 96-bit hash. Inside a batch all
+2. Windows with both bits set are resolved exactly by a 95-bit hash. Inside a batch all
    but the first start of a window are covered at once; only the batch's first start of
    each window is shuffled, so a passage in a third of all documents sends one row per
    batch, and a window's rows go to one task in that number.
@@ -17,8 +17,8 @@ Three passes over the texts, none of which shuffles windows that occur once:
 Documents that are exact copies of an earlier one are found first by text hash (a narrow
 aggregation) and take no part in 1 and 2: all their windows start earlier.
 
-Order: doc_id (null first), then text hash; rows equal in both are one document, judged
-once and returned for each row. Null and empty texts have no words. A document shorter
+Order: doc_id (null first), then 16 bits of the text's hash; rows equal in both are one
+document, judged once and returned for each row. Null and empty texts have no words. A document shorter
 than `width` keeps all. Extra columns are ignored (kept by the pipeline's variant). An
 empty table gives an empty result.
 """
@@ -47,12 +47,27 @@ PIECE, MOST_GATHERED = 4 << 20, 6_000_000
 MOST_BROADCAST_ROWS = 1_000_000
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 ALL = 1 << 30
+#: In place of a second hash: the row is a range that its batch has settled. Hashes stay below.
+SETTLED = (1 << 31) - 1
 
 
 def _cells(h: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (mix(h ^ np.uint64(SEEDS[row])) & np.uint64(cells - 1)).astype(np.int64)
 
 
+def _gaps(cells: np.ndarray) -> bytes:
+    """Sorted cells as gaps of one byte; 255 stands for 255 more to come."""
+    gap = np.diff(cells, prepend=0)
+    out = np.full(int((gap // 255 + 1).sum()), 255, np.uint8)
+    out[np.cumsum(gap // 255 + 1) - 1] = gap % 255
+    return out.tobytes()
+
+
+def _cells_of(gaps: bytes) -> np.ndarray:
+    b = np.frombuffer(gaps, np.uint8)
+    return np.cumsum(b, dtype=np.int64)[b != 255]
+
+
 def _hashes(texts, cache: WordHashes, width: int):
     """(window hashes, second hashes, document index, word position) of all windows of the texts in a row."""
     split = [split_words(t) for t in texts]
@@ -66,7 +81,7 @@ def _hashes(texts, cache: WordHashes, width: int):
     pos = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
     inside = np.flatnonzero(doc[: total - width + 1] == doc[width - 1 :])
     h1 = window_hashes(w, width, 0x9FB21C651E98DF25)[inside]
-    h2 = window_hashes(mix(w + np.uint64(1)), width, 0xD6E8FEB86659FD93)[inside] >> np.uint64(32)
+    h2 = (window_hashes(mix(w + np.uint64(1)), width, 0xD6E8FEB86659FD93)[inside] >> np.uint64(33)) % np.uint64(SETTLED)
     return h1, h2, doc[inside], pos[inside]
 
 
@@ -84,8 +99,8 @@ def _sketch(texts: DataFrame, cells: int, width: int):
             third[2:] = (c[2:] == c[1:-1]) & (c[1:-1] == c[:-2])
             c = c[~third]
             cut = np.searchsorted(c, (np.arange(blocks + 1) << block_bits).astype(np.int64))
-            low = (c & ((1 << block_bits) - 1)).astype("<u2")
-            rows += [(r, b, low[cut[b] : cut[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cut)).tolist()]
+            low = (c & ((1 << block_bits) - 1)).astype(np.int64)
+            rows += [(r, b, _gaps(low[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut)).tolist()]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary())], names=["row", "block", "cells"])
 
     def count(batches):
@@ -105,13 +120,10 @@ def _sketch(texts: DataFrame, cells: int, width: int):
             yield send(parts)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = np.zeros(1 << block_bits, np.uint8)
-        twice = np.zeros(1 << block_bits, bool)
-        for b in pdf["cells"]:
-            n = np.bincount(np.frombuffer(b, "<u2"), minlength=1 << block_bits)
-            twice |= (n + seen) > 1
-            seen = np.minimum(1, seen + n).astype(np.uint8)
-        return pd.DataFrame({"row": pdf["row"].iloc[:1], "block": pdf["block"].iloc[:1], "bits": [np.packbits(twice).tobytes()]})
+        times = np.zeros(1 << block_bits, np.int64)
+        for i in range(0, len(pdf), 256):
+            times += np.bincount(np.concatenate([_cells_of(b) for b in pdf["cells"].iloc[i : i + 256]]), minlength=1 << block_bits)
+        return pd.DataFrame({"row": pdf["row"].iloc[:1], "block": pdf["block"].iloc[:1], "bits": [np.packbits(times > 1).tobytes()]})
 
     merged = texts.mapInArrow(count, "row int, block int, cells binary").groupBy("row", "block").applyInPandas(merge, "row int, block int, bits binary")
     # At most 2 * MOST_CELLS / 8 bytes, whatever the corpus holds.
@@ -133,10 +145,14 @@ def _merged_ranges(doc: np.ndarray, pos: np.ndarray, width: int):
     return doc[first], pos[first], pos[last] + width
 
 
+def text_mark():
+    """16 bits of the text's hash: tells rows of one doc_id with different texts apart."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(1 << 16)).cast("int")
+
+
 def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None) -> DataFrame:
     """Ranges of word positions to remove: doc_id, _cw_th (text hash), lo, hi; hi is exclusive and may pass the end."""
-    th = F.xxhash64(F.coalesce("text", F.lit("")))
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), th.alias("_cw_th"))
+    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_mark().alias("_cw_th"))
     texts = base.filter(F.length("text") > 2 * (width - 1))  # shorter ones have no window
     named = texts.select("doc_id", "_cw_th", F.md5(F.col("text").cast("binary")).alias("digest"))
     firsts = named.groupBy("digest").agg(F.min(F.struct("doc_id", "_cw_th")).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -190,18 +206,21 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None
             rd, rf, rt = _merged_ranges(doc[later], pos[later], width) if later.any() else (np.zeros(0, np.int32),) * 3
             hd, hp = doc[head], pos[head]
             take = pa.array(np.concatenate([hd, rd]))
-            spread = mix(rd.astype(np.uint64) * np.uint64(1 << 32) + rf.astype(np.uint64) + np.uint64(1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([h1[head], spread]).view(np.int64)), pa.array(np.concatenate([h2[head].astype(np.int64), np.full(len(rd), -1)])), ids.take(take), ths.take(take),
-                 pa.array(np.concatenate([hp, rf]).astype(np.int32)), pa.array(np.concatenate([hp + width, rt]).astype(np.int32))], names=["h1", "h2", "doc_id", "_cw_th", "lo", "hi"]
-            )
-
-    found = single.select("doc_id", "_cw_th", "text").mapInArrow(candidates, "h1 long, h2 long, doc_id long, _cw_th long, lo int, hi int")
-    # h2 = -1 marks ranges that a batch has settled; the others lose only the first start of their window.
-    start = F.struct("doc_id", "_cw_th", "lo")
-    later = found.withColumn("first", F.min(start).over(W.partitionBy("h1", "h2"))).filter((F.col("h2") == -1) | ~F.col("first").eqNullSafe(start))
+            # A head is (h1, h2 and lo); a settled range is (random bits and hi, SETTLED and lo).
+            spread = mix(rd.astype(np.uint64) * np.uint64(1 << 32) + rf.astype(np.uint64) + np.uint64(1)) >> np.uint64(32) << np.uint64(32) | rt.astype(np.uint64)
+            place = np.concatenate([h2[head].astype(np.uint64) << np.uint64(32) | hp.astype(np.uint64), np.uint64(SETTLED << 32) | rf.astype(np.uint64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h1[head], spread]).view(np.int64)), pa.array(place.view(np.int64)), ids.take(take), ths.take(take)], names=["h1", "place", "doc_id", "_cw_th"])
+
+    found = single.select("doc_id", "_cw_th", "text").mapInArrow(candidates, "h1 long, place long, doc_id long, _cw_th int")
+    h2, lo = F.shiftrightunsigned("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    rows = found.select("h1", h2.alias("h2"), "doc_id", "_cw_th", lo.alias("lo"))
+    # Settled ranges go as they are; of the others the first start of each window stays.
+    start, settled = F.struct("doc_id", "_cw_th", "lo"), F.col("h2") == SETTLED
+    later = rows.withColumn("first", F.min(start).over(W.partitionBy("h1", "h2"))).filter(settled | ~F.col("first").eqNullSafe(start))
+    hi = F.when(settled, F.col("h1").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).otherwise(F.col("lo") + width)
+    later = later.select("doc_id", "_cw_th", "lo", hi.alias("hi"))
     whole = copies.select("doc_id", "_cw_th", F.lit(0).alias("lo"), F.lit(ALL).alias("hi"))
-    return later.select("doc_id", "_cw_th", "lo", "hi").unionByName(whole)
+    return later.unionByName(whole)
 
 
 def _keep(ranges, words: list[bytes], width: int) -> list[bytes]:
@@ -220,7 +239,7 @@ def _with_ranges(docs: DataFrame, width: int, cells: int | None) -> DataFrame:
     """docs with _cw_th and _cw_ranges (null where nothing is removed)."""
     ranges = covered_ranges(docs, width, cells)
     per_doc = ranges.groupBy("doc_id", "_cw_th").agg(F.collect_list(F.struct("lo", "hi")).alias("_cw_ranges"))
-    left = docs.withColumn("_cw_id", F.col("doc_id").cast("long")).withColumn("_cw_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    left = docs.withColumn("_cw_id", F.col("doc_id").cast("long")).withColumn("_cw_th", text_mark())
     right = per_doc.withColumnRenamed("doc_id", "_cw_doc").withColumnRenamed("_cw_th", "_cw_hash")
     return left.join(right, left["_cw_id"].eqNullSafe(right["_cw_doc"]) & (left["_cw_th"] == right["_cw_hash"]), "left").drop("_cw_doc", "_cw_hash")
 
