@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("intervals",)
+MODULES = ("intervals", "catalog", "candidates")
 
 
 def collect(attribute: str) -> dict:
