@@ -60,8 +60,8 @@ def merge_keyed_results(spark, sf):
 
 def missing_ids(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("id"))
-    customers = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("id"))
-    return C.missing_ids(customers, orders, "id")
+    recent = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderdate >= '1998-01-01'").select(F.col("o_custkey").alias("id"))
+    return C.missing_ids(orders, recent, "id")
 
 
 def missing_fields(spark, sf):
@@ -97,7 +97,7 @@ def publication_cards(spark, sf):
 
 def list_files(spark, sf):
     files = view(spark, sf, "media").select(F.col("filename").alias("path"), F.when(F.col("filename").endswith(".avi"), "image").otherwise("video").alias("media_type"))
-    return C.list_files(files, "a", "video")
+    return C.list_files(files, "small", "video")
 
 
 QUERIES = {f.__name__: f for f in (parse_tracker, mark_posted_until, tracker_summary, top_reels, metric_fill, engagement_totals, select_indices, media_qc, output_checks, probe_flatten, merge_keyed_results, missing_ids, missing_fields, resolve_caption, upload_plan, run_log_summary, publication_cards, list_files)}
@@ -131,7 +131,7 @@ SQL = {
       SELECT file_index, array_to_string(f, ',') AS failed FROM k""",
     "probe_flatten": with_views("media") + f" SELECT file_index, coalesce(({_FPS}) > 29, false) AS fast, ({_FPS}) IS NULL AS unknown FROM media",
     "merge_keyed_results": with_views("media") + " SELECT file_index, CASE WHEN file_index % 7 = 0 THEN 720 ELSE width END AS width FROM media",
-    "missing_ids": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "missing_ids": "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1998-01-01')",
     "missing_fields": with_views("media") + ", m AS (SELECT file_index, list_filter([CASE WHEN video_codec IS NULL THEN 'video_codec' END, CASE WHEN audio_codec IS NULL THEN 'audio_codec' END, CASE WHEN duration_s IS NULL THEN 'duration_s' END], lambda x: x IS NOT NULL) AS f FROM media) SELECT file_index, array_to_string(f, ',') AS missing FROM m WHERE len(f) > 0",
     "resolve_caption": with_views("media") + " SELECT file_index AS index, CASE WHEN file_index % 5 = 0 THEN 'own ' || filename ELSE '#' || file_index || ' ' || filename || ' [' || coalesce(video_codec, '') || '] ' || coalesce(CAST(duration_s AS VARCHAR), '0.0') || '-0.0' END AS caption FROM media",
     "upload_plan": _Q.replace(", CASE WHEN file_index BETWEEN 66 AND 69 THEN 'check by hand' END", "") + """,
@@ -145,5 +145,5 @@ SQL = {
       c AS (SELECT s.recording_id AS id, substr(text, 1, 12) AS t, n, ms FROM segments s JOIN d ON d.id = s.recording_id WHERE seg_idx = 0),
       x AS (SELECT id, t, n || ' ' || CASE WHEN n % 10 = 1 AND n % 100 <> 11 THEN 'клип' WHEN n % 10 BETWEEN 2 AND 4 AND n % 100 NOT BETWEEN 12 AND 14 THEN 'клипа' ELSE 'клипов' END || ', ' || ms // 60000 || ':' || lpad(CAST(ms % 60000 // 1000 AS VARCHAR), 2, '0') AS k FROM c)
       SELECT id, id AS position, '## <' || t || '> & co' || chr(10) || k AS markdown, '<h2>&lt;' || replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '&gt; &amp; co</h2><p>' || k || '</p>' AS html FROM x""",
-    "list_files": with_views("media") + " SELECT filename AS path, 'video' AS media_type FROM media WHERE prefix(filename, 'a') AND NOT suffix(filename, '.avi')",
+    "list_files": with_views("media") + " SELECT filename AS path, 'video' AS media_type FROM media WHERE prefix(filename, 'small') AND NOT suffix(filename, '.avi')",
 }
