@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import in_pieces, materialize, mix, texts_of
+from .common import in_pieces, materialize, texts_of
 from .tokenizer import encoder
 
 #: A cut follows an id whose rolling hash ends in CUT_BITS zero bits; chunks have LEAST to MOST ids.
@@ -41,16 +41,18 @@ CUT_BITS, LEAST, MOST, SPAN = 9, 128, 2048, 8
 def cut_points(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Ends of all chunks in the concatenated streams: content-defined inside a document, and each document's end.
 
-    The hash covers the last SPAN ids and restarts at each document, so that equal
-    passages are cut alike wherever they stand. A cut less than LEAST ids after the
+    The hash covers the last SPAN ids (a power of two), and no cut is made where these
+    reach into the document before, so that equal passages are cut alike wherever they stand. A cut less than LEAST ids after the
     last one is skipped; a run of MOST ids without a cut is cut there.
     """
-    h = mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    base, roll = 0xD6E8FEB86659FD93, np.zeros(len(ids), np.uint64)
-    for j in range(min(SPAN, len(ids))):
-        roll[j:] += h[: len(ids) - j] * np.uint64(base)
-        base = (base * 0x9FB21C651E98DF25 | 1) & (2**64 - 1)
-    marks = np.flatnonzero(mix(roll) >> np.uint64(64 - CUT_BITS) == 0) + 1
+    roll = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    roll ^= roll >> np.uint32(15)
+    reach = 1
+    while reach < SPAN:  # a hash of 2n ids from two of n ids
+        if len(roll) > reach:
+            roll[reach:] = roll[reach:] + roll[:-reach] * np.uint32(pow(0x85EBCA6B, reach, 1 << 32) | 1)
+        reach *= 2
+    marks = np.flatnonzero(roll * np.uint32(0xC2B2AE35) >> np.uint32(32 - CUT_BITS) == 0) + 1
     ends: list[int] = []
     lo = np.searchsorted(marks, offsets[:-1], "right")
     hi = np.searchsorted(marks, offsets[1:], "left")

@@ -20,7 +20,7 @@ TAIL = b".,;:!?%&*$#|()"
 class WordEncoder:
     """texts (UTF-8 bytes or None) -> (ids, offsets). most_words bounds each of the two caches."""
 
-    def __init__(self, path: str, most_words: int = 700_000):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
