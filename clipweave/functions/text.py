@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def squeeze(text: Column) -> Column:
@@ -38,7 +39,7 @@ def token_f1(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * both / (F.size(a) + F.size(b))).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of character sequences, of the first 3000 characters of each."""
     return pd.Series([difflib.SequenceMatcher(None, (x or "")[:3000], (y or "")[:3000]).ratio() for x, y in zip(a, b, strict=True)])
@@ -75,8 +76,8 @@ def polish_title(text: Column, most: int = 140, least_cut: int = 80) -> Column:
     t = F.regexp_replace(t, r"([!?.,;:])[!?.,;:]+", "$1")
     cut = F.substring(t, 1, most)
     space = F.length(cut) - F.instr(F.reverse(cut), " ")  # place of the last space, counted from 0
-    short = F.when((F.instr(cut, " ") > 0) & (space > least_cut), F.expr("1") * 0).otherwise(F.lit(1))
-    return F.when(F.length(t) <= most, t).otherwise(F.rtrim(F.when(short == 0, F.regexp_replace(cut, " [^ ]*$", "")).otherwise(cut)))
+    at_word = (F.instr(cut, " ") > 0) & (space > least_cut)
+    return F.when(F.length(t) <= most, t).otherwise(F.rtrim(F.when(at_word, F.regexp_replace(cut, " [^ ]*$", "")).otherwise(cut)))
 
 
 def title_seconds(title: Column, base: Column) -> Column:
@@ -111,11 +112,11 @@ def sanitize_ass(text: Column) -> Column:
 
 def accent_spans(text: Column, terms: list[str]) -> Column:
     """Words of the text that begin with a term, longest term first, whatever the case."""
-    alternatives = "|".join(F_escape(t) for t in sorted(terms, key=len, reverse=True))
+    alternatives = "|".join(escape_term(t) for t in sorted(terms, key=len, reverse=True))
     return F.regexp_extract_all(text, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_])((?:{alternatives})[\p{{L}}\p{{N}}_]*)"), 1)
 
 
-def F_escape(term: str) -> str:
+def escape_term(term: str) -> str:
     return "".join(c if c.isalnum() or c == "_" else "\\" + c for c in term)
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.timecode import number, seconds_to_timestamp, timestamp_to_seconds
 
@@ -18,7 +19,7 @@ CANDIDATE = "array<struct<start:string,end:string,title:string,reason:string,sco
 _LITERAL = r'("(?:start|end)"\s*:\s*)(["\']?)(\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?)\2'
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_json(answers: pd.Series) -> pd.Series:
     """The JSON text inside a model answer, time literals as seconds; null where there is none."""
 

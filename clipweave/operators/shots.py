@@ -6,8 +6,6 @@ joins before, so a group holds one row per hop and camera at most.
 
 from __future__ import annotations
 
-from itertools import pairwise
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -277,7 +275,6 @@ def apply_cuts(shots: DataFrame, cuts: DataFrame, key: str, least: int = 50) ->
     """Shots without the cut intervals; pieces shorter than `least` go, touching pieces of one camera join."""
     from .intervals import merge_intervals, subtract_intervals
 
-    ids = shots.withColumn("_shot", F.monotonically_increasing_id())
     ids = shots.select(key, *SHOT).withColumn("_shot", F.xxhash64(START, END, "camera", "audio_camera"))
     pieces = subtract_intervals(ids, merge_intervals(cuts, [key]), [key], ["_shot"], least)
     rows = pieces.join(ids.select(key, "_shot", "camera", "audio_camera").distinct(), [key, "_shot"]).drop("_shot")
@@ -321,7 +318,3 @@ def one_sound(shots: DataFrame, bounds: DataFrame, key: str) -> DataFrame:
     single = shots.groupBy(key).agg(F.count_distinct("audio_camera").alias("n"), F.min("audio_camera").alias("audio_camera")).filter("n = 1").drop("n")
     return single.join(covers_range(shots, bounds, [key]).filter("covered").select(key), key)
 
-
-def shot_gaps(rows: list[list]) -> list[int]:
-    """Holes between consecutive shots."""
-    return [b[2] - a[3] for a, b in pairwise(rows)]

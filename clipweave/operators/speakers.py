@@ -27,7 +27,7 @@ def speaker_centroids(samples: DataFrame, label: str, vector: str) -> DataFrame:
 
 def speaker_similarity(windows: DataFrame, centroids: DataFrame, ids: list[str], vector: str, label: str) -> DataFrame:
     """ids, best, best_sim, second_sim, margin: cosine to each centroid. Centroids are one row per speaker label: a dimension table."""
-    sims = windows.crossJoin(F.broadcast(centroids)).select(*ids, label, dot(unit(F.col(vector)), F.col("centroid")).alias("sim"))
+    sims = windows.select(*ids, vector).crossJoin(F.broadcast(centroids)).select(*ids, label, dot(unit(F.col(vector)), F.col("centroid")).alias("sim"))
     top = F.sort_array(F.collect_list(F.struct("sim", label)), asc=False)
     rows = sims.groupBy(*ids).agg(top.alias("t"))
     second = F.when(F.size("t") > 1, F.col("t")[1]["sim"]).otherwise(F.lit(-1.0))

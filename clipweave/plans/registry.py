@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("intervals", "catalog", "candidates")
+MODULES = ("intervals", "catalog", "candidates", "timeline", "levels")
 
 
 def collect(attribute: str) -> dict:
