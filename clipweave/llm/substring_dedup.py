@@ -8,7 +8,7 @@ Three passes over the texts, none of which shuffles windows that occur once:
    only share cells pass as well. Cells grow with the corpus (at least two per window,
    up to MOST_CELLS a row, which bounds the broadcast bits to 2 * MOST_CELLS / 8
    bytes; beyond that more windows pass and the result stays the same).
-2. Windows with both bits set are resolved exactly by a 95-bit hash. Inside a batch all
+2. Windows with both bits set are resolved exactly by an 80-bit hash. Inside a batch all
    but the first start of a window are covered at once; only the batch's first start of
    each window is shuffled, so a passage in a third of all documents sends one row per
    batch, and a window's rows go to one task in that number.
@@ -48,7 +48,7 @@ MOST_BROADCAST_ROWS = 1_000_000
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 ALL = 1 << 30
 #: In place of a second hash: the row is a range that its batch has settled. Hashes stay below.
-SETTLED = (1 << 31) - 1
+SETTLED = (1 << 16) - 1
 
 
 def _cells(h: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -81,7 +81,7 @@ def _hashes(texts, cache: WordHashes, width: int):
     pos = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
     inside = np.flatnonzero(doc[: total - width + 1] == doc[width - 1 :])
     h1 = window_hashes(w, width, 0x9FB21C651E98DF25)[inside]
-    h2 = (window_hashes(mix(w + np.uint64(1)), width, 0xD6E8FEB86659FD93)[inside] >> np.uint64(33)) % np.uint64(SETTLED)
+    h2 = (window_hashes(mix(w + np.uint64(1)), width, 0xD6E8FEB86659FD93)[inside] >> np.uint64(48)) % np.uint64(SETTLED)
     return h1, h2, doc[inside], pos[inside]
 
 
@@ -206,17 +206,24 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None
             rd, rf, rt = _merged_ranges(doc[later], pos[later], width) if later.any() else (np.zeros(0, np.int32),) * 3
             hd, hp = doc[head], pos[head]
             take = pa.array(np.concatenate([hd, rd]))
-            # A head is (h1, h2 and lo); a settled range is (random bits and hi, SETTLED and lo).
+            # A head is (h1; h2, text mark, lo); a settled range is (random bits, hi; SETTLED, text mark, lo).
             spread = mix(rd.astype(np.uint64) * np.uint64(1 << 32) + rf.astype(np.uint64) + np.uint64(1)) >> np.uint64(32) << np.uint64(32) | rt.astype(np.uint64)
-            place = np.concatenate([h2[head].astype(np.uint64) << np.uint64(32) | hp.astype(np.uint64), np.uint64(SETTLED << 32) | rf.astype(np.uint64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h1[head], spread]).view(np.int64)), pa.array(place.view(np.int64)), ids.take(take), ths.take(take)], names=["h1", "place", "doc_id", "_cw_th"])
-
-    found = single.select("doc_id", "_cw_th", "text").mapInArrow(candidates, "h1 long, place long, doc_id long, _cw_th int")
-    h2, lo = F.shiftrightunsigned("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    rows = found.select("h1", h2.alias("h2"), "doc_id", "_cw_th", lo.alias("lo"))
+            mark = np.asarray(ths.to_pylist(), np.uint64)[np.concatenate([hd, rd])] << np.uint64(32)
+            place = np.concatenate([h2[head].astype(np.uint64), np.full(len(rd), SETTLED, np.uint64)]) << np.uint64(48) | mark | np.concatenate([hp, rf]).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h1[head], spread]).view(np.int64)), pa.array(place.view(np.int64)), ids.take(take)], names=["h1", "place", "doc_id"])
+
+    # Three longs a row: this is what the prefilter leaves to be shuffled.
+    rows = single.select("doc_id", "_cw_th", "text").mapInArrow(candidates, "h1 long, place long, doc_id long")
+    h2 = F.shiftrightunsigned("place", 48)
+    by_window = W.partitionBy("h1", h2)
+    # In `place` of one window and document order is (text mark, lo) order.
+    start, settled = F.struct("doc_id", "place"), h2 == SETTLED
     # Settled ranges go as they are; of the others the first start of each window stays.
-    start, settled = F.struct("doc_id", "_cw_th", "lo"), F.col("h2") == SETTLED
-    later = rows.withColumn("first", F.min(start).over(W.partitionBy("h1", "h2"))).filter(settled | ~F.col("first").eqNullSafe(start))
+    later = rows.withColumn("first", F.min(start).over(by_window)).filter(settled | ~F.col("first").eqNullSafe(start))
+    lo = F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("lo")
+    th = F.shiftrightunsigned("place", 32).bitwiseAND(F.lit((1 << 16) - 1)).cast("int").alias("_cw_th")
+    later = later.select("h1", settled.alias("settled"), "doc_id", th, lo)
+    settled = F.col("settled")
     hi = F.when(settled, F.col("h1").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).otherwise(F.col("lo") + width)
     later = later.select("doc_id", "_cw_th", "lo", hi.alias("hi"))
     whole = copies.select("doc_id", "_cw_th", F.lit(0).alias("lo"), F.lit(ALL).alias("hi"))
@@ -236,12 +243,21 @@ def _keep(ranges, words: list[bytes], width: int) -> list[bytes]:
 
 
 def _with_ranges(docs: DataFrame, width: int, cells: int | None) -> DataFrame:
-    """docs with _cw_th and _cw_ranges (null where nothing is removed)."""
-    ranges = covered_ranges(docs, width, cells)
-    per_doc = ranges.groupBy("doc_id", "_cw_th").agg(F.collect_list(F.struct("lo", "hi")).alias("_cw_ranges"))
+    """docs with _cw_ranges (null where nothing is removed).
+
+    Only the texts of documents with ranges are shuffled; the others are told apart by the
+    list of those documents, which is broadcast if its size allows it.
+    """
+    per_doc = covered_ranges(docs, width, cells).groupBy("doc_id", "_cw_th").agg(F.collect_list(F.struct("lo", "hi")).alias("_cw_ranges"))
+    per_doc = materialize(per_doc.withColumnsRenamed({"doc_id": "_cw_doc", "_cw_th": "_cw_hash"}), "ranges")
     left = docs.withColumn("_cw_id", F.col("doc_id").cast("long")).withColumn("_cw_th", text_mark())
-    right = per_doc.withColumnRenamed("doc_id", "_cw_doc").withColumnRenamed("_cw_th", "_cw_hash")
-    return left.join(right, left["_cw_id"].eqNullSafe(right["_cw_doc"]) & (left["_cw_th"] == right["_cw_hash"]), "left").drop("_cw_doc", "_cw_hash")
+    same = F.col("_cw_id").eqNullSafe(F.col("_cw_doc")) & (F.col("_cw_th") == F.col("_cw_hash"))
+    keys = per_doc.select("_cw_doc", "_cw_hash")
+    if per_doc.count() > MOST_BROADCAST_ROWS:
+        return left.join(per_doc, same, "left").drop("_cw_doc", "_cw_hash")
+    hit = left.join(F.broadcast(keys), same, "left_semi").join(per_doc.hint("shuffle_merge"), same).drop("_cw_doc", "_cw_hash")
+    rest = left.join(F.broadcast(keys), same, "left_anti").withColumn("_cw_ranges", F.lit(None).cast(per_doc.schema["_cw_ranges"].dataType))
+    return hit.unionByName(rest)
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, cells: int | None = None) -> DataFrame:
