@@ -140,8 +140,11 @@ def captions_for_clips(clips: DataFrame, segments: DataFrame, cuts: DataFrame, k
     rows = text.select(key, clip, START, END, cut_text.alias("text")).filter("text <> ''")
     dense = merge_dense(merge_segments(rows, [key, clip]), [key, clip])
     at = dense.join(clips.select(key, clip, F.col(START).alias("_clip")), [key, clip])
-    for c, n in (("_clip", "_r0"), (START, "_r1"), (END, "_r2")):
-        at = removed_before(at, merged, [key], c).withColumnRenamed("removed_ms", n)
+    # The three times of a segment are points of one pass over the cuts.
+    times = F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("t_ms")) for i, c in enumerate(("_clip", START, END))))
+    points = removed_before(at.withColumn("_p", F.explode(times)).select(key, clip, START, END, "_clip", "text", "_p.i", "_p.t_ms"), merged, [key])
+    gone = [F.max(F.when(F.col("i") == i, F.col("removed_ms"))).alias(f"_r{i}") for i in range(3)]
+    at = points.groupBy(key, clip, START, END, "_clip", "text").agg(*gone)
     local = at.select(key, clip, (F.col(START) - F.col("_clip") - F.col("_r1") + F.col("_r0") + shift).alias(START), (F.col(END) - F.col("_clip") - F.col("_r2") + F.col("_r0") + shift).alias(END), "text")
     return caption_pages(local, [key, clip])
 
