@@ -147,7 +147,7 @@ def candidates(segments: DataFrame) -> DataFrame:
 
 
 def block_entries(found: DataFrame) -> DataFrame:
-    """file, block, base, entry, key: per block its first byte, the first record of the chain in it (null: none) and the first at or after it."""
+    """file, block, base, entry, key: per block its first byte, the first record of the chain in it (null: none) and the first at or after it (or the file's end)."""
     blocks = materialize(found.filter("at IS NULL").select("file", "block", "total"), "blocks")
     order = W.partitionBy("file").orderBy("block")
     bases = materialize(blocks.withColumn("base", F.coalesce(F.sum("total").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))), "bases")
@@ -166,7 +166,8 @@ def block_entries(found: DataFrame) -> DataFrame:
         jump = materialize(jump.join(far, ["file", "to"]).select("file", "at", F.col("far").alias("to")), "jump")
     entries = edges.join(reached, ["file", "at"], "left_semi").groupBy("file", "block").agg(F.min("at").alias("entry"))
     after = order.rowsBetween(W.currentRow, W.unboundedFollowing)
-    return bases.join(entries, ["file", "block"], "left").withColumn("key", F.first("entry", True).over(after)).select("file", "block", "base", "entry", "key")
+    end = F.sum("total").over(W.partitionBy("file")) - len(MAGIC)  # no magic follows the file's last segment
+    return bases.join(entries, ["file", "block"], "left").withColumn("key", F.coalesce(F.first("entry", True).over(after), end)).select("file", "block", "base", "entry", "key")
 
 
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, digest string, payload_length long, payload binary"
