@@ -10,7 +10,8 @@ Transducers, composed clause by clause:
 
 A clause's weight is what its insults and threats write, raised by a target, lowered by
 negation and reported speech. The document's score is a logistic of the summed and the
-largest clause weight and of hits per word, so matched clauses count, not lone words.
+largest clause weight, of weight per word, hits and length, so matched clauses count, not
+lone words; a document without a match has one low score.
 
 Insult weights are learned: for words and word stems (prefixes of STEM lengths), Spark
 counts documents with and without label 1 over a bounded sample of labelled rows (the
@@ -34,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import materialize, texts_of
 
 FOLDS, MOST_LABELS = 5, 20_000
-STEM = (4, 5, 6, 7)
+STEM = (3, 4, 5, 6, 7, 8)
 #: Least documents with label 1 behind an insult, least share of label 1 among its documents.
-LEAST_DOCUMENTS, LEAST_SHARE = 3, 0.8
-#: Least log-likelihood ratio (G squared) of an insult with label 1.
-LEAST_EVIDENCE = 20.0
+LEAST_DOCUMENTS, LEAST_SHARE = 3, 0.4
+#: Least log-likelihood ratio (G squared) of an insult with label 1; 2 log N where N terms are tried, if that is more.
+LEAST_EVIDENCE = 15.0
 MOST_TERMS = 5_000
 
 # Closed word classes of the grammar, in the four languages; fixed values of this library.
@@ -123,15 +124,25 @@ class Grammar:
                 out.append(found)
         return out
 
-    def summary(self, text: bytes | None) -> tuple[float, float, float, int]:
-        """(log(1 + summed weight), largest clause weight, weight per 100 words, matched clauses)."""
-        total, top, n = 0.0, 0.0, 0
-        t, g, r = self.factors
-        for weight, _, target, negated, reported in self.matched(text):
-            v = weight * (1 + t * target) * (1 - g * negated) * (1 - r * reported)
-            total, top, n = total + v, max(top, v), n + 1
-        words = len(text.split()) if n else 1
-        return math.log1p(total), top, 100 * total / max(20, words), n
+    def summary(self, text: bytes | None) -> np.ndarray | None:
+        """Features of a document with a match, else None."""
+        found = self.matched(text)
+        return document_features(np.array(found, float), len(text.split()), self.factors) if found else None
+
+
+#: Features that may only raise a score; the last, the document's length, may have either sign.
+N_RAISING = 4
+
+
+def document_features(clauses: np.ndarray, words: int, factors) -> np.ndarray:
+    """log(1 + summed clause weight), largest clause weight, weight per word, log(1 + hits), log words.
+
+    clauses: rows of (weight, hits, target, negated, reported). Chance matches grow with a
+    text's length, so length is a feature of its own.
+    """
+    t, g, r = factors
+    v = clauses[:, 0] * (1 + t * clauses[:, 2]) * (1 - g * clauses[:, 3]) * (1 - r * clauses[:, 4])
+    return np.array([math.log1p(v.sum()), v.max(), 10 * math.sqrt(v.sum() / max(20, words)), math.log1p(clauses[:, 1].sum()), math.log(max(1, words))])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
@@ -162,11 +173,13 @@ def learn_insults(rows: DataFrame) -> dict[str, float]:
     if not t:
         return {}
     terms = rows.select("text", F.col("toxic").cast("long")).mapInArrow(run, "term string, toxic long").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    terms = materialize(terms.filter(F.col("n") >= LEAST_DOCUMENTS), "terms")
+    least = max(LEAST_EVIDENCE, 2 * math.log(max(1, terms.count())))
     good = terms.filter((F.col("t") >= LEAST_DOCUMENTS) & (F.col("t") >= LEAST_SHARE * F.col("n")))
     p = t / n
     evidence = 2 * (F.col("t") * F.log(F.col("t") / (F.col("n") * p)) + F.when(F.col("n") > F.col("t"), (F.col("n") - F.col("t")) * F.log((F.col("n") - F.col("t")) / (F.col("n") * (1 - p)))).otherwise(0.0))
     odds = F.log((F.col("t") + 0.5) / (t + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (n - t + 1))
-    best = good.withColumn("evidence", evidence).filter(F.col("evidence") >= LEAST_EVIDENCE).orderBy(F.desc("evidence"), "term").limit(MOST_TERMS).select("term", "t", "n", odds.alias("odds")).collect()
+    best = good.withColumn("evidence", evidence).filter(F.col("evidence") >= least).orderBy(F.desc("evidence"), "term").limit(MOST_TERMS).select("term", "t", "n", odds.alias("odds")).collect()
     return _simplest({r["term"]: (r["t"], r["n"], r["odds"]) for r in best})
 
 
@@ -208,7 +221,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             w += step
             if np.abs(step).max() < 1e-8:
                 break
-        lower = [used[j] for j in range(len(used)) if w[1 + j] < 0]
+        lower = [used[j] for j in range(len(used)) if w[1 + j] < 0 and used[j] < N_RAISING]
         if not lower:
             out = np.zeros(1 + x.shape[1])
             out[0], out[[1 + j for j in used]] = w[0], w[1:]
@@ -221,12 +234,13 @@ class Model:
         self.insults, self.factors, self.weights = insults, factors, weights
 
     def scorer(self):
-        grammar, w = Grammar(self.insults, self.factors), self.weights
+        grammar, w = Grammar(self.insults, self.factors), np.array(self.weights)
+
+        none = min(0.05, 1 / (1 + math.exp(min(30.0, max(-30.0, -w[0])))))
 
         def score(text: bytes | None) -> float:
-            s, top, density, n = grammar.summary(text)
-            z = w[0] + w[1] * s + w[2] * top + w[3] * density
-            return 1 / (1 + math.exp(-min(30.0, max(-30.0, z)))) if n else min(0.05, 1 / (1 + math.exp(-min(30.0, max(-30.0, w[0])))))
+            x = grammar.summary(text)
+            return none if x is None else 1 / (1 + math.exp(-min(30.0, max(-30.0, w[0] + float(x @ w[1:])))))
 
         return score
 
@@ -248,18 +262,18 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
     got = rows.select("text", "toxic").mapInArrow(run, "toxic int, words int, clauses array<double>").collect()  # at most most_labels rows
     y = np.array([r["toxic"] for r in got], float)
     if not len(y) or not y.any() or y.all():
-        return Model(insults, (0.5, 0.5, 0.5), (-6.0, 0.0, 0.0, 0.0))
+        return Model(insults, (0.5, 0.5, 0.5), (-6.0, *[0.0] * (N_RAISING + 1)))
+    # The logistic is fitted on the rows with a match; the others have the score of no match.
+    hit = [i for i, row in enumerate(got) if len(row["clauses"])]
+    if not hit or y[hit].all() or not y[hit].any():
+        w = (-1.0, 1.0, *[0.0] * N_RAISING) if hit and y[hit].any() else (-6.0, *[0.0] * (N_RAISING + 1))
+        return Model(insults, (0.5, 0.5, 0.5), w)
     best = None
     for factors in ((t, g, r) for t in (0.0, 0.5) for g in (0.0, 0.25, 0.5) for r in (0.0, 0.25, 0.5)):
-        x = np.zeros((len(got), 3))
-        for i, row in enumerate(got):
-            c = np.array(row["clauses"]).reshape(-1, 5)
-            if len(c):
-                v = c[:, 0] * (1 + factors[0] * c[:, 2]) * (1 - factors[1] * c[:, 3]) * (1 - factors[2] * c[:, 4])
-                x[i] = np.log1p(v.sum()), v.max(), 100 * v.sum() / max(20, row["words"])
-        w = _fit(x, y)
+        x = np.array([document_features(np.array(got[i]["clauses"]).reshape(-1, 5), got[i]["words"], factors) for i in hit])
+        w = _fit(x, y[hit])
         p = np.clip(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))), 1e-9, 1 - 1e-9)
-        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+        loss = -(y[hit] * np.log(p) + (1 - y[hit]) * np.log(1 - p)).mean()
         if best is None or loss < best[0] - 1e-4:
             best = loss, factors, tuple(w.tolist())
     return Model(insults, best[1], best[2])
