@@ -41,9 +41,10 @@ FOLDS, MOST_LABELS = 5, 20_000
 STEM = (3, 4, 5, 6, 7, 8)
 #: Least documents with label 1 behind an insult, least share of label 1 among its documents.
 LEAST_DOCUMENTS, LEAST_SHARE = 3, 0.4
-#: Least log-likelihood ratio (G squared) of an insult with label 1; 2 log N where N terms are tried, if that is more.
-LEAST_EVIDENCE = 15.0
+#: Least log-likelihood ratio (G squared) of an insult with label 1; 1.8 log N where N terms are tried, if that is more.
+LEAST_EVIDENCE = 12.0
 MOST_TERMS = 5_000
+CLEARER = 0.5
 
 # Closed word classes of the grammar, in the four languages; fixed values of this library.
 MODALS = {"will", "shall", "gonna", "going", "should", "must", "werde", "wird", "sollte", "vais", "va", "vas", "doit", "voy", "vas", "debe"}
@@ -174,7 +175,7 @@ def learn_insults(rows: DataFrame) -> dict[str, float]:
         return {}
     terms = rows.select("text", F.col("toxic").cast("long")).mapInArrow(run, "term string, toxic long").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
     terms = materialize(terms.filter(F.col("n") >= LEAST_DOCUMENTS), "terms")
-    least = max(LEAST_EVIDENCE, 2 * math.log(max(1, terms.count())))
+    least = max(LEAST_EVIDENCE, 1.8 * math.log(max(1, terms.count())))
     good = terms.filter((F.col("t") >= LEAST_DOCUMENTS) & (F.col("t") >= LEAST_SHARE * F.col("n")))
     p = t / n
     evidence = 2 * (F.col("t") * F.log(F.col("t") / (F.col("n") * p)) + F.when(F.col("n") > F.col("t"), (F.col("n") - F.col("t")) * F.log((F.col("n") - F.col("t")) / (F.col("n") * (1 - p)))).otherwise(0.0))
@@ -187,7 +188,8 @@ def _simplest(terms: dict[str, tuple[int, int, float]]) -> dict[str, float]:
     """The words and stems that are needed.
 
     A stem stays if it marks clearly more documents than any one word under it; of nested
-    stems the longest that marks nearly as many as the shorter; words under a stem go.
+    stems the longest that marks nearly as many as the shorter; words under a stem stay
+    where their odds are clearer than the stem's by CLEARER.
     """
     times = {t: v[0] for t, v in terms.items()}
     words = [t for t in terms if not t.endswith("*")]
@@ -206,7 +208,8 @@ def _simplest(terms: dict[str, tuple[int, int, float]]) -> dict[str, float]:
             for x in longer:
                 del stems[x]
     kept = {s: max(0.5, terms[s][2]) for s in stems}
-    return kept | {w: max(0.5, terms[w][2]) for w in words if not any(w.startswith(s[:-1]) for s in stems)}
+    over = lambda w: max((kept[s] for s in stems if w.startswith(s[:-1])), default=-math.inf)
+    return kept | {w: max(0.5, terms[w][2]) for w in words if terms[w][2] > over(w) + CLEARER}
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
