@@ -59,4 +59,7 @@ def align_blocks(blocks: DataFrame, segments: DataFrame, key: str, most_segments
         return pd.DataFrame(out, columns=[key, "block_idx", "start_ms", "end_ms", "score"])
 
     kind = dict(blocks.dtypes)
+    # New column identities: both sides may come from one table.
+    segments = segments.select(*(F.col(c).alias(c) for c in (key, "seg_idx", "start_ms", "end_ms", "text")))
+    blocks = blocks.select(*(F.col(c).alias(c) for c in (key, "block_idx", "text")))
     return blocks.groupBy(key).cogroup(segments.groupBy(key)).applyInPandas(run, f"{key} {kind[key]}, block_idx {kind['block_idx']}, start_ms long, end_ms long, score double")

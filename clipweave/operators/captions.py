@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import greedy_lines, slice_text
+from ..functions.text import greedy_lines, slice_text, text_width
 from .intervals import END, START, merge_intervals, overlap_join, removed_before, subtract_intervals
 
 ROW = [START, END, "text"]
@@ -149,6 +149,12 @@ def captions_for_clips(clips: DataFrame, segments: DataFrame, cuts: DataFrame, k
     return caption_pages(local, [key, clip])
 
 
+def caption_fit_check(captions: DataFrame, keys: list[str], font: int, limit_px: int) -> DataFrame:
+    """keys, n_lines, n_over, widest: lines of each key's captions whose estimated width is over limit_px. Glyph widths are estimates: executors have no fonts."""
+    lines = captions.select(*keys, F.explode(F.split("text", "\n")).alias("line")).withColumn("w", text_width(F.col("line"), F.lit(font)))
+    return lines.groupBy(*keys).agg(F.count("*").alias("n_lines"), F.count_if(F.col("w") > 100 * limit_px).alias("n_over"), F.max("w").alias("widest"))
+
+
 def monotonic_clamp(rows: DataFrame, keys: list[str], order: str, default: int = 3000) -> DataFrame:
     """In order: start not before the end before; an empty interval gets the default length."""
 

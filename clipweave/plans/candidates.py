@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import timecode as T
 from ..operators import candidates as C
 from ..operators import intervals as I
 from ..views import view, with_views
@@ -98,7 +99,18 @@ def render_prompts(spark, sf):
     return p.select("recording_id", "chunk_idx", F.length("prompt").alias("n_chars"), F.md5(F.col("prompt").cast("binary")).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (snap_to_boundaries, enforce_duration, clamp_to_end, select_candidates, dedupe_candidates, window_candidates, candidate_stats, extract_json, parse_llm_candidates, greedy_match, eval_models, fallback_windows, fill_candidates, chunk_transcript, render_prompts)}
+def normalize_candidate_rows(spark, sf):
+    c = view(spark, sf, "candidates").select(*KEY, "cand_idx", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000 - F.col("cand_idx") % 40).alias("end"))
+    return C.normalize_rows(c, KEY, "cand_idx", 4).select(*KEY, "cand_idx", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+def mmss_number_to_seconds(spark, sf):
+    c = view(spark, sf, "candidates").select("cand_idx", (F.col("cand_idx") % 20 + F.col("cand_idx") % 70 / 100).alias("v"))
+    s = T.mmss_number_to_seconds(F.col("v"), F.lit(600.0), F.lit(1200.0))
+    return c.select("cand_idx", F.bround(s * 100).cast("long").alias("hundredths"))
+
+
+QUERIES = {f.__name__: f for f in (snap_to_boundaries, enforce_duration, clamp_to_end, select_candidates, dedupe_candidates, window_candidates, candidate_stats, extract_json, parse_llm_candidates, greedy_match, eval_models, fallback_windows, fill_candidates, chunk_transcript, render_prompts, normalize_candidate_rows, mmss_number_to_seconds)}
 
 _C = with_views("candidates")
 _ON = with_views("candidates", "segments") + """, n AS (SELECT max(recording_id) + 1 AS n FROM segments),
@@ -127,6 +139,8 @@ SQL = {
     "candidate_stats": _C + " SELECT recording_id, count(*) AS n, CAST(sum(greatest(0, end_ms - start_ms)) AS BIGINT) AS total_ms, min(greatest(0, end_ms - start_ms)) AS min_ms, max(greatest(0, end_ms - start_ms)) AS max_ms FROM candidates GROUP BY recording_id",
     "extract_json": with_views("llm_answers") + """ SELECT answer_id, 0 AS position, CASE answer_id % 4 WHEN 0 THEN (answer_id * 37) % 600 * 1000 ELSE (answer_id % 10) * 60000 + 10500 END AS start_ms, CASE answer_id % 4 WHEN 0 THEN ((answer_id * 37) % 600 + 30) * 1000 ELSE (answer_id % 10) * 60000 + 50000 END AS end_ms,
       CASE answer_id % 4 WHEN 0 THEN 't' END AS title, CAST(CASE answer_id % 4 WHEN 0 THEN 5 ELSE 7 END AS BIGINT) AS score_tenths FROM llm_answers WHERE answer_id % 4 < 2""",
+    "normalize_candidate_rows": _C + ", c AS (SELECT recording_id, cand_idx, start_ms // 1000 AS start, end_ms // 1000 - cand_idx % 40 AS \"end\" FROM candidates) SELECT * FROM c WHERE \"end\" > start + 4 QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY cand_idx) <= 4",
+    "mmss_number_to_seconds": _C + " SELECT cand_idx, CASE WHEN cand_idx % 70 < 60 AND (cand_idx % 20) * 60 + cand_idx % 70 BETWEEN 420 AND 1380 THEN ((cand_idx % 20) * 60 + cand_idx % 70) * 100 ELSE (cand_idx % 20) * 100 + cand_idx % 70 END AS hundredths FROM candidates",
     "greedy_match": _C + "," + _MATCH + " SELECT * FROM mt",
     "eval_models": _C + "," + _MATCH + """, m AS (SELECT recording_id, count(*) AS n_model FROM candidates WHERE cand_idx % 2 = 0 GROUP BY ALL), b AS (SELECT recording_id, count(*) AS n_base FROM candidates WHERE cand_idx % 2 = 1 GROUP BY ALL), k AS (SELECT recording_id, count(*) AS matched FROM mt GROUP BY ALL)
       SELECT coalesce(m.recording_id, b.recording_id) AS recording_id, CASE WHEN n_base IS NULL THEN 'missing_baseline' WHEN n_model IS NULL THEN 'missing_model' ELSE 'ok' END AS status, n_model, n_base, coalesce(matched, 0) AS matched

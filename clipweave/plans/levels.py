@@ -224,6 +224,29 @@ def infer_speaker_map(spark, sf):
     return P.infer_speaker_map(e, "label", "camera")
 
 
+def resolve_speaker_map(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    labels = e.select(F.concat(F.lit("cam"), F.col("label").cast("string")).alias("label")).distinct()
+    pick = lambda cond, value: labels.filter(cond).select("label", value.alias("camera"))
+    n = F.substring("label", 4, 9).cast("int")
+    given = pick(n % 4 == 0, F.lit("/media/cam1.mov"))
+    inferred = pick(n % 2 == 0, F.lit("cam2"))
+    config = pick(n % 3 == 0, F.lit("nowhere"))
+    return P.resolve_speaker_map(labels, given, inferred, config, labels.select(F.col("label").alias("camera")).filter(F.col("camera") != "cam7"))
+
+
+def speaker_switch(spark, sf):
+    s = scores_of(view(spark, sf, "levels"))
+    sims = s.withColumn("sim", F.when(F.col("score") > -50, F.pmod(F.xxhash64("camera", "step", "recording_id"), F.lit(1000)) / 1000.0))
+    return H.speaker_switch(sims, "recording_id", HOUR, 3 * HOUR, 0.4, 0.05)
+
+
+def end_window_drift(spark, sf):
+    l = view(spark, sf, "levels").groupBy(*CAM).agg(F.min("hop_idx").cast("double").alias("start_t"), F.max("hop_idx").cast("double").alias("end_t"))
+    o = l.withColumns({"start_offset": F.col("start_t") * 2 + 1, "end_offset": F.col("end_t") * 2 + 1})
+    return V.end_window_drift(o).select(*CAM, "slope")
+
+
 def xcorr_offset(spark, sf):
     """Each label's vectors in order are one signal; every vector against the next of its label, 8 samples late."""
     from pyspark.sql import Window as W
@@ -239,7 +262,7 @@ def energy_envelope(spark, sf):
     return G.energy_envelope(e, ["vec_id"], 16, 8).select("vec_id", "hop_idx", F.bround("rms", 4).alias("rms"))
 
 
-NAMES = "speech_level noise_floor level_normalize moving_average quietest_near check_cuts nudge_cuts clip_levels level_steps balance_gains level_at lag_scan motion_offset motion_signal filter_offset_outliers fit_drift best_offset map_time overlap_window sync_summary transcript_coverage caption_pass_rate qc_report camera_switch enforce_min_shot pin_camera camera_share insert_reactions balance_cameras shot_plan camera_ranges edit_list subtract_shots speaker_centroids speaker_similarity infer_speaker_map xcorr_offset energy_envelope"
+NAMES = "speech_level noise_floor level_normalize moving_average quietest_near check_cuts nudge_cuts clip_levels level_steps balance_gains level_at lag_scan motion_offset motion_signal filter_offset_outliers fit_drift best_offset map_time overlap_window sync_summary transcript_coverage caption_pass_rate qc_report camera_switch enforce_min_shot pin_camera camera_share insert_reactions balance_cameras shot_plan camera_ranges edit_list subtract_shots speaker_centroids speaker_similarity infer_speaker_map resolve_speaker_map speaker_switch end_window_drift xcorr_offset energy_envelope"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _L = with_views("levels")
@@ -284,6 +307,8 @@ SQL = {
     "camera_share": _L + "," + _SHOTS + ", d AS (SELECT recording_id, camera, sum(end_ms - start_ms) AS d FROM sh GROUP BY ALL) SELECT recording_id, CAST(sum(d) AS BIGINT) AS total_ms, arg_min(camera, (-d, camera)) AS dominant, CAST(max(d) AS BIGINT) AS dominant_ms FROM d GROUP BY recording_id",
     "camera_ranges": _L + "," + _SHOTS + " SELECT recording_id, camera, greatest(0, min(start_ms) + length(camera) * 1000 - 6000 - 2000) AS from_ms, max(end_ms) + length(camera) * 1000 - 6000 + 2000 AS to_ms FROM sh GROUP BY recording_id, camera",
     "edit_list": _L + "," + _SHOTS + " SELECT recording_id, start_ms, end_ms - start_ms AS duration_ms, camera, greatest(0, start_ms + length(camera) * 1000 - 6000) AS picture_ms, camera AS audio_camera, greatest(0, start_ms + length(camera) * 1000 - 6000) AS sound_ms FROM sh WHERE end_ms - start_ms >= 50",
+    "resolve_speaker_map": "WITH l AS (SELECT DISTINCT label AS n FROM embeddings), r AS (SELECT 'cam' || n AS label, CASE WHEN n % 4 = 0 THEN 'cam1' WHEN n % 2 = 0 THEN 'cam2' WHEN n % 3 = 0 THEN 'nowhere' WHEN n <> 7 THEN 'cam' || n END AS camera FROM l) SELECT * FROM r WHERE camera IS NOT NULL AND camera <> 'nowhere'",
+    "end_window_drift": _L + " SELECT recording_id, camera, CASE WHEN min(hop_idx) < max(hop_idx) THEN 2.0 END AS slope FROM levels GROUP BY ALL",
     "infer_speaker_map": "SELECT label, 'cam' || label AS camera FROM embeddings WHERE label % 2 = 0 GROUP BY label",
     "speaker_centroids": """WITH x AS (SELECT label, unnest(range(1, 65)) AS p, embedding FROM embeddings), m AS (SELECT label, p, avg(CAST(embedding[p] AS DOUBLE)) AS v FROM x GROUP BY ALL), n AS (SELECT label, sqrt(sum(v * v)) + 1e-9 AS n FROM m GROUP BY ALL)
       SELECT m.label, CAST(64 AS INTEGER) AS n, 1.0 AS length, round_even(v / n.n, 4) AS x0 FROM m JOIN n ON n.label = m.label WHERE p = 1""",

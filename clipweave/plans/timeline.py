@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import timecode as T
+from ..operators import align as A
 from ..operators import captions as K
 from ..operators import intervals as I
 from ..operators import timeline as L
@@ -149,6 +150,21 @@ def captions_for_clips(spark, sf):
     return K.captions_for_clips(clips, s, I.pause_cuts(s, b, KEY, "medium"), "recording_id")
 
 
+def caption_fit_check(spark, sf):
+    return K.caption_fit_check(view(spark, sf, "cues").select("reel_id", "text"), ["reel_id"], 48, 560)
+
+
+def speech_text_filter(spark, sf):
+    return A.speech_text_filter(view(spark, sf, "segments"), markers=("the", "an"), short=5).select(*KEY, "seg_idx")
+
+
+def align_blocks(spark, sf):
+    """Script blocks: every third segment's text of a recording, to be found again in its transcript."""
+    s = view(spark, sf, "segments").select(*KEY, "seg_idx", "start_ms", "end_ms", X.normalize_text(F.col("text")).alias("text"))
+    blocks = s.filter("seg_idx % 3 = 1").select(*KEY, F.col("seg_idx").alias("block_idx"), "text")
+    return A.align_blocks(blocks, s, "recording_id", most_segments=4, least_ms=1000, longest_ms=60_000, markers=()).select(*KEY, "block_idx", "start_ms", "end_ms")
+
+
 def monotonic_clamp(spark, sf):
     s = view(spark, sf, "segments").select(*KEY, "seg_idx", (F.col("start_ms") - F.col("seg_idx") * 700).alias("start_ms"), (F.col("end_ms") - (F.col("seg_idx") % 3) * 2500).alias("end_ms"))
     return K.monotonic_clamp(s, KEY, "seg_idx")
@@ -159,7 +175,7 @@ def retime_captions(spark, sf):
     return K.retime_captions(s, (F.col("v"), F.col("a"))).select(*KEY, "seg_idx", ((F.col("end_ms") - F.col("start_ms")) > 0).alias("ok"))
 
 
-QUERIES = {f.__name__: f for f in (build_clips, build_timeline, seamless_joins, graphic_edges, heard_vs_planned, snippet_for_windows, cue_spots, slice_words, find_cached_chunk, write_srt, parse_srt, write_ass, parse_ass, clip_manifest, time_functions, overlap_functions, text_functions, source_functions, token_f1, title_functions, wrap_text, slice_text, merge_segments, merge_dense_segments, caption_pages, captions_for_clips, monotonic_clamp, retime_captions)}
+QUERIES = {f.__name__: f for f in (build_clips, build_timeline, seamless_joins, graphic_edges, heard_vs_planned, snippet_for_windows, cue_spots, slice_words, find_cached_chunk, write_srt, parse_srt, write_ass, parse_ass, clip_manifest, time_functions, overlap_functions, text_functions, source_functions, token_f1, title_functions, wrap_text, slice_text, merge_segments, merge_dense_segments, caption_pages, captions_for_clips, caption_fit_check, speech_text_filter, align_blocks, monotonic_clamp, retime_captions)}
 
 _S, _K = with_views("segments"), with_views("cues")
 _HMS = "lpad(CAST({t} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({t} % 3600000 // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({t} % 60000 // 1000 AS VARCHAR), 2, '0') || '{p}' || lpad(CAST({t} % 1000 AS VARCHAR), 3, '0')"
@@ -201,5 +217,8 @@ SQL = {
       f AS (SELECT recording_id, seg_idx, rn, s AS start_ms, CASE WHEN e > s THEN e ELSE s + 3000 END AS end_ms FROM r WHERE rn = 1
         UNION ALL SELECT r.recording_id, r.seg_idx, r.rn, greatest(r.s, f.end_ms), CASE WHEN r.e > greatest(r.s, f.end_ms) THEN r.e ELSE greatest(r.s, f.end_ms) + 3000 END FROM f JOIN r ON r.recording_id = f.recording_id AND r.rn = f.rn + 1)
       SELECT recording_id, seg_idx, start_ms, end_ms FROM f""",
+    "caption_fit_check": _K + """, l AS (SELECT reel_id, unnest(string_split(text, chr(10))) AS line FROM cues), w AS (SELECT reel_id, CAST(coalesce(list_sum(list_transform(string_split(line, ''), lambda c: CASE WHEN c = '' THEN 0 WHEN contains(' ilI1|.,:;!''`', c) THEN 34 WHEN contains('WwMm@%#&ЖШЩЮФЫД', c) THEN 90 ELSE 60 END)), 0) * 48 AS INTEGER) AS w FROM l)
+      SELECT reel_id, count(*) AS n_lines, count(*) FILTER (w > 56000) AS n_over, max(w) AS widest FROM w GROUP BY reel_id""",
+    "speech_text_filter": _S + r", t AS (SELECT recording_id, seg_idx, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM segments) SELECT recording_id, seg_idx FROM t WHERE q <> '' AND NOT (len(string_split(q, ' ')) <= 5 AND regexp_matches(q, '(?i)(^|[^\p{L}\p{N}_])(the|an)'))",
     "retime_captions": _S + " SELECT recording_id, seg_idx, true AS ok FROM segments",
 }
