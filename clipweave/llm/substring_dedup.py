@@ -38,11 +38,13 @@ from .common import WordHashes, in_pieces, materialize, mix, split_words, texts_
 
 WIDTH = 20
 #: Cells of a sketch row: a power of two, two per window or more, within these limits.
-LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 28
+LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 29
 #: Cells of a block, the unit in which sketches are merged.
 BLOCK_BITS = 16
 #: Bytes of text hashed at once, and window cells gathered before a task sends them: they bound a task's memory.
-PIECE, MOST_GATHERED = 4 << 20, 6_000_000
+PIECE, MOST_GATHERED = 2 << 20, 4_000_000
+#: Bytes of text in which a window's first start is found before rows are sent.
+UNIT = 12 << 20
 #: More exact copies than this are taken out by a shuffled join, not a broadcast one.
 MOST_BROADCAST_ROWS = 1_000_000
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -129,11 +131,24 @@ def _sketch(texts: DataFrame, cells: int, width: int):
     # At most 2 * MOST_CELLS / 8 bytes, whatever the corpus holds.
     size = (1 << block_bits) // 8
     bits = np.zeros((len(SEEDS), blocks * size), np.uint8)
-    for x in merged.collect():
-        bits[x["row"], x["block"] * size : (x["block"] + 1) * size] = np.frombuffer(x["bits"], np.uint8)
+    merged = materialize(merged, "sketch")
+    for r in range(len(SEEDS)):
+        for x in merged.filter(F.col("row") == r).collect():
+            bits[r, x["block"] * size : (x["block"] + 1) * size] = np.frombuffer(x["bits"], np.uint8)
     return texts.sparkSession.sparkContext.broadcast(bits)
 
 
+def _units(batches):
+    """Slices of the batches (text is the third column) of about UNIT bytes."""
+    for batch in batches:
+        sizes = np.diff(np.frombuffer(batch.column(2).buffers()[1], np.int32, batch.num_rows + 1, 4 * batch.column(2).offset)) if pa.types.is_string(batch.column(2).type) else np.full(batch.num_rows, 4096)
+        part = np.cumsum(sizes, dtype=np.int64) // UNIT
+        cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for a, z in zip(cut[:-1], cut[1:], strict=True):
+            if z > a:
+                yield batch.slice(a, z - a)
+
+
 def _merged_ranges(doc: np.ndarray, pos: np.ndarray, width: int):
     """Ranges [from, to) covered by windows at (doc, pos): arrays doc, from, to."""
     o = np.lexsort((pos, doc))
@@ -191,7 +206,7 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None
 
     def candidates(batches):
         cache, b = WordHashes(), bits.value
-        for batch in batches:
+        for batch in _units(batches):
             ids, ths = batch.column(0), batch.column(1)
             h1, h2, doc, pos = passing(texts_of(batch.column(2)), cache, b)
             if not len(h1):
