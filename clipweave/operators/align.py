@@ -56,7 +56,8 @@ def align_blocks(blocks: DataFrame, segments: DataFrame, key: str, most_segments
             if best:
                 out.append((getattr(row, key), row.block_idx, segs[best[1]][0], segs[best[2]][1], best[0]))
                 first = best[2] + 1
-        return pd.DataFrame(out, columns=[key, "block_idx", "start_ms", "end_ms", "score"])
+        kinds = {key: left[key].dtype, "block_idx": left["block_idx"].dtype, "start_ms": "int64", "end_ms": "int64", "score": "float64"}
+        return pd.DataFrame(out, columns=list(kinds)).astype(kinds)  # there may be no row
 
     kind = dict(blocks.dtypes)
     # New column identities: both sides may come from one table.

@@ -168,9 +168,9 @@ def _window_fold(target: int, least: int, most: int):
             if e[j] - s[i] >= least:
                 rows.append((i, s[i], e[j], " ".join(pdf["text"].iloc[i : j + 1])))
             i = j + 1
-        out = pdf.iloc[[r[0] for r in rows]].copy()
-        out[START], out[END], out["text"] = [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows]
-        return out
+        # Typed columns: a group may have no window.
+        new = {START: np.array([r[1] for r in rows], s.dtype), END: np.array([r[2] for r in rows], e.dtype), "text": np.array([r[3] for r in rows], object)}
+        return pd.DataFrame({c: new.get(c, pdf[c].to_numpy()[[0] * len(rows)]) for c in pdf.columns})
 
     return run
 

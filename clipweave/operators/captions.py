@@ -122,7 +122,8 @@ def caption_pages(segments: DataFrame, keys: list[str], most_chars: int = 22, mo
     def run(batches):
         for pdf in batches:
             rows = [(*k, *x) for *k, a, b, t in pdf[[*keys, *ROW]].itertuples(index=False, name=None) if b - a >= least_ms for x in events(int(a), int(b), t)]
-            yield pd.DataFrame(rows, columns=[*keys, *ROW])
+            kinds_of = {**{k: pdf[k].dtype for k in keys}, START: "int64", END: "int64"}
+            yield pd.DataFrame(rows, columns=[*keys, *ROW]).astype(kinds_of)  # there may be no row
 
     kinds = dict(segments.dtypes)
     return segments.select(*keys, *ROW).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {START} long, {END} long, text string")

@@ -89,12 +89,19 @@ def joined(shots: list[list], eps: int) -> list[list]:
     return out
 
 
+def _frame(rows: list[list], key: str, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Shots as a typed frame with the group's key; there may be none."""
+    out = pd.DataFrame(rows, columns=SHOT).astype({START: "int64", END: "int64"})
+    out.insert(0, key, pdf[key].to_numpy()[[0] * len(rows)])
+    return out
+
+
 def per_recording(shots: DataFrame, key: str, edit, extra: str = "") -> DataFrame:
     """Applies edit(list of [camera, audio_camera, start, end]) to each recording's shots in order."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = edit(pdf.sort_values([START, END], kind="stable")[SHOT].values.tolist())
-        return pd.DataFrame(rows, columns=SHOT).assign(**{key: pdf[key].iloc[0]})[[key, *SHOT]]
+        return _frame(rows, key, pdf)
 
     kind = dict(shots.dtypes)[key]
     return shots.groupBy(key).applyInPandas(run, f"{key} {kind}, camera string, audio_camera string, {START} long, {END} long{extra}")
@@ -174,11 +181,11 @@ class Scores:
 def _with_scores(shots: DataFrame, scores: DataFrame, key: str, hop_ms: int, edit) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame(columns=[key, *SHOT])
+            return _frame([], key, left)
         rows = left.sort_values([START, END], kind="stable")[SHOT].values.tolist()
         if right["camera"].nunique() >= 2:
             rows = edit(rows, Scores(right, hop_ms))
-        return pd.DataFrame(rows, columns=SHOT).assign(**{key: left[key].iloc[0]})[[key, *SHOT]]
+        return _frame(rows, key, left)
 
     kind = dict(shots.dtypes)[key]
     return shots.groupBy(key).cogroup(scores.groupBy(key)).applyInPandas(run, f"{key} {kind}, camera string, audio_camera string, {START} long, {END} long")
