@@ -420,6 +420,32 @@ def test_leaks_exact_edited_and_clean(spark):
     assert all(r.score == 1 for r in got if r.doc_id >= 62)
 
 
+def leaks_without_search(items, texts, least=0.5):
+    """Every pair aligned over the whole document."""
+    known = decontam.Items(items)
+    out = {}
+    for d, t in enumerate(texts):
+        numbers = known.numbers(t.encode())
+        for item, words in zip(known.ids, known.words, strict=True):
+            s = decontam.align(words, numbers)[0]
+            if s >= least:
+                out[d, item] = max(s, out.get((d, item), 0))
+    return out
+
+
+def found_leaks(spark, items, texts):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.score for r in decontam.leaks(docs_of(spark, texts), bench).collect()}
+
+
+def test_leaks_of_an_item_cut_short_in_many_documents(spark):
+    rng = random.Random(31)
+    words = prose(rng, 59, 10**6)
+    texts = [" ".join(prose(rng, 20) + words[:41] + prose(rng, 20)) for _ in range(60)] + [" ".join(prose(rng, 20) + words) for _ in range(3)]
+    got = found_leaks(spark, [(7, " ".join(words))], texts)
+    assert got == leaks_without_search([(7, " ".join(words))], texts) and len(got) == 63
+
+
 def test_pipeline_stages_and_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "minhash_near_dedup", "substring_dedup", "benchmark_decontamination", "best_fit_packing"]
