@@ -446,6 +446,41 @@ def test_leaks_of_an_item_cut_short_in_many_documents(spark):
     assert got == leaks_without_search([(7, " ".join(words))], texts) and len(got) == 63
 
 
+def test_leaks_without_an_intact_run(spark):
+    rng = random.Random(32)
+    items = [(i, " ".join(prose(rng, 16 + i, 2000))) for i in range(24)]
+    texts = []
+    for i, t in items:
+        w, out = t.split(), []
+        for j, x in enumerate(w):
+            replaced = i % 3 == 1 and j % 4 == 3 or i % 3 == 2 and rng.random() < 0.3
+            out += ["foreign"] if replaced else [x]
+            out += ["foreign"] * (i % 3 == 0 and j % 3 == 2 or i % 3 == 2 and rng.random() < 0.2)
+        texts.append(" ".join(prose(rng, 30, 2000) + out + prose(rng, 30, 2000)))
+    got = found_leaks(spark, items, texts)
+    assert got == leaks_without_search(items, texts)
+    assert {(i, i) for i in range(24) if i % 3 < 2} <= set(got)
+
+
+def test_places_hold_every_alignment(monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_HITS", 200)
+    monkeypatch.setattr(decontam, "BLOCK", 64)
+    rng = random.Random(33)
+    items = decontam.Items([(i, " ".join(prose(rng, rng.randrange(4, 12), 30))) for i in range(40)])
+    for least in (0.3, 0.5, 0.8, 1.0):
+        find, leaks = decontam.Finder(items, np.array([rng.randrange(5) for _ in range(len(items.vocab) + 1)]), least), 0
+        for _ in range(6):
+            text = items.numbers(" ".join(prose(rng, 250, 60)).encode())
+            best = {}
+            for o, a, z in find.places(text):
+                best[o] = max(best.get(o, 0), decontam.align(items.words[o], text[a:z])[0])
+            for o, w in enumerate(items.words):
+                s = decontam.align(w, text)[0]
+                leaks += s >= least
+                assert s < least or best[o] == s
+        assert leaks or least > 0.5
+
+
 def test_pipeline_stages_and_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "minhash_near_dedup", "substring_dedup", "benchmark_decontamination", "best_fit_packing"]
