@@ -481,6 +481,12 @@ def test_places_hold_every_alignment(monkeypatch):
         assert leaks or least > 0.5
 
 
+def test_leaks_of_items_of_one_to_three_words(spark):
+    items = [(1, "Alpha"), (2, "beta gamma"), (3, "delta, epsilon zeta")]
+    texts = ["x x x alpha x x", "x beta gamma x x x", "x x delta epsilon zeta x", "x beta x gamma x delta epsilon x zeta x"]
+    assert found_leaks(spark, items, texts) == {(0, 1): 1, (1, 2): 1, (2, 3): 1}
+
+
 def test_pipeline_stages_and_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "minhash_near_dedup", "substring_dedup", "benchmark_decontamination", "best_fit_packing"]
