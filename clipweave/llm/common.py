@@ -2,29 +2,61 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
+_kept: dict[str, dict] = {}
 
 #: Words cached in a Python worker before its cache starts anew.
 WORD_CACHE = 200_000
 
 
+def kept_in_worker(owner: str, cache: dict) -> dict:
+    """A dict that an operator keeps in a Python worker from task to task, until a task of another operator frees it."""
+    return _kept.setdefault(owner, cache)
+
+
+def free_memory(owner: str | None = None) -> None:
+    """Called as a task begins: frees what other operators kept in this worker, so that memory does not add up over stages."""
+    full = [c for name, c in _kept.items() if name != owner and c]
+    for cache in full:
+        cache.clear()
+    if full:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+#: Most rows of an Arrow batch: a batch of long texts stays small.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of at most BATCH_ROWS rows in this session, unless it has smaller ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="clipweave-")
-    return _own_dirs[app]
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="clipweave-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -91,8 +123,6 @@ def window_hashes(h: np.ndarray, k: int, base: int) -> np.ndarray:
 
 def texts_of(column) -> list[bytes | None]:
     """An Arrow string column as bytes, without decoding."""
-    import pyarrow as pa
-
     return column.cast(pa.binary()).to_pylist()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, html_extract, minhash, packing, quality, substring_dedup, token_store, toxicity, url_filter, warc
-from .common import new_path
+from .common import new_path, small_batches
 
 
 def word_bpe() -> str:
@@ -16,7 +16,7 @@ def word_bpe() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

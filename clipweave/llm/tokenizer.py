@@ -3,6 +3,9 @@
 The vocabulary file's pre-tokenizer never joins characters across white space, so
 the ids of a text are the ids of its words in a row. Each Python worker keeps the
 ids of the words it has seen in flat arrays and gathers a batch of texts from them.
+Where the file's normalizer lower-cases, texts are lower-cased first, so that fewer words
+are distinct; words of lower-case ASCII letters alone skip the normalizer and the
+pre-tokenizer, which leave them as they are.
 """
 
 from __future__ import annotations
@@ -12,24 +15,35 @@ from itertools import chain, repeat
 
 import numpy as np
 
+from .common import free_memory, kept_in_worker
 
 #: What may follow a word's letters and is a token run of its own for the pre-tokenizer.
 TAIL = b".,;:!?%&*$#|()"
 
 
 class WordEncoder:
-    """texts (UTF-8 bytes or None) -> (ids, offsets). most_words bounds each of the two caches."""
+    """texts (UTF-8 bytes or None) -> (ids, offsets). most_words bounds the entries of the two caches together."""
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    def __init__(self, path: str, most_words: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
         vocab = self.tokenizer.get_vocab()
+        self.lowers = self._ids("ABCDEFGHIJKLMNOPQRSTUVWXYZ") == self._ids("abcdefghijklmnopqrstuvwxyz")
+        self.bare = Tokenizer.from_file(path)  # for words that normalizer and pre-tokenizer leave as they are
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        probe = [t.removesuffix("</w>") for t in sorted(vocab)[::97]]
+        probe = " ".join(t for t in probe if t.isascii() and t.isalpha() and t.islower())
+        if not self.lowers or self._ids(probe) != self.bare.encode(probe, add_special_tokens=False).ids:
+            self.bare = self.tokenizer
         self.is_end = np.zeros(max(vocab.values()) + 1, bool)  # ids that close a pre-token
         self.is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._clear()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}  # word -> place in starts and sizes
         self.parts: dict[bytes, int] = {}
@@ -40,33 +54,36 @@ class WordEncoder:
     def _divide(word: bytes) -> tuple[bytes, bytes]:
         """Two parts whose ids, in a row, are the word's: its letters and the marks after them; the second may be empty."""
         core = word.rstrip(TAIL)
-        if core.isalpha():  # bytes: A-Z and a-z only
-            return core.lower(), word[len(core) :]
-        if core and core.decode("utf-8", "replace").isalpha():
+        if core.isalpha() or (core and core.decode("utf-8", "replace").isalpha()):  # bytes: A-Z and a-z only
             return core, word[len(core) :]
         return word, b""
 
-    def _encode_parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of the parts in a row, and their sizes. Single pre-tokens are encoded many to a string and told apart by their closing ids."""
-        text = [p.decode("utf-8", "replace") for p in parts]
-        single = [t.isalpha() or (t != "" and not p.strip(TAIL)) for p, t in zip(parts, text, strict=True)]
-        joined, other = [t for t, x in zip(text, single, strict=True) if x], [t for t, x in zip(text, single, strict=True) if not x]
-        coded = self.tokenizer.encode_batch_fast([" ".join(joined[i : i + 64]) for i in range(0, len(joined), 64)], add_special_tokens=False)
+    def _joined(self, tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """ids of single pre-tokens in a row, and their sizes, encoded many to a string and told apart by their closing ids; None for a vocabulary without word ends."""
+        coded = tokenizer.encode_batch_fast([" ".join(texts[i : i + 512]) for i in range(0, len(texts), 512)], add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(e.ids for e in coded), np.int64)
         sizes = np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
-        if len(sizes) != len(joined) or int(sizes.sum()) != len(ids):  # a vocabulary without word ends: one by one
-            joined, other, single = [], text, [False] * len(parts)
-            ids = sizes = np.zeros(0, np.int64)
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-        if not lists:
-            return ids, sizes
-        both = np.empty(len(parts), np.int64)
-        mask = np.asarray(single, bool)
-        both[mask], both[~mask] = sizes, np.fromiter(map(len, lists), np.int64, len(lists))
-        owner = np.repeat(mask, both)
-        out = np.empty(int(both.sum()), np.int64)
-        out[owner], out[~owner] = ids, np.fromiter(chain.from_iterable(lists), np.int64)
-        return out, both
+        return (ids, sizes) if len(sizes) == len(texts) and int(sizes.sum()) == len(ids) else None
+
+    def _encode_parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the parts in a row, and their sizes."""
+        text = [p.decode("utf-8", "replace") for p in parts]
+        # 0: lower-case ASCII letters; 1: other single pre-tokens; 2: the rest, encoded one by one.
+        kind = np.fromiter((0 if p.isalpha() and p.islower() else 1 if t.isalpha() or (t and not p.strip(TAIL)) else 2 for p, t in zip(parts, text, strict=True)), np.int8, len(parts))
+        sizes, found = np.zeros(len(parts), np.int64), {}
+        for k, tokenizer in ((0, self.bare), (1, self.tokenizer), (2, self.tokenizer)):
+            at = np.flatnonzero(kind == k)
+            own = [text[i] for i in at.tolist()]
+            got = self._joined(tokenizer, own) if k < 2 else None
+            if got is None:
+                lists = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+                got = np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+            found[k], sizes[at] = got
+        owner = np.repeat(kind, sizes)
+        out = np.empty(len(owner), np.int64)
+        for k, ids in found.items():
+            out[owner == k] = ids
+        return out, sizes
 
     def _store(self, ids: np.ndarray, sizes: np.ndarray) -> int:
         """Appends entries; the place of the first."""
@@ -107,8 +124,10 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in a row, each followed by the id end; offsets has len(texts) + 1 entries."""
-        if max(len(self.index), len(self.parts)) > self.most_words:
+        if len(self.index) + len(self.parts) > self.most_words:
             self._clear()
+        if self.lowers:  # texts that may name a special token stay as they are
+            texts = [t.lower() if t and b"<|" not in t else t for t in texts]
         split = [t.split() if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         words = list(chain.from_iterable(split))
@@ -129,11 +148,12 @@ class WordEncoder:
         return out, offsets
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = kept_in_worker("tokenizer", {})
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process and file."""
+    """One encoder per worker process and file, kept until a task of another operator frees it."""
+    free_memory("tokenizer")
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
