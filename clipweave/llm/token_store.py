@@ -2,22 +2,27 @@
 
 A rolling hash over the ids cuts each document's stream into chunks; a chunk is named
 by the BLAKE2b-128 digest of its bytes and stored once, however many documents hold
-it. A document's recipe is its list of chunk names; the manifest has a Merkle root per
-recipe and one over all recipes of each recipe file in doc_id order. Layout:
+it. A document's recipe is its list of chunk names with their Merkle root. Layout:
 
   <path>/chunks    Parquet: chunk_id binary(16), ids binary (little-endian unsigned 16
                    or 32 bit), unique
-  <path>/recipes   Parquet, ascending doc_id: doc_id, start, n_tokens, chunk_ids, root
+  <path>/recipes   Parquet, ascending doc_id: doc_id, place (running number), start,
+                   n_tokens, chunk_ids, root
   <path>/coded     what tasks wrote first: recipes, and chunks once per task
-  <path>/manifest  Parquet, one row per recipe part: part, first and last doc_id,
-                   documents, tokens, root
+  <path>/manifest  Parquet, a Merkle tree over all recipes in order: level, node, documents,
+                   root. A leaf binds place, doc_id, start, n_tokens and root of a recipe;
+                   a node of level 0 is the root of FAN leaves, a node of the next level
+                   that of FAN nodes, up to the one node of the last level
 
 Start is the exclusive running sum of n_tokens over doc_id order: Spark range-sorts
 the recipes, sums each part, and adds the sums of the parts before (one row per part).
 Only chunk bytes that a task has not seen yet are written and shuffled.
 
-Null or empty texts are documents of the end id alone. Rows that repeat a doc_id stay
-rows of their own, ordered by recipe root. An empty table writes an empty store.
+Null or empty texts are documents of the end id alone. Rows that repeat a doc_id, and rows
+without one (first), stay rows of their own, ordered by recipe root; rows equal in both are
+equal. A text may be of any length; its ids are in one task's memory. Ids over 65,535 raise
+an error unless the store is wide. An empty table writes an empty store. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ from .tokenizer import encoder
 
 #: A cut follows an id whose rolling hash ends in CUT_BITS zero bits; chunks have LEAST to MOST ids.
 CUT_BITS, LEAST, MOST, SPAN = 9, 128, 2048, 8
+#: Children of a manifest node.
+FAN = 4096
 
 
 def cut_points(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -99,6 +106,8 @@ def coded(docs: DataFrame, tokenizer_path: str, end_id: int, wide: bool = False)
             texts = texts_of(batch.column(1))
             for a, z in in_pieces(texts, 2 << 20):
                 ids, off = code.encode(texts[a:z], end_id)
+                if not wide and len(ids) and int(ids.max()) > 0xFFFF:
+                    raise ValueError("ids over 65,535 need a wide store")
                 ends = cut_points(ids, off)
                 raw, at, names, new = ids.astype(unit).tobytes(), 0, [], []
                 if len(seen) > MOST_SEEN:
@@ -145,24 +154,66 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, wi
     plain = plain.drop("new")
     ordered = plain.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("part", F.spark_partition_id())
     ordered = materialize(ordered, "ordered")
-    sums = ordered.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))  # a row per part
-    before = sums.select("part", F.coalesce(F.sum("tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = W.partitionBy("part").orderBy("doc_id", "root").rowsBetween(W.unboundedPreceding, -1)
-    placed = ordered.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    placed.select("doc_id", "start", "n_tokens", "chunk_ids", "root", "part").sortWithinPartitions("part", "doc_id", "root").write.parquet(f"{path}/recipes")
+    sums = ordered.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))  # a row per part
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select("part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("tokens", "rows")))
+    inside = W.partitionBy("part").orderBy("doc_id", "root")
+    placed = ordered.join(F.broadcast(before), "part")
+    placed = placed.withColumns({"start": F.col("tokens_before") + F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "place": F.col("rows_before") + F.row_number().over(inside) - 1})
+    placed.select("doc_id", "place", "start", "n_tokens", "chunk_ids", "root").write.parquet(f"{path}/recipes")
+    spark = docs.sparkSession
+    manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
-    def roots(pdf):
-        pdf = pdf.sort_values("start", kind="stable")
-        return pdf.iloc[:1].assign(first_doc=pdf["doc_id"].iloc[0], last_doc=pdf["doc_id"].iloc[-1], documents=len(pdf), tokens=int(pdf["n_tokens"].sum()), root=merkle_root(list(pdf["root"])))[["part", "first_doc", "last_doc", "documents", "tokens", "root"]]
 
-    spark = docs.sparkSession
-    spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "start", "n_tokens", "root").groupBy("part").applyInPandas(roots, "part int, first_doc long, last_doc long, documents long, tokens long, root binary").write.parquet(f"{path}/manifest")
+def manifest(recipes: DataFrame) -> DataFrame:
+    """level, node, documents, root of the Merkle tree over the recipes. FAN rows at most are a group."""
 
+    def leaves(batches):
+        for batch in batches:
+            fields = [batch.column(i).to_pylist() for i in range(5)]
+            digests = [hashlib.blake2b(b"%d,%s,%d,%d," % (p, b"" if d is None else b"%d" % d, s, n) + r, digest_size=16).digest() for p, d, s, n, r in zip(*fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], names=["place", "root"])
 
-def _joined_crc(crc: int, more: int, n_bytes: int) -> int:
-    """CRC-32 of a text followed by n_bytes bytes of CRC-32 `more`, from the two alone."""
-    zeros = bytes(n_bytes)
-    return zlib.crc32(zeros, crc) ^ zlib.crc32(zeros) ^ more
+    def roots(batches):
+        for batch in batches:
+            found = [merkle_root([c["root"] for c in sorted(children, key=lambda c: c["place"])]) for children in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["node", "documents", "root"])
+
+    rows = recipes.select("place", "doc_id", "start", "n_tokens", "root").mapInArrow(leaves, "place long, root binary").withColumn("documents", F.lit(1).cast("long"))
+    found, level = None, 0
+    while True:
+        grouped = rows.groupBy(F.floor(F.col("place") / FAN).alias("node")).agg(F.sum("documents").alias("documents"), F.collect_list(F.struct("place", "root")).alias("children"))
+        nodes = materialize(grouped.mapInArrow(roots, "node long, documents long, root binary"), "nodes")
+        one = nodes.select(F.lit(level).alias("level"), "node", "documents", "root")
+        found = one if found is None else found.unionByName(one)
+        if nodes.count() <= 1:
+            return found
+        rows, level = nodes.withColumnRenamed("node", "place"), level + 1
+
+
+def _zeros_after() -> np.ndarray:
+    """Row n: what the 32 bits of a CRC-32 become after 4 n zero bytes, n up to MOST."""
+    global _shifts
+    if _shifts is None:
+        one = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32)  # the register's step is linear
+        rows = np.empty((MOST + 1, 32), np.uint32)
+        rows[0] = np.uint32(1) << np.arange(32, dtype=np.uint32)
+        for n in range(1, MOST + 1):
+            c = rows[n - 1]
+            for _ in range(4):
+                c = one[c & np.uint32(255)] ^ (c >> np.uint32(8))
+            rows[n] = c
+        _shifts = rows
+    return _shifts
+
+
+_shifts: np.ndarray | None = None
+
+
+def joined_crc(crc: np.ndarray, more: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRC-32 of texts followed by `sizes` ids of four bytes, whose CRC-32 is `more`, from the two alone."""
+    bits = (crc[:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
+    return np.bitwise_xor.reduce(_zeros_after()[sizes] * bits, 1) ^ more
 
 
 def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
@@ -171,7 +222,7 @@ def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFram
     Each stored chunk is read once, checked against its name and digested; a document's
     digest is joined from those of its chunks in order, so that chunk bytes are not
     shuffled again. A chunk that is missing, a wrong name, a recipe that contradicts its
-    Merkle root or length, and a manifest that contradicts its recipes raise an error.
+    Merkle root or length, and a manifest whose tree is not that of the recipes raise an error.
     """
     unit = "<u4" if wide else "<u2"
 
@@ -188,17 +239,25 @@ def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFram
 
     def joined(batches):
         for batch in batches:
-            rows = batch.to_pydict()
-            crcs = []
-            for doc, n, root, parts in zip(rows["doc_id"], rows["n_tokens"], rows["root"], rows["parts"], strict=True):
-                parts = sorted(parts, key=lambda p: p["at"])
-                if any(p["crc"] is None for p in parts) or sum(p["size"] for p in parts) != n or merkle_root([p["chunk_id"] for p in parts]) != root:
-                    raise ValueError(f"document {doc} cannot be rebuilt from its recipe")
-                crc = parts[0]["crc"]
-                for p in parts[1:]:
-                    crc = _joined_crc(crc, p["crc"], 4 * p["size"])
-                crcs.append(crc)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            doc, n, said, parts = batch.column("doc_id").to_pylist(), batch.column("n_tokens").to_numpy(), batch.column("root").to_pylist(), batch.column("parts")
+            many = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = parts.flatten()
+            at, lost = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("at", "crc"))
+            row = np.repeat(np.arange(len(many)), many)
+            order = np.lexsort((at, row))
+            names = flat.field("chunk_id").take(pa.array(order)).to_pylist()
+            lost = np.isnan(lost.astype(float))
+            crc, size = (np.nan_to_num(flat.field(c).to_numpy(zero_copy_only=False).astype(float))[order].astype(np.int64) for c in ("crc", "size"))
+            first = np.cumsum(many) - many
+            wrong = (np.bincount(row, size, len(many)) != n) | (np.bincount(row, lost, len(many)) > 0)
+            for i, (a, k) in enumerate(zip(first.tolist(), many.tolist(), strict=True)):
+                if wrong[i] or merkle_root(names[a : a + k]) != said[i]:
+                    raise ValueError(f"document {doc[i]} cannot be rebuilt from its recipe")
+            value, crc = crc[first].astype(np.uint32), crc.astype(np.uint32)
+            for j in range(1, int(many.max(initial=0))):
+                longer = np.flatnonzero(many > j)
+                value[longer] = joined_crc(value[longer], crc[first[longer] + j], size[first[longer] + j])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(value.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     recipes = spark.read.parquet(f"{path}/recipes")
     _verify_manifest(spark, path)
@@ -210,10 +269,9 @@ def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFram
 
 
 def _verify_manifest(spark: SparkSession, path: str) -> None:
-    """Documents and tokens of each recipe part against the manifest."""
-    found = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
-    said = spark.read.parquet(f"{path}/manifest").select("part", "documents", "tokens")
-    wrong = said.join(found, "part", "full").filter(~(F.col("documents").eqNullSafe(F.col("n")) & F.col("tokens").eqNullSafe(F.col("t"))))
+    """The Merkle tree of the recipes, node by node up to the root, against the stored one."""
+    found = manifest(spark.read.parquet(f"{path}/recipes")).withColumnsRenamed({"documents": "n", "root": "r"})
+    wrong = spark.read.parquet(f"{path}/manifest").join(found, ["level", "node"], "full").filter(~(F.col("documents").eqNullSafe(F.col("n")) & F.col("root").eqNullSafe(F.col("r"))))
     if not wrong.isEmpty():
         raise ValueError("the manifest contradicts the recipes")
 

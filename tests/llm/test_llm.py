@@ -110,9 +110,10 @@ def test_quality_statistics_match_brute_force(spark):
 
 def brute_kneser_ney(words, n):
     """A plain interpolated modified Kneser-Ney over padded character n-grams: a function of (context + character)."""
+    start, end = chr(quality.START), chr(quality.END)
     counts = [Counter() for _ in range(n + 1)]
     for w, k in words.items():
-        p = quality.START * (n - 1) + w + quality.END
+        p = start * (n - 1) + w + end
         for i in range(n - 1, len(p)):
             counts[n][p[i - n + 1 : i + 1]] += k
     for k in range(n - 1, 0, -1):
@@ -123,7 +124,7 @@ def brute_kneser_ney(words, n):
         if not g:
             return 1 / (len(counts[1]) + 1)
         c = counts[len(g)]
-        d = quality._discounts(np.array(list(c.values()), float))
+        d = quality.discounts(np.array(list(c.values()), float))
         same = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
         if not same:
             return p(g[1:])
@@ -138,12 +139,52 @@ def brute_kneser_ney(words, n):
 def test_kneser_ney_matches_brute_force():
     rng = random.Random(2)
     words = Counter("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 6))) for _ in range(400))
-    grams, n = quality.gram_counts(list(words), np.array(list(words.values())), 3)
-    model, p = quality.KneserNey(grams, n, 3), brute_kneser_ney(words, 3)
-    for w in [*list(words)[:40], "zz", "abz", "edcba"]:
-        padded = quality.START * 2 + w + quality.END
+    keys, n = quality.spelling_grams([w.encode() for w in words], np.array(list(words.values())), 3)
+    spelling, p = quality.KneserNey.estimate(keys, n, 3), brute_kneser_ney(words, 3)
+    model = quality.Model(None, spelling)
+    for w in [*list(words)[:20], "zzz", "abz", "zab"]:
+        padded = chr(quality.START) * 2 + w + chr(quality.END)
         want = sum(math.log(p(padded[i - 2 : i + 1])) for i in range(2, len(padded)))
-        assert model.scores([w])[0] == pytest.approx(want, rel=1e-4)
+        assert abs(model.spell([w.encode()])[0] - want) < 1e-4
+
+
+def test_grams_are_counted_across_words_and_batches(spark):
+    rng = random.Random(8)
+    texts = [" ".join(prose(rng, rng.randrange(1, 60), 30)) + (" ### ### x" if i % 3 else "") for i in range(50)]
+    got = {r.gram: r.n for r in quality.count_grams(docs_of(spark, texts)).filter("model = 'word'").collect()}
+    want = Counter()
+    for t in texts:
+        before, last = 0, None
+        for w in t.split():
+            own = quality.REPEAT if w == last else quality.word_class(w.encode())
+            want[before * quality.CLASSES + own] += 1
+            before, last = own, w
+    assert got == dict(want)
+
+
+def grammatical(rng, n):
+    """Sentences in which an article, an adjective, a noun and a verb follow each other."""
+    out = []
+    for _ in range(n):
+        stem = lambda: rng.choice("bdfgkl") + rng.choice("aeiou") + rng.choice("mnprst")
+        out += [rng.choice(["the", "a"]), stem() + "ish", stem() + "ens", stem() + "ked", rng.choice(["in", "on"])]
+    return out
+
+
+def test_quality_bands_reject_shuffled_texts_and_runs(spark):
+    rng = random.Random(4)
+    texts = [" ".join(grammatical(rng, rng.randrange(20, 60))) for _ in range(300)]
+    shuffled = []
+    for _ in range(10):
+        w = grammatical(rng, 40)
+        rng.shuffle(w)
+        shuffled.append(" ".join(w))
+    runs = []
+    for _ in range(10):
+        w = grammatical(rng, 30)
+        runs.append(" ".join([*w[:60], *["This"] * 6, *w[60:70], *["riders"] * 5, *w[70:80], *["turned"] * 5]))
+    kept = [r.kept for r in quality.quality_rules(docs_of(spark, texts + shuffled + runs)).orderBy("doc_id").collect()]
+    assert sum(kept[:300]) >= 297 and not any(kept[300:])
 
 
 def test_quality_bands_reject_noise_and_keep_prose(spark):
@@ -314,6 +355,51 @@ def test_store_round_trip_and_verification(spark, tmp_path):
         spark.read.parquet(f"{path}/{part}").write.parquet(f"file://{tmp_path}/b/{part}")
     with pytest.raises(Exception, match="content of its name"):
         token_store.read_digests(spark, f"file://{tmp_path}/b").collect()
+    junk = F.when(F.col("doc_id") == 2, F.lit(b"0123456789abcdef")).otherwise(F.col("root"))
+    tampered = {
+        "root": ("manifest", lambda m: m.withColumn("root", F.lit(b"0123456789abcdef"))),
+        "lost_row": ("manifest", lambda m: m.filter("level > 0")),
+        "recipe_root": ("recipes", lambda r: r.withColumn("root", junk)),
+        "recipe_id": ("recipes", lambda r: r.withColumn("doc_id", F.col("doc_id") + 1)),
+        "lost_chunk": ("chunks", lambda c: c.limit(1)),
+    }
+    for name, (what, edit) in tampered.items():
+        for part in ("chunks", "recipes", "manifest"):
+            df = spark.read.parquet(f"{path}/{part}")
+            (edit(df) if part == what else df).write.parquet(f"file://{tmp_path}/{name}/{part}")
+        with pytest.raises(Exception, match="the manifest contradicts|cannot be rebuilt"):
+            token_store.read_digests(spark, f"file://{tmp_path}/{name}").collect()
+
+
+def test_manifest_tree_has_levels_up_to_one_root(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "FAN", 4)
+    rows = [(f"{i:016d}".encode(), i) for i in range(21)]
+    recipes = spark.createDataFrame([(i, i, 2 * i, 2, r) for r, i in rows], "place long, doc_id long, start long, n_tokens long, root binary")
+    got = {(r.level, r.node): (r.documents, r.root) for r in token_store.manifest(recipes).collect()}
+    nodes = [hashlib.blake2b(b"%d,%d,%d,2," % (i, i, 2 * i) + r, digest_size=16).digest() for r, i in rows]
+    level = 0
+    while level == 0 or len(nodes) > 1:
+        nodes = [token_store.merkle_root(nodes[i : i + 4]) for i in range(0, len(nodes), 4)]
+        assert [got[level, i][1] for i in range(len(nodes))] == nodes
+        assert sum(v[0] for k, v in got.items() if k[0] == level) == 21
+        level += 1
+    assert max(k[0] for k in got) == level - 1
+
+
+def test_joined_crc_and_narrow_ids(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 1 << 32, n, np.uint32).tobytes() for n in (5, 900))
+    assert token_store.joined_crc(np.array([zlib.crc32(a)], np.uint32), np.array([zlib.crc32(b)], np.uint32), np.array([900]))[0] == zlib.crc32(a + b)
+
+
+def test_store_of_awkward_and_empty_tables(spark, tmp_path):
+    docs = awkward(spark)
+    for name, d in (("a", docs), ("e", docs.limit(0))):
+        token_store.write_store(d, f"file://{tmp_path}/{name}", queries.word_bpe(), 2)
+        rows = token_store.read_digests(spark, f"file://{tmp_path}/{name}").orderBy("start").collect()
+        assert len(rows) == d.count()
+        assert all(y.start == x.start + x.n_tokens for x, y in itertools.pairwise(rows))
+        assert [r.doc_id for r in rows] == sorted((r.doc_id for r in rows), key=lambda i: (i is not None, i))
 
 
 def brute_groups(texts, k, percent):
