@@ -23,7 +23,9 @@ deviations of the estimate below the threshold.
 Null or empty texts have an empty set and link with nothing. Rows that repeat a doc_id
 share its vertex: links of any of them count. Rows without a doc_id link with nothing,
 have a null component and are kept. An empty table gives an empty result. Extra columns
-are ignored.
+are ignored. Texts of any length are hashed whole; blocks of a bucket have at most
+BLOCK_SHINGLES shingles, and a longer document is a block of its own. Equal similarity at
+the threshold is a link; ties need no rule, as a component is named by its smallest doc_id.
 """
 
 from __future__ import annotations
@@ -35,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, few, in_pieces, materialize, mix, split_words, texts_of, window_hashes
+from .common import WordHashes, few, free_memory, in_pieces, materialize, mix, split_words, texts_of, window_hashes
 
 SHINGLE, LANES, BITS = 3, 128, 4
-#: Members of a bucket compared with each other in one task.
-BLOCK = 1024
+#: Members of a bucket compared with each other in one task, and shingles of all of them: they bound a task's memory.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Bytes of shingle sets that a task keeps at once.
+MOST_SET_BYTES = 64 << 20
 #: How far below the threshold a pair's estimate may be and still be confirmed: five standard deviations.
 MARGIN = 0.17
 _MULTIPLIERS = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -88,10 +92,11 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, set_key (digest of the set), bands (packed keys), bits (packed signature)."""
 
     def run(batches):
+        free_memory()
         cache = WordHashes()
         for batch in batches:
             texts = texts_of(batch.column(1))
-            for a, z in in_pieces(texts, 8 << 20):
+            for a, z in in_pieces(texts, 4 << 20):
                 sets = [shingle_set(split_words(t.lower() if t else t), cache, k) for t in texts[a:z]]
                 lows = np.stack([minima(s) for s in sets])
                 keys = np.zeros((len(sets), bands), np.uint64)
@@ -175,10 +180,16 @@ def _cross_links(rows: dict[str, np.ndarray], texts: list[bytes], least: float,
     band, lo, hi = int(rows["band"][0]), rows["lo"][0], rows["hi"][0]
     left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
     sets: dict[int, np.ndarray] = {}
+    held = 0
 
     def shingles(i: int) -> np.ndarray:
+        nonlocal held
         if i not in sets:
+            if held > MOST_SET_BYTES:
+                sets.clear()
+                held = 0
             sets[i] = shingle_set(split_words(texts[i].lower()), cache, k)
+            held += sets[i].nbytes
         return sets[i]
 
     out = []
@@ -206,6 +217,7 @@ def cross_links(dealt: DataFrame, least: float, percent: int, k: int) -> DataFra
     group = ["band", "key", "lo", "hi"]
 
     def run(batches):
+        free_memory()
         cache, carried = WordHashes(), []
         names = None
 
@@ -264,16 +276,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, least_
     copied = materialize(classes.filter("n > 1").select("set_key", "rep"), "copied")
     # The row that names its class carries its signature; rows of classes of one need no join.
     own = linkable.join(copied, "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    reps = materialize(own.filter("doc_id = rep").select("rep", "bands", "bits").dropDuplicates(["rep", "bands"]), "reps")
+    reps = materialize(own.filter("doc_id = rep").select("rep", "bands", "bits", "n_shingles").dropDuplicates(["rep", "bands"]), "reps")
 
     def explode(batches):
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, bands)
-            rep = batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), bands)))
-            yield pa.RecordBatch.from_arrays([rep, pa.array(np.tile(np.arange(bands, dtype=np.int32), len(keys))), pa.array(keys.ravel())], names=["rep", "band", "key"])
+            rep, size = (batch.column(i).take(pa.array(np.repeat(np.arange(len(keys)), bands))) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([rep, pa.array(np.tile(np.arange(bands, dtype=np.int32), len(keys))), pa.array(keys.ravel()), size], names=["rep", "band", "key", "size"])
 
-    banded = reps.select("rep", "bands").mapInArrow(explode, "rep long, band int, key long")
-    shared = banded.groupBy("band", "key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("n")).filter("first < last")
+    banded = reps.select("rep", "bands", "n_shingles").mapInArrow(explode, "rep long, band int, key long, size long")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    shared = banded.groupBy("band", "key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), blocks).filter("first < last")
+    banded = banded.drop("size")
     members = materialize(banded.join(materialize(shared.drop("last"), "shared"), ["band", "key"]), "members")
 
     star = members.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
@@ -284,11 +298,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, least_
     at = members.join(label.withColumnsRenamed({"v": "rep", "c": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     at = materialize(at, "at")
     mixed = at.groupBy("band", "key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p < q").select("band", "key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.col("blocks")
     dealt = materialize(at.join(mixed, ["band", "key"], "left_semi").withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int")), "mixed")
     ids = few(materialize(dealt.select(F.col("rep").alias("doc_id")).distinct(), "ids"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
-    sides = reps.join(texts, "rep")
+    sides = reps.drop("n_shingles").join(texts, "rep")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
     more = materialize(cross_links(dealt.join(sides, "rep"), least, percent, k).distinct(), "more")
     if not more.isEmpty():

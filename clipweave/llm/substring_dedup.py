@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, in_pieces, materialize, mix, split_words, texts_of, window_hashes
+from .common import WordHashes, free_memory, in_pieces, materialize, mix, split_words, texts_of, window_hashes
 
 WIDTH = 20
 #: Cells of a sketch row: a power of two, two per window or more, within these limits.
@@ -106,6 +106,7 @@ def _sketch(texts: DataFrame, cells: int, width: int):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary())], names=["row", "block", "cells"])
 
     def count(batches):
+        free_memory()
         cache = WordHashes()
         parts, n = [[] for _ in SEEDS], 0
         for batch in batches:
@@ -205,6 +206,7 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None
         return rank
 
     def candidates(batches):
+        free_memory()
         cache, b = WordHashes(), bits.value
         for batch in _units(batches):
             ids, ths = batch.column(0), batch.column(1)
