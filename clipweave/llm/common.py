@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _kept: dict[str, dict] = {}
+_last: str | None = None
 
 #: Words cached in a Python worker before its cache starts anew.
 WORD_CACHE = 200_000
@@ -24,26 +27,31 @@ def kept_in_worker(owner: str, cache: dict) -> dict:
     return _kept.setdefault(owner, cache)
 
 
-def free_memory(owner: str | None = None) -> None:
-    """Called as a task begins: frees what other operators kept in this worker, so that memory does not add up over stages."""
-    full = [c for name, c in _kept.items() if name != owner and c]
-    for cache in full:
-        cache.clear()
-    if full:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+def free_memory(owner: str) -> None:
+    """Called as a task begins: where this worker's last task was another operator's, what that kept is freed and given back to the system, so that memory does not add up over stages."""
+    global _last
+    if _last == owner:
+        return
+    _last = owner
+    for name, cache in _kept.items():
+        if name != owner:
+            cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-#: Most rows of an Arrow batch: a batch of long texts stays small.
-BATCH_ROWS = 2_000
+#: Most bytes of an Arrow batch: a batch of long texts stays small.
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Arrow batches of at most BATCH_ROWS rows in this session, unless it has smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow batches of about BATCH_BYTES at most in this session, unless it has smaller ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, "0"))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
     return spark
 
 

@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, set_key (digest of the set), bands (packed keys), bits (packed signature)."""
 
     def run(batches):
-        free_memory()
+        free_memory("minhash")
         cache = WordHashes()
         for batch in batches:
             texts = texts_of(batch.column(1))
@@ -217,7 +217,7 @@ def cross_links(dealt: DataFrame, least: float, percent: int, k: int) -> DataFra
     group = ["band", "key", "lo", "hi"]
 
     def run(batches):
-        free_memory()
+        free_memory("minhash")
         cache, carried = WordHashes(), []
         names = None
 

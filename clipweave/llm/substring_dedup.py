@@ -30,6 +30,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ from .common import WordHashes, free_memory, in_pieces, materialize, mix, split_
 WIDTH = 20
 #: Cells of a sketch row: a power of two, two per window or more, within these limits.
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 29
+#: By which the number of windows is estimated.
+BYTES_A_WORD = 6
 #: Cells of a block, the unit in which sketches are merged.
 BLOCK_BITS = 16
 #: Bytes of text hashed at once, and window cells gathered before a task sends them: they bound a task's memory.
@@ -106,7 +109,7 @@ def _sketch(texts: DataFrame, cells: int, width: int):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary())], names=["row", "block", "cells"])
 
     def count(batches):
-        free_memory()
+        free_memory("substrings")
         cache = WordHashes()
         parts, n = [[] for _ in SEEDS], 0
         for batch in batches:
@@ -140,14 +143,22 @@ def _sketch(texts: DataFrame, cells: int, width: int):
 
 
 def _units(batches):
-    """Slices of the batches (text is the third column) of about UNIT bytes."""
+    """The rows of the batches (text is the third column) in batches of about UNIT bytes: joined where small, cut where large."""
+    held, size = [], 0
     for batch in batches:
-        sizes = np.diff(np.frombuffer(batch.column(2).buffers()[1], np.int32, batch.num_rows + 1, 4 * batch.column(2).offset)) if pa.types.is_string(batch.column(2).type) else np.full(batch.num_rows, 4096)
-        part = np.cumsum(sizes, dtype=np.int64) // UNIT
-        cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
-        for a, z in zip(cut[:-1], cut[1:], strict=True):
-            if z > a:
-                yield batch.slice(a, z - a)
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = int(upto[start - 1]) if start else 0
+            end = min(batch.num_rows, int(np.searchsorted(upto, before + UNIT - size, "right")) + 1)
+            held.append(batch.slice(start, end - start))
+            size += int(upto[end - 1]) - before
+            start = end
+            if size >= UNIT:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _merged_ranges(doc: np.ndarray, pos: np.ndarray, width: int):
@@ -179,7 +190,7 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None
     on = [texts["doc_id"].eqNullSafe(out["doc_id"]), texts["_cw_th"] == out["_cw_th"]]
     single = texts.join(out, on, "left_anti")
     if cells is None:
-        windows = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5
+        windows = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_WORD
         cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(1, 2 * windows).bit_length()))
     bits = _sketch(single.select("text"), cells, width)
 
@@ -206,7 +217,7 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None
         return rank
 
     def candidates(batches):
-        free_memory()
+        free_memory("substrings")
         cache, b = WordHashes(), bits.value
         for batch in _units(batches):
             ids, ths = batch.column(0), batch.column(1)
@@ -281,6 +292,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, cells: int | None = Non
     """doc_id, n_words, n_removed, kept_text: the kept words joined by one space."""
 
     def run(batches):
+        free_memory("substrings")
         for batch in batches:
             words = [split_words(t) for t in texts_of(batch.column(1))]
             kept = [_keep(r, w, width) for r, w in zip(batch.column(2).to_pylist(), words, strict=True)]
@@ -306,6 +318,7 @@ def dedup_texts(docs: DataFrame, width: int = WIDTH, least_words: int = 1) -> Da
     """
 
     def run(batches):
+        free_memory("substrings")
         for batch in batches:
             t, r = batch.column(0), batch.column(1)
             rows = list(zip(texts_of(t), r.to_pylist(), strict=True))

@@ -22,9 +22,9 @@ TAIL = b".,;:!?%&*$#|()"
 
 
 class WordEncoder:
-    """texts (UTF-8 bytes or None) -> (ids, offsets). most_words bounds the entries of the two caches together."""
+    """texts (UTF-8 bytes or None) -> (ids, offsets). most_words bounds the cache, in which words and their parts stand together."""
 
-    def __init__(self, path: str, most_words: int = 1_200_000):
+    def __init__(self, path: str, most_words: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -45,9 +45,8 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}  # word -> place in starts and sizes
-        self.parts: dict[bytes, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.index: dict[bytes, int] = {}  # word or part of one -> place in starts and sizes
+        self.flat, self.starts, self.sizes = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.used = self.count = 0
 
     @staticmethod
@@ -109,22 +108,20 @@ class WordEncoder:
     def _add(self, words: list[bytes]) -> None:
         divided = list(map(self._divide, words))
         flat = list(chain.from_iterable(divided))
-        fresh = list(set(flat).difference(self.parts))
+        fresh = list(set(flat).difference(self.index))
         if fresh:
             n = self._store(*self._encode_parts(fresh))
-            self.parts.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-        at = np.fromiter(map(self.parts.__getitem__, flat), np.int64, len(flat))
-        whole = self.sizes[at[1::2]] == 0
-        both = np.flatnonzero(~whole)
-        ids, sizes = self._gather(at.reshape(-1, 2)[both].ravel())
-        n = self._store(ids, sizes.reshape(-1, 2).sum(1))
-        place = at[::2].copy()
-        place[both] = np.arange(n, n + len(both))
-        self.index.update(zip(words, place.tolist(), strict=True))
+            self.index.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+        both = [i for i, (_, tail) in enumerate(divided) if tail]  # the others are their own first part
+        if both:
+            at = np.fromiter((self.index[p] for i in both for p in divided[i]), np.int64, 2 * len(both))
+            ids, sizes = self._gather(at)
+            n = self._store(ids, sizes.reshape(-1, 2).sum(1))
+            self.index.update(zip((words[i] for i in both), range(n, n + len(both)), strict=True))
 
     def encode(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in a row, each followed by the id end; offsets has len(texts) + 1 entries."""
-        if len(self.index) + len(self.parts) > self.most_words:
+        if len(self.index) > self.most_words:
             self._clear()
         if self.lowers:  # texts that may name a special token stay as they are
             texts = [t.lower() if t and b"<|" not in t else t for t in texts]
