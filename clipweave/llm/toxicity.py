@@ -1,41 +1,52 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Transducers, composed clause by clause:
-
-* insult   reads a word (or its stem) and writes its learned weight
-* threat   reads a verb of harm after a modal or an intention, or an imperative
-* target   reads a second or third person, or a name-like demonstrative ("this", "you")
-* negation reads a negator and scales what follows inside the clause
-* reported reads a verb of speech or an opening quote and scales what it governs
-
-A clause's weight is what its insults and threats write, raised by a target, lowered by
-negation and reported speech. The document's score is a logistic of the summed and the
-largest clause weight, of weight per word, hits and length, so matched clauses count, not
-lone words; a document without a match has one low score.
+A text is a row of symbols: word classes (insult, harm, modal, target, negator, report verb,
+first person, conjunction), commas, quotes and clause ends. A cascade of finite-state
+transducers reads them, each the output of the one before; together they are one automaton
+whose states are tuples and whose transitions are kept once made (composition on the fly):
+
+* negation  marks insults and harm that follow a negator, up to NEGATION_REACH words on,
+            a comma, an adversative conjunction or the clause's end
+* reported  marks what a verb of speech governs, to the clause's end (over a colon), unless
+            the first person speaks; and what stands in quotes, over clauses
+* target    marks insults up to TARGET_REACH words after a second or third person
+* threat    turns harm after a modal, or as an imperative with a target, into a threat; a
+            target up to OBJECT_REACH words after it marks the threat
+* insult    passes an insult on with the learned weight of its word or stem
+
+What comes out are matches: insults and threats with marks. A match weighs its weight,
+times 1 + target factor if a target is marked, 1 - negation factor if negated, 1 - reported
+factor if reported. The factors are never zero: the fit chooses among FACTORS. A clause
+weighs the sum of its matches, and the document's score is a logistic of the clauses (summed
+weight, largest clause, weight per word, matches, length), so matched clauses count, not
+lone words; weights other than that of length are not negative, so a mark moves a score in
+its own direction only. A document without a match has one low score.
 
 Insult weights are learned: for words and word stems (prefixes of STEM lengths), Spark
 counts documents with and without label 1 over a bounded sample of labelled rows (the
 MOST_LABELS smallest hashes of doc_id among rows whose crc32(doc_id) mod FOLDS is not 0);
-log odds of those with enough evidence become weights. The factors of target, negation
-and reported speech and the logistic are fitted on the same rows. Labels, lang, source and
-doc_id are no inputs of a score.
+log odds of those with enough evidence become weights, a threat weighs as much as the upper
+quartile of insults. Factors and logistic are fitted on the same rows. Labels, lang, source
+and doc_id are no inputs of a score.
 
 Null or empty texts have the score of no match. Rows that repeat are scored alike; a
-doc_id with contradicting labels counts once for each. An empty table gives an empty
-result; without any label 1 every score is 0. Extra columns are ignored.
+doc_id with contradicting labels counts once for each. Of factors that fit alike the first
+in FACTORS is taken. Texts of any length are read whole, clause by clause. An empty table
+gives an empty result; without any label 1 every score is low. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts_of
+from .common import free_memory, materialize, texts_of
 
 FOLDS, MOST_LABELS = 5, 20_000
 STEM = (3, 4, 5, 6, 7, 8)
@@ -43,20 +54,106 @@ STEM = (3, 4, 5, 6, 7, 8)
 LEAST_DOCUMENTS, LEAST_SHARE = 3, 0.4
 #: Least log-likelihood ratio (G squared) of an insult with label 1; 1.8 log N where N terms are tried, if that is more.
 LEAST_EVIDENCE = 12.0
-MOST_TERMS = 5_000
 CLEARER = 0.5
+NEGATION_REACH, TARGET_REACH, MODAL_REACH, OBJECT_REACH = 5, 5, 3, 3
+#: (target, negation, reported) factors to choose from, likely ones first.
+FACTORS = [(0.5, 0.8, 0.6), *((t, g, r) for t in (0.25, 0.5, 1.0) for g in (0.6, 0.8, 0.9) for r in (0.4, 0.6, 0.8))]
+#: Marks of a match.
+NEGATED, REPORTED, AIMED = 1, 2, 4
 
 # Closed word classes of the grammar, in the four languages; fixed values of this library.
-MODALS = {"will", "shall", "gonna", "going", "should", "must", "werde", "wird", "sollte", "vais", "va", "vas", "doit", "voy", "vas", "debe"}
-HARM = {"kill", "hurt", "destroy", "burn", "attack", "shoot", "stab", "beat", "punch", "die", "töten", "verletzen", "zerstören", "schlagen", "tuer", "blesser", "détruire", "frapper", "matar", "herir", "destruir", "golpear"}
-TARGETS = {"you", "your", "he", "she", "they", "him", "her", "them", "this", "that", "these", "those", "du", "dich", "dein", "sie", "er", "ihr", "tu", "toi", "vous", "il", "elle", "ils", "usted", "ella", "ellos", "ese", "esa"}
-NEGATORS = {"not", "no", "never", "isn't", "aren't", "nicht", "kein", "keine", "nie", "ne", "pas", "jamais", "nunca", "ni"}
+MODALS = {"will", "shall", "gonna", "going", "should", "must", "want", "werde", "werden", "wird", "sollte", "will", "vais", "va", "vas", "doit", "veux", "voy", "vamos", "debe", "quiero"}
+HARM = {"kill", "hurt", "destroy", "burn", "attack", "shoot", "stab", "beat", "punch", "strangle", "töten", "verletzen", "zerstören", "schlagen", "tuer", "blesser", "détruire", "frapper", "matar", "matarte", "herir", "destruir", "golpear"}
+TARGETS = {"you", "your", "you're", "he", "she", "they", "him", "her", "them", "du", "dich", "dein", "ihr", "euch", "tu", "toi", "te", "vous", "usted", "ella", "ellos", "ustedes"}
+NEGATORS = {"not", "no", "never", "isn't", "aren't", "don't", "won't", "nobody", "nicht", "kein", "keine", "nie", "ne", "pas", "jamais", "nunca", "ni"}
 REPORTS = {"said", "says", "called", "calls", "wrote", "reported", "claimed", "sagte", "nannte", "schrieb", "dit", "appelé", "écrit", "dijo", "llamó", "escribió"}
-QUOTES = "\"“”„«»"
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+FIRST = {"i", "we", "ich", "wir", "je", "nous", "yo", "nosotros"}
+CONJUNCTIONS = {"but", "yet", "although", "because", "aber", "sondern", "obwohl", "mais", "pero", "sino", "aunque"}
+_CLASSES = {w: c for c, ws in (("CONJ", CONJUNCTIONS), ("FIRST", FIRST), ("REPORT", REPORTS), ("MODAL", MODALS), ("HARM", HARM), ("TARGET", TARGETS), ("NEG", NEGATORS)) for w in ws}
+_SIGNS = {",": "COMMA", ":": "COLON", '"': "QUOTE", "“": "OPEN", "„": "OPEN", "«": "OPEN", "”": "CLOSE", "»": "CLOSE"}
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[,:\"“”„«»]|[.!?;\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
+class Scope:
+    """A transducer that marks symbols of `marks` with `flag` from an opening symbol on, to a closing one or for `reach` symbols."""
+
+    def __init__(self, opens, closes, marks, flag, reach=None, toggles=(), unless=()):
+        self.opens, self.closes, self.marks, self.flag, self.reach, self.toggles, self.unless = opens, closes, marks, flag, reach, toggles, unless
+
+    def step(self, state: int, symbol: str, flags: int) -> tuple[int, int]:
+        """(state, flags): state 0 is outside, n the n-th symbol inside, -1 right after a symbol of `unless`."""
+        inside = state > 0
+        if inside and symbol in self.marks:
+            flags |= self.flag
+        if symbol in self.closes or (inside and symbol in self.toggles):
+            return 0, flags
+        if symbol in self.toggles or (symbol in self.opens and state >= 0):
+            return 1, flags
+        if inside:
+            if self.reach is None:
+                return state, flags
+            return (state + 1 if state < self.reach else 0), flags
+        return (-1 if symbol in self.unless else 0), flags
+
+
+class Threat:
+    """A transducer from harm, modals and targets to threats. States: where a clause begins, outside, after a modal, and harm that waits for its object."""
+
+    BEGIN, OUTSIDE = ("begin",), ("outside",)
+
+    def step(self, state: tuple, symbol: str, flags: int) -> tuple[tuple, list[int]]:
+        """(state, flags of the threats written)."""
+        out = []
+        if state[0] == "waits":
+            _, left, sure, held = state
+            if symbol == "TARGET":
+                return self.OUTSIDE, [held | AIMED]
+            if left > 1 and symbol not in ("END", "COLON", "HARM"):
+                return ("waits", left - 1, sure, held), out
+            out, state = [held] * sure, self.OUTSIDE
+        if symbol in ("END", "COLON"):
+            return self.BEGIN, out
+        if symbol == "HARM" and state[0] != "outside":
+            return ("waits", OBJECT_REACH, state[0] == "modal", flags), out
+        if symbol == "MODAL":
+            return ("modal", MODAL_REACH), out
+        if state[0] == "modal" and state[1] > 1:
+            return ("modal", state[1] - 1), out
+        return (state if state[0] == "begin" and symbol in ("NEG", "QUOTE", "OPEN", "COMMA") else self.OUTSIDE), out
+
+
+class Cascade:
+    """The transducers composed: one automaton over tuples of states, whose transitions are made when first met."""
+
+    MATCHES = ("INSULT", "HARM")
+
+    def __init__(self):
+        ends = ("END", "COLON")
+        self.scopes = (
+            Scope({"NEG"}, {*ends, "COMMA", "CONJ"}, self.MATCHES, NEGATED, NEGATION_REACH),
+            Scope({"REPORT"}, {"END"}, self.MATCHES, REPORTED, unless={"FIRST"}),
+            Scope({"OPEN"}, {"CLOSE"}, self.MATCHES, REPORTED, toggles={"QUOTE"}),
+            Scope({"TARGET"}, ends, ("INSULT",), AIMED, TARGET_REACH),
+        )
+        self.threat = Threat()
+        self.start = (*(0 for _ in self.scopes), Threat.BEGIN)
+        self.made: dict = {}
+
+    def step(self, state: tuple, symbol: str) -> tuple[tuple, list[tuple[str, int]]]:
+        """(state, matches written as (kind, flags))."""
+        got = self.made.get((state, symbol))
+        if got is None:
+            flags, new = 0, []
+            for scope, s in zip(self.scopes, state, strict=False):
+                s, flags = scope.step(s, symbol, flags)
+                new.append(s)
+            last, threats = self.threat.step(state[-1], symbol, flags)
+            out = [("THREAT", f) for f in threats] + ([("INSULT", flags)] if symbol == "INSULT" else [])
+            got = self.made[state, symbol] = (*new, last), out
+        return got
+
+
 def features_of(words) -> set[str]:
     """Words, and stems of longer words marked with a trailing star."""
     out = set(words)
@@ -68,14 +165,16 @@ def features_of(words) -> set[str]:
 
 
 class Grammar:
-    """The composed transducer. insults: word or stem -> weight; factors: (target, negation, reported)."""
+    """The cascade with its lexicon. insults: word or stem -> weight; factors: (target, negation, reported)."""
 
-    def __init__(self, insults: dict[str, float], factors=(0.5, 0.5, 0.5)):
+    def __init__(self, insults: dict[str, float], factors=FACTORS[0]):
         self.words = {w: v for w, v in insults.items() if not w.endswith("*")}
         self.stems = {w[:-1]: v for w, v in insults.items() if w.endswith("*")}
         self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
-        self.factors = factors
-        self.known: dict[str, float] = {}
+        self.threat = max(2.0, float(np.quantile(list(insults.values()), 0.75))) if insults else 2.0
+        self.factors, self.cascade = factors, Cascade()
+        self.known: dict[bytes, bool] = {}
+        self.symbols: dict[str, tuple[str, float]] = {}
 
     def insult(self, word: str) -> float:
         """Weight written for a lower-case word; 0 for none."""
@@ -84,45 +183,42 @@ class Grammar:
             v = next((self.stems[word[:k]] for k in self.lengths if word[:k] in self.stems and len(word) > k), 0.0)
         return v
 
-    def clause(self, text: str, words: list[str]) -> tuple[float, int, int, int, int]:
-        """(weight of insults and threats, hits, targets, negated, reported) of one clause, word by word through the states."""
-        weight, hits, target, negated, reported = 0.0, 0, 0, 0, 0
-        modal = False
-        for i, w in enumerate(words):
-            if w in TARGETS:
-                target = 1
-            elif w in NEGATORS:
-                negated = 1
-            elif w in REPORTS:
-                reported = 1
-            if w in HARM and (modal or i == 0):
-                weight, hits = weight + 2.0, hits + 1
-            modal = w in MODALS or (modal and w in NEGATORS)
-            v = self.insult(w)
-            if v:
-                weight, hits = weight + v, hits + 1
-        if hits and not reported and any(q in text for q in QUOTES):
-            reported = 1
-        return weight, hits, target, negated, reported
+    def symbol(self, token: str) -> tuple[str, float]:
+        """The symbol of a token, and the weight of an insult."""
+        got = self.symbols.get(token)
+        if got is None:
+            if len(self.symbols) > 100_000:
+                self.symbols.clear()
+            word = token.replace("’", "'")
+            own = _CLASSES.get(word) or _SIGNS.get(token) or (None if word[0].isalpha() else "END")
+            v = 0.0 if own else self.insult(word)
+            got = self.symbols[token] = own or ("INSULT" if v else "OTHER"), v
+        return got
 
     def _interesting(self, word: bytes) -> bool:
         known = self.known
         v = known.get(word)
         if v is None:
-            if len(known) > 300_000:
+            if len(known) > 200_000:
                 known.clear()
             v = known[word] = any(self.insult(w) or w in HARM for w in _WORD.findall(word.decode("utf-8", "replace").lower()))
         return v
 
-    def matched(self, text: bytes | None) -> list[tuple[float, int, int, int, int]]:
-        """The clauses of a text with a hit. Texts without a word that can be a hit are not parsed."""
+    def matched(self, text: bytes | None) -> list[list[float]]:
+        """Clauses with a match: weight by marks (8 numbers), then matches by marks (8). Texts without a word that can match are not parsed."""
         if not text or not any(map(self._interesting, text.split())):
             return []
-        out = []
-        for clause in _CLAUSE.split(text.decode("utf-8", "replace").lower()):
-            found = self.clause(clause, _WORD.findall(clause))
-            if found[1]:
-                out.append(found)
+        out, now, state, step = [], None, self.cascade.start, self.cascade.step
+        for token in chain(_TOKEN.findall(text.decode("utf-8", "replace").lower()), (".",)):
+            symbol, weight = self.symbol(token)
+            state, found = step(state, symbol)
+            for kind, flags in found:
+                now = now or [0.0] * 16
+                now[flags] += weight if kind == "INSULT" else self.threat
+                now[8 + flags] += 1
+            if now and symbol in ("END", "COLON"):
+                out.append(now)
+                now = None
         return out
 
     def summary(self, text: bytes | None) -> np.ndarray | None:
@@ -131,19 +227,25 @@ class Grammar:
         return document_features(np.array(found, float), len(text.split()), self.factors) if found else None
 
 
+def mark_factors(factors) -> np.ndarray:
+    """What a match's weight is multiplied by, for each set of marks."""
+    t, g, r = factors
+    return np.array([(1 + t * bool(f & AIMED)) * (1 - g * bool(f & NEGATED)) * (1 - r * bool(f & REPORTED)) for f in range(8)])
+
+
 #: Features that may only raise a score; the last, the document's length, may have either sign.
 N_RAISING = 4
 
 
 def document_features(clauses: np.ndarray, words: int, factors) -> np.ndarray:
-    """log(1 + summed clause weight), largest clause weight, weight per word, log(1 + hits), log words.
+    """log(1 + summed clause weight), largest clause weight, weight per word, log(1 + matches), log words.
 
-    clauses: rows of (weight, hits, target, negated, reported). Chance matches grow with a
+    clauses: rows of weight by marks and matches by marks. Chance matches grow with a
     text's length, so length is a feature of its own.
     """
-    t, g, r = factors
-    v = clauses[:, 0] * (1 + t * clauses[:, 2]) * (1 - g * clauses[:, 3]) * (1 - r * clauses[:, 4])
-    return np.array([math.log1p(v.sum()), v.max(), 10 * math.sqrt(v.sum() / max(20, words)), math.log1p(clauses[:, 1].sum()), math.log(max(1, words))])
+    by_mark = mark_factors(factors)
+    v, n = clauses[:, :8] @ by_mark, clauses[:, 8:] @ np.minimum(by_mark, 1.0)
+    return np.array([math.log1p(v.sum()), v.max(), 10 * math.sqrt(v.sum() / max(20, words)), math.log1p(n.sum()), math.log(max(1, words))])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
@@ -180,7 +282,7 @@ def learn_insults(rows: DataFrame) -> dict[str, float]:
     p = t / n
     evidence = 2 * (F.col("t") * F.log(F.col("t") / (F.col("n") * p)) + F.when(F.col("n") > F.col("t"), (F.col("n") - F.col("t")) * F.log((F.col("n") - F.col("t")) / (F.col("n") * (1 - p)))).otherwise(0.0))
     odds = F.log((F.col("t") + 0.5) / (t + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (n - t + 1))
-    best = good.withColumn("evidence", evidence).filter(F.col("evidence") >= least).orderBy(F.desc("evidence"), "term").limit(MOST_TERMS).select("term", "t", "n", odds.alias("odds")).collect()
+    best = good.withColumn("evidence", evidence).filter(F.col("evidence") >= least).select("term", "t", "n", odds.alias("odds")).collect()
     return _simplest({r["term"]: (r["t"], r["n"], r["odds"]) for r in best})
 
 
@@ -265,15 +367,15 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
     got = rows.select("text", "toxic").mapInArrow(run, "toxic int, words int, clauses array<double>").collect()  # at most most_labels rows
     y = np.array([r["toxic"] for r in got], float)
     if not len(y) or not y.any() or y.all():
-        return Model(insults, (0.5, 0.5, 0.5), (-6.0, *[0.0] * (N_RAISING + 1)))
+        return Model(insults, FACTORS[0], (-6.0, *[0.0] * (N_RAISING + 1)))
     # The logistic is fitted on the rows with a match; the others have the score of no match.
     hit = [i for i, row in enumerate(got) if len(row["clauses"])]
     if not hit or y[hit].all() or not y[hit].any():
         w = (-1.0, 1.0, *[0.0] * N_RAISING) if hit and y[hit].any() else (-6.0, *[0.0] * (N_RAISING + 1))
-        return Model(insults, (0.5, 0.5, 0.5), w)
+        return Model(insults, FACTORS[0], w)
     best = None
-    for factors in ((t, g, r) for t in (0.0, 0.5) for g in (0.0, 0.25, 0.5) for r in (0.0, 0.25, 0.5)):
-        x = np.array([document_features(np.array(got[i]["clauses"]).reshape(-1, 5), got[i]["words"], factors) for i in hit])
+    for factors in FACTORS:
+        x = np.array([document_features(np.array(got[i]["clauses"]).reshape(-1, 16), got[i]["words"], factors) for i in hit])
         w = _fit(x, y[hit])
         p = np.clip(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))), 1e-9, 1 - 1e-9)
         loss = -(y[hit] * np.log(p) + (1 - y[hit]) * np.log(1 - p)).mean()
@@ -287,6 +389,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most_labels))
 
     def run(batches):
+        free_memory("toxicity")
         score = model.value.scorer()
         for batch in batches:
             p = [score(t) for t in texts_of(batch.column(2))]

@@ -88,6 +88,69 @@ def test_toxicity_finds_learned_insults_and_leaves_clean_ones(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
 
 
+N, R, T = toxicity.NEGATED, toxicity.REPORTED, toxicity.AIMED
+CLAUSES = [
+    ("trash", 0), ("you are trash", T), ("you are not trash", T | N), ("trash, not", 0), ("you are not bad, you are trash", T), ("you are not kind but trash", T), ("not one of these many long words is trash", 0),
+    ("she said you are trash", T | R), ("I said you are trash", T), ("she said: you are trash", T | R), ("she said it. you are trash", T), ("«trash»", R), ("he is \"trash\" we think", T | R), ("\"a b. trash\" w", R),
+]
+THREATS = [("I will kill you", [T]), ("I will not kill you", [T | N]), ("she said I will kill you", [T | R]), ("kill him now", [T]), ("kill time", []), ("plants kill weeds", []), ("we are going to burn the garden", [0]), ("do they? kill them", [T])]
+
+
+def marks_of(text):
+    """Marks of each match, in order of marks, by clause."""
+    return [[f for f in range(8) for _ in range(int(c[8 + f]))] for c in toxicity.Grammar({"trash": 4.0}).matched(text.encode())]
+
+
+@pytest.mark.parametrize("text,marks", CLAUSES)
+def test_insults_are_marked_in_their_scope(text, marks):
+    assert marks_of(text)[0][0] == marks
+
+
+@pytest.mark.parametrize("text,marks", THREATS)
+def test_threats_need_intent_or_a_target(text, marks):
+    assert [m for c in marks_of(text) for m in c] == marks
+
+
+def test_cascade_matches_brute_force():
+    rng = random.Random(7)
+    alphabet = ["INSULT", "NEG", "TARGET", "REPORT", "FIRST", "CONJ", "COMMA", "COLON", "END", "OTHER", "OTHER"]
+    for _ in range(300):
+        symbols = [rng.choice(alphabet) for _ in range(25)]
+        cascade = toxicity.Cascade()
+        state, got = cascade.start, []
+        for x in symbols:
+            state, out = cascade.step(state, x)
+            got += [f for kind, f in out if kind == "INSULT"]
+        want = []
+        for i, x in enumerate(symbols):
+            if x == "INSULT":
+                free = lambda j, closers: not closers & set(symbols[j + 1 : i])  # noqa: B023, E731
+                neg = any(symbols[j] == "NEG" and free(j, {"END", "COLON", "COMMA", "CONJ"}) for j in range(max(0, i - toxicity.NEGATION_REACH), i))
+                aimed = any(symbols[j] == "TARGET" and free(j, {"END", "COLON"}) for j in range(max(0, i - toxicity.TARGET_REACH), i))
+                said = any(symbols[j] == "REPORT" and (j == 0 or symbols[j - 1] != "FIRST") and free(j, {"END"}) for j in range(i))
+                want.append(N * neg | R * said | T * aimed)
+        assert got == want
+
+
+def test_minimal_pairs_move_the_score(spark):
+    rng = random.Random(5)
+    texts, toxic = [], []
+    for i in range(400):
+        w = prose(rng, 60)
+        if i % 4 == 0:
+            for _ in range(3):
+                w[rng.randrange(60)] = rng.choice(["zorky", "blavver", "gruntling"])
+        texts.append(" ".join(w) + ".")
+        toxic.append(int(i % 4 == 0))
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs_of(spark, texts), labels)
+    score = model.scorer()
+    rest = " w1 w2 w3 w4 w5 w6 w7 w8 w9. " * 8
+    p = {k: score((t + "." + rest).encode()) for k, t in {"plain": "that is zorky", "aimed": "you are zorky", "negated": "you are not zorky", "reported": "she said you are zorky", "threat": "I will kill you", "no_threat": "I will not kill you", "clean": "you are w1"}.items()}
+    assert p["aimed"] > p["plain"] > p["negated"] > p["clean"] and p["aimed"] > p["reported"] and p["threat"] > p["no_threat"] > p["clean"]
+    assert all(f > 0 for f in model.factors)
+
+
 def brute_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     win = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
