@@ -49,7 +49,7 @@ BATCH_BYTES = 4 << 20
 def small_batches(spark: SparkSession) -> SparkSession:
     """Arrow batches of about BATCH_BYTES at most in this session, unless it has smaller ones."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, f"{BATCH_BYTES}b"))
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))  # Spark's own default where it is not set
     if not now or int(now[1]) > BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
     return spark
