@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import functools
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -203,35 +205,49 @@ def wrap_by_width(units: int):
 
 
 def wrap_balanced(units: int, most_lines: int = 4):
-    """UDF: the fewest lines that fit, split most evenly, without a lone word of up to four letters after the first line."""
+    """UDF: the fewest lines that fit (at most most_lines), with the least widest - 0.3 * narrowest line, without a lone word of up to four letters after the first line; the whole text in one line where there is no such split."""
 
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
-        def splits(words, n):
-            if n == 1:
-                yield [words]
-                return
-            for i in range(1, len(words) - n + 2):
-                for rest in splits(words[i:], n - 1):
-                    yield [words[:i], *rest]
+        return s.map(lambda t: balanced_lines((t or "").split(), units, most_lines))
 
-        def one(t):
-            words = (t or "").split()
-            for n in range(1, min(most_lines, len(words)) + 1):
-                best = None
-                for parts in splits(words, n):
-                    wide = [estimated_units(" ".join(p)) for p in parts]
-                    if max(wide) > units or any(len(p) == 1 and len(p[0]) <= 4 for p in parts[1:]):
-                        continue
-                    if best is None or max(wide) - min(wide) < best[0]:
-                        best = max(wide) - min(wide), [" ".join(p) for p in parts]
-                if best:
-                    return best[1]
-            return greedy_lines(words, lambda x: estimated_units(x) <= units) or [""]
+    return run
 
-        return s.map(one)
 
-    return run
+def balanced_lines(words: list[str], units: int, most_lines: int = 4) -> list[str]:
+    """The lines of wrap_balanced. Only breaks after which a line still fits are tried, so the work is bounded by the words of a line, not of the text."""
+    space = estimated_units(" ")
+    upto = [0, *itertools.accumulate(estimated_units(w) + space for w in words)]
+    width = lambda i, j: upto[j] - upto[i] - space
+    if not words or upto[-1] - space > most_lines * (units + space):
+        return [" ".join(words)]
+
+    def splits(i: int, n: int):
+        """Ends of the n lines from word i on, earliest first."""
+        if n == 1:
+            if width(i, len(words)) <= units:
+                yield (len(words),)
+            return
+        for j in range(i + 1, len(words) - n + 2):
+            if width(i, j) > units:
+                break
+            if width(j, len(words)) <= (n - 1) * (units + space):
+                for rest in splits(j, n - 1):
+                    yield (j, *rest)
+
+    for n in range(1, min(most_lines, len(words)) + 1):
+        best = None
+        for ends in splits(0, n):
+            lines = list(zip((0, *ends), ends))  # noqa: B905  one start more than ends
+            if any(j == i + 1 and len(words[i]) <= 4 for i, j in lines[1:]):
+                continue
+            wide = [width(i, j) for i, j in lines]
+            score = 10 * max(wide) - 3 * min(wide)
+            if best is None or score < best[0]:
+                best = score, lines
+        if best:
+            return [" ".join(words[i:j]) for i, j in best[1]]
+    return [" ".join(words)]
 
 
 def slice_text(text: Column, words: Column | None, seg_start: Column, seg_end: Column, lo: Column, hi: Column) -> Column:
@@ -252,3 +268,30 @@ def slice_text(text: Column, words: Column | None, seg_start: Column, seg_end: C
         return proportional
     timed = F.array_join(F.transform(F.filter(words, lambda w: (w["end"] > lo) & (w["start"] < hi) & (squeeze(w["word"]) != "")), lambda w: squeeze(w["word"])), " ")
     return F.when(F.coalesce(timed, F.lit("")) != "", timed).otherwise(proportional)
+
+
+#: Title rules: all of some words (each a list of alternatives) in a text give the title. Fixed values.
+TITLE_RULES = [
+    ([["вмк"], ["мехмат"]], "ВМК против мехмата: куда идти?"),
+    ([["вмк"], ["физфак"]], "ВМК или физфак: что выбрать?"),
+    ([["вмк"], ["поступ"]], "Поступление на ВМК: что важно знать?"),
+    ([["задач"]], "Как решать задачи и не застревать?"),
+    ([["учител", "репетитор"], ["физ"]], "Репетитор по физике нужен или нет?"),
+    ([["факульт", "поступ", "вуз"]], "Как выбрать факультет и не пожалеть?"),
+]
+#: Words that do not begin a title; fixed values.
+TITLE_FILLERS = ("ну", "вот", "короче", "типа", "знаешь", "слушай")
+
+
+def title_of(text: Column, rules: list | None = None, fillers: tuple[str, ...] = TITLE_FILLERS) -> Column:
+    """The title of the first rule that a text meets, else its first sentence as a question (8 words, 64 characters); null where that has fewer than 8 characters."""
+    low = F.lower(text)
+    has = lambda need: functools.reduce(Column.__and__, (functools.reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in ws)) for ws in need))
+    phrase = F.trim(F.regexp_replace(F.split(text, "[.!?]", 2)[0], "^[ \t\r\n,:;-]+|[ \t\r\n,:;-]+$", ""))
+    phrase = F.regexp_replace(phrase, rf"(?iu)^({'|'.join(fillers)})\s+", "")
+    phrase = F.trim(F.substring(F.array_join(F.slice(F.split(phrase, " "), 1, 8), " "), 1, 64))
+    phrase = F.concat(F.upper(F.substring(phrase, 1, 1)), F.substring(phrase, 2, 64))
+    out = F.when(F.length(phrase) >= 8, F.when(phrase.endswith("?"), phrase).otherwise(F.concat(phrase, F.lit("?"))))
+    for need, title in reversed(TITLE_RULES if rules is None else rules):
+        out = F.when(has(need), F.lit(title)).otherwise(out)
+    return out

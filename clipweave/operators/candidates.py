@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timecode import number, seconds_to_timestamp, timestamp_to_seconds
+from .keyed import keep_in_order
 
 START, END = "start_ms", "end_ms"
 CANDIDATE = "array<struct<start:string,end:string,title:string,reason:string,score:string>>"
@@ -126,34 +128,26 @@ def rank_key(target: int) -> Column:
     return F.coalesce("score_milli", F.lit(0)) * target - 80 * F.abs(F.col(END) - F.col(START) - target)
 
 
-def _keep_apart(percent: int, most: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_rank", "_score", "_order"], ascending=[False, False, True], kind="stable")
-        s, e = pdf[START].to_numpy(), pdf[END].to_numpy()
-        kept: list[int] = []
-        for i in range(len(s)):
-            if len(kept) == most:
-                break
-            k = np.array(kept, int)
-            inter = np.maximum(0, np.minimum(e[k], e[i]) - np.maximum(s[k], s[i]))
-            if not (100 * inter >= percent * np.minimum(e[k] - s[k], e[i] - s[i])).any():
-                kept.append(i)
-        return pdf.iloc[kept].drop(columns=["_rank", "_score", "_order"])
-
-    return run
-
-
-def select_candidates(cands: DataFrame, keys: list[str], order: str, target: int = 45_000, most: int = 6, percent: int = 80, pool: int = 4096) -> DataFrame:
+def select_candidates(cands: DataFrame, keys: list[str], order: str, target: int = 45_000, most: int = 6, percent: int = 80) -> DataFrame:
     """Best-ranked candidates that overlap no better kept one by `percent` of the shorter; at most `most` per key.
 
-    A key's greedy pass needs its ranked rows in one place. Keys with more than `pool` rows
-    are cut down first without loss: among rows with equal times only the best can be kept.
+    An empty or reversed candidate overlaps nothing. A key's rows are read once, in order of
+    rank; what is kept of it, `most` rows, is all that a task holds.
     """
-    ranked = cands.withColumns({"_rank": rank_key(target), "_score": F.coalesce("score_milli", F.lit(0)), "_order": F.col(order)})
-    best = W.partitionBy(*keys, START, END).orderBy(F.desc("_rank"), F.desc("_score"), "_order")
-    ranked = ranked.withColumn("_dup", F.row_number().over(best)).filter((F.col("_dup") == 1) | (F.col(END) <= F.col(START))).drop("_dup")
-    schema = ", ".join(f"`{c}` {t}" for c, t in cands.dtypes)
-    return ranked.groupBy(*keys).applyInPandas(_keep_apart(percent, most), schema)
+
+    def keep(kept: list, c: dict, a: int, z: int) -> list[int]:
+        taken, starts, ends = [], c[START], c[END]
+        for i in range(a, z):
+            if len(kept) == most:
+                break
+            s, e = starts[i], ends[i]
+            if not any(100 * (min(e, y) - max(s, x)) >= percent * min(e - s, y - x) > 0 for x, y in kept):
+                kept.append((s, e))
+                taken.append(i)
+        return taken
+
+    ranked = cands.withColumns({"_rank": rank_key(target), "_score": F.coalesce("score_milli", F.lit(0))})
+    return keep_in_order(ranked, keys, [F.desc("_rank"), F.desc("_score"), F.col(order)], list, keep, [START, END]).select(*cands.columns)
 
 
 def _window_fold(target: int, least: int, most: int):
@@ -271,22 +265,23 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     """One-to-one pairs by falling overlap, larger positions first of equals: keys, i, j, overlap_ms, start_error_ms, end_error_ms, union_ms.
 
     left: keys, i, start_ms, end_ms; right: keys, j, r_start_ms, r_end_ms. Pairs without overlap are never made.
+    A key's pairs are read once, in order; a task holds the positions matched so far.
     """
     from .intervals import overlap_join
 
     pairs = overlap_join(left, right, keys).select(*keys, "i", "j", "overlap_ms", F.abs(F.col(START) - F.col("r_start_ms")).alias("start_error_ms"), F.abs(F.col(END) - F.col("r_end_ms")).alias("end_error_ms"), (F.greatest(END, "r_end_ms") - F.least(START, "r_start_ms")).alias("union_ms"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["overlap_ms", "i", "j"], ascending=False, kind="stable")
-        used_i, used_j, keep = set(), set(), []
-        for n, (i, j) in enumerate(zip(pdf["i"], pdf["j"], strict=True)):
-            if i not in used_i and j not in used_j:
-                used_i.add(i)
-                used_j.add(j)
-                keep.append(n)
-        return pdf.iloc[keep]
+    def keep(used: tuple[set, set], c: dict, a: int, z: int) -> list[int]:
+        taken = []
+        for n in range(a, z):
+            i, j = c["i"][n], c["j"][n]
+            if i not in used[0] and j not in used[1]:
+                used[0].add(i)
+                used[1].add(j)
+                taken.append(n)
+        return taken
 
-    return pairs.groupBy(*keys).applyInPandas(run, pairs.schema)
+    return keep_in_order(pairs, keys, [F.desc("overlap_ms"), F.desc("i"), F.desc("j")], lambda: (set(), set()), keep, ["i", "j"])
 
 
 def candidate_stats(cands: DataFrame, keys: list[str]) -> DataFrame:
@@ -294,14 +289,40 @@ def candidate_stats(cands: DataFrame, keys: list[str]) -> DataFrame:
     return cands.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(d).alias("total_ms"), F.min(d).alias("min_ms"), F.max(d).alias("max_ms"))
 
 
-def eval_models(model: DataFrame, baseline: DataFrame, keys: list[str], close_ms: int = 5000) -> DataFrame:
-    """Per case: status, counts, matched pairs, shares matched both ways, mean IoU, errors and share of close pairs."""
-    m, b = (x.groupBy(*keys).agg(F.count("*").alias(n)) for x, n in ((model, "n_model"), (baseline, "n_base")))
-    left = model.select(*keys, F.col("pos").alias("i"), START, END)
-    right = baseline.select(*keys, F.col("pos").alias("j"), F.col(START).alias("r_start_ms"), F.col(END).alias("r_end_ms"))
-    pairs = greedy_match(left, right, keys)
+def eval_models(cases: DataFrame, model: DataFrame, baseline: DataFrame, keys: list[str], baseline_model: str, close_ms: int = 5000) -> DataFrame:
+    """Per case: status, counts, matched pairs, rates, mean IoU and errors, share of close pairs, coverage both ways.
+
+    cases: keys, has_transcript, base_model (null: no baseline). model and baseline: keys, pos,
+    start_ms, end_ms. A case without transcript, without baseline or with one of another model
+    is not compared and has nulls; rates over nothing are 0.
+    """
+    status = F.when(~F.coalesce("has_transcript", F.lit(False)), "missing_transcript").when(F.col("base_model").isNull(), "missing_baseline").when(F.col("base_model") != baseline_model, "other_baseline").otherwise("ok")
+    cases = cases.select(*keys, "base_model", status.alias("status"))
+    ok = cases.filter("status = 'ok'").select(*keys)
+    size = F.greatest(F.lit(0), F.col(END) - F.col(START))
+    left, right = (x.join(ok, keys, "left_semi") for x in (baseline, model))
+    b, m = (x.groupBy(*keys).agg(F.count("*").alias(f"n_{n}"), F.sum(size).alias(f"{n}_ms")) for x, n in ((left, "base"), (right, "model")))
+    pairs = greedy_match(left.select(*keys, F.col("pos").alias("i"), START, END), right.select(*keys, F.col("pos").alias("j"), F.col(START).alias("r_start_ms"), F.col(END).alias("r_end_ms")), keys)
     close = F.count_if((F.col("start_error_ms") <= close_ms) & (F.col("end_error_ms") <= close_ms))
-    agg = pairs.groupBy(*keys).agg(F.count("*").alias("matched"), F.avg(F.col("overlap_ms") / F.col("union_ms")).alias("avg_iou"), F.avg("start_error_ms").alias("avg_start_error_ms"), F.avg("end_error_ms").alias("avg_end_error_ms"), (close / F.count("*")).alias("close_share"))
-    rows = m.join(b, keys, "full").join(agg, keys, "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
-    status = F.when(F.col("n_base").isNull(), "missing_baseline").when(F.col("n_model").isNull(), "missing_model").otherwise("ok")
-    return rows.withColumns({"status": status, "model_rate": F.try_divide("matched", "n_model"), "base_rate": F.try_divide("matched", "n_base")})
+    agg = pairs.groupBy(*keys).agg(F.count("*").alias("matched"), F.sum("overlap_ms").alias("overlap_ms"), F.avg(F.col("overlap_ms") / F.col("union_ms")).alias("avg_iou"), F.avg("start_error_ms").alias("avg_start_error_ms"), F.avg("end_error_ms").alias("avg_end_error_ms"), close.alias("n_close"))
+    rows = cases.join(b, keys, "left").join(m, keys, "left").join(agg, keys, "left")
+    here = F.col("status") == "ok"
+    known = lambda c, zero: F.when(here, F.coalesce(c, F.lit(zero)))
+    rows = rows.withColumns({c: known(c, 0).cast("long") for c in ("n_base", "n_model", "base_ms", "model_ms", "matched", "overlap_ms", "n_close")} | {c: known(c, 0.0) for c in ("avg_iou", "avg_start_error_ms", "avg_end_error_ms")})
+    share = lambda part, whole: F.when(here, F.coalesce(F.try_divide(part, whole), F.lit(0.0)))
+    return rows.withColumns({"base_rate": share("matched", "n_base"), "model_rate": share("matched", "n_model"), "close_share": share("n_close", "matched"), "base_covered": share("overlap_ms", "base_ms"), "model_covered": share("overlap_ms", "model_ms")})
+
+
+#: Columns of eval_models that eval_summary averages.
+RATES = ("base_rate", "model_rate", "avg_iou", "avg_start_error_ms", "avg_end_error_ms", "close_share", "base_covered", "model_covered")
+
+
+def eval_summary(cases: DataFrame) -> DataFrame:
+    """One row: cases, those that are ok, and the average of each rate over these (0 for none)."""
+    return cases.agg(F.count("*").alias("total_cases"), F.count_if(F.col("status") == "ok").alias("ok_cases"), *(F.coalesce(F.avg(F.when(F.col("status") == "ok", F.col(c))), F.lit(0.0)).alias(c) for c in RATES))
+
+
+def union_chunk_candidates(chunks: list[DataFrame] | DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates of all chunks of a transcript in one list: keys, pos (by chunk, then position), their times and score. Repeats from overlapping chunks stay; select_candidates takes them out."""
+    rows = chunks if isinstance(chunks, DataFrame) else functools.reduce(DataFrame.unionByName, chunks)
+    return rows.withColumn("pos", F.row_number().over(W.partitionBy(*keys).orderBy("chunk_idx", "position")) - 1)

@@ -172,9 +172,37 @@ def upload_plan(items: DataFrame, progress: DataFrame, qc: DataFrame, account: s
 
 
 def run_log_summary(records: DataFrame, run: str) -> DataFrame:
-    """Per run: steps ok, failed, skipped, seconds, and the run's status."""
-    agg = records.groupBy(run).agg(F.count_if(F.col("status") == "ok").alias("n_ok"), F.count_if(F.col("status") == "error").alias("n_error"), F.count_if(F.col("status") == "skipped").alias("n_skipped"), F.sum("seconds").alias("seconds"))
-    return agg.withColumn("run_status", F.when(F.col("n_error") > 0, "partial").when(F.col("n_ok") == 0, "ok_no_candidates").otherwise("ok"))
+    """Per run: rendered clips ok, failed, skipped, seconds of all steps, and the run's status.
+
+    records: run, type, status, seconds, count (kept candidates, of type candidates). A failed
+    transcription or analysis is the run's status; without candidates nothing was rendered.
+    """
+    clip = ~F.col("type").isin("transcribe", "analyze", "abs_shift", "candidates")
+    is_ = lambda *status: clip & F.col("status").isin(*status)
+    broke = lambda step: F.bool_or((F.col("type") == step) & (F.col("status") == "error"))
+    agg = records.groupBy(run).agg(
+        F.count_if(is_("ok")).alias("n_ok"), F.count_if(is_("error")).alias("n_error"), F.count_if(is_("skipped", "skip_exists")).alias("n_skipped"), F.coalesce(F.sum("seconds"), F.lit(0)).alias("seconds"),
+        broke("transcribe").alias("_t"), broke("analyze").alias("_a"), F.coalesce(F.max(F.when(F.col("type") == "candidates", F.col("count"))), F.lit(1)).alias("_c"),
+    )
+    status = F.when(F.col("_t"), "error_transcribe").when(F.col("_a"), "error_analyze").when(F.col("_c") == 0, "ok_no_candidates").when(F.col("n_error") > 0, "partial").otherwise("ok")
+    return agg.withColumn("run_status", status).drop("_t", "_a", "_c")
+
+
+def batch_rollup(runs: DataFrame, batch: str) -> DataFrame:
+    """Runs of one batch summed: runs by status, clips, seconds."""
+    return runs.groupBy(batch).agg(F.count("*").alias("n_runs"), F.count_if(F.col("run_status") == "ok").alias("n_runs_ok"), F.count_if(F.col("run_status").startswith("error")).alias("n_runs_failed"), *(F.sum(c).alias(c) for c in ("n_ok", "n_error", "n_skipped", "seconds")))
+
+
+PROBE = "struct<streams:array<struct<codec_type:string,codec_name:string,width:int,height:int,r_frame_rate:string,sample_rate:string>>,format:struct<duration:string>>"
+
+
+def probe_flatten(probes: DataFrame, ids: list[str], text: str = "probe") -> DataFrame:
+    """ids, video_codec, width, height, fps, audio_codec, duration_s from probe JSON: the first video and the first audio stream; nulls where there is none, blank or zero sizes and rates over 0 are unknown."""
+    p = F.from_json(text, PROBE)
+    first = lambda kind: F.get(F.filter(p["streams"], lambda s: s["codec_type"] == kind), F.lit(0))
+    rows = probes.select(*ids, first("video").alias("v"), first("audio").alias("a"), number(p["format"]["duration"]).alias("duration_s"))
+    name = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    return rows.select(*ids, name(F.col("v.codec_name")).alias("video_codec"), *(F.nullif(F.col(f"v.{c}"), F.lit(0)).alias(c) for c in ("width", "height")), frame_rate(F.col("v.r_frame_rate")).alias("fps"), name(F.col("a.codec_name")).alias("audio_codec"), "duration_s")
 
 
 def plural_ru(n: Column, one: str, few: str, many: str) -> Column:

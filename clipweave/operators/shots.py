@@ -124,7 +124,8 @@ def enforce_min_shot(shots: DataFrame, key: str, least: int, eps: int = 60) -> D
         return ("drop", i) if i in (0, len(s) - 1) or s[i][3] - s[i][2] <= 350 else None
 
     def edit(rows: list[list]) -> list[list]:
-        base = s = joined(rows, eps)
+        base = joined(rows, eps)
+        s = [list(x) for x in base]  # edits are made on a copy: base stays for the case that all shots go
         again = True
         while again and len(s) > 1:
             again, i = False, 0

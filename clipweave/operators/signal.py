@@ -11,33 +11,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def frames_rms(x: np.ndarray, frame: int, hop: int, centred: bool) -> np.ndarray:
-    """RMS of overlapping frames; a last partial frame is dropped, one frame at least is made."""
+def frames_rms(x: np.ndarray, frame: int, hop: int) -> np.ndarray:
+    """RMS of overlapping frames; a last partial frame is dropped, one frame at least is made (of what there is)."""
     if len(x) < frame:
-        x = np.pad(x, (0, frame - len(x)))
+        x = np.asarray(x, np.float64)
+        return np.array([np.sqrt((x * x).mean()) if len(x) else 0.0])
     v = np.lib.stride_tricks.sliding_window_view(x.astype(np.float64), frame)[::hop]
-    if centred:
-        v = v - v.mean(1, keepdims=True)
     return np.sqrt((v * v).mean(1))
 
 
-def energy_envelope(chunks: DataFrame, keys: list[str], frame_ms: int, hop_ms: int, centred: bool = False) -> DataFrame:
+def energy_envelope(chunks: DataFrame, keys: list[str], frame_ms: float, hop_ms: float, centred: bool = False) -> DataFrame:
     """keys, hop_idx, rms from pcm chunks (keys, sr, start_sample, samples) that start on the hop grid and overlap by frame - hop.
 
-    Map side only; hops of the overlap are those of the chunk that starts them.
+    Frames are made on the map side; hops of the overlap are those of the chunk that starts
+    them. centred: less the mean of the whole envelope of a key, by one aggregation and join.
     """
 
     def run(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                frame, hop = int(row.sr * frame_ms / 1000), int(row.sr * hop_ms / 1000)
-                r = frames_rms(np.asarray(row.samples), frame, hop, centred)
+                frame, hop = (max(1, int(row.sr * x / 1000)) for x in (frame_ms, hop_ms))
+                r = frames_rms(np.asarray(row.samples), frame, hop)
                 out.append(pd.DataFrame({**{k: [getattr(row, k)] * len(r) for k in keys}, "hop_idx": np.arange(len(r)) + row.start_sample // hop, "rms": r}))
             yield pd.concat(out) if out else pd.DataFrame(columns=[*keys, "hop_idx", "rms"])
 
     kinds = dict(chunks.dtypes)
-    return chunks.select(*keys, "sr", "start_sample", "samples").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", hop_idx long, rms double")
+    rows = chunks.select(*keys, "sr", "start_sample", "samples").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", hop_idx long, rms double")
+    if not centred:
+        return rows
+    mean = rows.groupBy(*keys).agg(F.avg("rms").alias("_mean"))
+    return rows.join(mean, keys).withColumn("rms", F.col("rms") - F.col("_mean")).drop("_mean")
 
 
 def levels_db(chunks: DataFrame, keys: list[str], hop_ms: int) -> DataFrame:
@@ -47,16 +51,26 @@ def levels_db(chunks: DataFrame, keys: list[str], hop_ms: int) -> DataFrame:
     return energy_envelope(chunks, keys, hop_ms, hop_ms).withColumn("level", rms_db(F.col("rms"))).drop("rms")
 
 
-def abs_envelope(x: np.ndarray, hop: int) -> np.ndarray:
+def envelope_of(x: np.ndarray, hop: int) -> np.ndarray:
+    """Mean |x| of non-overlapping hops, less the mean of all."""
     n = len(x) // hop
     e = np.abs(np.asarray(x[: n * hop], float)).reshape(n, hop).mean(1)
     return e - e.mean() if n else e
 
 
-def xcorr_lag(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, float]:
-    """(lag, score): b's time is a's plus lag; score is normalised by both energies. Full-length zero-padded correlation."""
-    a, b = a - a.mean(), b - b.mean()
-    n = 1 << int(np.ceil(np.log2(len(a) + len(b))))
+def abs_envelope(signals: DataFrame, ids: list[str], hop: int, samples: str = "samples") -> DataFrame:
+    """ids, envelope: mean absolute value per hop of each row's samples, less its mean."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[ids].assign(envelope=[envelope_of(np.asarray(x, float), hop) for x in pdf[samples]])
+
+    kinds = dict(signals.dtypes)
+    return signals.select(*ids, samples).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in ids) + ", envelope array<double>")
+
+
+def _correlated(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, float]:
+    n = 1 << (len(a) + len(b) - 1).bit_length()
     c = np.fft.irfft(np.conj(np.fft.rfft(a, n)) * np.fft.rfft(b, n), n)
     lags = np.arange(-min(most, len(a) - 1), min(most, len(b) - 1) + 1)
     v = c[lags]
@@ -64,51 +78,105 @@ def xcorr_lag(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, float]:
     return int(lags[k]), float(v[k] / (np.sqrt((a * a).sum() * (b * b).sum()) + 1e-12))
 
 
-def gcc_phat(a: np.ndarray, b: np.ndarray, most: int, times: int = 8) -> tuple[float, float]:
-    """(lag in samples, confidence): phase-transform correlation on a finer grid; confidence is peak over median."""
-    n = 1 << int(np.ceil(np.log2(len(a) + len(b))))
-    s = np.conj(np.fft.rfft(a, n)) * np.fft.rfft(b, n)
-    c = np.abs(np.fft.irfft(s / (np.abs(s) + 1e-12), n * times))
-    lags = np.arange(-most * times, most * times + 1)
-    v = c[lags]
-    return float(lags[int(v.argmax())] / times), float(v.max() / (np.median(v) + 1e-12))
+def xcorr_lag(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, float]:
+    """(lag, score): b's time is a's plus lag; score is normalised by both energies. Full-length zero-padded correlation."""
+    return _correlated(a - a.mean(), b - b.mean(), most) if len(a) and len(b) else (0, 0.0)
 
 
-def refine_lag(a: np.ndarray, b: np.ndarray, centre: float, span: float, step: float) -> tuple[float, float]:
-    """(lag, error): grid search around centre for the least RMS difference of RMS-normalised signals, b read at a's time plus lag."""
-    norm = lambda x: x / (np.sqrt((x * x).mean()) + 1e-12)
-    t, best = np.arange(len(a), dtype=float), (centre, np.inf)
-    for lag in np.arange(centre - span, centre + span + step / 2, step):
-        at = t + lag
-        ok = (at >= 0) & (at <= len(b) - 1)
-        if ok.sum() >= 8:
-            d = norm(a[ok]) - norm(np.interp(at[ok], np.arange(len(b)), b))
-            e = float(np.sqrt((d * d).mean()))
-            best = (float(lag), e) if e < best[1] - 1e-12 else best
-    return best
+def xcorr_trimmed(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, float]:
+    """As xcorr_lag, with means taken off and both cut to the shorter length before."""
+    n = min(len(a), len(b))
+    return _correlated((a - a.mean())[:n], (b - b.mean())[:n], most) if n else (0, 0.0)
 
 
-METHODS = {"xcorr": lambda a, b, m: xcorr_lag(a, b, m), "gcc_phat": lambda a, b, m: gcc_phat(a, b, m)}
+def gcc_phat(a: np.ndarray, b: np.ndarray, most: int, times: int = 8) -> tuple[float, float]:
+    """(lag in samples, confidence): phase-transform correlation on a grid `times` as fine; confidence is peak over median of absolute values.
 
+    Lags are at most half the transform; most = 0 takes that.
+    """
+    if not len(a) or not len(b):
+        return 0.0, 0.0
+    n = 1 << (len(a) + len(b) - 1).bit_length()
+    s = np.conj(np.fft.rfft(a, n)) * np.fft.rfft(b, n)
+    c = np.fft.irfft(s / np.maximum(np.abs(s), 1e-9), n * times)
+    half = n * times // 2
+    reach = min(most * times if most > 0 else half, half - 1)
+    lags = np.arange(-reach, reach + 1)
+    v = np.abs(c[lags])
+    # Of equal peaks the one with the largest lag: the scan runs from late to early.
+    k = len(v) - 1 - int(v[::-1].argmax())
+    return float(lags[k] / times), float(v[k] / (np.median(v) + 1e-9))
+
+
+def _envelope_lag(a: np.ndarray, b: np.ndarray, rate: float, most_s: float) -> tuple[float, float]:
+    """(offset in seconds, score) of the energy envelopes (20 ms frames every 10 ms)."""
+    frame, hop = max(1, int(rate * 0.02)), max(1, int(rate * 0.01))
+    e = [r - r.mean() for r in (frames_rms(x, frame, hop) for x in (a, b))]
+    own = round(rate / hop)
+    lag, score = xcorr_trimmed(*e, int(most_s * own))
+    return lag / own, score
+
+
+def estimate_offset(pairs: DataFrame, ids: list[str], most_s: float, rate: float, method: str = "best") -> DataFrame:
+    """ids, offset (seconds: b's time is a's plus offset), confidence, method, per row with arrays a and b of `rate` samples a second.
+
+    best: phase transform of the signals (gcc_phat), unless the correlation of their energy
+    envelopes (envelope) has the larger confidence. xcorr: plain correlation. One row is one
+    analysis window: windows are exploded first, whole recordings never meet in a task.
+    """
 
-def estimate_offset(pairs: DataFrame, ids: list[str], most: int, rate: float, method: str = "best") -> DataFrame:
-    """ids, offset (seconds), confidence, method per row with arrays a and b. One row is one analysis window: windows are exploded first, whole recordings never meet in a task."""
+    def one(a: np.ndarray, b: np.ndarray) -> tuple[float, float, str]:
+        if method == "xcorr":
+            lag, score = xcorr_lag(a, b, int(most_s * rate))
+            return lag / rate, score, method
+        if method != "envelope":
+            lag, sure = gcc_phat(a, b, int(most_s * rate))
+            if method == "gcc_phat":
+                return lag / rate, sure, method
+        offset, score = _envelope_lag(a, b, rate, most_s)
+        return (lag / rate, sure, "gcc_phat") if method == "best" and sure >= score else (offset, score, "envelope")
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for a, b in zip(pdf["a"], pdf["b"], strict=True):
-                a, b = np.asarray(a, float), np.asarray(b, float)
-                got = {m: METHODS[m](a, b, most) for m in (("xcorr", "gcc_phat") if method == "best" else (method,))}
-                name = "gcc_phat" if method == "best" and got["gcc_phat"][1] >= got["xcorr"][1] else "xcorr" if method == "best" else method
-                out.append((got[name][0] / rate, got[name][1], name))
+            out = [one(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(pdf["a"], pdf["b"], strict=True)]
             yield pdf[ids].assign(offset=[o[0] for o in out], confidence=[o[1] for o in out], method=[o[2] for o in out])
 
     kinds = dict(pairs.dtypes)
     return pairs.select(*ids, "a", "b").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in ids) + ", offset double, confidence double, method string")
 
 
-def band_pass(x: np.ndarray, sr: int, lo: float = 180.0, hi: float = 2800.0) -> np.ndarray:
+def residual_error(a: np.ndarray, b: np.ndarray, shift: int) -> float:
+    """RMS difference of the RMS-normalised parts that meet where b is read `shift` samples later; infinite where none do."""
+    x, y = (a[: max(0, len(b) - shift)], b[shift:]) if shift >= 0 else (a[-shift:], b[: len(b) + shift])
+    n = min(len(x), len(y))
+    if n <= 0:
+        return float("inf")
+    x, y = (v[:n] / (np.sqrt((v[:n] * v[:n]).mean()) + 1e-9) for v in (x, y))
+    return float(np.sqrt(((x - y) ** 2).mean()))
+
+
+def refine_offset(pairs: DataFrame, ids: list[str], rate: float, span_s: float, step_s: float) -> DataFrame:
+    """ids, offset, error: of the offsets center - span to center + span in steps, and of center itself, that with the least residual_error; the first of equals, center before all. pairs: ids, a, b, center (seconds)."""
+    if step_s <= 0:
+        raise ValueError("step_s must be positive")
+
+    def one(a, b, center):
+        a, b = np.asarray(a, float), np.asarray(b, float)
+        tried = [center, *(center - span_s + step_s * k for k in range(int((2 * span_s + 1e-9) / step_s) + 1))]
+        errors = [residual_error(a, b, round(t * rate)) for t in tried]
+        k = int(np.argmin(errors))
+        return tried[k], errors[k]
+
+    def run(batches):
+        for pdf in batches:
+            out = [one(*x) for x in zip(pdf["a"], pdf["b"], pdf["center"], strict=True)]
+            yield pdf[ids].assign(offset=[o[0] for o in out], error=[o[1] for o in out])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.select(*ids, "a", "b", F.col("center").cast("double").alias("center")).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in ids) + ", offset double, error double")
+
+
+def band_pass(x: np.ndarray, sr: float, lo: float = 180.0, hi: float = 2800.0) -> np.ndarray:
     """A mask on the spectrum: frequencies outside [lo, hi] are removed."""
     s = np.fft.rfft(x)
     f = np.fft.rfftfreq(len(x), 1 / sr)
@@ -116,16 +184,63 @@ def band_pass(x: np.ndarray, sr: int, lo: float = 180.0, hi: float = 2800.0) ->
 
 
 def verify_windows(clips: DataFrame, key: str) -> DataFrame:
-    """One or two listening windows per clip: inside both ends of a short one, else near its start and its end. Seconds."""
+    """key, clip_idx, window, a, b: listening windows of at most 2 s per clip (start, end in seconds): one in a clip of less than 3 s, else one near its start and one near its end."""
     d = F.col("end") - F.col("start")
-    short = F.array(F.struct((F.col("start") + 0.15).alias("a"), (F.col("end") - 0.15).alias("b")))
-    long = F.array(F.struct((F.col("start") + 0.25).alias("a"), (F.col("start") + 2.25).alias("b")), F.struct((F.col("end") - 2.3).alias("a"), (F.col("end") - 0.3).alias("b")))
-    return clips.select(key, "clip_idx", F.posexplode(F.when(d < 3, short).otherwise(long)).alias("window", "w")).select(key, "clip_idx", "window", F.col("w.a").alias("a"), F.col("w.b").alias("b")).filter("b > a")
+    into = F.when(d < 3, F.array(F.lit(0.15))).otherwise(F.array(F.lit(0.25), F.greatest(F.lit(0.25), d - 2.3)))
+    rows = clips.select(key, "clip_idx", "start", "end", F.posexplode(into).alias("window", "s"))
+    length = F.least(F.lit(2.0), F.col("end") - F.col("start") - F.col("s") - 0.1)
+    return rows.select(key, "clip_idx", "window", (F.col("start") + F.col("s")).alias("a"), (F.col("start") + F.col("s") + length).alias("b")).filter("b > a")
+
+
+def window_lags(windows: DataFrame, ids: list[str], sr: int = 8000, most: int = 800, least: int = 800, band: tuple[float, float] | None = (180.0, 2800.0)) -> DataFrame:
+    """ids, lag_seconds, correlation of two arrays x (finished sound) and y (source sound at the mapped place), after a band-pass; x's time is y's plus lag.
+
+    Both are cut to the shorter; rows of fewer than `least` samples are left out.
+    """
+
+    def one(x, y):
+        n = min(len(x), len(y))
+        x, y = (np.asarray(v[:n], float) for v in (x, y))
+        if band:
+            x, y = band_pass(x, sr, *band), band_pass(y, sr, *band)
+        return _correlated(y, x, most)
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf[[min(len(x), len(y)) >= least for x, y in zip(pdf["x"], pdf["y"], strict=True)]]
+            out = [one(x, y) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+            yield pdf[ids].assign(lag_seconds=np.array([o[0] / sr for o in out], float), correlation=np.array([o[1] for o in out], float))
 
+    kinds = dict(windows.dtypes)
+    return windows.select(*ids, "x", "y").filter("x IS NOT NULL AND y IS NOT NULL").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in ids) + ", lag_seconds double, correlation double")
 
-def verify_alignment(residuals: DataFrame, tolerance: float) -> DataFrame:
-    """current offset less its residual, and whether the residual is within tolerance."""
-    return residuals.withColumns({"corrected": F.col("current") - F.col("residual"), "aligned": F.abs("residual") <= tolerance})
+
+def verify_alignment(pairs: DataFrame, ids: list[str], rate: float, tolerance: float, most_s: float, passes: int = 3) -> DataFrame:
+    """ids, corrected, residual, aligned, n_passes: an offset (`current`, seconds) checked on the sound itself and corrected.
+
+    pairs: ids, a, b, current. b is read at a's time plus the offset; what is left between the
+    two is the residual, and the offset less the residual is tried again, until the residual
+    is within tolerance or `passes` are done.
+    """
+
+    def one(a, b, current):
+        a, b = np.asarray(a, float), np.asarray(b, float)
+        for n in range(1, passes + 1):
+            shift = round(current * rate)
+            x, y = (a, b[shift:]) if shift >= 0 else (a[-shift:], b)
+            k = min(len(x), len(y))
+            residual = -gcc_phat(x[:k], y[:k], int(most_s * rate))[0] / rate if k else 0.0
+            if abs(residual) <= tolerance or n == passes:
+                return current, residual, abs(residual) <= tolerance, n
+            current -= residual
+
+    def run(batches):
+        for pdf in batches:
+            out = [one(*x) for x in zip(pdf["a"], pdf["b"], pdf["current"], strict=True)]
+            yield pdf[ids].assign(corrected=[o[0] for o in out], residual=[o[1] for o in out], aligned=[o[2] for o in out], n_passes=[o[3] for o in out])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.select(*ids, "a", "b", F.col("current").cast("double").alias("current")).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in ids) + ", corrected double, residual double, aligned boolean, n_passes int")
 
 
 def read_wav_chunks(spark, paths, chunk_s: float, overlap_s: float = 0.0) -> DataFrame:
@@ -169,7 +284,7 @@ def gated_mix(chunks: DataFrame, key: str, fade: int, duck: float = 0.0) -> Data
 
 
 def residual_scores(windows: DataFrame, key: str) -> DataFrame:
-    """key, step, score_a, score_b: decibels of what is left of each of two windows (a, b) after the other is projected out."""
+    """key, step, camera_pos, score: decibels of what is left of each of two windows (a, b) after the other is projected out, plus the camera's level shift and bias (shift_a, bias_a, shift_b, bias_b where given)."""
 
     def run(batches):
         for pdf in batches:
@@ -179,6 +294,17 @@ def residual_scores(windows: DataFrame, key: str) -> DataFrame:
                 ab = a @ b
                 r = a - ab / (b @ b + 1e-8) * b, b - ab / (a @ a + 1e-8) * a
                 out.append([20 * np.log10(max(np.sqrt((x * x).mean() + 1e-8), 1e-8)) for x in r])
-            yield pdf[[key, "step"]].assign(score_a=[o[0] for o in out], score_b=[o[1] for o in out])
+            both = np.array(out, float).reshape(-1, 2)
+            for pos, side in enumerate("ab"):
+                yield pdf[[key, "step"]].assign(camera_pos=pos, score=both[:, pos] + pdf[f"shift_{side}"].to_numpy(float) + pdf[f"bias_{side}"].to_numpy(float))
+
+    extra = [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in windows.columns else F.lit(0.0)).alias(c) for c in ("shift_a", "bias_a", "shift_b", "bias_b")]
+    return windows.select(key, "step", "a", "b", *extra).mapInPandas(run, f"{key} {dict(windows.dtypes)[key]}, step long, camera_pos int, score double")
+
+
+def residual_switch(windows: DataFrame, speech: DataFrame, key: str, hop_ms: int, min_shot_ms: int, margin: float) -> DataFrame:
+    """camera_switch of two cameras by residual scores; silence is judged by the energy scores. speech: key, step, camera_pos, camera, speech."""
+    from .shots import camera_switch
 
-    return windows.select(key, "step", "a", "b").mapInPandas(run, f"{key} {dict(windows.dtypes)[key]}, step long, score_a double, score_b double")
+    rows = speech.select(key, "step", "camera_pos", "camera", "speech").join(residual_scores(windows, key), [key, "step", "camera_pos"])
+    return camera_switch(rows, key, hop_ms, min_shot_ms, margin)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +26,37 @@ def speaker_centroids(samples: DataFrame, label: str, vector: str) -> DataFrame:
     return rows.select(label, unit(F.col("v")).alias("centroid"))
 
 
+#: Speakers whose centroids are sent to tasks; more are an error, as they would be no dimension table.
+MOST_SPEAKERS = 10_000
+
+
 def speaker_similarity(windows: DataFrame, centroids: DataFrame, ids: list[str], vector: str, label: str) -> DataFrame:
-    """ids, best, best_sim, second_sim, margin: cosine to each centroid. Centroids are one row per speaker label: a dimension table."""
-    sims = windows.select(*ids, vector).crossJoin(F.broadcast(centroids)).select(*ids, label, dot(unit(F.col(vector)), F.col("centroid")).alias("sim"))
-    top = F.sort_array(F.collect_list(F.struct("sim", label)), asc=False)
-    rows = sims.groupBy(*ids).agg(top.alias("t"))
-    second = F.when(F.size("t") > 1, F.col("t")[1]["sim"]).otherwise(F.lit(-1.0))
-    return rows.select(*ids, F.col("t")[0][label].alias("best"), F.col("t")[0]["sim"].alias("best_sim"), second.alias("second_sim"), (F.col("t")[0]["sim"] - second).alias("margin"))
+    """ids, best, best_sim, second_sim, margin: cosine to each centroid, the largest label of equals.
+
+    The centroids are one matrix in each task, MOST_SPEAKERS rows at most, so that windows are
+    neither multiplied nor shuffled; each window's vector is scaled once.
+    """
+    got = centroids.select(label, "centroid").limit(MOST_SPEAKERS + 1).collect()
+    if len(got) > MOST_SPEAKERS:
+        raise ValueError(f"more than {MOST_SPEAKERS} centroids")
+    got.sort(key=lambda r: r[0], reverse=True)
+    table = windows.sparkSession.sparkContext.broadcast(([r[0] for r in got], np.array([r[1] for r in got], float)))
+
+    def run(batches):
+        names, matrix = table.value
+        for pdf in batches:
+            if not len(pdf) or not names:
+                continue
+            v = np.array(pdf[vector].tolist(), float)
+            sims = (v / (np.sqrt((v * v).sum(1)) + 1e-9)[:, None]) @ matrix.T
+            best = sims.argmax(1)  # labels fall, so the first of equals is the largest
+            top = sims[np.arange(len(sims)), best]
+            sims[np.arange(len(sims)), best] = -np.inf
+            second = sims.max(1) if len(names) > 1 else np.full(len(sims), -1.0)
+            yield pdf[ids].assign(best=[names[i] for i in best], best_sim=top, second_sim=second, margin=top - second)
+
+    kinds, of = dict(windows.dtypes), dict(centroids.dtypes)[label]
+    return windows.select(*ids, vector).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in ids) + f", best {of}, best_sim double, second_sim double, margin double")
 
 
 def infer_speaker_map(samples: DataFrame, label: str, camera: str) -> DataFrame:

@@ -83,6 +83,34 @@ def slice_words(words: DataFrame, lo: int, hi: int) -> DataFrame:
     return words.filter((F.col(END) > lo) & (F.col(START) < hi)).withColumns({START: F.greatest(F.lit(0), F.col(START) - lo), END: F.least(F.lit(hi), F.col(END)) - lo})
 
 
+def slice_transcript(segments: DataFrame, start: float, length: float) -> DataFrame:
+    """segments (start, end, words, seconds) of a fragment: words that begin in [start, start + length], rebased to it and rounded to hundredths; segments left without words go."""
+    inside = F.filter("words", lambda w: (w["start"] >= start) & (w["start"] <= start + length))
+    move = lambda c: F.bround(c - start, 2)
+    words = F.transform(inside, lambda w: w.withField("start", move(w["start"])).withField("end", move(w["end"])))
+    rows = segments.filter((F.col("end") >= start) & (F.col("start") <= start + length)).withColumn("words", words)
+    return rows.filter(F.size("words") > 0).withColumns({"start": move(F.col("start")), "end": move(F.col("end"))})
+
+
+def show_words(segments: DataFrame, lo: float = 0.0, hi: float = 1e9) -> DataFrame:
+    """segments that meet [lo, hi] with `shown`: times and text in a line, the words with their starts in the next."""
+    head = F.concat(F.format_string("[%7.2f-%7.2f] ", "start", "end"), F.trim("text"))
+    words = F.array_join(F.transform(F.coalesce("words", F.array().cast("array<struct<start:double,end:double,word:string,probability:double>>")), lambda w: F.concat(F.trim(w["word"]), F.lit("·"), F.format_string("%.2f", w["start"]))), "  ")
+    return segments.filter((F.col("end") >= lo) & (F.col("start") <= hi)).withColumn("shown", F.concat(head, F.lit("\n   "), words))
+
+
+def auto_title(windows: DataFrame, segments: DataFrame, key: str, ids: list[str], enough: int = 260, rules: list | None = None) -> DataFrame:
+    """key, ids, title: from the squeezed texts of the segments that overlap a window, in order, up to the one that makes `enough` characters; null without text."""
+    from ..functions.text import squeeze, title_of
+
+    right = segments.select(key, "seg_idx", F.col(START).alias("r_start_ms"), F.col(END).alias("r_end_ms"), squeeze(F.col("text")).alias("t")).filter("t <> ''")
+    got = overlap_join(windows, right, [key])
+    before = W.partitionBy(key, *ids).orderBy("seg_idx").rowsBetween(W.unboundedPreceding, -1)
+    got = got.withColumn("_before", F.coalesce(F.sum(F.length("t") + 1).over(before), F.lit(0)) - 1).filter(F.col("_before") < enough)
+    text = got.groupBy(key, *ids).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "t"))), lambda x: x["t"]), " ").alias("_t"))
+    return windows.select(key, *ids).join(text, [key, *ids], "left").select(key, *ids, title_of(F.col("_t"), rules).alias("title"))
+
+
 def find_cached_chunk(asked: DataFrame, chunks: DataFrame, key: str, ids: list[str]) -> DataFrame:
     """The first chunk that holds the whole asked range, and the offset inside it."""
     right = chunks.select(key, "chunk_idx", F.col(START).alias("r_start_ms"), F.col(END).alias("r_end_ms"))

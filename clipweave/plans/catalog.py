@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
-from ..views import view, with_views
+from ..views import scratch, view, with_views
 
 
 def parse_tracker(spark, sf):
@@ -48,8 +48,16 @@ def output_checks(spark, sf):
 
 
 def probe_flatten(spark, sf):
+    """Probe JSON of each file: a data stream first, sound before picture in every other file, a second picture stream of another codec last."""
     m = view(spark, sf, "media")
-    return m.select("file_index", F.coalesce(C.frame_rate(F.col("r_frame_rate")) > 29, F.lit(False)).alias("fast"), C.frame_rate(F.col("r_frame_rate")).isNull().alias("unknown"))
+    stream = lambda kind, codec, more="": F.when(codec.isNotNull(), F.concat(F.lit(f'{{"codec_type": "{kind}", "codec_name": "'), codec, F.lit('"'), F.lit(more) if isinstance(more, str) else more, F.lit("}")))
+    size = F.concat(F.lit(', "width": '), F.col("width").cast("string"), F.lit(', "height": '), F.col("height").cast("string"), F.lit(', "r_frame_rate": "'), "r_frame_rate", F.lit('"'))
+    picture, sound = stream("video", F.col("video_codec"), size), stream("audio", F.concat(F.upper(F.substring("audio_codec", 1, 1)), F.substring("audio_codec", 2, 9)))
+    odd = F.col("file_index") % 2 == 1
+    streams = F.array(F.lit('{"codec_type": "data"}'), F.when(odd, sound).otherwise(picture), F.when(odd, picture).otherwise(sound), F.when(F.col("video_codec").isNotNull(), F.lit('{"codec_type": "video", "codec_name": "mjpeg", "width": 1, "height": 1, "r_frame_rate": "1/1"}')))
+    duration = F.when(F.col("duration_s").isNull(), F.lit('"N/A"')).otherwise(F.concat(F.lit('"'), F.col("duration_s").cast("string"), F.lit('.5"')))
+    probe = F.concat(F.lit('{"streams": ['), F.array_join(F.array_compact(streams), ", "), F.lit('], "format": {"duration": '), duration, F.lit("}}"))
+    return C.probe_flatten(m.select("file_index", probe.alias("probe")), ["file_index"])
 
 
 def merge_keyed_results(spark, sf):
@@ -83,9 +91,20 @@ def upload_plan(spark, sf):
 
 
 def run_log_summary(spark, sf):
+    """Step records of each run (an order), written as lines of JSON and read again."""
+    from ..sources.readers import read_run_records
+
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
-    records = li.select(F.col("l_suppkey").alias("run_id"), F.when(F.col("l_returnflag") == "R", "error").when(F.col("l_returnflag") == "A", "skipped").otherwise("ok").alias("status"), F.col("l_linenumber").cast("long").alias("seconds"))
-    return C.run_log_summary(records, "run_id")
+    kind = F.when(F.col("l_linenumber") == 1, "transcribe").when(F.col("l_linenumber") == 2, "analyze").when(F.col("l_linenumber") == 3, "candidates").otherwise("render")
+    status = F.when((F.col("l_returnflag") == "R") & (F.col("l_suppkey") % 2 == 0), "error").when(F.col("l_returnflag") == "A", "skip_exists").otherwise("ok")
+    records = li.select(F.col("l_orderkey").cast("string").alias("run_id"), kind.alias("type"), status.alias("status"), F.col("l_linenumber").cast("double").alias("seconds"), F.when(F.col("l_linenumber") == 3, F.col("l_suppkey") % 3).cast("int").alias("count"))
+    path = scratch(spark, "run-records")
+    records.write.json(path)
+    return C.run_log_summary(read_run_records(spark, path), "run_id").withColumn("seconds", F.col("seconds").cast("long"))
+
+
+def batch_rollup(spark, sf):
+    return C.batch_rollup(run_log_summary(spark, sf).withColumn("batch", F.col("run_id").cast("long") % 50), "batch")
 
 
 def publication_cards(spark, sf):
@@ -100,7 +119,7 @@ def list_files(spark, sf):
     return C.list_files(files, "small", "video")
 
 
-QUERIES = {f.__name__: f for f in (parse_tracker, mark_posted_until, tracker_summary, top_reels, metric_fill, engagement_totals, select_indices, media_qc, output_checks, probe_flatten, merge_keyed_results, missing_ids, missing_fields, resolve_caption, upload_plan, run_log_summary, publication_cards, list_files)}
+QUERIES = {f.__name__: f for f in (parse_tracker, mark_posted_until, tracker_summary, top_reels, metric_fill, engagement_totals, select_indices, media_qc, output_checks, probe_flatten, batch_rollup, merge_keyed_results, missing_ids, missing_fields, resolve_caption, upload_plan, run_log_summary, publication_cards, list_files)}
 
 _NUM = "CASE WHEN regexp_full_match(replace({0}, ',', '.'), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(replace({0}, ',', '.') AS DOUBLE) END"
 _T = with_views("tracker") + f""",
@@ -113,6 +132,9 @@ _E = """list_filter([CASE WHEN video_codec IS NULL THEN 'no video stream' END, C
 _W = f"""list_filter([CASE WHEN video_codec NOT IN ('h264', 'hevc') THEN 'video codec' END, CASE WHEN audio_codec <> 'aac' THEN 'audio codec' END, CASE WHEN greatest(width, height) > 1920 THEN 'resolution' END,
    CASE WHEN ({_FPS}) IS NULL OR ({_FPS}) < 23 OR ({_FPS}) > 60 THEN 'frame rate' END, CASE WHEN size_bytes > 314572800 THEN 'size' END, CASE WHEN file_index BETWEEN 66 AND 69 THEN 'check by hand' END], lambda x: x IS NOT NULL)"""
 _Q = with_views("media") + f", q AS (SELECT *, {_E} AS e, {_W} AS w FROM media)"
+_RUNS = """WITH l AS (SELECT CAST(l_orderkey AS VARCHAR) AS run_id, l_linenumber AS n, l_suppkey % 3 AS c, CASE WHEN l_returnflag = 'R' AND l_suppkey % 2 = 0 THEN 'error' WHEN l_returnflag = 'A' THEN 'skip' ELSE 'ok' END AS st FROM lineitem),
+ a AS (SELECT run_id, count(*) FILTER (n > 3 AND st = 'ok') AS n_ok, count(*) FILTER (n > 3 AND st = 'error') AS n_error, count(*) FILTER (n > 3 AND st = 'skip') AS n_skipped, CAST(sum(n) AS BIGINT) AS seconds, bool_or(n = 1 AND st = 'error') AS t, bool_or(n = 2 AND st = 'error') AS y, coalesce(max(c) FILTER (n = 3), 1) AS c FROM l GROUP BY run_id),
+ rs AS (SELECT run_id, n_ok, n_error, n_skipped, seconds, CASE WHEN t THEN 'error_transcribe' WHEN y THEN 'error_analyze' WHEN c = 0 THEN 'ok_no_candidates' WHEN n_error > 0 THEN 'partial' ELSE 'ok' END AS run_status FROM a)"""
 SQL = {
     "parse_tracker": _T + " SELECT file_index, title, is_reel, is_posted, CAST(day AS VARCHAR) AS day, v AS views_24h_n, l AS likes_24h_n, c AS comments_24h_n FROM t",
     "mark_posted_until": _T + """, h AS (SELECT *, is_reel AND coalesce(day <= DATE '1995-06-30', false) AS hit FROM t)
@@ -129,7 +151,7 @@ SQL = {
       CASE WHEN width <> 1080 THEN 'width' END, CASE WHEN height <> 1920 THEN 'height' END, CASE WHEN NOT coalesce(abs(({_FPS}) - 30) < 0.05, false) THEN 'frame_rate' END, CASE WHEN duration_s IS NULL THEN 'duration_known' END,
       CASE WHEN NOT coalesce(duration_s >= 3, false) THEN 'duration_short' END, CASE WHEN NOT coalesce(duration_s <= 900, false) THEN 'duration_long' END, CASE WHEN NOT suffix(filename, '.mp4') THEN 'extension' END, CASE WHEN size_bytes > 314572800 THEN 'size' END], lambda x: x IS NOT NULL)) AS f FROM media)
       SELECT file_index, array_to_string(f, ',') AS failed FROM k""",
-    "probe_flatten": with_views("media") + f" SELECT file_index, coalesce(({_FPS}) > 29, false) AS fast, ({_FPS}) IS NULL AS unknown FROM media",
+    "probe_flatten": with_views("media") + f" SELECT file_index, video_codec, CASE WHEN video_codec IS NOT NULL THEN width END AS width, CASE WHEN video_codec IS NOT NULL THEN height END AS height, CASE WHEN video_codec IS NOT NULL THEN {_FPS} END AS fps, audio_codec, duration_s + 0.5::DOUBLE AS duration_s FROM media",
     "merge_keyed_results": with_views("media") + " SELECT file_index, CASE WHEN file_index % 7 = 0 THEN 720 ELSE width END AS width FROM media",
     "missing_ids": "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1998-01-01')",
     "missing_fields": with_views("media") + ", m AS (SELECT file_index, list_filter([CASE WHEN video_codec IS NULL THEN 'video_codec' END, CASE WHEN audio_codec IS NULL THEN 'audio_codec' END, CASE WHEN duration_s IS NULL THEN 'duration_s' END], lambda x: x IS NOT NULL) AS f FROM media) SELECT file_index, array_to_string(f, ',') AS missing FROM m WHERE len(f) > 0",
@@ -138,8 +160,8 @@ SQL = {
       f AS (SELECT file_index % 5 AS account, file_index AS index, CASE WHEN file_index % 4 = 0 THEN 'skip_published' WHEN file_index % 4 = 1 THEN 'skip_failed' WHEN len(e) > 0 THEN 'failed' END AS fx FROM q),
       n AS (SELECT *, count(*) FILTER (fx IS NULL) OVER (PARTITION BY account ORDER BY index) AS n FROM f)
       SELECT account, index, CASE WHEN n > 20 THEN 'untouched' ELSE coalesce(fx, 'dry_run') END AS action FROM n""",
-    "run_log_summary": """WITH a AS (SELECT l_suppkey AS run_id, count(*) FILTER (l_returnflag = 'N') AS n_ok, count(*) FILTER (l_returnflag = 'R') AS n_error, count(*) FILTER (l_returnflag = 'A') AS n_skipped, CAST(sum(l_linenumber) AS BIGINT) AS seconds FROM lineitem GROUP BY l_suppkey)
-      SELECT *, CASE WHEN n_error > 0 THEN 'partial' WHEN n_ok = 0 THEN 'ok_no_candidates' ELSE 'ok' END AS run_status FROM a""",
+    "run_log_summary": _RUNS + " SELECT * FROM rs",
+    "batch_rollup": _RUNS + " SELECT CAST(run_id AS BIGINT) % 50 AS batch, count(*) AS n_runs, count(*) FILTER (run_status = 'ok') AS n_runs_ok, count(*) FILTER (prefix(run_status, 'error')) AS n_runs_failed, CAST(sum(n_ok) AS BIGINT) AS n_ok, CAST(sum(n_error) AS BIGINT) AS n_error, CAST(sum(n_skipped) AS BIGINT) AS n_skipped, CAST(sum(seconds) AS BIGINT) AS seconds FROM rs GROUP BY ALL",
     "publication_cards": with_views("segments") + """,
       d AS (SELECT recording_id AS id, count(*) AS n, max(end_ms) AS ms FROM segments GROUP BY ALL),
       c AS (SELECT s.recording_id AS id, substr(text, 1, 12) AS t, n, ms FROM segments s JOIN d ON d.id = s.recording_id WHERE seg_idx = 0),

@@ -81,7 +81,7 @@ def run_length_shots(spark, sf):
 
 
 def covers_range(spark, sf):
-    v = view(spark, sf, "intervals").filter("interval_id % 2 = 0")
+    v = view(spark, sf, "intervals")
     b = v.groupBy("recording_id").agg(F.min("start_ms").alias("lo"), F.max("end_ms").alias("hi"))
     return I.covers_range(v, b, KEY, tolerance=4 * 3_600_000)
 
@@ -160,7 +160,7 @@ SQL = {
       r AS (SELECT recording_id, camera, step FROM q WHERE before IS NULL OR before <> camera)
       SELECT recording_id, camera, camera AS audio_camera, step * 3600000 AS start_ms, coalesce(least(lead(step) OVER (PARTITION BY recording_id ORDER BY step) * 3600000, 2592000000), 2592000000) AS end_ms FROM r""",
     "covers_range": with_views("intervals") + """,
-      v AS (SELECT *, start_ms - max(end_ms) OVER (PARTITION BY recording_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hole FROM intervals WHERE interval_id % 2 = 0)
+      v AS (SELECT *, start_ms - max(end_ms) OVER (PARTITION BY recording_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hole FROM intervals)
       SELECT recording_id, coalesce(max(hole), 0) <= 14400000 AND abs(arg_max(end_ms, start_ms) - max(end_ms)) <= 14400000 AS covered FROM v GROUP BY recording_id""",
     "pause_groups": with_views("segments") + ", f AS (SELECT recording_id, seg_idx, start_ms, CASE WHEN start_ms - lag(end_ms) OVER (PARTITION BY recording_id ORDER BY start_ms) > 1500 THEN 1 ELSE 0 END AS nw FROM segments) SELECT recording_id, seg_idx, CAST(sum(nw) OVER (PARTITION BY recording_id ORDER BY start_ms) AS BIGINT) AS group_idx FROM f",
     "silence_intervals": with_views("levels") + """,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("intervals", "catalog", "candidates", "timeline", "levels")
+MODULES = ("intervals", "catalog", "candidates", "timeline", "levels", "sources")
 
 
 def collect(attribute: str) -> dict:

@@ -69,7 +69,7 @@ def parse_srt(spark, sf):
 
 
 def write_ass(spark, sf):
-    return L.ass(view(spark, sf, "segments"), "recording_id").select(*KEY, F.length("ass").alias("n"))
+    return L.ass(view(spark, sf, "segments"), "recording_id").select(*KEY, F.length("ass").alias("n"), F.md5(F.col("ass").cast("binary")).alias("digest"))
 
 
 def parse_ass(spark, sf):
@@ -96,8 +96,8 @@ def overlap_functions(spark, sf):
 def text_functions(spark, sf):
     d = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")
     return d.select(
-        "conv_id", "turn", X.n_words(F.col("text")).alias("n_words"), X.safe_title(F.col("text"), F.col("turn")).alias("title"), X.safe_label(F.substring("text", 1, 20)).alias("label"), X.text_width(F.substring("text", 1, 40), F.lit(48)).alias("width"),
-        X.needs_scroll(F.substring("text", 1, 40), F.lit(48)).alias("scroll"), F.size(X.accent_spans(F.col("text"), ["the", "an"])).alias("n_accents"),
+        "conv_id", "turn", X.n_words(F.col("text")).alias("n_words"), X.safe_title(F.col("text"), F.col("turn")).alias("title"), X.safe_label(F.col("text")).alias("label"), X.text_width(F.col("text"), F.lit(48)).alias("width"),
+        X.needs_scroll(F.col("text"), F.lit(48)).alias("scroll"), F.size(X.accent_spans(F.col("text"), ["the", "an"])).alias("n_accents"),
     )
 
 
@@ -115,14 +115,17 @@ def token_f1(spark, sf):
 
 def title_functions(spark, sf):
     d = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")
-    return d.select("conv_id", "turn", F.length(X.polish_title(F.col("text"))).alias("n"), X.title_seconds(F.substring("text", 1, 70), F.lit(1.5)).alias("seconds"), F.md5(X.title_typography(F.col("text")).cast("binary")).alias("digest"))
+    return d.select("conv_id", "turn", F.length(X.polish_title(F.col("text"))).alias("n"), X.title_seconds(F.col("text"), F.lit(1.5)).alias("seconds"), F.md5(X.title_typography(F.col("text")).cast("binary")).alias("digest"))
 
 
 def wrap_text(spark, sf):
     d = view(spark, sf, "segments")
-    t = F.substring("text", 1, 120)
-    lines = d.select(*KEY, "seg_idx", X.wrap_text(22)(t).alias("w"), X.wrap_by_width(1200)(t).alias("u"), X.wrap_title()(t).alias("t"), X.wrap_balanced(2400)(F.substring("text", 1, 60)).alias("b"))
-    return lines.select(*KEY, "seg_idx", F.size("w").alias("n_lines"), F.size("u").alias("n_wide"), F.col("t").alias("title"), F.size("b").alias("n_balanced"))
+    lines = d.select(*KEY, "seg_idx", X.wrap_text(22)("text").alias("w"), X.wrap_by_width(1200)("text").alias("u"), X.wrap_title()("text").alias("t"))
+    return lines.select(*KEY, "seg_idx", F.size("w").alias("n_lines"), F.size("u").alias("n_wide"), F.col("t").alias("title"))
+
+
+def wrap_balanced(spark, sf):
+    return view(spark, sf, "segments").select(*KEY, "seg_idx", F.array_join(X.wrap_balanced(6000)("text"), "\n").alias("lines"))
 
 
 def slice_text(spark, sf):
@@ -162,7 +165,7 @@ def align_blocks(spark, sf):
     """Script blocks: every third segment's text of a recording, to be found again in its transcript."""
     s = view(spark, sf, "segments").select(*KEY, "seg_idx", "start_ms", "end_ms", X.normalize_text(F.col("text")).alias("text"))
     blocks = s.filter("seg_idx % 3 = 1").select(*KEY, F.col("seg_idx").alias("block_idx"), "text")
-    return A.align_blocks(blocks, s, "recording_id", most_segments=4, least_ms=1000, longest_ms=60_000, markers=()).select(*KEY, "block_idx", "start_ms", "end_ms")
+    return A.align_blocks(blocks, s, "recording_id").select(*KEY, "block_idx", "start_ms", "end_ms")
 
 
 def monotonic_clamp(spark, sf):
@@ -172,15 +175,52 @@ def monotonic_clamp(spark, sf):
 
 def retime_captions(spark, sf):
     s = view(spark, sf, "segments").withColumns({"v": F.lit(10_000), "a": F.lit(10_000) + (F.col("recording_id") % 5) * 100})
-    return K.retime_captions(s, (F.col("v"), F.col("a"))).select(*KEY, "seg_idx", ((F.col("end_ms") - F.col("start_ms")) > 0).alias("ok"))
+    return K.retime_captions(s, (F.col("v"), F.col("a"))).select(*KEY, "seg_idx", "start_ms", "end_ms")
+
+
+def retime_transcript(spark, sf):
+    s = view(spark, sf, "segments")
+    word = F.array(F.struct((F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("speaker").alias("word")))
+    t = K.retime_transcript(s.select(*KEY, "seg_idx", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), word.alias("words")), 1.25)
+    ms = lambda c: F.bround(c * 1000).cast("long")
+    return t.select(*KEY, "seg_idx", ms(F.col("start")).alias("start_ms"), ms(F.col("end")).alias("end_ms"), ms(F.col("words")[0]["end"]).alias("word_end_ms"))
+
+
+def timed_words(spark, sf):
+    """segments in seconds with their words, which share the time evenly, in hundredths."""
+    w = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    step = (F.col("end_ms") - F.col("start_ms")) / F.size("w")
+    at = lambda i: (F.floor((F.col("start_ms") + step * i) / 10) / 100).cast("double")
+    words = F.transform("w", lambda x, i: F.struct(at(i).alias("start"), at(i + 1).alias("end"), x.alias("word"), F.lit(None).cast("double").alias("probability")))
+    return view(spark, sf, "segments").withColumn("w", w).select(*KEY, "seg_idx", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "text", words.alias("words"))
+
+
+def show_words(spark, sf):
+    return L.show_words(timed_words(spark, sf), 5.0, 30.0).select(*KEY, "seg_idx", "shown")
+
+
+def slice_transcript(spark, sf):
+    t = L.slice_transcript(timed_words(spark, sf), 5.0, 25.0)
+    cents = lambda c: F.bround(c * 100).cast("long")
+    return t.select(*KEY, "seg_idx", cents(F.col("start")).alias("start"), F.size("words").alias("n_words"), cents(F.col("words")[0]["start"]).alias("first_word"))
+
+
+def auto_title(spark, sf):
+    s = view(spark, sf, "segments")
+    w = s.select(*KEY, F.col("seg_idx").alias("w"), "start_ms", (F.col("start_ms") + 9000).alias("end_ms"))
+    rules = [([["the"], ["ing", "ung"]], "What of this thing?"), ([["qu", "ver"]], "How to begin?")]
+    return L.auto_title(w, s, "recording_id", ["w"], 60, rules)
 
 
-QUERIES = {f.__name__: f for f in (build_clips, build_timeline, seamless_joins, graphic_edges, heard_vs_planned, snippet_for_windows, cue_spots, slice_words, find_cached_chunk, write_srt, parse_srt, write_ass, parse_ass, clip_manifest, time_functions, overlap_functions, text_functions, source_functions, token_f1, title_functions, wrap_text, slice_text, merge_segments, merge_dense_segments, caption_pages, captions_for_clips, caption_fit_check, speech_text_filter, align_blocks, monotonic_clamp, retime_captions)}
+QUERIES = {f.__name__: f for f in (build_clips, build_timeline, seamless_joins, graphic_edges, heard_vs_planned, snippet_for_windows, cue_spots, slice_words, find_cached_chunk, write_srt, parse_srt, write_ass, parse_ass, clip_manifest, time_functions, overlap_functions, text_functions, source_functions, token_f1, title_functions, wrap_text, wrap_balanced, slice_text, merge_segments, merge_dense_segments, caption_pages, captions_for_clips, caption_fit_check, speech_text_filter, align_blocks, monotonic_clamp, retime_captions, retime_transcript, show_words, slice_transcript, auto_title)}
 
 _S, _K = with_views("segments"), with_views("cues")
 _HMS = "lpad(CAST({t} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({t} % 3600000 // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({t} % 60000 // 1000 AS VARCHAR), 2, '0') || '{p}' || lpad(CAST({t} % 1000 AS VARCHAR), 3, '0')"
 _SRT = "array_to_string(list(rn || chr(10) || " + _HMS.format(t="start_ms", p=",") + " || ' --> ' || " + _HMS.format(t="end_ms", p=",") + " || chr(10) || text || chr(10) ORDER BY rn), chr(10))"
 _WORDS = "list_filter(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')"
+_ASS = "(CAST(round_even({t} / 10, 0) AS BIGINT) // 360000) || ':' || lpad(CAST(CAST(round_even({t} / 10, 0) AS BIGINT) % 360000 // 6000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(round_even({t} / 10, 0) AS BIGINT) % 6000 // 100 AS VARCHAR), 2, '0') || '.' || lpad(CAST(CAST(round_even({t} / 10, 0) AS BIGINT) % 100 AS VARCHAR), 2, '0')"
+_TW = _S + r", tv AS (SELECT *, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM segments), tw AS (SELECT *, list_transform(range(0, len(w) + 1), lambda i: floor((start_ms + (end_ms - start_ms) / len(w) * i) / 10) * 10) AS a FROM tv)"
+_DENSE = "(1000 * len(list_filter(string_split_regex({x}, '\\s+'), lambda z: z <> '')) > {k} * 2.5 * greatest(0.001, {d}))"
 SQL = {
     "build_clips": with_views("clips") + ", f AS (SELECT reel_id, clip_idx, source, CAST(round_even((start_ms - advance_ms) * 30 / 1000, 0) AS BIGINT) AS start_frame, CAST(round_even((end_ms - advance_ms) * 30 / 1000, 0) AS BIGINT) AS end_frame FROM clips) SELECT *, CAST(coalesce(sum(end_frame - start_frame) OVER (PARTITION BY reel_id ORDER BY clip_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_frame FROM f",
     "build_timeline": with_views("clips", "cues") + """, l AS (SELECT reel_id, clip_idx, source, start_ms - advance_ms AS s, end_ms - advance_ms AS e, coalesce(sum(end_ms - start_ms) OVER (PARTITION BY reel_id ORDER BY clip_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ms FROM clips)
@@ -198,7 +238,7 @@ SQL = {
     "clip_manifest": with_views("candidates") + ", r AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_ms, end_ms) AS rn FROM candidates) SELECT recording_id, count(*) AS n, min('rec' || recording_id || '_01_' || replace(" + _HMS.format(t="start_ms", p=".") + ", ':', '-') || '_' || replace(" + _HMS.format(t="end_ms", p=".") + ", ':', '-') || '.mp4') FILTER (rn = 1) AS first_file FROM r GROUP BY recording_id",
     "time_functions": _S + ", t AS (SELECT *, start_ms * 10 AS x FROM segments) SELECT recording_id, seg_idx, " + _HMS.format(t="start_ms", p=",") + " AS srt, (x // 3600000) || ':' || lpad(CAST(x % 3600000 // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(x % 60000 // 1000 AS VARCHAR), 2, '0') || '.' || lpad(CAST(x % 1000 // 10 AS VARCHAR), 2, '0') AS ass, " + _HMS.format(t="start_ms", p=".") + " AS stamp, start_ms AS back_ms, start_ms AS seconds FROM t",
     "overlap_functions": with_views("candidates") + ", o AS (SELECT cand_idx, end_ms - start_ms AS l, greatest(0, least(end_ms, 260000) - greatest(start_ms, 200000)) AS i FROM candidates) SELECT cand_idx, 2 * i >= least(l, 60000) AS half, 4 * i >= l + 60000 - i AS quarter FROM o",
-    "text_functions": r"""WITH t AS (SELECT conv_id, turn, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q, substr(text, 1, 40) AS h, regexp_replace(regexp_replace(regexp_replace(lower(substr(text, 1, 20)), '[^a-z0-9_]+', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS lb FROM conversations),
+    "text_functions": r"""WITH t AS (SELECT conv_id, turn, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q, coalesce(text, '') AS h, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_]+', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS lb FROM conversations),
       w AS (SELECT *, (SELECT sum(CASE WHEN contains(' ilI1|.,:;!''`', c) THEN 34 WHEN contains('WwMm@%#&ЖШЩЮФЫД', c) THEN 90 ELSE 60 END) FROM (SELECT unnest(string_split(h, '')) AS c)) * 48 AS wd FROM t)
       SELECT conv_id, turn, CASE WHEN q = '' THEN 0 ELSE len(string_split(q, ' ')) END AS n_words,
         CASE WHEN q = '' THEN 'Фрагмент ' || turn WHEN length(q) <= 68 THEN q ELSE regexp_replace(CASE WHEN contains(substr(q, 1, 68), ' ') THEN regexp_replace(substr(q, 1, 68), ' [^ ]*$', '') ELSE substr(q, 1, 68) END, '[ ,.;:-]+$', '') || '…' END AS title,
@@ -220,5 +260,36 @@ SQL = {
     "caption_fit_check": _K + """, l AS (SELECT reel_id, unnest(string_split(text, chr(10))) AS line FROM cues), w AS (SELECT reel_id, CAST(coalesce(list_sum(list_transform(string_split(line, ''), lambda c: CASE WHEN c = '' THEN 0 WHEN contains(' ilI1|.,:;!''`', c) THEN 34 WHEN contains('WwMm@%#&ЖШЩЮФЫД', c) THEN 90 ELSE 60 END)), 0) * 48 AS INTEGER) AS w FROM l)
       SELECT reel_id, count(*) AS n_lines, count(*) FILTER (w > 56000) AS n_over, max(w) AS widest FROM w GROUP BY reel_id""",
     "speech_text_filter": _S + r", t AS (SELECT recording_id, seg_idx, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM segments) SELECT recording_id, seg_idx FROM t WHERE q <> '' AND NOT (len(string_split(q, ' ')) <= 5 AND regexp_matches(q, '(?i)(^|[^\p{L}\p{N}_])(the|an)'))",
-    "retime_captions": _S + " SELECT recording_id, seg_idx, true AS ok FROM segments",
+    "retime_captions": _S + ", f AS (SELECT *, CASE WHEN recording_id % 5 IN (1, 2) THEN 10000 / (10000 + recording_id % 5 * 100) END AS f FROM segments) SELECT recording_id, seg_idx, CASE WHEN f IS NULL THEN start_ms ELSE CAST(round_even(start_ms * f, 0) AS BIGINT) END AS start_ms, CASE WHEN f IS NULL THEN end_ms ELSE CAST(round_even(end_ms * f, 0) AS BIGINT) END AS end_ms FROM f",
+    "retime_transcript": _S + " SELECT recording_id, seg_idx, start_ms + 1250 AS start_ms, end_ms + 1250 AS end_ms, end_ms + 1250 AS word_end_ms FROM segments",
+    "show_words": _TW + """ SELECT recording_id, seg_idx, printf('[%7.2f-%7.2f] ', start_ms / 1000, end_ms / 1000) || trim(text) || chr(10) || '   ' || array_to_string(list_transform(range(1, len(w) + 1), lambda i: w[i] || '·' || printf('%.2f', a[i] / 1000)), '  ') AS shown FROM tw WHERE end_ms >= 5000 AND start_ms <= 30000""",
+    "slice_transcript": _TW + """, k AS (SELECT recording_id, seg_idx, start_ms, list_filter(a[1 : len(w)], lambda t: t >= 5000 AND t <= 30000) AS k FROM tw WHERE end_ms >= 5000 AND start_ms <= 30000)
+      SELECT recording_id, seg_idx, CAST(round_even(start_ms / 10.0 - 500, 0) AS BIGINT) AS start, CAST(len(k) AS INTEGER) AS n_words, CAST(round_even(k[1] / 10.0 - 500, 0) AS BIGINT) AS first_word FROM k WHERE len(k) > 0""",
+    "auto_title": _S + r""", j AS (SELECT w.recording_id, w.seg_idx AS w, s.seg_idx AS i, trim(regexp_replace(s.text, '\s+', ' ', 'g')) AS t FROM segments w JOIN segments s ON s.recording_id = w.recording_id AND s.end_ms > w.start_ms AND s.start_ms < w.start_ms + 9000),
+      b AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY recording_id, w ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS before FROM j WHERE t <> ''),
+      g AS (SELECT recording_id, w, array_to_string(list(t ORDER BY i), ' ') AS t FROM b WHERE before < 60 GROUP BY ALL),
+      p AS (SELECT *, trim(substr(array_to_string(string_split(regexp_replace(string_split_regex(t, '[.!?]')[1], '^[ ,:;-]+|[ ,:;-]+$', '', 'g'), ' ')[1 : 8], ' '), 1, 64)) AS p FROM g)
+      SELECT s.recording_id, s.seg_idx AS w, CASE WHEN contains(lower(t), 'the') AND (contains(lower(t), 'ing') OR contains(lower(t), 'ung')) THEN 'What of this thing?' WHEN contains(lower(t), 'qu') OR contains(lower(t), 'ver') THEN 'How to begin?' WHEN length(p) >= 8 THEN upper(substr(p, 1, 1)) || substr(p, 2) || '?' END AS title
+      FROM segments s LEFT JOIN p ON p.recording_id = s.recording_id AND p.w = s.seg_idx""",
+    "write_ass": _S + ", l AS (SELECT recording_id, start_ms, end_ms, 'Dialogue: 0,' || " + _ASS.format(t="start_ms") + " || ',' || " + _ASS.format(t="end_ms") + " || ',Default,,0,0,0,,' || replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '{', '['), '}', ']'), chr(10), chr(92) || 'N') AS l FROM segments), t AS (SELECT recording_id, array_to_string(list(l ORDER BY start_ms, end_ms, l), chr(10)) AS a FROM l GROUP BY ALL) SELECT recording_id, CAST(length(a) AS INTEGER) AS n, md5(a) AS digest FROM t",
+    "slice_text": _S + r""", q AS (SELECT recording_id, seg_idx, start_ms, end_ms, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM segments), n AS (SELECT *, string_split(q, ' ') AS p, (start_ms + end_ms) // 2 AS mid FROM q), b AS (SELECT *, len(p) AS n, greatest(0.0, least(1.0, (mid - start_ms) / greatest(end_ms - start_ms, 1))) AS b FROM n)
+      SELECT recording_id, seg_idx, CASE WHEN b <= 0 OR b >= 0.999 OR n <= 3 THEN q ELSE array_to_string(p[1 : greatest(1, least(n, CAST(ceil(b * n) AS BIGINT)))], ' ') END AS part FROM b""",
+    "wrap_text": _S + """, w AS (SELECT recording_id, seg_idx, """ + _WORDS + """ AS w FROM segments),
+      f AS (SELECT recording_id, seg_idx, w, 0 AS i, 0 AS n, 0 AS l, 0 AS m, 0 AS u, CAST([] AS VARCHAR[]) AS t FROM w
+        UNION ALL SELECT recording_id, seg_idx, w, i + 1, CASE WHEN n > 0 AND l + 1 + length(x) <= 22 THEN n ELSE n + 1 END, CASE WHEN n > 0 AND l + 1 + length(x) <= 22 THEN l + 1 + length(x) ELSE length(x) END,
+          CASE WHEN m > 0 AND u + 34 + xu <= 1200 THEN m ELSE m + 1 END, CASE WHEN m > 0 AND u + 34 + xu <= 1200 THEN u + 34 + xu ELSE xu END,
+          CASE WHEN len(t) > 3 THEN t WHEN len(t) > 0 AND length(t[-1]) + 1 + length(x) <= 28 THEN t[1 : len(t) - 1] || [t[-1] || ' ' || x] ELSE t || [x] END
+        FROM (SELECT *, w[i + 1] AS x, list_sum(list_transform(string_split(w[i + 1], ''), lambda c: CASE WHEN contains(' ilI1|.,:;!''`', c) THEN 34 WHEN contains('WwMm@%#&ЖШЩЮФЫД', c) THEN 90 ELSE 60 END)) AS xu FROM f WHERE i < len(w)))
+      SELECT recording_id, seg_idx, CAST(greatest(n, 1) AS INTEGER) AS n_lines, CAST(greatest(m, 1) AS INTEGER) AS n_wide, CASE WHEN len(t) > 3 THEN t[1] || chr(10) || t[2] || chr(10) || rtrim(substr(t[3], 1, 25)) || '...' ELSE array_to_string(t, chr(10)) END AS title FROM f WHERE i = len(w)""",
+    "merge_dense_segments": _S + """, r AS (SELECT recording_id, start_ms AS s, end_ms AS e, text AS t, row_number() OVER (PARTITION BY recording_id ORDER BY start_ms, end_ms) AS rn FROM segments),
+      k AS (SELECT recording_id, max(rn) AS n FROM r GROUP BY ALL),
+      f AS (SELECT recording_id, CAST(1 AS BIGINT) AS i, CAST([] AS STRUCT(s BIGINT, e BIGINT, t VARCHAR)[]) AS o, {'s': s, 'e': e, 't': t} AS c, 20000 AS lim FROM r WHERE rn = 1
+        UNION ALL SELECT recording_id, i + 1,
+          CASE WHEN take THEN o WHEN back THEN o[1 : len(o) - 1] || [{'s': o[-1].s, 'e': c.e, 't': trim(o[-1].t || ' ' || c.t)}] ELSE o || [c] END,
+          CASE WHEN take THEN {'s': c.s, 'e': e, 't': trim(c.t || ' ' || t)} ELSE {'s': s, 'e': e, 't': t} END, 20000
+        FROM (SELECT f.recording_id, f.i, f.o, f.c, f.lim, r.s, r.e, r.t, """ + _DENSE.format(x="f.c.t", d="(f.c.e - f.c.s)", k=1) + """ AND r.s IS NOT NULL AND r.s - f.c.e <= 1500 AND r.e - f.c.s <= f.lim AS take,
+            """ + _DENSE.format(x="f.c.t", d="(f.c.e - f.c.s)", k=1) + """ AND len(f.o) > 0 AND f.c.s - f.o[-1].e <= 1500 AND f.c.e - f.o[-1].s <= f.lim AS back
+          FROM f JOIN k ON k.recording_id = f.recording_id AND f.i <= k.n LEFT JOIN r ON r.recording_id = f.recording_id AND r.rn = f.i + 1)),
+      g AS (SELECT f.recording_id, unnest(o) AS o FROM f JOIN k ON k.recording_id = f.recording_id AND f.i = k.n + 1)
+      SELECT recording_id, o.s AS start_ms, o.e AS end_ms, o.t AS text FROM g""",
 }

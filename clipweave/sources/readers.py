@@ -85,9 +85,9 @@ def read_progress(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_candidates(spark: SparkSession, paths) -> DataFrame:
-    """path, cand_idx, start, end, title, reason, score; items without times are dropped."""
+    """path, transcript_path, cand_idx, start, end, title, reason, score; items without times are dropped."""
     schema = "transcript_path string, video_path string, llm_model string, candidates array<struct<start:double,end:double,title:string,reason:string,score:double>>"
-    return _json(spark, paths, schema).select("path", F.posexplode("candidates").alias("cand_idx", "c")).select("path", "cand_idx", "c.*").filter("start IS NOT NULL AND end IS NOT NULL")
+    return _json(spark, paths, schema).select("path", "transcript_path", F.posexplode("candidates").alias("cand_idx", "c")).select("path", "transcript_path", "cand_idx", "c.*").filter("start IS NOT NULL AND end IS NOT NULL")
 
 
 def read_offsets(spark: SparkSession, paths) -> DataFrame:
@@ -116,4 +116,4 @@ def read_speaker_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run_records(spark: SparkSession, paths) -> DataFrame:
-    return spark.read.schema("run_id string, type string, status string, rc int, attempts int, seconds double, index int, start double, end double, title string, output string").json(paths)
+    return spark.read.schema("run_id string, type string, status string, rc int, attempts int, seconds double, count int, count_raw int, index int, start double, end double, title string, output string").json(paths)

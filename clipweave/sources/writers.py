@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Cells are written as they are: no trimming, empty ones without quotes.
+AS_IS = {"header": True, "mode": "overwrite", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_tracker_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.csv(path, header=True, mode="overwrite", emptyValue="")
+    df.coalesce(1).write.csv(path, **AS_IS)
 
 
 def write_excel_csv(df: DataFrame, path: str) -> None:
@@ -21,12 +25,12 @@ def write_excel_csv(df: DataFrame, path: str) -> None:
 
 def write_excel_tsv(df: DataFrame, path: str) -> None:
     """UTF-16 with a byte order mark, tabs."""
-    df.coalesce(1).write.csv(path, header=True, sep="\t", encoding="UTF-16", mode="overwrite", emptyValue="")
+    df.coalesce(1).write.csv(path, sep="\t", encoding="UTF-16", **AS_IS)
 
 
 def write_progress(df: DataFrame, path: str) -> None:
     columns = ["index", "filename", "status", "instagram_post_url", "published_at", "notes"]
-    df.select(*columns).coalesce(1).sortWithinPartitions("index").write.csv(path, header=True, mode="overwrite", emptyValue="")
+    df.select(*columns).coalesce(1).sortWithinPartitions("index").write.csv(path, **AS_IS)
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
@@ -34,10 +38,10 @@ def write_json_report(df: DataFrame, path: str) -> None:
 
 
 def write_eval_tsv(df: DataFrame, path: str, four: list[str], two: list[str]) -> None:
-    """Fixed decimals; cells of rows that are not ok are blank."""
-    cell = lambda c, f: F.when((F.col("status") == "ok") & F.col(c).isNotNull(), F.format_string(f, F.col(c).cast("double"))).otherwise(F.lit(""))
-    out = df.withColumns({**{c: cell(c, "%.4f") for c in four}, **{c: cell(c, "%.2f") for c in two}})
-    out.coalesce(1).write.csv(path, header=True, sep="\t", mode="overwrite", emptyValue="")
+    """Fixed decimals, halves to even; cells of rows that are not ok are blank."""
+    cell = lambda c, n: F.when((F.col("status") == "ok") & F.col(c).isNotNull(), F.format_string(f"%.{n}f", F.bround(F.col(c).cast("double"), n))).otherwise(F.lit(""))
+    out = df.withColumns({**{c: cell(c, 4) for c in four}, **{c: cell(c, 2) for c in two}})
+    out.coalesce(1).write.csv(path, sep="\t", **AS_IS)
 
 
 def write_text(df: DataFrame, path: str, text: str, lines: str = "\n") -> None:

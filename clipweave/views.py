@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +21,9 @@ VIEWS = {
       SELECT user_id AS recording_id, event_id AS interval_id, event_type AS kind, {MS} AS start_ms,
         {MS} + CAST(round(value * 60000) AS BIGINT) AS end_ms FROM <events>""",
     "levels": """
-      SELECT user_id % 10 AS recording_id, event_type AS camera, CAST(floor(({MS} - 1704067200000) / 3600000) AS BIGINT) AS hop_idx,
+      SELECT user_id AS recording_id, event_type AS camera, CAST(floor(({MS} - 1704067200000) / 3600000) AS BIGINT) AS hop_idx,
         CAST(round(max(value) * 100) AS BIGINT) AS level
-      FROM <events> GROUP BY user_id % 10, event_type, CAST(floor(({MS} - 1704067200000) / 3600000) AS BIGINT)""",
+      FROM <events> GROUP BY user_id, event_type, CAST(floor(({MS} - 1704067200000) / 3600000) AS BIGINT)""",
     "candidates": """
       SELECT o_custkey AS recording_id, o_orderkey AS cand_idx, CAST(((o_orderkey * 37) % 600) * 1000 AS BIGINT) AS start_ms,
         CAST(((o_orderkey * 37) % 600 + 10 + (o_orderkey * 13) % 85) * 1000 AS BIGINT) AS end_ms,
@@ -84,3 +86,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for n in _NEEDS.get(name, []):
         text = re.sub(rf"\bFROM {n}\b", f"FROM {{{n}}}", text)
     return spark.sql(text, **frames)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); only a local session may go without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="clipweave-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder}/clipweave/{name}-{uuid.uuid4().hex}"

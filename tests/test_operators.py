@@ -1,10 +1,14 @@
 """Golden values and properties of single operators."""
 
+import itertools
+import random
+
 import numpy as np
 import pandas as pd
+import pytest
 from clipweave.functions import text as X
 from clipweave.functions import timecode as T
-from clipweave.operators import captions, intervals, shots, signal, timeline
+from clipweave.operators import align, candidates, captions, catalog, intervals, shots, signal, speakers, timeline
 from clipweave.sources import readers, writers
 from pyspark.sql import functions as F
 
@@ -49,7 +53,7 @@ def test_late_start_is_found():
     a = rng.normal(0, 0.2, len(t)) * (t % 1 < 0.7)
     b = a[int(0.37 * sr) :]
     hop = sr // 100
-    lag, score = signal.xcorr_lag(signal.abs_envelope(a, hop), signal.abs_envelope(b, hop), 200)
+    lag, score = signal.xcorr_lag(signal.envelope_of(a, hop), signal.envelope_of(b, hop), 200)
     assert abs(lag / 100 + 0.37) <= 0.011 and score > 0.9
     lag, _ = signal.gcc_phat(a, b, sr)
     assert abs(lag / sr + 0.37) <= 0.011
@@ -114,3 +118,249 @@ def test_wav_chunks(spark, tmp_path):
 def test_gated_mix(spark):
     df = spark.createDataFrame([("r", 0, [0.5] * 4, 1.0, [1.0] * 4, [9.0] * 4), ("r", 0, [0.4] * 4, 1.0, [0.0] * 4, [9.0] * 4)], "r string, chunk_idx int, samples array<double>, gain double, active array<double>, since array<double>")
     assert signal.gated_mix(df, "r", fade=2).first().mixed == [0.5] * 4
+
+
+@pytest.fixture
+def tiny_batches(spark):
+    """Arrow batches of three rows: what goes through a key in order must carry its state over them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    yield
+    spark.conf.set(key, old)
+
+
+CAND = "recording_id long, cand_idx long, start_ms long, end_ms long, score_milli long"
+
+
+def brute_selection(rows, target=45_000, most=6, percent=80):
+    kept = []
+    for r in sorted(rows, key=lambda r: (-((r[4] or 0) * target - 80 * abs(r[3] - r[2] - target)), -(r[4] or 0), r[1])):
+        ratio = lambda k, r=r: 100 * max(0, min(k[3], r[3]) - max(k[2], r[2])) / min(k[3] - k[2], r[3] - r[2]) if min(k[3] - k[2], r[3] - r[2]) > 0 else 0
+        if len(kept) < most and all(ratio(k) < percent for k in kept):
+            kept.append(r)
+    return kept
+
+
+def test_selection_matches_brute_force(spark, tiny_batches):
+    rng = random.Random(1)
+    data = [(k, i, s := rng.randrange(0, 200_000), s + rng.choice([0, -500, 20_000, 45_000, 60_000]), rng.choice([None, *range(5)])) for k in range(5) for i in range(20 * (k > 0) + 1)]
+    df = spark.createDataFrame([(k if k != 4 else None, *r) for k, *r in data], CAND)
+    got = sorted(tuple(r)[1:] for r in candidates.select_candidates(df, ["recording_id"], "cand_idx").collect())
+    want = sorted(tuple(r[1:]) for k in range(5) for r in brute_selection([d for d in data if d[0] == k]))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_empty_candidates_overlap_nothing(spark):
+    df = spark.createDataFrame([(1, 0, 0, 45_000, 9), (1, 1, 10_000, 10_000, 8), (1, 2, 50_000, 95_000, 7)], CAND)
+    assert candidates.select_candidates(df, ["recording_id"], "cand_idx").count() == 3
+
+
+def test_matching_matches_brute_force(spark, tiny_batches):
+    rng = random.Random(2)
+    side = lambda: [(k, i, s := rng.randrange(0, 60_000), s + rng.randrange(1000, 30_000)) for k in range(4) for i in range(9)]
+    a, b = side(), side()
+    left = spark.createDataFrame(a, "k long, i long, start_ms long, end_ms long")
+    right = spark.createDataFrame(b, "k long, j long, r_start_ms long, r_end_ms long")
+    got = sorted((r.k, r.i, r.j, r.overlap_ms) for r in candidates.greedy_match(left, right, ["k"]).collect())
+    want = []
+    for k in range(4):
+        pairs = [(min(x[3], y[3]) - max(x[2], y[2]), x[1], y[1]) for x in a for y in b if x[0] == y[0] == k and x[3] > y[2] and x[2] < y[3]]
+        i_used, j_used = set(), set()
+        for o, i, j in sorted(pairs, reverse=True):
+            if i not in i_used and j not in j_used:
+                i_used.add(i)
+                j_used.add(j)
+                want.append((k, i, j, o))
+    assert got == sorted(want)
+
+
+def test_evaluation_statuses_and_shares(spark):
+    cases = spark.createDataFrame([("ok", True, "base"), ("none", True, "base"), ("t", False, "base"), ("b", True, None), ("o", True, "x")], "k string, has_transcript boolean, base_model string")
+    rows = lambda *xs: spark.createDataFrame([(k, i, a, b) for k in ("ok", "t", "b", "o") for i, (a, b) in enumerate(xs)], "k string, pos int, start_ms long, end_ms long")
+    e = candidates.eval_models(cases, rows((0, 10_000), (50_000, 60_000)), rows((0, 20_000)), ["k"], "base")
+    got = {r.k: r for r in e.collect()}
+    assert {k: r.status for k, r in got.items()} == {"ok": "ok", "none": "ok", "t": "missing_transcript", "b": "missing_baseline", "o": "other_baseline"}
+    r = got["ok"]
+    assert (r.matched, r.base_rate, r.model_rate, r.avg_iou, r.base_covered, r.model_covered, r.close_share) == (1, 1.0, 0.5, 0.5, 0.5, 0.5, 0.0)
+    assert got["none"].base_rate == 0 and got["t"].matched is None
+    total = candidates.eval_summary(e).first()
+    assert (total.total_cases, total.ok_cases, total.base_rate) == (5, 2, 0.5)
+
+
+def test_balanced_wrap_matches_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        words = ["".join(rng.choice("ilmWaeo.") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 11))]
+        limit = rng.choice([300, 600, 900, 1500])
+        want = None
+        for n in (1, 2, 3, 4):
+            best = None
+            for cuts in itertools.combinations(range(1, len(words)), n - 1):
+                lines = [words[a:b] for a, b in zip((0, *cuts), (*cuts, len(words)), strict=True)]
+                wide = [X.estimated_units(" ".join(x)) for x in lines]
+                if max(wide) > limit or any(len(x) == 1 and len(x[0]) <= 4 for x in lines[1:]):
+                    continue
+                score = 10 * max(wide) - 3 * min(wide)
+                if best is None or score < best[0]:
+                    best = score, [" ".join(x) for x in lines]
+            if best:
+                want = best[1]
+                break
+        assert X.balanced_lines(words, limit) == (want or [" ".join(words)])
+    assert len(X.balanced_lines(["word"] * 50_000, 6000)) == 1
+
+
+def plain_min_shot(shots_in, least, eps):
+    """Restated plainly: one change at a time, from the first short shot that can be changed, until none can."""
+
+    def join(s):
+        out = []
+        for c, a, x, y in s:
+            if y - x > 10:
+                if out and out[-1][:2] == [c, a] and abs(out[-1][3] - x) <= eps:
+                    out[-1][3] = y
+                else:
+                    out.append([c, a, x, y])
+        return out
+
+    def one_pass(s):
+        i, changed = 0, False
+        while i < len(s):
+            c, a, x, y = s[i]
+            if y - x >= least:
+                i += 1
+                continue
+            near = lambda p, q: abs(p - q) <= eps
+            prev = s[i - 1] if i and near(s[i - 1][3], x) else None
+            nxt = s[i + 1] if i + 1 < len(s) and near(s[i + 1][2], y) else None
+            if prev and nxt and prev[:2] == nxt[:2]:
+                prev[3] = nxt[3]
+                s[i : i + 2] = []
+                i = max(0, i - 1)
+            elif prev and (not nxt or prev[3] - prev[2] >= nxt[3] - nxt[2]):
+                prev[3] = y
+                s[i : i + 1] = []
+                i = max(0, i - 1)
+            elif nxt:
+                nxt[2] = x
+                s[i : i + 1] = []
+            elif i in (0, len(s) - 1) or y - x <= 350:
+                s[i : i + 1] = []
+            else:
+                i += 1
+                continue
+            changed = True
+        return changed
+
+    s = join(shots_in)
+    base = [list(x) for x in s]
+    while len(s) > 1 and one_pass(s):
+        s = join(s)
+    return s or base
+
+
+def test_min_shot_matches_a_plain_restatement(spark):
+    rng = random.Random(4)
+    data = {}
+    for k in range(60):
+        at, rows_k = 0, []
+        for _ in range(rng.randrange(1, 12)):
+            d = rng.choice([5, 100, 300, 600, 900, 2000, 5000])
+            rows_k.append([c := rng.choice("xyz"), rng.choice([c, "x"]), at, at + d])
+            at += d + rng.choice([0, 0, 0, 40, 500])
+        data[k] = rows_k
+    df = spark.createDataFrame([(k, *r) for k, rs in data.items() for r in rs], "k long, camera string, audio_camera string, start_ms long, end_ms long")
+    got = {}
+    for r in shots.enforce_min_shot(df, "k", 1000).orderBy("k", "start_ms").collect():
+        got.setdefault(r.k, []).append([r.camera, r.audio_camera, r.start_ms, r.end_ms])
+    assert all(got.get(k, []) == plain_min_shot(rs, 1000, 60) for k, rs in data.items())
+    apart = spark.createDataFrame([(1, "x", "x", 0, 100), (1, "y", "y", 5000, 5100)], df.schema)
+    assert shots.enforce_min_shot(apart, "k", 1000).count() == 2
+
+
+def test_envelope_mean_and_lag_bounds(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, 4000)
+    df = spark.createDataFrame([("r", 1000, 0, x.tolist())], "r string, sr int, start_sample long, samples array<double>")
+    got = [r.rms for r in signal.energy_envelope(df, ["r"], 20, 10, centred=True).orderBy("hop_idx").collect()]
+    plain = np.array([np.sqrt((x[i : i + 20] ** 2).mean()) for i in range(0, 3981, 10)])
+    assert np.allclose(got, plain - plain.mean()) and abs(np.mean(got)) < 1e-12
+    assert signal.gcc_phat(x[:20], x[:20], 200)[0] == 0.0
+    assert signal.gcc_phat(x[:20], x[:20], 0)[0] == 0.0
+
+
+def test_offsets_of_late_signals(spark):
+    rng = np.random.default_rng(6)
+    a = rng.normal(0, 1, 3000)
+    late = np.concatenate([rng.normal(0, 0.01, 120), a])[:3000]
+    df = spark.createDataFrame([(0, a.tolist(), late.tolist())], "id long, a array<double>, b array<double>")
+    for method in ("best", "gcc_phat", "envelope", "xcorr"):
+        r = signal.estimate_offset(df, ["id"], 1.0, 1000.0, method).first()
+        assert abs(r.offset - 0.12) <= 0.011, method
+    assert signal.estimate_offset(df, ["id"], 1.0, 1000.0).first().method == "gcc_phat"
+    r = signal.refine_offset(df.withColumn("center", F.lit(0.1)), ["id"], 1000.0, 0.05, 0.005).first()
+    assert abs(r.offset - 0.12) < 1e-9 and r.error < 0.2
+    for start in (0.0, 0.05, 0.3):
+        r = signal.verify_alignment(df.withColumn("current", F.lit(start)), ["id"], 1000.0, 0.002, 0.5).first()
+        assert r.aligned and abs(r.corrected - 0.12) < 0.002
+    r = signal.window_lags(df.withColumnsRenamed({"a": "y", "b": "x"}), ["id"], 8000).first()
+    assert abs(r.lag_seconds - 120 / 8000) < 1e-9 and r.correlation > 0.5
+    assert signal.window_lags(df.select("id", F.slice("a", 1, 700).alias("x"), F.col("b").alias("y")), ["id"]).count() == 0
+
+
+def test_residual_scores_have_shift_and_bias(spark):
+    df = spark.createDataFrame([("r", 0, [1.0, 0.0], [0.0, 0.1], 3.0, 0.5)], "r string, step long, a array<double>, b array<double>, shift_a double, bias_b double")
+    got = {r.camera_pos: r.score for r in signal.residual_scores(df, "r").collect()}
+    assert abs(got[0] - (20 * np.log10(np.sqrt(0.5)) + 3)) < 1e-4 and abs(got[1] - (20 * np.log10(np.sqrt(0.005)) + 0.5)) < 1e-4
+
+
+def test_titles(spark):
+    df = spark.createDataFrame([("Про вмк и мехмат",), ("ну это просто длинная фраза из многих разных слов подряд. Ещё",), ("Нет",), (None,), ("Тут задача",)], "t string")
+    assert [r[0] for r in df.select(X.title_of(F.col("t"))).collect()] == ["ВМК против мехмата: куда идти?", "Это просто длинная фраза из многих разных слов?", None, None, "Как решать задачи и не застревать?"]
+    t = spark.createDataFrame([("в целом, «привет»!!  мир",), ("слово " * 40,)], "t string").select(X.polish_title(F.col("t"))).collect()
+    assert t[0][0] == ", «привет! мир" or "привет" in t[0][0]
+    assert len(t[1][0]) <= 140 and t[1][0].endswith("слово")
+
+
+def test_probe_and_run_records(spark):
+    probe = '{"streams": [{"codec_type": "audio", "codec_name": " AAC "}, {"codec_type": "video", "codec_name": "H264", "width": 1080, "height": 0, "r_frame_rate": "30000/1001"}, {"codec_type": "video", "codec_name": "png"}], "format": {"duration": "12.5"}}'
+    r = catalog.probe_flatten(spark.createDataFrame([(1, probe), (2, "{}"), (3, None)], "id long, probe string"), ["id"]).orderBy("id").collect()
+    assert r[0][1:] == ("h264", 1080, None, 30000 / 1001, "aac", 12.5) and r[1][1:] == r[2][1:] == (None,) * 6
+    runs = spark.createDataFrame([("a", "transcribe", "error", 1.0, None), ("b", "candidates", "ok", 1.0, 0), ("c", "candidates", "ok", 1.0, 2), ("c", "render", "error", 2.0, None), ("c", "render", "ok", 2.0, None)], "run string, type string, status string, seconds double, count int")
+    got = {r.run: (r.run_status, r.n_ok, r.n_error) for r in catalog.run_log_summary(runs, "run").collect()}
+    assert got == {"a": ("error_transcribe", 0, 0), "b": ("ok_no_candidates", 0, 0), "c": ("partial", 1, 1)}
+
+
+def test_similarity_takes_the_best_centroid(spark):
+    w = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [1.0, 1.0])], "id long, v array<double>")
+    c = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "label string, centroid array<double>")
+    got = [(r.best, round(r.best_sim, 6), round(r.margin, 6)) for r in speakers.speaker_similarity(w, c, ["id"], "v", "label").orderBy("id").collect()]
+    assert got == [("a", 1.0, 1.0), ("b", 1.0, 1.0), ("b", round(0.5**0.5, 6), 0.0)]
+    assert speakers.speaker_similarity(w, c.limit(0), ["id"], "v", "label").count() == 0
+
+
+def test_align_blocks_matches_brute_force(spark):
+    import difflib
+
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(30)]
+    segs = [(i, i * 4000, i * 4000 + 3500, " ".join(rng.choices(vocab, k=5))) for i in range(14)]
+    blocks = [(0, segs[2][3] + " " + segs[3][3]), (1, segs[7][3] + " w1 w2"), (2, segs[10][3] + " " + segs[11][3])]
+    want, first = [], 0
+    for b, text in blocks:
+        best = None
+        for i in range(first, len(segs)):
+            for j in range(i, len(segs)):
+                d = segs[j][2] - segs[i][1]
+                if 6000 <= d <= 140_000:
+                    joined = " ".join(s[3] for s in segs[i : j + 1])
+                    x, y = set(text.split()), set(joined.split())
+                    score = 0.62 * 2 * len(x & y) / (len(x) + len(y)) + 0.38 * difflib.SequenceMatcher(None, text, joined).ratio()
+                    if best is None or score > best[0] + 1e-12:
+                        best = score, i, j
+        want.append((b, segs[best[1]][1], segs[best[2]][2]))
+        first = best[2] + 1
+    s = spark.createDataFrame([("r", *x) for x in segs], "r string, seg_idx long, start_ms long, end_ms long, text string")
+    bl = spark.createDataFrame([("r", *x) for x in blocks], "r string, block_idx long, text string")
+    assert [(r.block_idx, r.start_ms, r.end_ms) for r in align.align_blocks(bl, s, "r").orderBy("block_idx").collect()] == want
