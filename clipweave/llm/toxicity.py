@@ -16,7 +16,8 @@ whose states are tuples and whose transitions are kept once made (composition on
 
 What comes out are matches: insults and threats with marks. A match weighs its weight,
 times 1 + target factor if a target is marked, 1 - negation factor if negated, 1 - reported
-factor if reported. The factors are never zero: the fit chooses among FACTORS. A clause
+factor if reported. The factors are never zero: the fit takes the first of FACTORS unless
+others are better by LEAST_GAIN. A clause
 weighs the sum of its matches, and the document's score is a logistic of the clauses (summed
 weight, largest clause, weight per word, matches, length), so matched clauses count, not
 lone words; weights other than that of length are not negative, so a mark moves a score in
@@ -30,8 +31,7 @@ quartile of insults. Factors and logistic are fitted on the same rows. Labels, l
 and doc_id are no inputs of a score.
 
 Null or empty texts have the score of no match. Rows that repeat are scored alike; a
-doc_id with contradicting labels counts once for each. Of factors that fit alike the first
-in FACTORS is taken. Texts of any length are read whole, clause by clause. An empty table
+doc_id with contradicting labels counts once for each. Texts of any length are read whole, clause by clause. An empty table
 gives an empty result; without any label 1 every score is low. Extra columns are ignored.
 """
 
@@ -57,7 +57,9 @@ LEAST_EVIDENCE = 12.0
 CLEARER = 0.5
 NEGATION_REACH, TARGET_REACH, MODAL_REACH, OBJECT_REACH = 5, 5, 3, 3
 #: (target, negation, reported) factors to choose from, likely ones first.
-FACTORS = [(0.5, 0.8, 0.6), *((t, g, r) for t in (0.25, 0.5, 1.0) for g in (0.6, 0.8, 0.9) for r in (0.4, 0.6, 0.8))]
+FACTORS = [(0.5, 0.95, 0.8), *((t, g, r) for t in (0.25, 0.5, 1.0) for g in (0.8, 0.9, 0.95) for r in (0.6, 0.8, 0.9))]
+#: By how much the mean log loss of other factors must be less than that of the first: labels without marked matches choose nothing.
+LEAST_GAIN = 2e-3
 #: Marks of a match.
 NEGATED, REPORTED, AIMED = 1, 2, 4
 
@@ -345,7 +347,7 @@ class Model:
 
         def score(text: bytes | None) -> float:
             x = grammar.summary(text)
-            return none if x is None else 1 / (1 + math.exp(-min(30.0, max(-30.0, w[0] + float(x @ w[1:])))))
+            return none if x is None else max(none, 1 / (1 + math.exp(-min(30.0, max(-30.0, w[0] + float(x @ w[1:]))))))
 
         return score
 
@@ -379,7 +381,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
         w = _fit(x, y[hit])
         p = np.clip(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))), 1e-9, 1 - 1e-9)
         loss = -(y[hit] * np.log(p) + (1 - y[hit]) * np.log(1 - p)).mean()
-        if best is None or loss < best[0] - 1e-4:
+        if best is None or loss < best[0] - LEAST_GAIN:
             best = loss, factors, tuple(w.tolist())
     return Model(insults, best[1], best[2])
 
