@@ -10,13 +10,14 @@ times text where a node under a dropped node is dropped as well; so an ancestor
 descendant never contradict each other. The text of kept nodes is joined in page order.
 
 The trees are trained here on a bounded sample (the pages with the MOST_PAGES smallest
-hashes of page_id, MOST_NODES nodes). Their labels are of nodes whose place is named by
+hashes of page_id, and of their nodes the MOST_NODES first by the page's hash). Their labels are of nodes whose place is named by
 the page itself: semantic tags and attribute tokens; pages that name nothing are labelled
 by density (long, linkless, punctuated text against link lists). The trees then judge
 nodes without such names by their other features.
 
-Null and empty html have an empty text. Cut-off pages are read as far as they go. Rows
-that repeat are extracted alike. An empty table gives an empty result; extra columns are
+Null and empty html have an empty text. Cut-off pages are read as far as they go; a tag
+without an end is no text. Pages of any length are read whole. Nodes with equal log odds of
+zero are dropped. Rows that repeat are extracted alike. An empty table gives an empty result; extra columns are
 ignored.
 """
 
@@ -34,6 +35,7 @@ MOST_PAGES, MOST_NODES = 2_000, 60_000
 TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.25
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+_OPEN = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 RAW = {"script", "style"}
@@ -148,7 +150,8 @@ class Page:
                 pos = at = end.start() if end else size
             if not attrs.endswith("/"):
                 stack.append(node)
-        text(at, size)
+        cut = _OPEN.search(html, at)  # a tag that the page's end cuts off is no text
+        text(at, cut.start() if cut else size)
 
     def features(self) -> np.ndarray:
         n = len(self.kind)
@@ -156,7 +159,7 @@ class Page:
         own, words, marks = np.zeros(n), np.zeros(n), np.zeros(n)
         for node, s in self.pieces:
             if node >= 0:
-                own[node] += len(s) - s.count(" ") * 0
+                own[node] += len(s)
                 words[node] += s.count(" ") + 1
                 marks[node] += s.count(".") + s.count(",")
         hidden = np.array(self.hidden)
@@ -303,18 +306,18 @@ def train(pages: DataFrame, most_pages: int = MOST_PAGES, most_nodes: int = MOST
     """Trees from a bounded sample: features and labels are made by tasks, at most most_nodes rows come to the driver."""
     sample = pages.filter("html IS NOT NULL").select("page_id", F.xxhash64("page_id").alias("h"))
     ids = sample.orderBy("h", "page_id").limit(most_pages).select("page_id")
-    rows = pages.select("page_id", F.col("html").cast("string")).join(F.broadcast(ids), "page_id", "left_semi").select("html")
+    rows = pages.select("page_id", F.col("html").cast("string")).join(F.broadcast(ids), "page_id", "left_semi").select("html", F.xxhash64("page_id", "html").alias("h"))
 
     def run(batches):
         for batch in batches:
-            for html in batch.column(0).to_pylist():
+            for html, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = Page(html)
                 x = page.features()
                 y = page.labels()
                 at = np.flatnonzero(y >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(y[at].astype(np.int32)), pa.array([r.tolist() for r in x[at]], pa.list_(pa.float64()))], names=["y", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), h, np.int64)), pa.array(at), pa.array(y[at].astype(np.int32)), pa.array([r.tolist() for r in x[at]], pa.list_(pa.float64()))], names=["h", "i", "y", "x"])
 
-    got = rows.mapInArrow(run, "y int, x array<double>").limit(most_nodes).toArrow()
+    got = rows.mapInArrow(run, "h long, i long, y int, x array<double>").orderBy("h", "i").limit(most_nodes).select("y", "x").toArrow()
     y = got.column("y").to_numpy().astype(float)
     x = np.array(got.column("x").to_pylist(), float).reshape(len(y), N_FEATURES)
     return Trees(x, y)
