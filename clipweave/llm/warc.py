@@ -34,7 +34,7 @@ from .common import materialize
 
 MAGIC, GAP = b"WARC/1.0\r\n", b"\r\n\r\n"
 LEAST_DEDUP = 1000
-#: More revisits than this are joined by a shuffle, not broadcast.
+#: More rows (revisits, file blocks) than this are joined by a shuffle, not broadcast.
 MOST_BROADCAST_ROWS = 1_000_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _LENGTH = re.compile(rb"(?mi)^Content-Length:[ \t]*(\d+)[ \t]*\r?$")
@@ -151,7 +151,9 @@ def block_entries(found: DataFrame) -> DataFrame:
     blocks = materialize(found.filter("at IS NULL").select("file", "block", "total"), "blocks")
     order = W.partitionBy("file").orderBy("block")
     bases = materialize(blocks.withColumn("base", F.coalesce(F.sum("total").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))), "bases")
-    edges = found.filter("at IS NOT NULL").join(F.broadcast(bases.select("file", "block", "base")), ["file", "block"])
+    starts = bases.select("file", "block", "base")
+    starts = F.broadcast(starts) if starts.count() <= MOST_BROADCAST_ROWS else starts
+    edges = found.filter("at IS NOT NULL").join(starts, ["file", "block"])
     edges = materialize(edges.select("file", "block", (F.col("base") + F.col("at")).alias("at"), (F.col("base") + F.col("exit")).alias("to")), "edges")
     reached = materialize(edges.select("file").distinct().select("file", F.lit(0).cast("long").alias("at")), "reached")
     jump, n = edges.select("file", "at", "to"), reached.count()
