@@ -147,7 +147,7 @@ def test_minimal_pairs_move_the_score(spark):
     score = model.scorer()
     rest = " w1 w2 w3 w4 w5 w6 w7 w8 w9. " * 8
     p = {k: score((t + "." + rest).encode()) for k, t in {"plain": "that is zorky", "aimed": "you are zorky", "negated": "you are not zorky", "reported": "she said you are zorky", "threat": "I will kill you", "no_threat": "I will not kill you", "clean": "you are w1"}.items()}
-    assert p["aimed"] > p["plain"] > p["negated"] > p["clean"] and p["aimed"] > p["reported"] and p["threat"] > p["no_threat"] > p["clean"]
+    assert p["aimed"] > p["plain"] > p["negated"] >= p["clean"] and p["aimed"] > p["reported"] and p["threat"] > 0.5 > p["no_threat"] >= p["clean"] and p["negated"] < 0.5
     assert all(f > 0 for f in model.factors)
 
 
@@ -648,3 +648,96 @@ def test_pipeline_stages_and_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in out.collect()} == known and known
     assert decontam.leaks(left, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
+
+
+def test_html_cut_off_tags_are_no_text():
+    page = html_extract.Page("<article><p>Real text, of some words.</p><div a='xxx and more words")
+    assert "".join(s for n, s in page.pieces if n >= 0) == "Real text, of some words."
+    assert "".join(s for n, s in html_extract.Page("<p>1 < 2 and 3 > 2").pieces if n >= 0) == "1 < 2 and 3 > 2"
+
+
+def test_html_awkward_pages(spark):
+    long = "<article>" + "<p>Some words, of a long page.</p>" * 3000 + "</article>"
+    rows = [(1, "u", None), (1, "u", None), (2, None, ""), (None, "v", "<p>x"), (3, "w", long), (3, "w", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("t"), "h": F.lit(1), "y": F.lit(2), "n_chars": F.lit("z")})
+    got = html_extract.extract(pages).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    assert [r.n_chars for r in got if r.page_id in (1, 2)] == [0, 0, 0] and len({r.text for r in got if r.page_id == 3}) == 1
+
+
+def test_url_awkward_rows(spark):
+    rows = [(1, None), (1, None), (2, ""), (None, "http://A.com/de/x"), (3, "http://example.org/" + "a" * 100_000), (3, "nohost")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(1), "path": F.lit(2), "rule": F.lit(3), "verdict": F.lit(4), "c": F.lit(5)})
+    got = url_filter.filter_urls(pages).collect()
+    assert len(got) == len(rows) and [r.host for r in got if r.page_id in (1, 2)] == ["", "", ""]
+    assert next(r for r in got if r.page_id is None)[1:] == ("a.com", "/de/x", "com/de/", "block")
+
+
+def test_warc_awkward_and_empty_tables(spark, tmp_path):
+    rows = [(1, "u", None), (1, "u", None), (2, None, "x" * 1200), (3, "a\r\nb", "x" * 1200), (3, "c", "x" * 1200), (None, "d", "y" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("d"), "refers_to": F.lit(1), "value": F.lit("v"), "size": F.lit(3)})
+    for name, p in (("a", pages), ("e", pages.limit(0))):
+        warc.write_warc(p, f"file://{tmp_path}/{name}")
+        got = warc.read_warc(spark, f"file://{tmp_path}/{name}").collect()
+        assert len(got) == p.count()
+    warc.write_warc(pages, f"file://{tmp_path}/b")
+    got = warc.read_warc(spark, f"file://{tmp_path}/b").collect()
+    assert sorted((r.record_id, r.record_type, r.payload_length) for r in got) == sorted([("<urn:page:1>", "response", 0)] * 2 + [("<urn:page:2>", "revisit", 1200)] + [("<urn:page:3>", "response", 1200)] * 2 + [("<urn:page:>", "response", 300_000)])
+
+
+def test_packing_awkward_rows(spark):
+    docs = awkward(spark).withColumns({"piece": F.lit("p"), "start": F.lit(1), "length": F.lit(2), "sequence_id": F.lit(3), "offset": F.lit(4), "bin": F.lit(5), "free": F.lit(6)})
+    got = packing.pack_documents(docs, queries.word_bpe()).collect()
+    whole = {}
+    for r in got:
+        whole.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for rs in whole.values():
+        at = 0
+        for o, n in sorted(rs):
+            assert o == at
+            at += n
+        assert at <= packing.CAPACITY
+    assert sum(r.piece == 0 for r in got) == docs.count()
+
+
+def test_packing_matches_a_plain_rule():
+    """Each piece goes where the squared counts of open bins per gap sum to the least; the smallest gap of equals; a new bin where none has room."""
+    rng = random.Random(11)
+    for _ in range(20):
+        sizes = sorted((rng.randrange(1, 40) for _ in range(60)), reverse=True)
+        bins, offsets = packing.sum_of_squares_pack(np.array(sizes), 40)
+        open_bins = []  # gaps
+        for i, s in enumerate(sizes):
+            count = Counter(g for g in open_bins if g > 0)
+            best = None
+            for g in sorted(count):
+                if g >= s:
+                    after = count.copy()
+                    after[g] -= 1
+                    if g > s:
+                        after[g - s] += 1
+                    key = sum(v * v for v in after.values())
+                    if best is None or key < best[0]:
+                        best = key, g
+            if best is None:
+                open_bins.append(40)
+                assert bins[i] == len(open_bins) - 1 and offsets[i] == 0
+            else:
+                assert open_bins[bins[i]] == best[1] and offsets[i] == 40 - best[1]
+            open_bins[bins[i]] -= s
+
+
+def test_leaks_awkward_rows(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = docs_of(spark, [item, item, None, "", "x " * 50_000 + item], [1, 1, 2, None, None]).withColumns({"item_id": F.lit("x"), "score": F.lit(1), "end": F.lit(2)})
+    bench = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None), (9, "")], "item_id long, text string").withColumn("doc_id", F.lit("d"))
+    got = sorted(((r.doc_id, r.item_id, r.score) for r in decontam.leaks(docs, bench).collect()), key=repr)
+    assert got == sorted([(1, 7, 1.0)] * 2 + [(None, 7, 1.0)], key=repr)
+
+
+def test_pipeline_stages_on_awkward_and_empty_tables(spark):
+    docs = awkward(spark).select("doc_id", "text", "lang", "source", "n_chars", "kept", "score", "rep")
+    for d in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, d, SF).columns == d.columns, name
+        assert corpus_pipeline.STAGES[-1][1](spark, d, SF).count() >= (d.count() and 1)
