@@ -8,7 +8,7 @@ Three passes over the texts, none of which shuffles windows that occur once:
    only share cells pass as well. Cells grow with the corpus (at least two per window,
    up to MOST_CELLS a row, which bounds the broadcast bits to 2 * MOST_CELLS / 8
    bytes; beyond that more windows pass and the result stays the same).
-2. Windows with both bits set are resolved exactly by an 80-bit hash. Inside a batch all
+2. Windows with both bits set are resolved exactly by a 128-bit hash. Inside a batch all
    but the first start of a window are covered at once; only the batch's first start of
    each window is shuffled, so a passage in a third of all documents sends one row per
    batch, and a window's rows go to one task in that number.
@@ -17,7 +17,7 @@ Three passes over the texts, none of which shuffles windows that occur once:
 Documents that are exact copies of an earlier one are found first by text hash (a narrow
 aggregation) and take no part in 1 and 2: all their windows start earlier.
 
-Order: doc_id (null first), then 16 bits of the text's hash; rows equal in both are one
+Order: doc_id (null first), then 31 bits of the text's hash; rows equal in both are one
 document, judged once and returned for each row. Null and empty texts have no words. A document shorter
 than `width` keeps all. Extra columns are ignored (kept by the pipeline's variant). An
 empty table gives an empty result.
@@ -52,8 +52,8 @@ UNIT = 12 << 20
 MOST_BROADCAST_ROWS = 1_000_000
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 ALL = 1 << 30
-#: In place of a second hash: the row is a range that its batch has settled. Hashes stay below.
-SETTLED = (1 << 16) - 1
+#: In place of a second hash: the row is a range that its batch has settled. No hash has this value.
+SETTLED = (1 << 64) - 1
 
 
 def _cells(h: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -86,7 +86,8 @@ def _hashes(texts, cache: WordHashes, width: int):
     pos = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
     inside = np.flatnonzero(doc[: total - width + 1] == doc[width - 1 :])
     h1 = window_hashes(w, width, 0x9FB21C651E98DF25)[inside]
-    h2 = (window_hashes(mix(w + np.uint64(1)), width, 0xD6E8FEB86659FD93)[inside] >> np.uint64(48)) % np.uint64(SETTLED)
+    h2 = window_hashes(mix(w + np.uint64(1)), width, 0xD6E8FEB86659FD93)[inside]
+    h2[h2 == np.uint64(SETTLED)] = 0
     return h1, h2, doc[inside], pos[inside]
 
 
@@ -173,8 +174,8 @@ def _merged_ranges(doc: np.ndarray, pos: np.ndarray, width: int):
 
 
 def text_mark():
-    """16 bits of the text's hash: tells rows of one doc_id with different texts apart."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(1 << 16)).cast("int")
+    """31 bits of the text's hash: tells rows of one doc_id with different texts apart."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(1 << 31)).cast("int")
 
 
 def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None) -> DataFrame:
@@ -203,7 +204,7 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None
             for r in range(len(SEEDS)):
                 c = _cells(h1, r, cells)
                 keep &= ((b[r][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1).astype(bool)
-            out.append((h1[keep], h2[keep].astype(np.uint32), (doc[keep] + a).astype(np.int32), pos[keep].astype(np.int32)))
+            out.append((h1[keep], h2[keep], (doc[keep] + a).astype(np.int32), pos[keep].astype(np.int32)))
         return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
 
     def document_ranks(keys: list, ties: list) -> np.ndarray:
@@ -234,22 +235,22 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None
             rd, rf, rt = _merged_ranges(doc[later], pos[later], width) if later.any() else (np.zeros(0, np.int32),) * 3
             hd, hp = doc[head], pos[head]
             take = pa.array(np.concatenate([hd, rd]))
-            # A head is (h1; h2, text mark, lo); a settled range is (random bits, hi; SETTLED, text mark, lo).
+            # A head is (h1; h2; text mark, lo); a settled range is (random bits, hi; SETTLED; text mark, lo).
             spread = mix(rd.astype(np.uint64) * np.uint64(1 << 32) + rf.astype(np.uint64) + np.uint64(1)) >> np.uint64(32) << np.uint64(32) | rt.astype(np.uint64)
             mark = np.asarray(ths.to_pylist(), np.uint64)[np.concatenate([hd, rd])] << np.uint64(32)
-            place = np.concatenate([h2[head].astype(np.uint64), np.full(len(rd), SETTLED, np.uint64)]) << np.uint64(48) | mark | np.concatenate([hp, rf]).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h1[head], spread]).view(np.int64)), pa.array(place.view(np.int64)), ids.take(take)], names=["h1", "place", "doc_id"])
+            second = np.concatenate([h2[head], np.full(len(rd), SETTLED, np.uint64)])
+            place = mark | np.concatenate([hp, rf]).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h1[head], spread]).view(np.int64)), pa.array(second.view(np.int64)), pa.array(place.view(np.int64)), ids.take(take)], names=["h1", "h2", "place", "doc_id"])
 
-    # Three longs a row: this is what the prefilter leaves to be shuffled.
-    rows = single.select("doc_id", "_cw_th", "text").mapInArrow(candidates, "h1 long, place long, doc_id long")
-    h2 = F.shiftrightunsigned("place", 48)
-    by_window = W.partitionBy("h1", h2)
+    # Four longs a row: this is what the prefilter leaves to be shuffled.
+    rows = single.select("doc_id", "_cw_th", "text").mapInArrow(candidates, "h1 long, h2 long, place long, doc_id long")
+    by_window = W.partitionBy("h1", "h2")
     # In `place` of one window and document order is (text mark, lo) order.
-    start, settled = F.struct("doc_id", "place"), h2 == SETTLED
+    start, settled = F.struct("doc_id", "place"), F.col("h2") == -1  # SETTLED
     # Settled ranges go as they are; of the others the first start of each window stays.
     later = rows.withColumn("first", F.min(start).over(by_window)).filter(settled | ~F.col("first").eqNullSafe(start))
     lo = F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("lo")
-    th = F.shiftrightunsigned("place", 32).bitwiseAND(F.lit((1 << 16) - 1)).cast("int").alias("_cw_th")
+    th = F.shiftrightunsigned("place", 32).cast("int").alias("_cw_th")
     later = later.select("h1", settled.alias("settled"), "doc_id", th, lo)
     settled = F.col("settled")
     hi = F.when(settled, F.col("h1").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).otherwise(F.col("lo") + width)
