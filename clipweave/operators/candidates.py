@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timecode import number, seconds_to_timestamp, timestamp_to_seconds
-from .keyed import keep_in_order
+from .keyed import fold_in_order, keep_in_order
 
 START, END = "start_ms", "end_ms"
 CANDIDATE = "array<struct<start:string,end:string,title:string,reason:string,score:string>>"
@@ -219,26 +219,22 @@ def dedupe(cands: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def chunk_transcript(segments: DataFrame, keys: list[str], most_chars: int, overlap: int = 1) -> DataFrame:
-    """segments in chunks by the length of their prompt lines: keys, chunk_idx, seg_idx; the last `overlap` of a chunk begin the next."""
+    """segments in chunks by the length of their prompt lines: keys, chunk_idx, seg_idx; the last `overlap` of a chunk begin the next. A task holds these."""
     line = prompt_line()
     sized = segments.select(*keys, "seg_idx", (F.length(line) + 1).alias("_size"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg_idx", kind="stable")
-        size, chunks, now, used = pdf["_size"].to_numpy(), [], [], 0
-        for i, n in enumerate(size):
-            if now and most_chars > 0 and used + n > most_chars:
-                chunks.append(now)
-                now = now[-overlap:] if overlap else []
-                used = int(size[now].sum())
-            now = [*now, i]
-            used += int(n)
-        chunks.append(now)
-        at = [i for c in chunks for i in c]
-        return pdf.iloc[at].assign(chunk_idx=[k for k, c in enumerate(chunks) for _ in c]).drop(columns="_size")
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in sized.dtypes if c != "_size") + ", chunk_idx long"
-    return sized.groupBy(*keys).applyInPandas(run, schema)
+    def step(state: dict, r: tuple):
+        n, size = r
+        if state["tail"] is not None and most_chars > 0 and state["used"] + size > most_chars:
+            state["chunk"] += 1
+            state["tail"] = state["tail"][-overlap:] if overlap else []
+            state["used"] = sum(x[1] for x in state["tail"])
+            yield from ((x[0], state["chunk"]) for x in state["tail"])
+        state["tail"] = [*(state["tail"] or []), r][-max(1, overlap) :]
+        state["used"] += size
+        yield n, state["chunk"]
+
+    return fold_in_order(sized, keys, ["seg_idx"], lambda: {"chunk": 0, "used": 0, "tail": None}, step, lambda _: (), ["seg_idx", "_size"], f"seg_idx {dict(sized.dtypes)['seg_idx']}, chunk_idx long")
 
 
 def prompt_line() -> Column:

@@ -9,56 +9,59 @@ from pyspark.sql import functions as F
 
 from ..functions.text import greedy_lines, slice_text, text_width
 from .intervals import END, START, merge_intervals, overlap_join, removed_before, subtract_intervals
+from .keyed import fold_in_order
 
 ROW = [START, END, "text"]
 
 
-def _fold(segments: DataFrame, keys: list[str], step) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = step([list(r) for r in pdf.sort_values([START, END], kind="stable")[ROW].values.tolist()])
-        return pd.DataFrame(rows, columns=ROW).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, *ROW]]
-
-    kinds = dict(segments.dtypes)
-    return segments.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {START} long, {END} long, text string")
+TEXT_ROW = f"{START} long, {END} long, text string"
 
 
-def _join(a: list, b: list) -> list:
-    return [a[0], b[1], f"{a[2]} {b[2]}".strip()]
+def _join(a: tuple, b: tuple) -> tuple:
+    return a[0], b[1], f"{a[2]} {b[2]}".strip()
 
 
 def merge_segments(segments: DataFrame, keys: list[str], gap: int = 80, longest: int = 2000) -> DataFrame:
-    """Segments joined left to right while the gap and the joined length allow."""
+    """Segments joined left to right while the gap and the joined length allow. A task holds the open one."""
 
-    def step(rows):
-        out = []
-        for r in rows:
-            if out and r[0] - out[-1][1] <= gap and r[1] - out[-1][0] <= longest:
-                out[-1] = _join(out[-1], r)
-            else:
-                out.append(r)
-        return out
+    def step(state: list, r: tuple):
+        if state and r[0] - state[0][1] <= gap and r[1] - state[0][0] <= longest:
+            state[0] = _join(state[0], r)
+            return
+        yield from state
+        state[:] = [r]
 
-    return _fold(segments, keys, step)
+    return fold_in_order(segments, keys, [START, END], list, step, lambda state: state, ROW, TEXT_ROW)
 
 
 def merge_dense(segments: DataFrame, keys: list[str], most_wps: float = 5.0, longest: int = 6000, gap: int = 300) -> DataFrame:
-    """Segments with too many words a second take in the next ones, else join the one before; very dense ones may grow to 8 s."""
+    """Segments with too many words a second take in the next ones, else join the one before; very dense ones may grow to 8 s. A task holds the open segment and the one before it."""
     dense = lambda r, f=1.0: 1000 * len(r[2].split()) > f * most_wps * max(1e-3, r[1] - r[0])
 
-    def step(rows):
-        out, todo = [], rows[::-1]
-        while todo:
-            now = todo.pop()
-            limit = max(longest, 8000) if dense(now, 1.6) else longest
-            while todo and dense(now) and todo[-1][0] - now[1] <= gap and todo[-1][1] - now[0] <= limit:
-                now = _join(now, todo.pop())
-            if out and dense(now) and now[0] - out[-1][1] <= gap and now[1] - out[-1][0] <= limit:
-                out[-1] = _join(out[-1], now)
-            else:
-                out.append(now)
-        return out
+    def settle(state: dict):
+        """The open segment joins the one before it or takes its place."""
+        now, before = state["now"], state["before"]
+        if before and dense(now) and now[0] - before[1] <= gap and now[1] - before[0] <= state["limit"]:
+            state["before"] = _join(before, now)
+        else:
+            if before:
+                yield before
+            state["before"] = now
+
+    def step(state: dict, r: tuple):
+        now = state["now"]
+        if now and dense(now) and r[0] - now[1] <= gap and r[1] - now[0] <= state["limit"]:
+            state["now"] = _join(now, r)
+            return
+        if now:
+            yield from settle(state)
+        state.update(now=r, limit=max(longest, 8000) if dense(r, 1.6) else longest)
 
-    return _fold(segments, keys, step) if most_wps > 0 else segments
+    def finish(state: dict):
+        yield from settle(state)
+        yield state["before"]
+
+    return fold_in_order(segments, keys, [START, END], lambda: {"now": None, "before": None, "limit": longest}, step, finish, ROW, TEXT_ROW) if most_wps > 0 else segments
 
 
 def pages_of(lines: list[str], n: int) -> list[list[str]]:
@@ -157,20 +160,15 @@ def caption_fit_check(captions: DataFrame, keys: list[str], font: int, limit_px:
 
 
 def monotonic_clamp(rows: DataFrame, keys: list[str], order: str, default: int = 3000) -> DataFrame:
-    """In order: start not before the end before; an empty interval gets the default length."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").copy()
-        s, e, last = [], [], None
-        for a, b in zip(pdf[START], pdf[END], strict=True):
-            a = a if last is None else max(a, last)
-            last = b if b > a else a + default
-            s.append(a)
-            e.append(last)
-        pdf[START], pdf[END] = s, e
-        return pdf
-
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    """In order: start not before the end before; an empty interval gets the default length. keys, order, start_ms, end_ms; a task holds the last end."""
+
+    def step(state: list, r: tuple):
+        n, a, b = r
+        a = max(a, state[0]) if state else a
+        state[:] = [b if b > a else a + default]
+        yield n, a, state[0]
+
+    return fold_in_order(rows, keys, [order], list, step, lambda _: (), [order, START, END], f"{order} {dict(rows.dtypes)[order]}, {START} long, {END} long")
 
 
 def retime_captions(events: DataFrame, factor) -> DataFrame:

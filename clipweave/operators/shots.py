@@ -1,75 +1,79 @@
 """Camera shots: switching, minimum length, cutaways, balance, edit lists. Times are milliseconds.
 
-Switching and edits are state machines over one recording's hops or shots; scores are made by
-joins before, so a group holds one row per hop and camera at most.
+Switching is a state machine over a recording's hops, read in order; edits go over one
+recording's shots at once. Scores are made by joins before.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import END, START, coalesce_shots
+from .keyed import fold_in_order
 
 SHOT = ["camera", "audio_camera", START, END]
 
 
+def _steps(scores: DataFrame, key: str, *values: str) -> DataFrame:
+    """key, step, cams (an array of the step's cameras by position: camera_pos, camera, values), first (the recording's first camera)."""
+    cams = F.array_sort(F.collect_list(F.struct("camera_pos", "camera", *values))).alias("cams")
+    first = scores.groupBy(F.col(key).alias("_cw_key")).agg(F.min_by("camera", "camera_pos").alias("first"))
+    return scores.groupBy(key, "step").agg(cams).join(first, F.col(key).eqNullSafe(F.col("_cw_key"))).drop("_cw_key")
+
+
 def camera_switch(scores: DataFrame, key: str, hop_ms: int, min_shot_ms: int, margin: float) -> DataFrame:
     """key, step, camera from scores (key, step, camera_pos, camera, score, speech): hold in silence, switch to a better camera after min_shot by at least margin.
 
     speech decides silence (below 0 for all cameras), score the best camera; the first camera is
-    chosen at the start and wins ties.
+    chosen at the start and wins ties. A step's cameras are one row, and a task holds the
+    camera on air.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = pdf.drop_duplicates("camera_pos").sort_values("camera_pos")["camera"].to_numpy()
-        pos = {p: i for i, p in enumerate(sorted(pdf["camera_pos"].unique()))}
-        steps, row = np.unique(pdf["step"].to_numpy(), return_inverse=True)
-        col = pdf["camera_pos"].map(pos).to_numpy()
-        score, speech = (np.full((len(steps), len(pos)), -np.inf) for _ in range(2))
-        score[row, col], speech[row, col] = pdf["score"].to_numpy(float), pdf["speech"].to_numpy(float)
-        best, loud = score.argmax(1), speech.max(1) >= 0
-        now, since, chosen = 0, int(steps[0]), np.empty(len(steps), int)
-        for i, s in enumerate(steps):
-            b = best[i]
-            if loud[i] and b != now and (s - since) * hop_ms >= min_shot_ms and score[i, b] - score[i, now] >= margin:
-                now, since = b, int(s)
-            chosen[i] = now
-        return pd.DataFrame({key: pdf[key].iloc[0], "step": steps, "camera": names[chosen]})
-
-    return scores.groupBy(key).applyInPandas(run, f"{key} {dict(scores.dtypes)[key]}, step long, camera string")
+    def step(state: dict, r: tuple):
+        n, cams, first = r
+        if not state:
+            state.update(now=first, since=n)
+        best = max(cams, key=lambda c: c["score"])  # the first of equals
+        own = next((c["score"] for c in cams if c["camera"] == state["now"]), -math.inf)
+        loud = max(c["speech"] for c in cams) >= 0
+        if loud and best["camera"] != state["now"] and (n - state["since"]) * hop_ms >= min_shot_ms and best["score"] - own >= margin:
+            state.update(now=best["camera"], since=n)
+        yield n, state["now"]
+
+    return fold_in_order(_steps(scores, key, "score", "speech"), [key], ["step"], dict, step, lambda _: (), ["step", "cams", "first"], "step long, camera string")
 
 
 def speaker_switch(sims: DataFrame, key: str, hop_ms: int, min_shot_ms: int, least: float, margin: float) -> DataFrame:
     """As camera_switch, by voice similarity: key, step, camera, reason. sims: camera_pos, camera, sim (null: not active), speech."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf.drop_duplicates("camera_pos").sort_values("camera_pos")
-        names, out, now, since = order["camera"].tolist(), [], 0, None
-        places = {p: i for i, p in enumerate(order["camera_pos"])}
-        for step, g in pdf.sort_values(["step", "camera_pos"]).groupby("step", sort=True):
-            since = step if since is None else since
-            g_sim = g[(g["speech"] >= 0) & g["sim"].notna()]
-            top = np.sort(g_sim["sim"].to_numpy())[::-1]
-            if g["speech"].max() < 0:
-                why = "silence"
-            elif not len(top):
-                why = "no_candidates"
-            elif top[0] < least:
-                why = "low_similarity"
-            elif top[0] - (top[1] if len(top) > 1 else -1.0) < margin:
-                why = "margin"
-            else:
-                b = places[g_sim["camera_pos"].iloc[int(g_sim["sim"].to_numpy().argmax())]]
-                why = "stay" if b == now else "min_shot" if (step - since) * hop_ms < min_shot_ms else "switch"
-                if why == "switch":
-                    now, since = b, step
-            out.append((pdf[key].iloc[0], step, names[now], why))
-        return pd.DataFrame(out, columns=[key, "step", "camera", "reason"])
-
-    return sims.groupBy(key).applyInPandas(run, f"{key} {dict(sims.dtypes)[key]}, step long, camera string, reason string")
+    def step(state: dict, r: tuple):
+        n, cams, first = r
+        if not state:
+            state.update(now=first, since=n)
+        near = sorted((c for c in cams if c["speech"] >= 0 and c["sim"] is not None), key=lambda c: -c["sim"])  # by position of equals
+        if max(c["speech"] for c in cams) < 0:
+            why = "silence"
+        elif not near:
+            why = "no_candidates"
+        elif near[0]["sim"] < least:
+            why = "low_similarity"
+        elif near[0]["sim"] - (near[1]["sim"] if len(near) > 1 else -1.0) < margin:
+            why = "margin"
+        elif near[0]["camera"] == state["now"]:
+            why = "stay"
+        elif (n - state["since"]) * hop_ms < min_shot_ms:
+            why = "min_shot"
+        else:
+            why = "switch"
+            state.update(now=near[0]["camera"], since=n)
+        yield n, state["now"], why
+
+    return fold_in_order(_steps(sims, key, "sim", "speech"), [key], ["step"], dict, step, lambda _: (), ["step", "cams", "first"], "step long, camera string, reason string")
 
 
 def pin_camera(shots: DataFrame, keys: list[str], camera: str, eps: int = 50) -> DataFrame:
