@@ -271,6 +271,12 @@ SQL = {
       p AS (SELECT *, trim(substr(array_to_string(string_split(regexp_replace(string_split_regex(t, '[.!?]')[1], '^[ ,:;-]+|[ ,:;-]+$', '', 'g'), ' ')[1 : 8], ' '), 1, 64)) AS p FROM g)
       SELECT s.recording_id, s.seg_idx AS w, CASE WHEN contains(lower(t), 'the') AND (contains(lower(t), 'ing') OR contains(lower(t), 'ung')) THEN 'What of this thing?' WHEN contains(lower(t), 'qu') OR contains(lower(t), 'ver') THEN 'How to begin?' WHEN length(p) >= 8 THEN upper(substr(p, 1, 1)) || substr(p, 2) || '?' END AS title
       FROM segments s LEFT JOIN p ON p.recording_id = s.recording_id AND p.w = s.seg_idx""",
+    "title_functions": r"""WITH q AS (SELECT conv_id, turn, text, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS q FROM conversations),
+      p AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(q, '^[ "''«»]+|[ "''«»]+$', '', 'g'), ' {2,}', ' ', 'g'), '([!?.,;:])[!?.,;:]+', '\1', 'g') AS p, CASE WHEN q = '' THEN 0 ELSE len(string_split(q, ' ')) END AS w FROM q),
+      c AS (SELECT *, substr(p, 1, 140) AS c, length(regexp_replace(substr(p, 1, 140), ' [^ ]*$', '')) AS sp FROM p)
+      SELECT conv_id, turn, CAST(length(CASE WHEN length(p) <= 140 THEN p ELSE rtrim(CASE WHEN contains(c, ' ') AND sp > 80 THEN substr(c, 1, sp) ELSE c END) END) AS INTEGER) AS n,
+        CASE WHEN w <= 7 AND length(q) <= 42 THEN 1.5 ELSE round_even(least(3.2, 1.5 + least(1.2, greatest(0.0, (w - 7) * 0.06::DOUBLE, (length(q) - 42) * 0.012::DOUBLE))), 3) END AS seconds,
+        md5(translate(text, ' ‐‑‒–—―−', ' -------')) AS digest FROM c""",
     "write_ass": _S + ", l AS (SELECT recording_id, start_ms, end_ms, 'Dialogue: 0,' || " + _ASS.format(t="start_ms") + " || ',' || " + _ASS.format(t="end_ms") + " || ',Default,,0,0,0,,' || replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '{', '['), '}', ']'), chr(10), chr(92) || 'N') AS l FROM segments), t AS (SELECT recording_id, array_to_string(list(l ORDER BY start_ms, end_ms, l), chr(10)) AS a FROM l GROUP BY ALL) SELECT recording_id, CAST(length(a) AS INTEGER) AS n, md5(a) AS digest FROM t",
     "slice_text": _S + r""", q AS (SELECT recording_id, seg_idx, start_ms, end_ms, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM segments), n AS (SELECT *, string_split(q, ' ') AS p, (start_ms + end_ms) // 2 AS mid FROM q), b AS (SELECT *, len(p) AS n, greatest(0.0, least(1.0, (mid - start_ms) / greatest(end_ms - start_ms, 1))) AS b FROM n)
       SELECT recording_id, seg_idx, CASE WHEN b <= 0 OR b >= 0.999 OR n <= 3 THEN q ELSE array_to_string(p[1 : greatest(1, least(n, CAST(ceil(b * n) AS BIGINT)))], ' ') END AS part FROM b""",

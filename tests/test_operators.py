@@ -364,3 +364,51 @@ def test_align_blocks_matches_brute_force(spark):
     s = spark.createDataFrame([("r", *x) for x in segs], "r string, seg_idx long, start_ms long, end_ms long, text string")
     bl = spark.createDataFrame([("r", *x) for x in blocks], "r string, block_idx long, text string")
     assert [(r.block_idx, r.start_ms, r.end_ms) for r in align.align_blocks(bl, s, "r").orderBy("block_idx").collect()] == want
+
+
+def test_caption_pages_keep_words_and_time(spark):
+    rng = random.Random(8)
+    segs = [(i, i * 20_000, i * 20_000 + rng.choice([100, 800, 3000, 9000]), " ".join("x" * rng.randrange(1, 12) for _ in range(rng.randrange(1, 40)))) for i in range(60)]
+    got = {}
+    for r in captions.caption_pages(spark.createDataFrame(segs, "k long, start_ms long, end_ms long, text string"), ["k"]).orderBy("k", "start_ms").collect():
+        got.setdefault(r.k, []).append(r)
+    for k, a, b, text in segs:
+        pages = got.get(k, [])
+        if b - a < 180:
+            assert not pages
+            continue
+        assert " ".join(" ".join(p.text.split("\n")) for p in pages) == text
+        assert pages[0].start_ms == a and pages[-1].end_ms == b
+        assert all(x.end_ms == y.start_ms for x, y in itertools.pairwise(pages)) and all(p.end_ms > p.start_ms for p in pages)
+        assert len(pages) == 1 or (b - a) / len(pages) >= 2000
+
+
+def scored_cameras(spark):
+    """Three cameras, a score per second: x is always best, y better than z in even tens of seconds."""
+    rows = [("r", t, i, c, float(s)) for t in range(0, 200) for i, (c, s) in enumerate([("x", 10), ("y", 5 if t // 10 % 2 == 0 else 1), ("z", 3)])]
+    return spark.createDataFrame(rows, "k string, step long, camera_pos int, camera string, score double")
+
+
+def test_cutaways_change_the_picture_only(spark):
+    shot = spark.createDataFrame([("r", "x", "x", 0, 100_000), ("r", "y", "x", 100_000, 103_000)], "k string, camera string, audio_camera string, start_ms long, end_ms long")
+    got = [tuple(r)[1:] for r in shots.insert_reactions(shot, scored_cameras(spark), "k", 1000, every=20_000, length=2000).orderBy("start_ms").collect()]
+    assert all(a == "x" for _, a, _, _ in got) and got[0][2] == 0 and got[-1][3] == 103_000
+    assert all(x[3] == y[2] for x, y in itertools.pairwise(got))  # no holes
+    cut = [r for r in got if r[0] != "x" and r[2] < 100_000]
+    assert len(cut) == 4 and all(r[3] - r[2] == 2000 for r in cut)
+    best = lambda t: "y" if t // 10_000 % 2 == 0 else "z"
+    assert all(r[0] == best((r[2] + r[3]) // 2) for r in cut)
+    assert all(abs(r[2] + 1000 - 20_000 * (i + 1) - 0) <= 1200 + 1000 for i, r in enumerate(cut))
+    few = shots.insert_reactions(shot, scored_cameras(spark), "k", 1000, every=20_000, length=2000, least_score=50.0).collect()
+    assert len(few) == 2  # none is good enough
+
+
+def test_balance_brings_the_share_down(spark):
+    shot = spark.createDataFrame([("r", "x", "x", 0, 100_000), ("r", "y", "y", 100_000, 120_000)], "k string, camera string, audio_camera string, start_ms long, end_ms long")
+    share = lambda rs: sum(r.end_ms - r.start_ms for r in rs if r.camera == "x") / 120_000
+    got = shots.balance_cameras(shot, scored_cameras(spark), "k", 1000, 0.7, advantage=20.0).orderBy("start_ms").collect()
+    assert share(got) <= 0.7 + 1e-6 and share(got) > 0.6
+    assert got[0].start_ms == 0 and got[-1].end_ms == 120_000 and all(x.end_ms == y.start_ms for x, y in itertools.pairwise(got))
+    assert {r.audio_camera for r in got if r.end_ms <= 100_000} == {"x"}
+    same = shots.balance_cameras(shot, scored_cameras(spark), "k", 1000, 0.7, advantage=2.0).collect()
+    assert len(same) == 2  # the main camera clearly leads everywhere
