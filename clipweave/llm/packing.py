@@ -8,7 +8,7 @@ stay poorly filled are dissolved and packed again with those of other groups unt
 one group holds what is left: no task ever holds more than GROUP pieces.
 
 Null or empty texts are documents of the one end id. Rows that repeat a doc_id are
-packed like any others. An empty table gives an empty result; extra columns of the
+packed like any others. A text of any length is tokenized whole and cut into pieces. An empty table gives an empty result; extra columns of the
 input are ignored. Ties between gaps go to the smallest gap, between pieces to the
 smaller (doc_id, piece).
 """

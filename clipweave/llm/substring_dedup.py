@@ -18,7 +18,8 @@ Documents that are exact copies of an earlier one are found first by text hash (
 aggregation) and take no part in 1 and 2: all their windows start earlier.
 
 Order: doc_id (null first), then 31 bits of the text's hash; rows equal in both are one
-document, judged once and returned for each row. Null and empty texts have no words. A document shorter
+document, judged once and returned for each row. Texts of any length are read whole; one
+longer than UNIT is a unit of its own. Null and empty texts have no words. A document shorter
 than `width` keeps all. Extra columns are ignored (kept by the pipeline's variant). An
 empty table gives an empty result.
 """

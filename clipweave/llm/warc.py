@@ -15,7 +15,8 @@ reaches; candidates that it does not reach are payload bytes. A record that leav
 block is put together from fragments. Files may be of any size; only one block's offsets
 are in a task's memory.
 
-Null html is an empty payload, a null url an empty target. Rows that repeat a page_id are
+Null html is an empty payload, a null url an empty target. Payloads of any length are written and
+read; of equal payloads the largest page_id is the response (all its rows, if it repeats). Rows that repeat a page_id are
 records of their own. A null page_id stays null. A record that the file's end cuts off is
 not returned. An empty table gives an empty archive; extra columns are ignored.
 """
