@@ -138,9 +138,11 @@ def _sketch(texts: DataFrame, cells: int, width: int):
     size = (1 << block_bits) // 8
     bits = np.zeros((len(SEEDS), blocks * size), np.uint8)
     merged = materialize(merged, "sketch")
+    step = max(1, blocks // 4)  # a quarter of a row at a time: rows on the driver stay small beside the bits
     for r in range(len(SEEDS)):
-        for x in merged.filter(F.col("row") == r).collect():
-            bits[r, x["block"] * size : (x["block"] + 1) * size] = np.frombuffer(x["bits"], np.uint8)
+        for first in range(0, blocks, step):
+            for x in merged.filter((F.col("row") == r) & F.col("block").between(first, first + step - 1)).collect():
+                bits[r, x["block"] * size : (x["block"] + 1) * size] = np.frombuffer(x["bits"], np.uint8)
     return texts.sparkSession.sparkContext.broadcast(bits)
 
 
