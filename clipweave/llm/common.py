@@ -145,3 +145,27 @@ def in_pieces(texts: list[bytes | None], most_bytes: int):
         size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def whole_groups(batches, names: list[str]):
+    """Batches, sorted by the columns names, cut so that none ends inside a run of equal values."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        other = np.flatnonzero(np.any([k != k[-1] for k in keys], 0))
+        start = int(other[-1]) + 1 if len(other) else 0  # of the last group
+        if held and not all(held[-1].column(c)[-1].as_py() == k[0] for c, k in zip(names, keys, strict=True)):
+            yield _joined(held)
+            held = []
+        if start:
+            yield _joined([*held, batch.slice(0, start)])
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]

@@ -1,11 +1,11 @@
-"""The registered queries op1 to op10 and their SQL."""
+"""The registered queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, minhash, packing, quality, substring_dedup, token_store, toxicity, url_filter, warc
+from . import decontam, html_extract, jaccard_join, minhash, packing, quality, substring_dedup, token_store, toxicity, url_filter, warc
 from .common import new_path, small_batches
 
 
@@ -144,5 +144,29 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_html_extraction, op4_substring_dedup, op5_url_filters, op6_warc, op7_best_fit_packing, op8_token_store, op9_minhash_near_dedup, op10_benchmark_decontamination)}
-SQL = {"op4_substring_dedup": OP4_SQL, "op5_url_filters": OP5_SQL, "op6_warc": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL}
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), percent=85, k=4)
+
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2], ' ', w[i + 3])))) END AS sh
+  FROM d),
+cls AS MATERIALIZED (SELECT min(doc_id) AS rep, sh, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+x AS MATERIALIZED (SELECT rep, n, unnest(sh) AS g FROM cls),
+p AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(v, c) AS (SELECT rep, rep FROM cls UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v AND r.c < e.b),
+m AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.c, s.doc_id) AS component_id
+FROM s LEFT JOIN cls ON cls.sh = s.sh LEFT JOIN m ON m.v = cls.rep
+"""
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_html_extraction, op4_substring_dedup, op5_url_filters, op6_warc, op7_best_fit_packing, op8_token_store, op9_minhash_near_dedup, op10_benchmark_decontamination, op11_jaccard_join)}
+SQL = {"op4_substring_dedup": OP4_SQL, "op5_url_filters": OP5_SQL, "op6_warc": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "op11_jaccard_join": OP11_SQL}
