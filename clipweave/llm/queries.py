@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, jaccard_join, minhash, packing, quality, substring_dedup, token_store, toxicity, url_filter, warc
+from . import decontam, filter_audit, html_extract, jaccard_join, minhash, packing, quality, substring_dedup, token_store, toxicity, url_filter, warc
 from .common import new_path, small_batches
 
 
@@ -168,5 +168,41 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.c, s.doc_id
 FROM s LEFT JOIN cls ON cls.sh = s.sh LEFT JOIN m ON m.v = cls.rep
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_html_extraction, op4_substring_dedup, op5_url_filters, op6_warc, op7_best_fit_packing, op8_token_store, op9_minhash_near_dedup, op10_benchmark_decontamination, op11_jaccard_join)}
-SQL = {"op4_substring_dedup": OP4_SQL, "op5_url_filters": OP5_SQL, "op6_warc": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "op11_jaccard_join": OP11_SQL}
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS BIGINT)) AS good, max(CAST(toxic = 1 AS BIGINT)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT)
+    + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS INT)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS INT) AS mask
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, i AS step, 1 << (instr('ABCDE', substr(filter_order, i, 1)) - 1) AS f,
+    CAST(list_sum(list_transform(range(1, i), lambda j: 1 << (instr('ABCDE', substr(filter_order, j, 1)) - 1))) AS INT) AS p
+  FROM o, (SELECT CAST(unnest(range(1, 6)) AS INT) AS i)),
+r AS (SELECT part, filter_order, step, f,
+    sum(CASE WHEN mask & (f | coalesce(p, 0)) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & f > 0 AND mask & coalesce(p, 0) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & f > 0 AND mask & coalesce(p, 0) > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & f > 0 AND mask & coalesce(p, 0) = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & f > 0 AND mask & coalesce(p, 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM s, c GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r
+"""
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_html_extraction, op4_substring_dedup, op5_url_filters, op6_warc, op7_best_fit_packing, op8_token_store, op9_minhash_near_dedup, op10_benchmark_decontamination, op11_jaccard_join, op12_filter_audit)}
+SQL = {"op4_substring_dedup": OP4_SQL, "op5_url_filters": OP5_SQL, "op6_warc": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "op11_jaccard_join": OP11_SQL, "op12_filter_audit": OP12_SQL}
