@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, filter_audit, html_extract, jaccard_join, minhash, packing, quality, substring_dedup, token_store, toxicity, url_filter, warc
+from . import decontam, filter_audit, html_extract, jaccard_join, minhash, packing, quality, spelling, substring_dedup, token_store, toxicity, url_filter, warc
 from .common import new_path, small_batches
 
 
@@ -204,5 +204,31 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_html_extraction, op4_substring_dedup, op5_url_filters, op6_warc, op7_best_fit_packing, op8_token_store, op9_minhash_near_dedup, op10_benchmark_decontamination, op11_jaccard_join, op12_filter_audit)}
-SQL = {"op4_substring_dedup": OP4_SQL, "op5_url_filters": OP5_SQL, "op6_warc": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "op11_jaccard_join": OP11_SQL, "op12_filter_audit": OP12_SQL}
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE bits(k, i, v) AS (SELECT 0, i, CAST(i AS UBIGINT) FROM range(256) r(i) UNION ALL
+  SELECT k + 1, i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM bits WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS tab FROM bits WHERE k = 8),
+o AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM o WHERE length(w) >= 6 GROUP BY doc_id, w),
+c AS (SELECT w, n, xor(list_reduce(list_transform(flatten(list_transform(string_split(concat(doc_id, ':', w), ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, 128 + (unicode(x) & 63)] END)), lambda b: CAST(b AS UBIGINT)),
+    lambda h, b: xor(h >> 8, tab[CAST(xor(h, b) & 255 AS BIGINT) + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS h FROM g, tab),
+r AS (SELECT CASE WHEN h % 199 = 0 THEN concat(substr(w, 1, CAST(h % length(w) AS BIGINT)), substr(w, CAST(h % length(w) AS BIGINT) + 2)) ELSE w END AS w, n FROM c),
+v AS MATERIALIZED (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM r WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+x AS MATERIALIZED (SELECT w, n, i, concat(substr(w, 1, i), substr(w, i + 2)) AS s FROM (SELECT w, n, unnest(range(0, length(w))) AS i FROM v)),
+p AS MATERIALIZED (
+  SELECT DISTINCT x.w AS a, v.w AS b FROM x JOIN v ON v.w = x.s
+  UNION SELECT a.w, b.w FROM x a JOIN x b ON a.s = b.s AND a.i = b.i AND a.w <> b.w),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+f AS MATERIALIZED (SELECT e.a AS w, count(*) AS n_near, first(e.b ORDER BY v.n DESC, e.b ) AS b, max(v.n) AS best FROM e JOIN v ON v.w = e.b GROUP BY e.a),
+t AS MATERIALIZED (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= 5 * v.n THEN b END AS form, CASE WHEN best >= 5 * v.n THEN best END AS form_n FROM v LEFT JOIN f ON f.w = v.w),
+u(w, root, next) AS (SELECT w, w, form FROM t UNION ALL SELECT u.w, u.next, t.form FROM u JOIN t ON t.w = u.next)
+SELECT t.w AS word, t.form, u.root, t.n, t.n_near, t.form_n FROM t JOIN u ON u.w = t.w AND u.next IS NULL
+"""
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_html_extraction, op4_substring_dedup, op5_url_filters, op6_warc, op7_best_fit_packing, op8_token_store, op9_minhash_near_dedup, op10_benchmark_decontamination, op11_jaccard_join, op12_filter_audit, op13_spelling_variants)}
+SQL = {"op4_substring_dedup": OP4_SQL, "op5_url_filters": OP5_SQL, "op6_warc": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "op11_jaccard_join": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_spelling_variants": OP13_SQL}
