@@ -99,7 +99,7 @@ class Trie:
 
 def prefix_boundaries(texts: DataFrame, ranges: int) -> list[bytes]:
     """About ranges - 1 sorted text prefixes that divide the texts (column text) evenly, as far as equal texts allow."""
-    text, n = F.col("text").cast("binary"), texts.count()
+    text, n = F.coalesce(F.col("text"), F.lit("")).cast("binary"), texts.count()
     found: set[bytes] = set()
     shared: list[bytes] = []
     length = HEAD

@@ -11,7 +11,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
-from clipweave.llm import decontam, html_extract, minhash, packing, quality, queries, substring_dedup, token_store, toxicity, url_filter, warc
+from clipweave.llm import decontam, filter_audit, html_extract, jaccard_join, minhash, packing, quality, queries, spelling, substring_dedup, token_store, toxicity, url_filter, warc
 from clipweave.llm.tokenizer import WordEncoder
 from compare import SF, connect, spark_rows, sql_rows
 from pyspark.sql import functions as F
@@ -49,6 +49,9 @@ def test_awkward_documents_have_a_row_each(spark):
     assert quality.quality_rules(docs).count() == n
     assert substring_dedup.substring_dedup(docs).count() == n
     assert minhash.near_duplicates(docs).count() == n
+    assert jaccard_join.jaccard_components(docs).count() == n
+    assert filter_audit.failures(docs).count() == n
+    spelling.spelling_variants(docs).collect()
     assert toxicity.toxicity(docs, labels).count() == n
     assert packing.tokenized_pieces(docs, queries.word_bpe()).filter("piece = 0").count() == n
     assert substring_dedup.dedup_texts(docs).columns == docs.columns
@@ -63,6 +66,7 @@ def test_empty_tables(spark):
     assert quality.quality_rules(docs).count() == 0
     assert substring_dedup.substring_dedup(docs).count() == 0
     assert minhash.near_duplicates(docs).count() == 0
+    assert jaccard_join.jaccard_components(docs).count() == 0
     assert toxicity.toxicity(docs, labels).count() == 0
     assert packing.pack_documents(docs, queries.word_bpe()).count() == 0
     assert decontam.leaks(docs, bench).count() == 0
@@ -741,3 +745,189 @@ def test_pipeline_stages_on_awkward_and_empty_tables(spark):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, d, SF).columns == d.columns, name
         assert corpus_pipeline.STAGES[-1][1](spark, d, SF).count() >= (d.count() and 1)
+
+
+def near_copies(rng, n_groups=12, size=6, length=60, edits=2):
+    """Groups of texts of `length` words that differ in a few words, some alike, beside short and lone texts."""
+    out = []
+    for g in range(n_groups):
+        base = [f"g{g}x{rng.randrange(500)}" for _ in range(length)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                w[rng.randrange(length)] = f"e{rng.randrange(10**6)}"
+            out.append(" ".join(w))
+    return out
+
+
+def linked_components(texts, k, percent):
+    """Smallest index reachable over pairs with 100 * intersection >= percent * union, by trying all pairs."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+    return [(i, len(s), r) for i, (s, r) in enumerate(zip(sets, root, strict=True))]
+
+
+@pytest.mark.parametrize("boundary", [1, None, 16])
+def test_jaccard_join_equals_all_pairs(spark, boundary):
+    rng = random.Random(11)
+    texts = near_copies(rng) + near_copies(rng, 25, 5, 15, 1) + near_copies(rng, 25, 5, 9, 1) + [None, "", "a", "A", "a b", "b a", "a b c d"]
+    for t in list(texts[:40]):  # supersets, so that sizes differ
+        texts.append(f"{t} {'tail ' * rng.randrange(3)}x{rng.randrange(9)}")
+    rows = jaccard_join.jaccard_components(docs_of(spark, texts), boundary=boundary).collect()
+    assert sorted(map(tuple, rows)) == linked_components(texts, 4, 85)
+
+
+def test_jaccard_join_of_a_large_list_in_blocks(spark, monkeypatch):
+    """Texts of one template that link in part, more than a block of them."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng = random.Random(12)
+    texts = near_copies(rng, 1, 120, 90, 5)
+    rows = jaccard_join.jaccard_components(docs_of(spark, texts)).collect()
+    assert sorted(map(tuple, rows)) == linked_components(texts, 4, 85)
+
+
+def test_jaccard_light_subsets_and_boundary():
+    rng = random.Random(3)
+    for s, t in itertools.product(range(1, 24), repeat=2):
+        fits = any(100 * o >= 85 * (s + t - o) for o in range(min(s, t) + 1))
+        assert (t in jaccard_join.partners(s)) == fits
+        if fits:
+            assert jaccard_join.least_overlap(s, t) == min(o for o in range(min(s, t) + 1) if 100 * o >= 85 * (s + t - o))
+    x = np.array([rng.randrange(1 << 63) for _ in range(9)], np.uint64)
+    keys = jaccard_join.subset_keys(x, 7)
+    assert len(set(keys.tolist())) == math.comb(9, 7)
+    assert set(jaccard_join.subset_keys(x[:8], 7).tolist()) <= set(keys.tolist())
+    sizes = {8: 1000, 20: 1000}
+    assert jaccard_join.boundary_of(sizes, 1.0) <= 8
+    assert jaccard_join.boundary_of(sizes, 50.0) in range(9, 21)
+    assert jaccard_join.boundary_of(sizes, 1e6) > 20
+
+
+def audit_by_hand(docs, labels):
+    """docs: (doc_id, text, source); labels: doc_id -> (quality, toxic)."""
+    masks = []
+    for i, text, source in docs:
+        t = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        copy = i is not None and any(j is not None and j < i and (u or "") == t for j, u, _ in docs)
+        fails = (len(w) < 50, 100 * len(set(w)) < 65 * len(w), 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), bool(re.search(r"[#$%&*|]", t)), copy)
+        masks.append((source or "", {x for x, f in zip("ABCDE", fails, strict=True) if f}, labels.get(i, (None, None))))
+    out = {}
+    for part in {m[0] for m in masks}:
+        own = [m for m in masks if m[0] == part]
+        total = Counter()
+        for order in map("".join, itertools.permutations("ABCDE")):
+            gone = set()
+            for step, x in enumerate(order, 1):
+                removed = [m for m in own if x in m[1] and not m[1] & gone]
+                gone.add(x)
+                total[x] += len(removed)
+                out[part, order, step] = [sum(not m[1] & gone for m in own), len(removed), sum(x in m[1] for m in own) - len(removed), sum(m[1] == {x} for m in own), sum(m[2][0] == 1 for m in removed), sum(m[2][1] == 1 for m in removed)]
+        for (p, order, step), row in out.items():
+            if p == part:
+                row.append(total[order[step - 1]])
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_filter_audit_equals_going_through_all_orders(spark):
+    rng = random.Random(8)
+    texts = [" ".join(prose(rng, rng.choice([5, 60, 200]), rng.choice([30, 900]))) for _ in range(60)]
+    texts = [t.upper() if rng.random() < 0.2 else t + " #" if rng.random() < 0.2 else t for t in texts]
+    opening = "the same opening line of many texts " * 40
+    texts += [opening + t for t in texts[:30]] + [opening, opening[:100], None, "", "é" * 60] + rng.choices(texts, k=40)
+    docs = [(rng.randrange(500), t, rng.choice(["a", "b", None, ""])) for t in texts] + [(None, texts[0], "a"), (None, None, None)]
+    labels = {i: (rng.choice([0, 1, None]), rng.choice([0, 1])) for i in {d[0] for d in docs if d[0] is not None} if i % 3}
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({"mask": F.lit("x"), "part": F.lit(1), "good": F.lit(2)})
+    marks = spark.createDataFrame([(i, *x) for i, x in labels.items()], "doc_id long, quality int, toxic int")
+    for size in (1 << 20, 700):  # one range, and many
+        rows = filter_audit.audit(frame.repartition(7), marks, size).collect()
+        got = {(r["part"], r["filter_order"], r["step"]): tuple(r[3:]) for r in rows}
+        assert len(rows) == len(got) and got == audit_by_hand(docs, labels)
+    assert filter_audit.audit(frame.limit(0), marks).count() == 0
+
+
+def test_prefix_boundaries_go_beyond_what_texts_share(spark):
+    opening = "shared " * 60
+    texts = [f"{opening}{i:04}" for i in range(400)] + [f"{i:04}" for i in range(400)]
+    cuts = filter_audit.prefix_boundaries(docs_of(spark, texts).select("text"), 16)
+    counts = Counter(sum(t.encode() >= c for c in cuts) for t in texts)
+    assert len(cuts) >= 10 and max(counts.values()) <= 200
+
+
+def test_trie_holds_the_smallest_id_of_each_text():
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("ab", k=rng.randrange(9))).encode() for _ in range(500)] + [b"", "é".encode(), "è".encode()]
+    trie = filter_audit.Trie()
+    ends = [trie.insert(t, n * 7919 % 503) for n, t in enumerate(texts)]
+    for t, end in zip(texts, ends, strict=True):
+        assert trie.least[end] == min(n * 7919 % 503 for n, u in enumerate(texts) if u == t)
+
+
+def spelling_by_hand(docs):
+    n = Counter()
+    for i, text in docs:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), w)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            n[w if h % 199 else w[: h % len(w)] + w[h % len(w) + 1 :]] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 6 and c >= 5}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    form, out = {}, {}
+    for w in n:
+        around = [v for v in n if abs(len(v) - len(w)) < 2 and near(v, w)]
+        best = min(around, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 5 * n[w] else None
+        out[w] = (form[w], n[w], len(around), n[best] if form[w] else None)
+    for w in out:
+        root = w
+        while form[root]:
+            root = form[root]
+        out[w] = (out[w][0], root, *out[w][1:])
+    return out
+
+
+@pytest.mark.parametrize("cell", [None, 10, 1])
+def test_spelling_variants_equal_comparing_all_words(spark, cell):
+    rng = random.Random(13)
+    stems = ["".join(rng.choices("abcdeéß", k=rng.randrange(5, 9))) for _ in range(40)] + ["abcdef", "bacdef", "fedcba"]
+    words = []
+    for s in stems:
+        words += [s] * 200
+        for _ in range(4):  # chains: stem, variant, variant of the variant
+            i = rng.randrange(len(s))
+            s = rng.choice([s[:i] + s[i + 1 :], s[:i] + rng.choice("abé") + s[i:], s[:i] + rng.choice("abÀÿ") + s[i + 1 :]])
+            words += [s] * rng.choice([5, 6, 30])
+    rng.shuffle(words)
+    texts = [rng.choice([" ", "\n", "·1", "×", "ā"]).join(w.upper() if w.isascii() and rng.random() < 0.3 else w for w in words[i : i + 50]) for i in range(0, len(words), 50)]
+    docs = [*enumerate(texts), (None, texts[0]), (3, texts[1]), (3, texts[1]), (4, None), (5, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"n": F.lit("x"), "word": F.lit(1), "cell": F.lit(2)})
+    rows = spelling.spelling_variants(frame, cell).collect()
+    got = {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in rows}
+    assert len(rows) == len(got) and got == spelling_by_hand(docs)
+    assert spelling.spelling_variants(frame.limit(0)).count() == 0
+
+
+def test_large_leaves_are_matched_by_halves():
+    words = [("".join(p), 1) for p in itertools.permutations("abcdefg")][:1500]
+    group = {c: i % 3 for i, c in enumerate("abcdefgh")}
+    words += [(w[:3] + "h" + w[3:], 1) for w, _ in words[:300]] + [(w[:6] + "h", 1) for w, _ in words[:200]]
+    found = Counter(frozenset((a[0], b[0])) for a, b in spelling.near_pairs(words, words, group))
+    texts = [w for w, _ in words]
+    one = {w[:i] + w[i + 1 :] for w in texts for i in range(len(w))}
+    slow = {frozenset(p) for p in itertools.combinations(sorted(set(texts)), 2) if len(p[0]) == len(p[1]) and sum(x != y for x, y in zip(*p, strict=True)) == 1}
+    slow |= {frozenset((w, w[:i] + w[i + 1 :])) for w in texts for i in range(len(w)) if w[:i] + w[i + 1 :] in set(texts) & one}
+    assert set(found) == slow and set(found.values()) == {1}
