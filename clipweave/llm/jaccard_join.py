@@ -14,8 +14,9 @@
 4. The boundary is the one of least cost: keys of the sets below it, plus, for the sets above,
    lists scanned times their mean length. Both come from counts of all sets.
 5. Lists are scanned in turns, by a parity bitmap of each set: two bitmaps differ in at most
-   as many bits as the sets differ in elements, so no link is lost. First, twice, every member
-   is held against one leader of its list; then members of different components against each
+   as many bits as the sets differ in elements, so no link is lost. First every member is
+   held against its list's smallest set, then, in TURNS turns, against a random one of another
+   component; then members of different components against each
    other, in blocks of BLOCK members. Candidates are confirmed on their full sets, and
    components found after each turn, so a group of copies costs a star and not its square.
 
@@ -55,6 +56,8 @@ LEAST_CELLS, MOST_CELLS, BLOCK_BITS = 1 << 16, 1 << 27, 16
 MOST_LIGHT = 32
 #: Shingles gathered before a task sends them, bytes of text hashed at once: they bound a task's memory.
 MOST_GATHERED, PIECE = 3_000_000, 2 << 20
+#: Turns in which the members of a list that holds several components are held against one of them.
+TURNS = 2
 #: Members of a list compared with each other in one task.
 BLOCK = 2048
 _SUBSET = 0xD6E8FEB86659FD93
@@ -327,16 +330,17 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
         pairs = rows.filter(fits & (F.col("rep") != F.col("led.rep"))).select(*ends).distinct()
         return confirmed(materialize(by_bitmap(pairs, reps, percent), "star"), base, percent, k)
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Lists with members of several components, and another leader for them."""
-        lead = F.min(F.struct(F.xxhash64("rep").alias("order"), "n", "rep", "comp")).alias("led")
+    def mixed(rows: DataFrame, turn: int = 0) -> DataFrame:
+        """Lists with members of several components, and a leader for this turn, another one in each list."""
+        lead = F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("order"), "n", "rep", "comp")).alias("led")
         return rows.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), lead).filter("p < q").select("key", "led")
 
     links = materialize(same.distinct().union(star(members)), "links")
-    # Subsets have found their links; in the lists another leader has a turn.
+    # Subsets have found their links; in the lists other leaders have their turns.
     at = with_components(members.filter("c = 0").select("key", "rep", "n", "many"), links)
-    links = materialize(links.union(star(at.join(mixed(at), "key").filter("comp <> led.comp"))), "links")
-    at = with_components(at.drop("comp"), links)
+    for turn in range(TURNS):
+        links = materialize(links.union(star(at.join(mixed(at, turn), "key").filter("comp <> led.comp"))), "links")
+        at = with_components(at.drop("comp"), links)
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     dealt = at.join(mixed(at), "key", "left_semi").join(reps, ["rep", "n"]).withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"lo": F.least("part", "with"), "hi": F.greatest("part", "with")})
