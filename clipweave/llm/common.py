@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,10 +154,10 @@ def whole_groups(batches, names: list[str]):
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        other = np.flatnonzero(np.any([k != k[-1] for k in keys], 0))
-        start = int(other[-1]) + 1 if len(other) else 0  # of the last group
-        if held and not all(held[-1].column(c)[-1].as_py() == k[0] for c, k in zip(names, keys, strict=True)):
+        keys = [batch.column(c) for c in names]
+        other = [np.flatnonzero(~pc.equal(k, k[-1]).to_numpy(zero_copy_only=False)) for k in keys]
+        start = max((int(o[-1]) + 1 for o in other if len(o)), default=0)  # of the last group
+        if held and any(held[-1].column(c)[-1] != k[0] for c, k in zip(names, keys, strict=True)):
             yield _joined(held)
             held = []
         if start:

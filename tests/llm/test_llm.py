@@ -10,8 +10,10 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from clipweave.llm import decontam, filter_audit, html_extract, jaccard_join, minhash, packing, quality, queries, spelling, substring_dedup, token_store, toxicity, url_filter, warc
+from clipweave.llm.common import whole_groups
 from clipweave.llm.tokenizer import WordEncoder
 from compare import SF, connect, spark_rows, sql_rows
 from pyspark.sql import functions as F
@@ -931,3 +933,13 @@ def test_large_leaves_are_matched_by_halves():
     slow = {frozenset(p) for p in itertools.combinations(sorted(set(texts)), 2) if len(p[0]) == len(p[1]) and sum(x != y for x, y in zip(*p, strict=True)) == 1}
     slow |= {frozenset((w, w[:i] + w[i + 1 :])) for w in texts for i in range(len(w)) if w[:i] + w[i + 1 :] in set(texts) & one}
     assert set(found) == slow and set(found.values()) == {1}
+
+
+def test_whole_groups_over_batches():
+    keys = [b"a\0\0", b"a\0\0", b"a\0", b"a", b"b", b"b", b"b", b"c\0"]
+    rows = pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "n": list(range(8))})
+    for size in (1, 2, 3, 8):
+        batches = [rows.slice(i, size) for i in range(0, 8, size)] + [rows.slice(0, 0)]
+        got = [[tuple(r.values()) for r in b.to_pylist()] for b in whole_groups(batches, ["key"])]
+        assert [r for b in got for r in b] == list(zip(keys, range(8), strict=True))
+        assert all(b[-1][0] != c[0][0] for b, c in itertools.pairwise(got))
