@@ -1,79 +1,61 @@
 """Camera shots: switching, minimum length, cutaways, balance, edit lists. Times are milliseconds.
 
-Switching is a state machine over a recording's hops, read in order; edits go over one
-recording's shots at once. Scores are made by joins before.
+Switching is a state machine over blocks of hops; edits go over one recording's shots at
+once. Scores are made by joins before.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import END, START, coalesce_shots
-from .keyed import fold_in_order
+from .switching import BLOCK, switched
 
 SHOT = ["camera", "audio_camera", START, END]
 
 
 def _steps(scores: DataFrame, key: str, *values: str) -> DataFrame:
-    """key, step, cams (an array of the step's cameras by position: camera_pos, camera, values), first (the recording's first camera)."""
-    cams = F.array_sort(F.collect_list(F.struct("camera_pos", "camera", *values))).alias("cams")
-    first = scores.groupBy(F.col(key).alias("_cw_key")).agg(F.min_by("camera", "camera_pos").alias("first"))
-    return scores.groupBy(key, "step").agg(cams).join(first, F.col(key).eqNullSafe(F.col("_cw_key"))).drop("_cw_key")
+    """key, step, cams: an array of the step's cameras by position (camera_pos, camera, values)."""
+    return scores.groupBy(key, F.col("step").cast("long").alias("step")).agg(F.array_sort(F.collect_list(F.struct("camera_pos", "camera", *values))).alias("cams"))
+
+
+def _firsts(scores: DataFrame, key: str) -> DataFrame:
+    return scores.groupBy(key).agg(F.min_by("camera", "camera_pos").alias("first"))
 
 
-def camera_switch(scores: DataFrame, key: str, hop_ms: int, min_shot_ms: int, margin: float) -> DataFrame:
+def camera_switch(scores: DataFrame, key: str, hop_ms: int, min_shot_ms: int, margin: float, block: int = BLOCK) -> DataFrame:
     """key, step, camera from scores (key, step, camera_pos, camera, score, speech): hold in silence, switch to a better camera after min_shot by at least margin.
 
     speech decides silence (below 0 for all cameras), score the best camera; the first camera is
-    chosen at the start and wins ties. A step's cameras are one row, and a task holds the
-    camera on air.
+    chosen at the start and wins ties. Expressions tell of every step which cameras hold the
+    picture; the state goes over blocks of steps (see switching).
     """
+    steps = _steps(scores, key, "score", "speech").withColumn("top", F.expr("array_max(transform(cams, c -> struct(c.score AS score, -c.camera_pos AS pos, c.camera AS camera)))"))
+    margin = F.lit(float(margin))
+    held = F.transform(F.filter("cams", lambda c: (c["camera"] == F.col("top.camera")) | (F.col("top.score") - c["score"] < margin)), lambda c: c["camera"])
+    loud = F.expr("exists(cams, c -> c.speech >= 0)")
+    steps = steps.select(key, "step", F.col("top.camera").alias("best"), F.when(loud, held).alias("held"))
+    return switched(steps, _firsts(scores, key), key, -(-min_shot_ms // hop_ms), [], block).select(key, "step", "camera")
 
-    def step(state: dict, r: tuple):
-        n, cams, first = r
-        if not state:
-            state.update(now=first, since=n)
-        best = max(cams, key=lambda c: c["score"])  # the first of equals
-        own = next((c["score"] for c in cams if c["camera"] == state["now"]), -math.inf)
-        loud = max(c["speech"] for c in cams) >= 0
-        if loud and best["camera"] != state["now"] and (n - state["since"]) * hop_ms >= min_shot_ms and best["score"] - own >= margin:
-            state.update(now=best["camera"], since=n)
-        yield n, state["now"]
 
-    return fold_in_order(_steps(scores, key, "score", "speech"), [key], ["step"], dict, step, lambda _: (), ["step", "cams", "first"], "step long, camera string")
-
-
-def speaker_switch(sims: DataFrame, key: str, hop_ms: int, min_shot_ms: int, least: float, margin: float) -> DataFrame:
+def speaker_switch(sims: DataFrame, key: str, hop_ms: int, min_shot_ms: int, least: float, margin: float, block: int = BLOCK) -> DataFrame:
     """As camera_switch, by voice similarity: key, step, camera, reason. sims: camera_pos, camera, sim (null: not active), speech."""
-
-    def step(state: dict, r: tuple):
-        n, cams, first = r
-        if not state:
-            state.update(now=first, since=n)
-        near = sorted((c for c in cams if c["speech"] >= 0 and c["sim"] is not None), key=lambda c: -c["sim"])  # by position of equals
-        if max(c["speech"] for c in cams) < 0:
-            why = "silence"
-        elif not near:
-            why = "no_candidates"
-        elif near[0]["sim"] < least:
-            why = "low_similarity"
-        elif near[0]["sim"] - (near[1]["sim"] if len(near) > 1 else -1.0) < margin:
-            why = "margin"
-        elif near[0]["camera"] == state["now"]:
-            why = "stay"
-        elif (n - state["since"]) * hop_ms < min_shot_ms:
-            why = "min_shot"
-        else:
-            why = "switch"
-            state.update(now=near[0]["camera"], since=n)
-        yield n, state["now"], why
-
-    return fold_in_order(_steps(sims, key, "sim", "speech"), [key], ["step"], dict, step, lambda _: (), ["step", "cams", "first"], "step long, camera string, reason string")
+    steps = _steps(sims, key, "sim", "speech").withColumn("near", F.expr("array_sort(transform(filter(cams, c -> c.speech >= 0 AND c.sim IS NOT NULL), c -> struct(-c.sim AS less, c.camera_pos AS pos, c.camera AS camera)))"))
+    sim = lambda i: -F.get("near", F.lit(i))["less"]
+    why = (
+        F.when(~F.expr("exists(cams, c -> c.speech >= 0)"), "silence")
+        .when(F.size("near") == 0, "no_candidates")
+        .when(sim(0) < least, "low_similarity")
+        .when(sim(0) - F.coalesce(sim(1), F.lit(-1.0)) < margin, "margin")
+    )
+    best = F.get("near", F.lit(0))["camera"]
+    steps = steps.select(key, "step", best.alias("best"), why.alias("why")).withColumn("held", F.when(F.col("why").isNull(), F.array("best")))
+    out = switched(steps, _firsts(sims, key), key, -(-min_shot_ms // hop_ms), ["best", "why"], block)
+    moved = F.when(F.col("best") == F.col("before"), "stay").when(F.col("camera") == F.col("before"), "min_shot").otherwise("switch")
+    return out.select(key, "step", "camera", F.coalesce("why", moved).alias("reason"))
 
 
 def pin_camera(shots: DataFrame, keys: list[str], camera: str, eps: int = 50) -> DataFrame:

@@ -340,32 +340,128 @@ def test_similarity_takes_the_best_centroid(spark):
     assert speakers.speaker_similarity(w, c.limit(0), ["id"], "v", "label").count() == 0
 
 
-def test_align_blocks_matches_brute_force(spark):
+def align_by_hand(blocks, segs, most=90, least_ms=6000, longest_ms=140_000):
+    """Windows tried one by one. blocks: normalized texts; segs: (start, end, normalized text, has a mark)."""
     import difflib
 
-    rng = random.Random(7)
-    vocab = [f"w{i}" for i in range(30)]
-    segs = [(i, i * 4000, i * 4000 + 3500, " ".join(rng.choices(vocab, k=5))) for i in range(14)]
-    blocks = [(0, segs[2][3] + " " + segs[3][3]), (1, segs[7][3] + " w1 w2"), (2, segs[10][3] + " " + segs[11][3])]
-    want, first = [], 0
-    for b, text in blocks:
+    out, at, latest = [], 0, None
+    mean = sum(len(s[2].split()) for s in segs) / len(segs)
+    for k, text in enumerate(blocks):
+        goal = set(text.split())
+        expected = max(2, int(round(len(text.split()) / max(1.0, mean))))
         best = None
-        for i in range(first, len(segs)):
-            for j in range(i, len(segs)):
-                d = segs[j][2] - segs[i][1]
-                if 6000 <= d <= 140_000:
-                    joined = " ".join(s[3] for s in segs[i : j + 1])
-                    x, y = set(text.split()), set(joined.split())
-                    score = 0.62 * 2 * len(x & y) / (len(x) + len(y)) + 0.38 * difflib.SequenceMatcher(None, text, joined).ratio()
-                    if best is None or score > best[0] + 1e-12:
-                        best = score, i, j
-        want.append((b, segs[best[1]][1], segs[best[2]][2]))
-        first = best[2] + 1
-    s = spark.createDataFrame([("r", *x) for x in segs], "r string, seg_idx long, start_ms long, end_ms long, text string")
-    bl = spark.createDataFrame([("r", *x) for x in blocks], "r string, block_idx long, text string")
-    assert [(r.block_idx, r.start_ms, r.end_ms) for r in align.align_blocks(bl, s, "r").orderBy("block_idx").collect()] == want
-
-
+        for i in range(at, max(at, len(segs) - (len(blocks) - k)) + 1):
+            for j in range(i, min(len(segs), i + min(most, expected * 4 + 8))):
+                window = segs[i : j + 1]
+                if j - i + 1 < max(1, expected // 3) or not least_ms <= window[-1][1] - window[0][0] <= longest_ms:
+                    continue
+                joined = " ".join(s[2] for s in window)
+                words = set(joined.split())
+                f1 = 2.0 * len(goal & words) / (len(goal) + len(words)) if goal and words else 0.0
+                score = 0.62 * f1 + 0.38 * difflib.SequenceMatcher(None, text[:3000], joined[:3000]).ratio()
+                score = max(0.0, score - 0.08 if any(s[3] for s in window) else score)
+                if best is None or score > best[0]:
+                    best = score, i, j
+        score, i, j = best or (0.0, min(at, len(segs) - 1), min(len(segs) - 1, min(at, len(segs) - 1) + max(2, expected)))
+        start, end = segs[i][0], segs[j][1]
+        start = start if latest is None else max(start, latest)
+        latest = end if end > start else start + 3000
+        out.append((k, start, latest, score))
+        at = min(j + 1, len(segs) - 1)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_align_blocks_equals_trying_every_window(spark, seed):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(30)] + ["стоп", "удалить", "mistake", "застопорить"]
+    t, segs = 0, []
+    for _ in range(rng.choice([3, 14, 40])):
+        d = rng.choice([900, 4000, 9000]) if seed else 200
+        segs.append((t, t + d, " ".join(rng.choices(vocab, k=rng.choice([0, 1, 5, 9])))))
+        t += d + rng.choice([0, 500])
+    blocks = [" ".join(s[2] for s in segs[a : a + rng.choice([1, 2, 6])]) + " W1, w2!" for a in sorted(rng.sample(range(len(segs)), 3))]
+    marked = [any(w.startswith(("стоп", "удали")) for w in s[2].split()) for s in segs]
+    want = align_by_hand([" ".join(b.lower().replace(",", "").replace("!", "").split()) for b in blocks], [(*s, m) for s, m in zip(segs, marked, strict=True)])
+    s = spark.createDataFrame([("r", i, *x) for i, x in enumerate(segs)], "r string, seg_idx long, start_ms long, end_ms long, text string")
+    bl = spark.createDataFrame([("r", i, b) for i, b in enumerate(blocks)], "r string, block_idx long, text string")
+    got = align.align_blocks(bl, s, "r").orderBy("block_idx").collect()
+    assert [tuple(r)[1:] for r in got] == want
+
+
+def test_align_blocks_without_segments_or_windows(spark, monkeypatch):
+    segs = spark.createDataFrame([("r", i, i * 1000, i * 1000 + 500, "a b") for i in range(3)], "r string, seg_idx long, start_ms long, end_ms long, text string")
+    blocks = spark.createDataFrame([("r", 0, "a b"), ("r", 1, None), ("other", 0, "a")], "r string, block_idx long, text string")
+    # No window lasts 6 s: the next few segments, and times that do not go back.
+    assert rows(align.align_blocks(blocks, segs, "r")) == [("r", 0, 0, 2500, 0.0), ("r", 1, 2500, 5500, 0.0)]
+    assert align.align_blocks(blocks, segs.limit(0), "r").count() == 0
+    monkeypatch.setattr(align, "SLAB", 2)
+    long = spark.createDataFrame([("r", i, i * 4000, i * 4000 + 3900, f"w{i} w{i + 1} w{i * i % 7}") for i in range(12)], segs.schema)
+    some = spark.createDataFrame([("r", i, f"w{i * 4} w{i * 4 + 1} w{i * 4 + 2}") for i in range(3)], blocks.schema)
+    want = align_by_hand([f"w{i * 4} w{i * 4 + 1} w{i * 4 + 2}" for i in range(3)], [(i * 4000, i * 4000 + 3900, f"w{i} w{i + 1} w{i * i % 7}", False) for i in range(12)])
+    assert [r[1:] for r in rows(align.align_blocks(some, long, "r"))] == want
+
+
+def test_speech_text_filter_takes_the_reference_markers(spark):
+    df = spark.createDataFrame([(1, "Вырезать это"), (2, "удалили"), (3, "  камера  пошла"), (4, "стоп раз два три четыре пять"), (5, "не застопорить"), (6, " "), (7, "перезаписываем дубль")], "i long, text string")
+    assert rows(align.speech_text_filter(df).select("i", "text")) == [(3, "камера пошла"), (4, "стоп раз два три четыре пять"), (5, "не застопорить")]
+
+
+def switch_by_hand(steps, hop, least, margin):
+    """steps: {n: [(position, camera, score, speech)]}, one recording."""
+    first = min((p, c) for cams in steps.values() for p, c, *_ in cams)[1]
+    now, since, out = first, min(steps), []
+    for n in sorted(steps):
+        cams = sorted(steps[n])
+        best = max(cams, key=lambda c: (c[2], -c[0]))
+        own = next((c[2] for c in cams if c[1] == now), float("-inf"))
+        if any(c[3] >= 0 for c in cams) and best[1] != now and (n - since) * hop >= least and best[2] - own >= margin:
+            now, since = best[1], n
+        out.append((n, now))
+    return out
+
+
+def speaker_by_hand(steps, hop, least, low, margin):
+    first = min((p, c) for cams in steps.values() for p, c, *_ in cams)[1]
+    now, since, out = first, min(steps), []
+    for n in sorted(steps):
+        near = sorted((-s, p, c) for p, c, s, v in steps[n] if v >= 0 and s is not None)
+        if not any(c[3] >= 0 for c in steps[n]):
+            why = "silence"
+        elif not near:
+            why = "no_candidates"
+        elif -near[0][0] < low:
+            why = "low_similarity"
+        elif -near[0][0] - (-near[1][0] if len(near) > 1 else -1.0) < margin:
+            why = "margin"
+        elif near[0][2] == now:
+            why = "stay"
+        elif (n - since) * hop < least:
+            why = "min_shot"
+        else:
+            why, now, since = "switch", near[0][2], n
+        out.append((n, now, why))
+    return out
+
+
+@pytest.mark.parametrize(("block", "least", "margin"), [(1, 300, 1.0), (7, 0, 0.0), (7, 450, 0.5), (64, 1000, 0.0), (4096, 900, 1.0)])
+def test_switching_is_the_same_for_any_block(spark, block, least, margin):
+    rng = random.Random(block + least)
+    data = []
+    for r in ("a", "b"):
+        for n in sorted(rng.sample(range(-20, 400), 250)):  # steps are missing, and cameras in some
+            cams = [(p, c) for p, c in enumerate(["x", "y", "z"]) if rng.random() < 0.9] or [(2, "z")]
+            data += [(r, n, p, c, float(rng.randrange(5)), rng.choice([1.0, 0.0, -1.0, -1.0])) for p, c in cams]
+    df = spark.createDataFrame(data, "r string, step long, camera_pos int, camera string, score double, speech double").repartition(5)
+    by = {r: {} for r in ("a", "b")}
+    for r, n, *cam in data:
+        by[r].setdefault(n, []).append(tuple(cam))
+    want = sorted((r, *x) for r in by for x in switch_by_hand(by[r], 100, least, margin))
+    assert rows(shots.camera_switch(df, "r", 100, least, margin, block)) == want
+    sims = df.withColumnRenamed("score", "sim").withColumn("sim", F.when(F.col("sim") < 4, F.col("sim") / 4))
+    sim = {r: {n: [(p, c, s / 4 if s < 4 else None, v) for p, c, s, v in cams] for n, cams in by[r].items()} for r in by}
+    want = sorted((r, *x) for r in by for x in speaker_by_hand(sim[r], 100, least, 0.3, margin / 2))
+    assert rows(shots.speaker_switch(sims, "r", 100, least, 0.3, margin / 2, block)) == want
 def test_caption_pages_keep_words_and_time(spark):
     rng = random.Random(8)
     segs = [(i, i * 20_000, i * 20_000 + rng.choice([100, 800, 3000, 9000]), " ".join("x" * rng.randrange(1, 12) for _ in range(rng.randrange(1, 40)))) for i in range(60)]
