@@ -1,10 +1,7 @@
-"""Array signals: envelopes, correlation offsets, checks, gated mix. Samples travel as array chunks, never one row each."""
+"""Array signals: envelopes, correlation offsets, checks. Samples travel as array chunks, never one row each."""
 
 from __future__ import annotations
 
-import io
-import wave
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -243,46 +240,6 @@ def verify_alignment(pairs: DataFrame, ids: list[str], rate: float, tolerance: f
     return pairs.select(*ids, "a", "b", F.col("current").cast("double").alias("current")).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in ids) + ", corrected double, residual double, aligned boolean, n_passes int")
 
 
-def read_wav_chunks(spark, paths, chunk_s: float, overlap_s: float = 0.0) -> DataFrame:
-    """path, chunk_idx, sr, start_sample, samples (-1..1) of mono 16-bit files; other layouts raise."""
-
-    def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                with wave.open(io.BytesIO(content)) as w:
-                    if w.getnchannels() != 1 or w.getsampwidth() != 2:
-                        raise ValueError(f"{path}: not mono 16 bit")
-                    sr, n = w.getframerate(), w.getnframes()
-                    hop, size = int(chunk_s * sr), int((chunk_s + overlap_s) * sr)
-                    for i, start in enumerate(range(0, max(n, 1), hop)):
-                        w.setpos(min(start, n))
-                        x = np.frombuffer(w.readframes(min(size, n - start)), "<i2").astype(np.float32) / 32768
-                        yield pd.DataFrame({"path": [path], "chunk_idx": [i], "sr": [sr], "start_sample": [start], "samples": [x]})
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, chunk_idx int, sr int, start_sample long, samples array<float>")
-
-
-def gated_mix(chunks: DataFrame, key: str, fade: int, duck: float = 0.0) -> DataFrame:
-    """key, chunk_idx, mixed: the active camera at gain 1, others at duck, crossfaded linearly over `fade` samples after a switch, summed and clipped.
-
-    chunks: a row per key, chunk and camera with samples, gain (level shift as a factor), and
-    active: arrays of the camera's gate (0 or 1) per sample and of samples since its last change.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for row in pdf.itertuples(index=False):
-            x, on, since = (np.asarray(v, float) for v in (row.samples, row.active, row.since))
-            ramp = np.minimum(1.0, since / max(1, fade))
-            g = np.where(on > 0, duck + (1 - duck) * ramp, 1 - (1 - duck) * ramp)
-            part = x * row.gain * g
-            total = part if total is None else total + part
-        return pd.DataFrame({key: pdf[key].iloc[:1], "chunk_idx": pdf["chunk_idx"].iloc[:1], "mixed": [np.clip(total, -1, 1)]})
-
-    kinds = dict(chunks.dtypes)
-    return chunks.groupBy(key, "chunk_idx").applyInPandas(run, f"{key} {kinds[key]}, chunk_idx {kinds['chunk_idx']}, mixed array<double>")
-
-
 def residual_scores(windows: DataFrame, key: str) -> DataFrame:
     """key, step, camera_pos, score: decibels of what is left of each of two windows (a, b) after the other is projected out, plus the camera's level shift and bias (shift_a, bias_a, shift_b, bias_b where given)."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as I
 from ..operators import levels as V
+from ..operators import mixing as M
 from ..operators import shots as H
 from ..operators import signal as G
 from ..operators import speakers as P
@@ -323,17 +324,21 @@ def verify_alignment(spark, sf):
 
 
 def gated_mix(spark, sf):
-    """Two cameras a label: its even and its odd vectors; each in turn is on for 32 samples."""
+    """Two cameras a label, a of its even and b of its odd vectors, 64 samples each at 100 a second; a shot a vector, with gaps; b drifts and is softer."""
     from pyspark.sql import Window as W
 
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    n = (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).alias("n")
-    rows = e.select("label", F.col("embedding").cast("array<double>").alias("samples"), n)
-    on = lambda first: F.concat(F.array_repeat(F.lit(first), 32), F.array_repeat(F.lit(1.0 - first), 32))
-    even = F.col("n") % 2 == 0
-    since = F.concat(F.array_repeat(F.lit(99.0), 32), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: i.cast("double")))
-    chunks = rows.select("label", F.floor(F.col("n") / 2).alias("chunk_idx"), "samples", F.when(even, F.lit(1.0)).otherwise(F.lit(0.5)).alias("gain"), F.when(even, on(1.0)).otherwise(on(0.0)).alias("active"), since.alias("since"))
-    return G.gated_mix(chunks, "label", fade=8, duck=0.25).select("label", "chunk_idx", F.posexplode("mixed").alias("i", "v")).select("label", "chunk_idx", "i", F.bround("v", 5).alias("v"))
+    n = (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("n")
+    rows = e.select("label", "vec_id", "embedding", n)
+    camera = F.when(F.col("n") % 2 == 0, "a").otherwise("b").alias("camera")
+    sources = rows.select("label", camera, (F.floor(F.col("n") / 2) * 64).alias("start_sample"), F.col("embedding").alias("samples"))
+    shots = rows.select("label", F.when(F.col("vec_id") % 3 == 0, "a").otherwise("b").alias("camera"), F.lit(None).cast("string").alias("audio_camera"), (F.col("n") * 900).alias("start_ms"), (F.col("n") * 900 + 700).alias("end_ms"))
+    ranges = rows.groupBy("label").agg(F.lit(100).alias("sr"), F.lit(200).cast("long").alias("start_ms"), (F.floor((F.max("n") + 1) / 2) * 640).alias("end_ms"))
+    known = [("a", 0, 0.104, None, None, 0.0, None), ("b", 1, None, 0.003, -0.371, 0.25, -6.0)]
+    cameras = ranges.select("label").crossJoin(F.broadcast(spark.createDataFrame(known, "camera string, camera_pos int, offset_start double, slope double, intercept double, audio_start_s double, shift_db double")))
+    mixed = M.gated_mix(sources, cameras, shots, ranges, "label", chunk_s=1.7, fade_s=0.08, duck_db=12.0, width=512)
+    mixed = mixed.select("label", "start_sample", F.posexplode("mixed").alias("i", "v"))
+    return mixed.select("label", (F.col("start_sample") + F.col("i")).alias("sample"), (F.bround("v", 5) + 0.0).alias("v"))
 
 
 def residual_windows(spark, sf):
@@ -442,9 +447,19 @@ SQL = {
       SELECT recording_id, camera, camera AS audio_camera, x.s AS start_ms, x.e AS end_ms FROM (SELECT recording_id, camera, unnest(p) AS x FROM pc) WHERE x.e - x.s > 50""",
     "verify_windows": with_views("clips") + """, d AS (SELECT reel_id, clip_idx, start_ms AS s, end_ms AS e, end_ms - start_ms AS d FROM clips), w AS (SELECT reel_id, clip_idx, s, e, 0 AS "window", CASE WHEN d < 3000 THEN 150 ELSE 250 END AS i FROM d UNION ALL SELECT reel_id, clip_idx, s, e, 1, greatest(250, d - 2300) FROM d WHERE d >= 3000)
       SELECT reel_id, clip_idx, "window", s + i AS a, s + i + least(2000, e - s - i - 100) AS b FROM w WHERE e - s - i - 100 > 0""",
-    "gated_mix": """WITH n AS (SELECT label, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings), i AS (SELECT label, n // 2 AS chunk_idx, n % 2 AS side, unnest(range(64)) AS i, x FROM n),
-      g AS (SELECT label, chunk_idx, i, x[i + 1] * CASE WHEN side = 0 THEN 1.0 ELSE 0.5 END * CASE WHEN (side = 0) = (i < 32) THEN 0.25 + 0.75 * r ELSE 1 - 0.75 * r END AS v FROM (SELECT *, CASE WHEN i < 32 THEN 1.0 ELSE least(1.0, (i - 32) / 8) END AS r FROM i))
-      SELECT label, chunk_idx, CAST(i AS INTEGER) AS i, round_even(greatest(-1.0, least(1.0, sum(v))), 5) AS v FROM g GROUP BY label, chunk_idx, i""",
+    "gated_mix": """WITH n AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings),
+      src AS (SELECT label, CASE WHEN n % 2 = 0 THEN 'a' ELSE 'b' END AS camera, n // 2 * 64 + i AS at, x[i + 1] AS v FROM n, LATERAL (SELECT unnest(range(64)) AS i)),
+      rg AS (SELECT label, CAST(round_even(((max(n) + 1) // 2 * 640 - 200) / 1000 * 100, 0) AS BIGINT) AS total FROM n GROUP BY label HAVING (max(n) + 1) // 2 * 640 > 200),
+      sh AS (SELECT n.label, CASE WHEN vec_id % 3 = 0 THEN 'a' ELSE 'b' END AS camera, greatest(0, CAST(round_even((n * 900 - 200) / 1000 * 100, 0) AS BIGINT)) AS s FROM n JOIN rg ON rg.label = n.label WHERE round_even((n * 900 - 200) / 1000 * 100, 0) < total UNION ALL SELECT label, 'a', -9 FROM rg),
+      ch AS (SELECT *, lag(camera) OVER (PARTITION BY label ORDER BY s) AS was FROM sh), ev AS (SELECT * FROM ch WHERE was IS NULL OR was <> camera),
+      px AS (SELECT label, p FROM rg, LATERAL (SELECT unnest(range(total)) AS p)),
+      ac AS (SELECT px.label, px.p, ev.camera AS now, px.p - ev.s AS k FROM px ASOF JOIN ev ON px.label = ev.label AND px.p >= ev.s),
+      tm AS (SELECT *, 200 / 1000 + p / 100 AS t FROM ac), pl AS (SELECT label, p, 'a' AS camera, now, k, 1.0::DOUBLE AS g, (t + (0.0 * t + 0.104::DOUBLE) - 0.0) * 100 AS x FROM tm
+        UNION ALL SELECT label, p, 'b', now, k, pow(10.0, -6.0::DOUBLE / 20), (t + (0.003::DOUBLE * t + (-0.371::DOUBLE)) - 0.25::DOUBLE) * 100 FROM tm),
+      lv AS (SELECT *, pow(10.0, -12.0::DOUBLE / 20) AS low, CASE WHEN k < 8 THEN k / 8 ELSE 1.0::DOUBLE END AS r FROM pl),
+      v AS (SELECT lv.label, lv.p, lv.g * CASE WHEN lv.camera = now THEN (1 - r) * low + r ELSE (1 - r) + r * low END * coalesce(s.v * (1 - (x - floor(x))) + e.v * (x - floor(x)), 0) AS v
+        FROM lv LEFT JOIN src s ON s.label = lv.label AND s.camera = lv.camera AND s.at = CAST(floor(x) AS BIGINT) LEFT JOIN src e ON e.label = lv.label AND e.camera = lv.camera AND e.at = CAST(floor(x) AS BIGINT) + 1)
+      SELECT label, p AS sample, round_even(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, sum(v))), 5) + 0.0::DOUBLE AS v FROM v GROUP BY label, p""",
     "residual_scores": _RES + " SELECT recording_id, step, camera_pos, round_even(score, 3) AS score FROM rs",
     "residual_switch": _RES.replace("WITH e", "WITH RECURSIVE e") + """, st AS (SELECT recording_id, step, max(score) FILTER (camera_pos = 0) AS s0, max(score) FILTER (camera_pos = 1) AS s1 FROM rs GROUP BY ALL),
       sw AS (SELECT recording_id, step, 0 AS cam, step AS since FROM st WHERE step = 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import readers as R
+from ..sources import wav as S
 from ..sources import writers as O
 from ..views import scratch, view, with_views
 
@@ -196,11 +197,30 @@ def write_eval_tsv(spark, sf):
     return spark.read.csv(path, header=True, sep="\t").fillna("")
 
 
-NAMES = "read_transcripts read_words read_plans read_candidates read_offsets read_cut_list read_speaker_samples write_tracker_csv write_excel_csv write_excel_tsv read_upload_list read_caption_overrides write_progress read_progress write_json_report write_eval_tsv"
+def read_wav_chunks(spark, sf):
+    """A sound file per label, of its vectors (64 samples each, at 800 a second, with a gap after every fifth), read in chunks of a second with a tenth more."""
+    from pyspark.sql import Window as W
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    n = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
+    chunks = e.select("label", (n * 64 + F.floor(n / 5) * 100).cast("long").alias("start_sample"), F.transform("embedding", lambda v: v.cast("double")).alias("samples"))
+    files = S.write_wav(chunks, scratch(spark, "wav"), "label", 800)
+    read = S.read_wav_chunks(spark, files.first()["path"].rpartition("/")[0] + "/*.wav", 1.0, 0.1, run=2, task_bytes=1 << 16)
+    whole = F.transform("samples", lambda v: F.bround(v * 32768).cast("long"))
+    return read.select(F.regexp_extract("path", r"/(-?\d+)\.wav$", 1).cast("int").alias("label"), F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("sr").cast("long").alias("sr"), "start_sample", F.size("samples").cast("long").alias("n"), F.aggregate(whole, F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.coalesce(F.element_at(whole, 1), F.lit(0)).alias("head"))
+
+
+NAMES = "read_transcripts read_words read_plans read_candidates read_offsets read_cut_list read_speaker_samples write_tracker_csv write_excel_csv write_excel_tsv read_upload_list read_caption_overrides write_progress read_progress write_json_report write_eval_tsv read_wav_chunks"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _S, _M, _C = with_views("segments"), with_views("media"), with_views("candidates")
 SQL = {
+    "read_wav_chunks": """WITH n AS (SELECT label, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings),
+      s AS (SELECT label, n * 64 + n // 5 * 100 + i AS pos, CAST(trunc(greatest(-1.0, least(1.0, x[i + 1])) * 32767) AS BIGINT) AS v FROM n, LATERAL (SELECT unnest(range(64)) AS i)),
+      f AS (SELECT label, max(pos) + 1 AS len FROM s GROUP BY label),
+      c AS (SELECT label, i AS chunk_idx, i * 800 AS start_sample, least(880, len - i * 800) AS n FROM f, LATERAL (SELECT unnest(range(CAST(ceil(len / 800) AS BIGINT))) AS i))
+      SELECT c.label, chunk_idx, CAST(800 AS BIGINT) AS sr, start_sample, n, CAST(coalesce(sum(v), 0) AS BIGINT) AS total, coalesce(max(v) FILTER (pos = start_sample), 0) AS head
+      FROM c LEFT JOIN s ON s.label = c.label AND s.pos >= start_sample AND s.pos < start_sample + n GROUP BY ALL""",
     "read_transcripts": _S + " SELECT recording_id, CAST(seg_idx AS INTEGER) AS seg_idx, start_ms, end_ms, md5(text) AS text, CASE WHEN seg_idx % 3 > 0 THEN 2 ELSE 0 END AS n_words FROM segments",
     "read_words": _S + " SELECT recording_id, CAST(seg_idx AS INTEGER) AS seg_idx, w AS word_idx, start_ms, speaker AS word FROM segments, (SELECT unnest([0, 1]) AS w) WHERE seg_idx % 3 > 0 UNION ALL SELECT recording_id, CAST(seg_idx AS INTEGER), NULL, NULL, NULL FROM segments WHERE seg_idx % 3 = 0",
     "read_plans": with_views("clips", "cues") + """ SELECT 'clips' AS what, reel_id, CAST(row_number() OVER (PARTITION BY reel_id ORDER BY clip_idx) - 1 AS INTEGER) AS idx, source, start_ms, end_ms, NULL AS text FROM clips

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.timecode import number
-from ..operators.signal import read_wav_chunks  # noqa: F401
 
 WORD = "struct<start:double,end:double,word:string,probability:double>"
 TRANSCRIPT = f"video_path string, language string, segments array<struct<start:double,end:double,text:string,words:array<{WORD}>>>, meta map<string,string>"

@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 from clipweave.functions import text as X
 from clipweave.functions import timecode as T
-from clipweave.operators import align, candidates, captions, catalog, intervals, shots, signal, speakers, timeline
-from clipweave.sources import readers, writers
+from clipweave.operators import align, candidates, captions, catalog, intervals, mixing, shots, signal, speakers, timeline
+from clipweave.sources import readers, wav, writers
 from pyspark.sql import functions as F
 
 
@@ -101,23 +101,94 @@ def test_files_round_trip(spark, tmp_path):
     assert any(f.read_bytes()[:2] in (b"\xfe\xff", b"\xff\xfe") for f in (tmp_path / "y").glob("part*"))
 
 
-def test_wav_chunks(spark, tmp_path):
+@pytest.mark.parametrize("by_range", [True, False, None])
+def test_wav_chunks(spark, tmp_path, by_range):
     import wave
 
     x = (np.sin(np.arange(8000) / 10) * 20000).astype("<i2")
-    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
-        w.setframerate(8000)
-        w.writeframes(x.tobytes())
-    got = signal.read_wav_chunks(spark, str(tmp_path / "a.wav"), 0.25, 0.05).orderBy("chunk_idx").collect()
-    assert [(r.start_sample, len(r.samples)) for r in got] == [(0, 2400), (2000, 2400), (4000, 2400), (6000, 2000)]
+    for name, channels, data in (("a", 1, x), ("empty", 1, x[:0]), ("stereo", 2, x)):
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setnchannels(channels)
+            w.setsampwidth(2)
+            w.setframerate(8000)
+            w.writeframes(data.tobytes())
+    read = lambda name: wav.read_wav_chunks(spark, str(tmp_path / f"{name}.wav"), 0.25, 0.05, by_range, 2, 4000)
+    got = read("a").orderBy("chunk_idx").collect()
+    assert [(r.chunk_idx, r.sr, r.start_sample, len(r.samples)) for r in got] == [(0, 8000, 0, 2400), (1, 8000, 2000, 2400), (2, 8000, 4000, 2400), (3, 8000, 6000, 2000)]
     assert np.allclose(got[1].samples, x[2000:4400] / 32768, atol=1e-6)
+    assert [tuple(r)[1:] for r in read("empty").collect()] == [(0, 8000, 0, [])]
+    with pytest.raises(Exception, match="not mono 16 bit"):
+        read("stereo").count()
+    if by_range:  # one file, several tasks
+        assert read("a").select(F.spark_partition_id()).distinct().count() > 1
 
 
-def test_gated_mix(spark):
-    df = spark.createDataFrame([("r", 0, [0.5] * 4, 1.0, [1.0] * 4, [9.0] * 4), ("r", 0, [0.4] * 4, 1.0, [0.0] * 4, [9.0] * 4)], "r string, chunk_idx int, samples array<double>, gain double, active array<double>, since array<double>")
-    assert signal.gated_mix(df, "r", fade=2).first().mixed == [0.5] * 4
+def test_wav_round_trip(spark, tmp_path):
+    rows = [("x", 0, [0.0, 0.5, -1.0]), ("x", 5, [1.0, 2.0]), ("x", 6, [0.25, 0.25]), ("y/1", 2, [0.5])]
+    df = spark.createDataFrame(rows, "k string, start_sample long, samples array<double>").repartition(3)
+    files = wav.write_wav(df, f"file://{tmp_path}/out", "k", 10)
+    assert rows_of(files.select("k", "n_samples")) == [("x", 8), ("y/1", 3)]
+    got = {r.path.rpartition("/")[2]: [round(v * 32768) for v in r.samples] for r in wav.read_wav_chunks(spark, f"{tmp_path}/out/wav/*.wav", 10.0).collect()}
+    assert got == {"x.wav": [0, 16383, -32767, 0, 0, 32767, 32767, 8191], "y_1.wav": [0, 0, 16383]}
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def mixed_by_hand(tracks, cameras, shots, sr, start_ms, end_ms, fade_s, low):
+    """Sample by sample. tracks: camera -> {sample: value}; cameras: [(name, slope, shift, begin, gain)] by position; shots: (camera, start, end) apart from each other."""
+    total, fade = int(round((end_ms - start_ms) / 1000 * sr)), int(round(fade_s * sr))
+    at = lambda ms: max(0, int(round((ms - start_ms) / 1000 * sr)))
+    names, on, events, out = [c[0] for c in cameras], cameras[0][0], [], []
+    for p in range(total):
+        now = next((c if c in names else names[0] for c, a, z in shots if at(a) <= p < at(z)), on)
+        if now != on and p > 0:
+            events.append((p, on, now))
+        elif now != on:
+            events.append((0, on, now))
+        on, t, mix = now, start_ms / 1000 + p / sr, 0.0
+        for name, slope, shift, begin, gain in cameras:
+            x = (t + (slope * t + shift) - begin) * sr
+            i = int(np.floor(x))
+            v = tracks[name][i] * (1 - (x - i)) + tracks[name][i + 1] * (x - i) if i in tracks[name] and i + 1 in tracks[name] else 0.0
+            g = 1.0 if name == on else low
+            own = [e for e in events if name in e[1:]]
+            if own and p - own[-1][0] < fade and fade > 1:
+                r = (p - own[-1][0]) / fade
+                g = (1 - r) + r * low if name == own[-1][1] else (1 - r) * low + r
+            mix += v * gain * g
+        out.append(max(-1.0, min(1.0, mix)))
+    return out
+
+
+@pytest.mark.parametrize("hard", [False, True])
+def test_gated_mix_does_not_depend_on_chunks(spark, hard):
+    rng = random.Random(4)
+    sr, tracks, sources = 50, {}, []
+    for c, size, lost in (("x", 37, 4), ("y", 64, 99), ("z", 300, 99)):
+        tracks[c] = {}
+        for k, a in enumerate(range(0, 600, size)):
+            v = [rng.uniform(-0.6, 0.6) for _ in range(size)]
+            if k != lost:  # a chunk is missing
+                sources.append(("r", c, a, v))
+                tracks[c] |= {a + i: s for i, s in enumerate(v)}
+    cameras = [("r", "x", 0, 0.31, None, None, None, None), ("r", "y", 1, None, -0.013, None, 1.007, 3.0), ("r", "z", 2, 9.0, 0.02, -0.5, 0.0, -4.0)]
+    plain = [("x", 0.0, 0.31, 0.0, 1.0), ("y", -0.013, 0.0, 1.007, 10 ** (3 / 20)), ("z", 0.02, -0.5, 0.0, 10 ** (-4 / 20))]
+    t, shots_ = 400, []
+    for _ in range(14):  # some shorter than a fade, some after a gap, one of an unknown camera
+        d = rng.choice([60, 100, 900])
+        shots_.append((rng.choice(["x", "y", "z", "?"]), t, t + d))
+        t += d + rng.choice([0, 0, 240])
+    want = mixed_by_hand(tracks, plain, shots_, sr, 700, 9_310, 0.2, 0.0 if hard else 10 ** (-18 / 20))
+    src = spark.createDataFrame(sources, "r string, camera string, start_sample long, samples array<double>")
+    cam = spark.createDataFrame(cameras, "r string, camera string, camera_pos int, offset_start double, slope double, intercept double, audio_start_s double, shift_db double")
+    sh = spark.createDataFrame([("r", "no", c, a, z) for c, a, z in shots_], "r string, camera string, audio_camera string, start_ms long, end_ms long")
+    rg = spark.createDataFrame([("r", sr, 700, 9_310), ("none", sr, 100, 100)], "r string, sr int, start_ms long, end_ms long")
+    for chunk_s in (0.14, 1.0, 100.0):
+        got = mixing.gated_mix(src, cam, sh, rg, "r", chunk_s, 0.2, hard_gate=hard, width=128).orderBy("chunk_idx").collect()
+        assert np.allclose([v for r in got for v in r.mixed], want, atol=1e-9)
+        assert [r.start_sample for r in got] == [i * len(got[0].mixed) for i in range(len(got))]
 
 
 @pytest.fixture
