@@ -108,10 +108,11 @@ def paged(text: str, duration: int, most_chars: int, most_lines: int, page_ms: i
 
 
 def caption_pages(segments: DataFrame, keys: list[str], most_chars: int = 22, most_lines: int = 2, least_ms: int = 180, page_ms: int = 2000) -> DataFrame:
-    """Caption events (keys, start, end, text with line breaks): a segment's time is shared by its pages' words, no page shorter than least_ms where it can be."""
+    """Caption events (keys, start, end, text with line breaks): a segment's time is shared by its pages' words, no page shorter than least_ms where it can be. Lines are broken as the text stands escaped in an ASS file: braces are brackets, a backslash counts twice."""
 
     def events(a: int, b: int, text: str):
-        pages = paged(text, b - a, most_chars, most_lines, max(least_ms, page_ms))
+        escaped = text.replace("\\", "\\\\").replace("{", "[").replace("}", "]")
+        pages = paged(escaped, b - a, most_chars, most_lines, max(least_ms, page_ms))
         parts = share_out(b - a, [max(1, len(" ".join(p).split())) for p in pages], least_ms)
         t = float(a)
         for i, (p, d) in enumerate(zip(pages, parts, strict=True)):
@@ -119,7 +120,7 @@ def caption_pages(segments: DataFrame, keys: list[str], most_chars: int = 22, mo
             e = min(b, t + least_ms) if e - t < least_ms else e
             if e <= t:
                 return
-            yield round(t), round(e), "\n".join(p)
+            yield round(t), round(e), "\n".join(p).replace("\\\\", "\\")
             t = e
 
     def run(batches):

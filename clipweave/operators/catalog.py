@@ -152,10 +152,11 @@ def upload_plan(items: DataFrame, progress: DataFrame, qc: DataFrame, account: s
 
     Published ones are skipped, failed ones too unless force; failed checks fail; a warning is
     skipped when strict; qc_only skips what passed; the others are published (dry_run says so
-    only) up to batch_size per account, and what follows the last one of these is untouched.
-    The running count is per account and only over eligible rows.
+    only) up to batch_size per account (all if it is 0 or less), and what follows the last one of
+    these is untouched. The running count is per account and only over eligible rows. Earlier
+    statuses count without regard to case and outer spaces.
     """
-    rows = items.join(progress.select(account, "index", F.col("status").alias("_was")), [account, "index"], "left").join(qc.select("index", F.col("status").alias("_qc")), "index", "left")
+    rows = items.join(progress.select(account, "index", F.lower(F.trim("status")).alias("_was")), [account, "index"], "left").join(qc.select("index", F.col("status").alias("_qc")), "index", "left")
     fixed = F.when(F.col("_was") == "published", "skip_published")
     if not force:
         fixed = fixed.when(F.col("_was") == "failed", "skip_failed")
@@ -167,7 +168,8 @@ def upload_plan(items: DataFrame, progress: DataFrame, qc: DataFrame, account: s
     rows = rows.withColumn("_fixed", fixed)
     order = W.partitionBy(account).orderBy("index").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("_n", F.sum(F.col("_fixed").isNull().cast("int")).over(order))
-    action = F.when(F.col("_n") > batch_size, "untouched").otherwise(F.coalesce("_fixed", F.lit("dry_run" if dry_run else "publish")))
+    past = F.col("_n") > batch_size if batch_size > 0 else F.lit(False)
+    action = F.when(past, "untouched").otherwise(F.coalesce("_fixed", F.lit("dry_run" if dry_run else "publish")))
     return rows.select(account, "index", action.alias("action"))
 
 

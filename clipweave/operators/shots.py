@@ -93,9 +93,8 @@ def per_recording(shots: DataFrame, key: str, edit, extra: str = "") -> DataFram
     return shots.groupBy(key).applyInPandas(run, f"{key} {kind}, camera string, audio_camera string, {START} long, {END} long{extra}")
 
 
-def enforce_min_shot(shots: DataFrame, key: str, least: int, eps: int = 60) -> DataFrame:
-    """No shot shorter than `least` where it can be dissolved: a separator inside one camera goes, else the longer touching neighbour takes it (the earlier of equals), else a piece at an end or of at most 350 ms is dropped; until nothing changes."""
-    least = max(50, least)
+def dissolved(rows: list[list], least: int, eps: int) -> tuple[list[list], int, int]:
+    """Shots without short ones where that can be, how many were merged into others, how many dropped."""
 
     def place(s: list[list], i: int) -> tuple[str, int] | None:
         """What to do with short shot i."""
@@ -109,34 +108,49 @@ def enforce_min_shot(shots: DataFrame, key: str, least: int, eps: int = 60) -> D
             return "right", i
         return ("drop", i) if i in (0, len(s) - 1) or s[i][3] - s[i][2] <= 350 else None
 
-    def edit(rows: list[list]) -> list[list]:
-        base = joined(rows, eps)
-        s = [list(x) for x in base]  # edits are made on a copy: base stays for the case that all shots go
-        again = True
-        while again and len(s) > 1:
-            again, i = False, 0
-            while i < len(s):
-                act = place(s, i) if s[i][3] - s[i][2] < least else None
-                if act is None:
-                    i += 1
-                    continue
-                again = True
-                if act[0] == "bridge":
-                    s[i - 1][3] = s[i + 1][3]
-                    del s[i : i + 2]
-                elif act[0] == "left":
-                    s[i - 1][3] = s[i][3]
-                    del s[i]
-                else:
-                    if act[0] == "right":
-                        s[i + 1][2] = s[i][2]
-                    del s[i]
-                    continue
-                i = max(0, i - 1)
-            s = joined(s, eps)
-        return s or base
+    base = joined(rows, eps)
+    s = [list(x) for x in base]  # edits are made on a copy: base stays for the case that all shots go
+    again, merged, dropped = True, 0, 0
+    while again and len(s) > 1:
+        again, i = False, 0
+        while i < len(s):
+            act = place(s, i) if s[i][3] - s[i][2] < least else None
+            if act is None:
+                i += 1
+                continue
+            again = True
+            merged, dropped = merged + (act[0] != "drop"), dropped + (act[0] == "drop")
+            if act[0] == "bridge":
+                s[i - 1][3] = s[i + 1][3]
+                del s[i : i + 2]
+            elif act[0] == "left":
+                s[i - 1][3] = s[i][3]
+                del s[i]
+            else:
+                if act[0] == "right":
+                    s[i + 1][2] = s[i][2]
+                del s[i]
+                continue
+            i = max(0, i - 1)
+        s = joined(s, eps)
+    return s or base, merged, dropped
+
+
+def enforce_min_shot(shots: DataFrame, key: str, least: int, eps: int = 60) -> DataFrame:
+    """No shot shorter than `least` where it can be dissolved: a separator inside one camera goes, else the longer touching neighbour takes it (the earlier of equals), else a piece at an end or of at most 350 ms is dropped; until nothing changes."""
+    return per_recording(shots, key, lambda rows: dissolved(rows, max(50, least), eps)[0])
+
+
+def min_shot_report(shots: DataFrame, key: str, least: int, eps: int = 60) -> DataFrame:
+    """key, n_merged, n_dropped, n_short, changed: what enforce_min_shot does with a recording, and how many short shots it has to leave."""
+    least = max(50, least)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, merged, dropped = dissolved(pdf.sort_values([START, END], kind="stable")[SHOT].values.tolist(), least, eps)
+        short = sum(r[3] - r[2] < least for r in rows)
+        return pd.DataFrame({key: pdf[key].iloc[:1], "n_merged": [merged], "n_dropped": [dropped], "n_short": [short], "changed": [merged + dropped > 0]})
 
-    return per_recording(shots, key, edit)
+    return shots.groupBy(key).applyInPandas(run, f"{key} {dict(shots.dtypes)[key]}, n_merged long, n_dropped long, n_short long, changed boolean")
 
 
 class Scores:

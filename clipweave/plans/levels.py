@@ -169,6 +169,11 @@ def enforce_min_shot(spark, sf):
     return H.enforce_min_shot(s, "recording_id", 4000, eps=1500)
 
 
+def min_shot_report(spark, sf):
+    s = view(spark, sf, "segments").select("recording_id", F.col("speaker").alias("camera"), F.col("speaker").alias("audio_camera"), "start_ms", "end_ms")
+    return H.min_shot_report(s, "recording_id", 4000, eps=1500)
+
+
 def pin_camera(spark, sf):
     return H.pin_camera(switched(spark, sf), ["recording_id"], "click")
 
@@ -362,7 +367,7 @@ def residual_switch(spark, sf):
     return G.residual_switch(w, speech, "recording_id", 1000, 2000, 0.25)
 
 
-NAMES = "speech_level noise_floor level_normalize moving_average quietest_near check_cuts nudge_cuts clip_levels level_steps balance_gains level_at lag_scan motion_offset motion_signal filter_offset_outliers fit_drift best_offset map_time overlap_window sync_summary transcript_coverage caption_pass_rate qc_report camera_switch enforce_min_shot pin_camera camera_share insert_reactions balance_cameras shot_plan camera_ranges edit_list subtract_shots speaker_centroids speaker_similarity infer_speaker_map resolve_speaker_map speaker_switch end_window_drift xcorr_offset energy_envelope centred_envelope levels_db abs_envelope env_db gcc_phat_offset estimate_offset refine_offset verify_windows window_lags verify_alignment gated_mix residual_scores residual_switch"
+NAMES = "speech_level noise_floor level_normalize moving_average quietest_near check_cuts nudge_cuts clip_levels level_steps balance_gains level_at lag_scan motion_offset motion_signal filter_offset_outliers fit_drift best_offset map_time overlap_window sync_summary transcript_coverage caption_pass_rate qc_report camera_switch enforce_min_shot min_shot_report pin_camera camera_share insert_reactions balance_cameras shot_plan camera_ranges edit_list subtract_shots speaker_centroids speaker_similarity infer_speaker_map resolve_speaker_map speaker_switch end_window_drift xcorr_offset energy_envelope centred_envelope levels_db abs_envelope env_db gcc_phat_offset estimate_offset refine_offset verify_windows window_lags verify_alignment gated_mix residual_scores residual_switch"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _L = with_views("levels")

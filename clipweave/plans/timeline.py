@@ -113,6 +113,26 @@ def token_f1(spark, sf):
     return a.join(b, "conv_id").select("conv_id", F.size(F.array_intersect("a", "b")).alias("common"), F.size("a").alias("n_a"), F.size("b").alias("n_b"), (X.token_f1(F.col("a"), F.col("b")) >= 0.25).alias("close"))
 
 
+def words_per_second(spark, sf):
+    s = view(spark, sf, "segments")
+    return s.select(*KEY, "seg_idx", F.bround(X.words_per_second(F.col("text"), F.col("end_ms") - F.col("start_ms")), 6).alias("words_per_second"))
+
+
+def cache_name(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    source = F.concat(F.lit("/media/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.when(F.col("p_partkey") % 3 == 0, ".MOV").when(F.col("p_partkey") % 3 == 1, ".mp4").otherwise(""))
+    return p.select("p_partkey", X.cache_name(source).alias("name"))
+
+
+def sequence_ratio(spark, sf):
+    """Each turn of a conversation against the next one of its role."""
+    from pyspark.sql import Window as W
+
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    after = F.lead("text").over(W.partitionBy("conv_id", "role").orderBy("turn"))
+    return c.select("conv_id", "turn", F.col("text"), after.alias("after")).filter("after IS NOT NULL").select("conv_id", "turn", X.sequence_ratio(F.col("text"), F.col("after")).alias("ratio"))
+
+
 def title_functions(spark, sf):
     d = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")
     return d.select("conv_id", "turn", F.length(X.polish_title(F.col("text"))).alias("n"), X.title_seconds(F.col("text"), F.lit(1.5)).alias("seconds"), F.md5(X.title_typography(F.col("text")).cast("binary")).alias("digest"))
@@ -212,7 +232,7 @@ def auto_title(spark, sf):
     return L.auto_title(w, s, "recording_id", ["w"], 60, rules)
 
 
-QUERIES = {f.__name__: f for f in (build_clips, build_timeline, seamless_joins, graphic_edges, heard_vs_planned, snippet_for_windows, cue_spots, slice_words, find_cached_chunk, write_srt, parse_srt, write_ass, parse_ass, clip_manifest, time_functions, overlap_functions, text_functions, source_functions, token_f1, title_functions, wrap_text, wrap_balanced, slice_text, merge_segments, merge_dense_segments, caption_pages, captions_for_clips, caption_fit_check, speech_text_filter, align_blocks, monotonic_clamp, retime_captions, retime_transcript, show_words, slice_transcript, auto_title)}
+QUERIES = {f.__name__: f for f in (build_clips, build_timeline, seamless_joins, graphic_edges, heard_vs_planned, snippet_for_windows, cue_spots, slice_words, find_cached_chunk, write_srt, parse_srt, write_ass, parse_ass, clip_manifest, time_functions, overlap_functions, text_functions, source_functions, token_f1, words_per_second, cache_name, sequence_ratio, title_functions, wrap_text, wrap_balanced, slice_text, merge_segments, merge_dense_segments, caption_pages, captions_for_clips, caption_fit_check, speech_text_filter, align_blocks, monotonic_clamp, retime_captions, retime_transcript, show_words, slice_transcript, auto_title)}
 
 _S, _K = with_views("segments"), with_views("cues")
 _HMS = "lpad(CAST({t} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({t} % 3600000 // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({t} % 60000 // 1000 AS VARCHAR), 2, '0') || '{p}' || lpad(CAST({t} % 1000 AS VARCHAR), 3, '0')"
@@ -222,6 +242,8 @@ _ASS = "(CAST(round_even({t} / 10, 0) AS BIGINT) // 360000) || ':' || lpad(CAST(
 _TW = _S + r", tv AS (SELECT *, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM segments), tw AS (SELECT *, list_transform(range(0, len(w) + 1), lambda i: floor((start_ms + (end_ms - start_ms) / len(w) * i) / 10) * 10) AS a FROM tv)"
 _DENSE = "(1000 * len(list_filter(string_split_regex({x}, '\\s+'), lambda z: z <> '')) > {k} * 2.5 * greatest(0.001, {d}))"
 SQL = {
+    "words_per_second": _S + " SELECT recording_id, seg_idx, round_even(len(" + _WORDS + ") / (greatest(end_ms - start_ms, 0.001) / 1000.0), 6) AS words_per_second FROM segments",
+    "cache_name": "WITH s AS (SELECT p_partkey, replace(p_name, ' ', '_') AS stem, CASE p_partkey % 3 WHEN 0 THEN '.MOV' WHEN 1 THEN '.mp4' ELSE '' END AS ext FROM part) SELECT p_partkey, stem || '_' || substr(md5('/media/' || stem || ext), 1, 8) || lower(ext) AS name FROM s",
     "build_clips": with_views("clips") + ", f AS (SELECT reel_id, clip_idx, source, CAST(round_even((start_ms - advance_ms) * 30 / 1000, 0) AS BIGINT) AS start_frame, CAST(round_even((end_ms - advance_ms) * 30 / 1000, 0) AS BIGINT) AS end_frame FROM clips) SELECT *, CAST(coalesce(sum(end_frame - start_frame) OVER (PARTITION BY reel_id ORDER BY clip_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_frame FROM f",
     "build_timeline": with_views("clips", "cues") + """, l AS (SELECT reel_id, clip_idx, source, start_ms - advance_ms AS s, end_ms - advance_ms AS e, coalesce(sum(end_ms - start_ms) OVER (PARTITION BY reel_id ORDER BY clip_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ms FROM clips)
       SELECT l.reel_id, l.source, clip_idx, cue_idx, CAST(greatest(l.s, c.start_ms) - l.s + at_ms AS BIGINT) AS reel_start_ms, CAST(least(l.e, c.end_ms) - l.s + at_ms AS BIGINT) AS reel_end_ms, text FROM l JOIN cues c ON c.reel_id = l.reel_id AND c.source = l.source AND least(l.e, c.end_ms) - greatest(l.s, c.start_ms) > 70""",

@@ -579,3 +579,39 @@ def test_balance_brings_the_share_down(spark):
     assert {r.audio_camera for r in got if r.end_ms <= 100_000} == {"x"}
     same = shots.balance_cameras(shot, scored_cameras(spark), "k", 1000, 0.7, advantage=2.0).collect()
     assert len(same) == 2  # the main camera clearly leads everywhere
+
+
+def test_upload_plan_without_a_limit_and_with_untidy_statuses(spark):
+    items = spark.createDataFrame([("a", i) for i in range(5)], "account string, index int")
+    progress = spark.createDataFrame([("a", 0, " Published "), ("a", 1, "FAILED"), ("a", 2, None)], "account string, index int, status string")
+    qc = spark.createDataFrame([(i, "ok") for i in range(5)], "index int, status string")
+    plan = lambda size: [r[2] for r in rows(catalog.upload_plan(items, progress, qc, "account", size))]
+    assert plan(0) == plan(-1) == ["skip_published", "skip_failed", "dry_run", "dry_run", "dry_run"]
+    assert plan(2) == ["skip_published", "skip_failed", "dry_run", "dry_run", "untouched"]
+
+
+def test_min_shot_report_counts_merged_dropped_and_left(spark):
+    data = [("a", "x", 0, 5000), ("a", "y", 5000, 5400), ("a", "x", 5400, 9000), ("a", "y", 9000, 9500), ("a", "z", 11_000, 11_200), ("a", "y", 13_000, 13_900), ("a", "x", 15_000, 20_000), ("b", "x", 0, 300)]
+    df = spark.createDataFrame([(r, c, None, a, z) for r, c, a, z in data], "r string, camera string, audio_camera string, start_ms long, end_ms long")
+    got = {r.r: r for r in shots.min_shot_report(df, "r", 1000).collect()}
+    # y at 5000 is a separator, y at 9000 goes to x before it, z is dropped, y at 13000 stands alone and stays.
+    assert tuple(got["a"])[1:] == (2, 1, 1, True) and tuple(got["b"])[1:] == (0, 0, 1, False)
+    assert {(r.start_ms, r.end_ms) for r in shots.enforce_min_shot(df.filter("r = 'a'"), "r", 1000).collect()} == {(0, 9500), (13_000, 13_900), (15_000, 20_000)}
+
+
+def test_caption_lines_break_as_escaped_text_does(spark):
+    text = "\\\\\\\\ab {cdef} ghi"  # four backslashes count as eight characters
+    df = spark.createDataFrame([("r", 0, 9000, text)], "r string, start_ms long, end_ms long, text string")
+    assert [r.text for r in captions.caption_pages(df, ["r"], most_chars=10).collect()] == ["\\\\\\\\ab\n[cdef] ghi"]
+
+
+def test_sequence_ratio_is_that_of_longest_common_runs(spark):
+    def matched(a, b):
+        """Characters in common: the longest common run (the first of equals), then left and right of it."""
+        n, i, j = max(((k, -i, -j) for i in range(len(a)) for j in range(len(b)) for k in range(min(len(a) - i, len(b) - j) + 1) if a[i : i + k] == b[j : j + k]), default=(0, 0, 0))
+        return n + matched(a[:-i], b[:-j]) + matched(a[n - i :], b[n - j :]) if n else 0
+
+    rng = random.Random(1)
+    pairs = [("".join(rng.choices("abc", k=rng.randrange(9))), "".join(rng.choices("abc", k=rng.randrange(9)))) for _ in range(40)] + [("", ""), ("a", "")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", X.sequence_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert all(abs(r.r - (2 * matched(r.a, r.b) / (len(r.a) + len(r.b)) if r.a or r.b else 1.0)) < 1e-12 for r in got)
