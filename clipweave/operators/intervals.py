@@ -11,17 +11,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 START, END = "start_ms", "end_ms"
 
 
-def merge_intervals(df: DataFrame, keys: list[str], gap=0, start: str = START, end: str = END) -> DataFrame:
-    """keys, start, end: empty intervals dropped; joined where start <= running end + gap (touching joins)."""
-    order = W.partitionBy(*keys).orderBy(start, end)
+#: Width of the time blocks over which a long recording is spread, in the unit of its times.
+BLOCK = 3_600_000
+
+
+def _joined_in_order(rows: DataFrame, by: list[str], gap, start: str, end: str) -> DataFrame:
+    order = W.partitionBy(*by).orderBy(start, end)
     upto = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = df.select(*keys, start, end).filter(F.col(end) > F.col(start))
     rows = rows.withColumn("_new", F.coalesce(F.col(start) > upto + F.lit(gap), F.lit(True)).cast("int"))
     rows = rows.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    return rows.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+
+
+def merge_intervals(df: DataFrame, keys: list[str], gap=0, start: str = START, end: str = END, block=BLOCK) -> DataFrame:
+    """keys, start, end: empty intervals dropped; joined where start <= running end + gap (touching joins).
+
+    In two levels: blocks of time are merged by themselves, so that a recording's intervals are
+    spread over tasks; then what they have left, no more than the result and one a block, is
+    merged in order. An interval is in the block of its start, and all starts of a block come
+    before those of the next, so both levels join what one would.
+    """
+    rows = df.select(*keys, start, end).filter(F.col(end) > F.col(start)).withColumn("_block", F.floor(F.col(start) / F.lit(block)))
+    return _joined_in_order(_joined_in_order(rows, [*keys, "_block"], gap, start, end).drop("_block"), keys, gap, start, end)
 
 
 def speech_intervals(segments: DataFrame, keys: list[str], lo: Column, hi: Column, least, gap, start: str = START, end: str = END) -> DataFrame:
@@ -111,19 +127,20 @@ def subtract_intervals(df: DataFrame, cuts: DataFrame, keys: list[str], ids: lis
     return gaps.filter((F.col(END) > F.col(START)) & (F.col(END) - F.col(START) >= F.lit(least)))
 
 
-def removed_before(points: DataFrame, cuts: DataFrame, keys: list[str], at: str = "t_ms") -> DataFrame:
+def removed_before(points: DataFrame, cuts: DataFrame, keys: list[str], at: str = "t_ms", block=BLOCK) -> DataFrame:
     """points with removed_ms: how much of the merged cuts lies before t, a cut around t counted up to t.
 
-    Running sums over the union of points and cuts: no pair of a point and all cuts before it is made.
+    Running sums over the union of points and cuts, by blocks of time: no pair of a point and all
+    cuts before it is made, and a recording is not one task's.
     """
     c = cuts.select(*keys, F.col(START).alias("_t"), F.lit(0).alias("_kind"), F.col(START).alias("_s"), F.col(END).alias("_e"))
     names = [n for n in points.columns if n not in keys]
     p = points.withColumns({"_t": F.col(at), "_kind": F.lit(1), "_s": F.lit(None).cast("long"), "_e": F.lit(None).cast("long")})
     both = p.unionByName(c, allowMissingColumns=True)
-    order = W.partitionBy(*keys).orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = F.coalesce(F.sum(F.col("_e") - F.col("_s")).over(order), F.lit(0))
-    over = F.greatest(F.lit(0), F.coalesce(F.last("_e", True).over(order), F.col("_t")) - F.col("_t"))
-    rows = both.withColumn("removed_ms", (whole - over).cast("long")).filter("_kind = 1")
+    # Merged cuts end in the order in which they begin.
+    both = running(both, keys, F.floor(F.col("_t") / F.lit(block)), ["_t", "_kind"], {"_whole": ("sum", F.col("_e") - F.col("_s")), "_last": ("max", F.col("_e"))})
+    over = F.greatest(F.lit(0), F.coalesce("_last", "_t") - F.col("_t"))
+    rows = both.withColumn("removed_ms", (F.coalesce("_whole", F.lit(0)) - over).cast("long")).filter("_kind = 1")
     return rows.select(*keys, *names, "removed_ms")
 
 
@@ -152,10 +169,10 @@ def run_length_shots(steps: DataFrame, keys: list[str], step_ms: int, end_ms: Co
     return runs.select(*keys, "camera", F.col("camera").alias("audio_camera"), (F.col("first") * step_ms).alias(START), F.coalesce(F.least(following, end_ms), end_ms).alias(END))
 
 
-def covers_range(shots: DataFrame, bounds: DataFrame, keys: list[str], tolerance=30) -> DataFrame:
+def covers_range(shots: DataFrame, bounds: DataFrame, keys: list[str], tolerance=30, block=BLOCK) -> DataFrame:
     """keys, covered: whether the intervals cover the bounds with no hole longer than the tolerance."""
-    order = W.partitionBy(*keys).orderBy(START, END).rowsBetween(W.unboundedPreceding, -1)
-    rows = shots.withColumn("_hole", F.col(START) - F.max(END).over(order))
+    rows = running(shots, keys, F.floor(F.col(START) / F.lit(block)), [START, END], {"_upto": ("max", F.col(END))}, before=True)
+    rows = rows.withColumn("_hole", F.col(START) - F.col("_upto"))
     agg = rows.groupBy(*keys).agg(F.min(START).alias("a"), F.max(END).alias("b"), F.max_by(END, F.struct(START, END)).alias("last"), F.coalesce(F.max("_hole"), F.lit(0)).alias("hole"))
     ok = (F.abs(F.col("a") - F.col("lo")) <= tolerance) & (F.abs(F.col("b") - F.col("hi")) <= tolerance) & (F.abs(F.col("last") - F.col("hi")) <= tolerance) & (F.col("hole") <= tolerance)
     return bounds.join(agg, keys, "left").select(*keys, F.coalesce(ok, F.lit(False)).alias("covered"))

@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 
 def percentile_level(levels: DataFrame, keys: list[str], share: float, name: str, margin=0) -> DataFrame:
     """Exact, linearly interpolated percentile per key, plus a margin. Speech level: 0.88; noise floor: 0.2."""
-    return levels.groupBy(*keys).agg((F.percentile("level", F.lit(share)) + margin).alias(name))
+    return percentiles(levels, keys, "level", {name: share}).withColumn(name, F.col(name) + margin)
 
 
 def level_normalize(levels: DataFrame, floors: DataFrame, key: str, camera: str, target: str = "median", most: float = 0.0) -> DataFrame:
     """key, camera, shift: moves each camera's speech median (95th percentile without speech) to the target over cameras; clamped if most > 0."""
     rows = levels.join(floors, [key, camera])
-    med = rows.groupBy(key, camera).agg(F.coalesce(F.median(F.when(F.col("level") >= F.col("threshold"), F.col("level"))), F.percentile("level", F.lit(0.95))).alias("m"))
+    rows = rows.withColumn("_speech", F.when(F.col("level") >= F.col("threshold"), F.col("level")))
+    speech = percentiles(rows, [key, camera], "_speech", {"m": 0.5})
+    med = speech.join(percentiles(rows, [key, camera], "level", {"_high": 0.95}), [key, camera]).select(key, camera, F.coalesce("m", "_high").alias("m"))
     goal = {"max": F.max, "min": F.min, "median": F.median}[target]("m")
     shift = F.col("goal") - F.col("m")
     if most > 0:
@@ -58,7 +62,7 @@ def nudge_cuts(edges: DataFrame, levels: DataFrame, speech: DataFrame, keys: lis
 
 
 def clip_levels(clips: DataFrame, levels: DataFrame, keys: list[str], ids: list[str], within) -> DataFrame:
-    """keys, ids, clip_level: median of the clip's levels that are within `within` of its loudest. clips: first_hop, last_hop."""
+    """keys, ids, clip_level: median of the clip's levels that are within `within` of its loudest. clips: first_hop, last_hop. The levels of one clip, which are seconds, meet in a task."""
     rows = clips.withColumn("hop_idx", F.explode(F.sequence("first_hop", "last_hop"))).join(levels, [*keys, "hop_idx"])
     top = F.max("level").over(W.partitionBy(*keys, *ids))
     return rows.withColumn("_top", top).filter(F.col("level") >= F.col("_top") - within).groupBy(*keys, *ids).agg(F.median("level").alias("clip_level"))

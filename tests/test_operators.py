@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from clipweave.functions import text as X
 from clipweave.functions import timecode as T
-from clipweave.operators import align, candidates, captions, catalog, intervals, mixing, shots, signal, speakers, timeline
+from clipweave.operators import align, candidates, captions, catalog, intervals, levels, mixing, ranks, shots, signal, speakers, timeline
 from clipweave.sources import readers, wav, writers
 from pyspark.sql import functions as F
 
@@ -615,3 +615,38 @@ def test_sequence_ratio_is_that_of_longest_common_runs(spark):
     pairs = [("".join(rng.choices("abc", k=rng.randrange(9))), "".join(rng.choices("abc", k=rng.randrange(9)))) for _ in range(40)] + [("", ""), ("a", "")]
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", X.sequence_ratio(F.col("a"), F.col("b")).alias("r")).collect()
     assert all(abs(r.r - (2 * matched(r.a, r.b) / (len(r.a) + len(r.b)) if r.a or r.b else 1.0)) < 1e-12 for r in got)
+
+
+def test_percentiles_from_counts_are_exact(spark):
+    rng = random.Random(6)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *map(float, range(9)), 0.5])) for _ in range(300)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r.k: tuple(r)[1:] for r in ranks.percentiles(df, ["k"], "v", {"p": 0.88, "m": 0.5, "x": 1.0}).collect()}
+    for k in {k for k, _ in data}:
+        own = [v for q, v in data if q == k and v is not None]
+        assert got[k] == ((None,) * 3 if not own else tuple(np.percentile(own, [88, 50, 100])) if len(own) == 1 else tuple(pytest.approx(np.percentile(own, q)) for q in (88, 50, 100)))
+
+
+@pytest.mark.parametrize("block", [1, 50, 10**9])
+def test_long_series_run_over_blocks(spark, block):
+    rng = random.Random(block)
+    spans = [(rng.choice(["a", None]), s, s + rng.choice([0, 1, 30, 400])) for s in (rng.randrange(-500, 3000) for _ in range(300))]
+    df = spark.createDataFrame(spans, "k string, start_ms long, end_ms long")
+    for gap in (0, 5):
+        want = []
+        for k in ("a", None):
+            for s, e in sorted((s, e) for q, s, e in spans if q == k and e > s):
+                if want and want[-1][0] == k and s <= want[-1][2] + gap:
+                    want[-1][2] = max(want[-1][2], e)
+                else:
+                    want.append([k, s, e])
+        got = intervals.merge_intervals(df, ["k"], gap, block=block).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+    cuts = intervals.merge_intervals(df.filter("k = 'a'"), ["k"], block=block)
+    plain = [tuple(r)[1:] for r in cuts.collect()]
+    points = spark.createDataFrame([("a", t) for t in range(-600, 3600, 37)], "k string, t_ms long")
+    got = intervals.removed_before(points, cuts, ["k"], block=block).collect()
+    assert {r.t_ms: r.removed_ms for r in got} == {t: sum(max(0, min(e, t) - s) for s, e in plain) for t in range(-600, 3600, 37)}
+    bounds = spark.createDataFrame([("a", min(s for s, _ in plain), max(e for _, e in plain))], "k string, lo long, hi long")
+    hole = max((b[0] - a[1] for a, b in itertools.pairwise(sorted(plain))), default=0)
+    assert [intervals.covers_range(cuts, bounds, ["k"], t, block).first().covered for t in (hole, hole - 1)] == [True, False]
