@@ -10,10 +10,13 @@ times text where a node under a dropped node is dropped as well; so an ancestor
 descendant never contradict each other. The text of kept nodes is joined in page order.
 
 The trees are trained here on a bounded sample (the pages with the MOST_PAGES smallest
-hashes of page_id, and of their nodes the MOST_NODES first by the page's hash). Their labels are of nodes whose place is named by
-the page itself: semantic tags and attribute tokens; pages that name nothing are labelled
-by density (long, linkless, punctuated text against link lists). The trees then judge
-nodes without such names by their other features.
+hashes of page_id, and of their nodes the MOST_NODES first by the page's hash). Their labels
+are of nodes whose place is named by the page itself: semantic tags and attribute tokens;
+pages that name nothing are labelled by density (long, linkless, punctuated text against link
+lists). A name gives its label away, so every page is learned from twice: as it is, and with
+its names hidden (attribute tokens, and in every second page the semantic tags too), where the
+trees have to tell the same labels from density, depth, siblings and place. So they judge
+pages that name nothing, even if no such page is in the sample.
 
 Null and empty html have an empty text. Cut-off pages are read as far as they go; a tag
 without an end is no text. Pages of any length are read whole. Nodes with equal log odds of
@@ -32,7 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_PAGES, MOST_NODES = 2_000, 60_000
-TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.25
+TREES, DEPTH, BINS, RATE = 60, 4, 32, 0.25
+#: How much of a page's names its features hide: nothing, attribute tokens, semantic tags as well.
+SHOWN, UNNAMED, BARE = range(3)
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 _OPEN = re.compile(r"<[a-zA-Z/!?]")
@@ -53,7 +58,10 @@ FURNITURE_NAMES = {
     "ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "copyright", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal",
     "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "recommended", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "tags", "teaser", "toolbar", "widget",
 }
-N_FEATURES = len(KINDS) + 17
+#: Kinds that say what a part of the page is for, and the kind they have where that is hidden.
+SEMANTIC, PLAIN = {0, 1, 2, 3, 4, 5, 6}, KIND_OF["div"]
+PARAGRAPH, HEADING = KIND_OF["p"], KIND_OF["h1"]
+N_FEATURES = len(KINDS) + 21
 
 
 class Page:
@@ -153,8 +161,10 @@ class Page:
         cut = _OPEN.search(html, at)  # a tag that the page's end cuts off is no text
         text(at, cut.start() if cut else size)
 
-    def features(self) -> np.ndarray:
+    def features(self, hide: int = SHOWN) -> np.ndarray:
         n = len(self.kind)
+        kind = [PLAIN if k in SEMANTIC else k for k in self.kind] if hide == BARE else self.kind
+        named_good, named_bad = (self.good, self.bad) if hide == SHOWN else ([0] * n, [0] * n)
         parent = np.array(self.parent)
         own, words, marks = np.zeros(n), np.zeros(n), np.zeros(n)
         for node, s in self.pieces:
@@ -167,8 +177,16 @@ class Page:
         self.own = own
         total, links, many, children = own.copy(), np.array(self.link, float), np.ones(n), np.zeros(n)
         punct, all_words = marks.copy(), words.copy()
+        kinds = np.array(kind)
+        paragraphs, headings, largest, second = (kinds == PARAGRAPH).astype(float), (kinds == HEADING).astype(float), np.zeros(n), np.zeros(n)
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
+            paragraphs[p] += paragraphs[i]
+            headings[p] += headings[i]
+            if total[i] > largest[p]:
+                largest[p], second[p] = total[i], largest[p]
+            elif total[i] > second[p]:
+                second[p] = total[i]
             total[p] += total[i]
             links[p] += links[i]
             many[p] += many[i]
@@ -176,30 +194,31 @@ class Page:
             all_words[p] += all_words[i]
             children[p] += 1
         self.total = total
-        depth, good, bad, inside, furn = np.zeros(n), np.array(self.good, float), np.array(self.bad, float), np.zeros(n), np.zeros(n)
+        depth, good, bad, inside, furn = np.zeros(n), np.array(named_good, float), np.array(named_bad, float), np.zeros(n), np.zeros(n)
         rank, last = np.zeros(n), {}
         for i in range(1, n):
-            p, k = self.parent[i], self.kind[i]
+            p, k = self.parent[i], kind[i]
             depth[i] = depth[p] + 1
-            inside[i] = inside[p] or k in CONTENT_KINDS or self.good[i] > 0
-            furn[i] = furn[p] or k in FURNITURE_KINDS or self.bad[i] > 0 or (k == 1 and not inside[i])
+            inside[i] = inside[p] or k in CONTENT_KINDS or named_good[i] > 0
+            furn[i] = furn[p] or k in FURNITURE_KINDS or named_bad[i] > 0 or (k == 1 and not inside[i])
             rank[i] = last.get(p, 0)
             last[p] = rank[i] + 1
-        self.inside, self.furniture = inside, furn
+        if hide == SHOWN:
+            self.inside, self.furniture = inside, furn
         upto = np.cumsum(own)
         x = np.zeros((n, N_FEATURES))
-        kinds = np.array(self.kind)
         at = np.flatnonzero(kinds >= 0)
         x[at, kinds[at]] = 1
         c = len(KINDS)
         p = np.maximum(parent, 0)
-        cols = (good, bad, inside, furn, depth, np.log1p(own), np.log1p(total), links / np.maximum(total, 1), total / many, punct / np.maximum(all_words, 1), np.log1p(children), np.log1p(children[p]), rank / np.maximum(children[p], 1), total / np.maximum(total[p], 1), (upto - own) / max(upto[-1], 1), total / np.maximum(all_words, 1), np.log1p(total[p]))
+        beside = np.where(total >= largest[p], second[p], largest[p])  # text of the largest other child
+        cols = (good, bad, inside, furn, depth, np.log1p(own), np.log1p(total), links / np.maximum(total, 1), total / many, punct / np.maximum(all_words, 1), np.log1p(children), np.log1p(children[p]), rank / np.maximum(children[p], 1), total / np.maximum(total[p], 1), (upto - own) / max(upto[-1], 1), total / np.maximum(all_words, 1), np.log1p(total[p]), total / max(total[0], 1), np.log1p(paragraphs), np.log1p(headings), total / np.maximum(beside, 1))
         for j, v in enumerate(cols):
             x[:, c + j] = v
         return x
 
     def labels(self) -> np.ndarray:
-        """1 content, 0 furniture, -1 unnamed; call after features()."""
+        """1 content, 0 furniture, -1 unnamed; call after features(), which shows the names."""
         y = np.full(len(self.kind), -1)
         y[self.inside > 0] = 1
         y[self.furniture > 0] = 0
@@ -315,9 +334,11 @@ def train(pages: DataFrame, most_pages: int = MOST_PAGES, most_nodes: int = MOST
                 x = page.features()
                 y = page.labels()
                 at = np.flatnonzero(y >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), h, np.int64)), pa.array(at), pa.array(y[at].astype(np.int32)), pa.array([r.tolist() for r in x[at]], pa.list_(pa.float64()))], names=["h", "i", "y", "x"])
+                hidden = page.features(BARE if h & 1 else UNNAMED)
+                seen = np.concatenate([x[at], hidden[at]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), h, np.int64)), pa.array(np.tile(at, 2)), pa.array(np.tile(y[at], 2).astype(np.int32)), pa.array([r.tolist() for r in seen], pa.list_(pa.float64()))], names=["h", "i", "y", "x"])
 
-    got = rows.mapInArrow(run, "h long, i long, y int, x array<double>").orderBy("h", "i").limit(most_nodes).select("y", "x").toArrow()
+    got = rows.mapInArrow(run, "h long, i long, y int, x array<double>").orderBy("h", "i", "x").limit(most_nodes).select("y", "x").toArrow()
     y = got.column("y").to_numpy().astype(float)
     x = np.array(got.column("x").to_pylist(), float).reshape(len(y), N_FEATURES)
     return Trees(x, y)

@@ -943,3 +943,71 @@ def test_whole_groups_over_batches():
         got = [[tuple(r.values()) for r in b.to_pylist()] for b in whole_groups(batches, ["key"])]
         assert [r for b in got for r in b] == list(zip(keys, range(8), strict=True))
         assert all(b[-1][0] != c[0][0] for b, c in itertools.pairwise(got))
+
+
+def without_names(html):
+    """The page with its class, id and role attributes gone and semantic tags made div."""
+    html = re.sub(r"\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", html or "")
+    return re.sub(r"<(/?)(nav|menu|header|footer|aside|form|article|main|section|fieldset)\b", r"<\1div", html)
+
+
+def test_html_trees_judge_pages_that_name_nothing(spark):
+    pages = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/pages.parquet")
+    trees = html_extract.train(pages)
+    used = {int(f) for feature, cut, _ in trees.trees for f, c in zip(feature, cut, strict=True) if c < html_extract.BINS}
+    assert len(used) >= 5
+    named = {r.page_id: r for r in html_extract.extract(pages, trees).collect()}
+    bare = spark.createDataFrame([(r.page_id, r.url, without_names(r.html)) for r in pages.collect()], "page_id long, url string, html string")
+    f1 = []
+    for r in html_extract.extract(bare, trees).collect():
+        x, y = Counter(named[r.page_id].text.split()), Counter(r.text.split())
+        f1.append(2 * (x & y).total() / (x.total() + y.total()))
+    assert min(f1) > 0 and sum(f1) / len(f1) >= 0.95
+
+
+def test_html_decoding_is_the_best_of_all_consistent_choices():
+    rng = random.Random(4)
+
+    def tree(depth):
+        return "".join(f"<div>{'word ' * rng.randrange(4)}{tree(depth - 1) if depth else ''}</div>" for _ in range(rng.randrange(1, 3)))
+
+    for _ in range(60):
+        page = html_extract.Page(tree(2))
+        page.features()
+        n = len(page.kind)
+        odds = np.array([rng.uniform(-3, 3) for _ in range(n)])
+        value = [odds[i] * math.log1p(page.own[i]) if page.own[i] else odds[i] * math.log1p(page.total[i]) if odds[i] < -1 else 0.0 for i in range(n)]
+        value[0] = 0.0
+        best = max(sum(value[i] for i in range(n) if s >> i & 1) for s in range(1, 1 << n, 2) if all(s >> page.parent[i] & 1 for i in range(1, n) if s >> i & 1)) if n < 14 else None
+        keep = page.decode(odds)
+        assert keep[0] and all(keep[page.parent[i]] for i in range(1, n) if keep[i])
+        assert best is None or sum(v for v, k in zip(value, keep, strict=True) if k) == pytest.approx(best)
+
+
+def test_html_trees_take_the_best_split_of_every_node():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (80, 4)).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 2] > 3)).astype(float)
+    made = html_extract.Trees(x, y, trees=2, depth=2)
+    b, score = made.bins(x), np.full(80, made.base)
+
+    def gain(g, h, left):
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+        return part(left) + part(~left) - part(np.ones(len(g), bool))
+
+    for feature, cut, leaf in made.trees:
+        p = 1 / (1 + np.exp(-score))
+        g, h, rows = y - p, p * (1 - p), [np.arange(80)]
+        for level in range(2):
+            after = []
+            for k, r in enumerate(rows):
+                at = 2**level - 1 + k
+                best = max((gain(g[r], h[r], b[r, j] <= c) for j in range(4) for c in range(6)), default=0)
+                left = b[r, feature[at]] <= cut[at]
+                assert gain(g[r], h[r], left) == pytest.approx(max(best, 0), abs=1e-9)
+                after += [r[left], r[~left]]
+            rows = after
+        for k, r in enumerate(rows):
+            assert leaf[k] == pytest.approx(html_extract.RATE * g[r].sum() / (h[r].sum() + 1))
+            score[r] += leaf[k]
+    assert np.allclose(made.log_odds(x), score)
