@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, few, free_memory, in_pieces, materialize, mix, split_words, texts_of, whole_groups
-from .minhash import components, confirmed, shingle_set
+from .links import components, confirmed, shingle_set
 
 SHINGLE, PERCENT = 4, 85
 #: Bits of a parity bitmap.
@@ -302,6 +302,51 @@ def with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(rows.join(label, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "at")
 
 
+def members_of(keys: DataFrame) -> DataFrame:
+    """keys that several sets have, with the smallest set of each (led) and their number (many)."""
+    lists = keys.groupBy("c", "key").agg(F.min(F.struct("n", "rep")).alias("led"), F.count("*").alias("many")).filter("many > 1")
+    return materialize(keys.join(lists, ["c", "key"]), "members")
+
+
+def star(rows: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, k: int, allowed) -> DataFrame:
+    """Links of members with the leader of their list."""
+    fits = (F.col("n") * 100 >= F.col("led.n") * percent) & (F.col("n") * percent <= F.col("led.n") * 100)
+    ends = F.least("rep", "led.rep").alias("a"), F.greatest("rep", "led.rep").alias("b")
+    pairs = rows.filter(fits & (F.col("rep") != F.col("led.rep"))).select(*ends).distinct()
+    return confirmed(materialize(allowed(by_bitmap(pairs, sets, percent)), "star"), docs, percent, k)
+
+
+def mixed(rows: DataFrame, turn: int = 0) -> DataFrame:
+    """Lists with members of several components, and a leader for this turn, another one in each list."""
+    lead = F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("order"), "n", "rep", "comp")).alias("led")
+    return rows.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), lead).filter("p < q").select("key", "led")
+
+
+def links_in_lists(members: DataFrame, sets: DataFrame, links: DataFrame, docs: DataFrame, percent: int, k: int, allowed) -> DataFrame:
+    """links and those that join further components, between members of one inverted list."""
+    at = with_components(members.filter("c = 0").select("key", "rep", "n", "many"), links)
+    for turn in range(TURNS):
+        links = materialize(links.union(star(at.join(mixed(at, turn), "key").filter("comp <> led.comp"), sets, docs, percent, k, allowed)), "links")
+        at = with_components(at.drop("comp"), links)
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    dealt = at.join(mixed(at), "key", "left_semi").join(sets, ["rep", "n"]).withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"lo": F.least("part", "with"), "hi": F.greatest("part", "with")})
+    rest = confirmed(materialize(allowed(across(dealt, percent)), "rest"), docs, percent, k)
+    return links.union(rest)
+
+
+def cells_for(sets: DataFrame) -> int:
+    windows = sets.agg(F.sum("n")).first()[0] or 0
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << windows.bit_length()))
+
+
+def links_across(texts: DataFrame, sets: DataFrame, links: DataFrame, docs: DataFrame, percent: int, k: int, allowed) -> DataFrame:
+    """links and those that join further components among the documents of texts, all taken as heavy. sets: rep, n, bits of their texts; allowed filters candidate pairs (a, b)."""
+    levels, _ = rarity(texts.select("text"), k, cells_for(sets))
+    keys = materialize(keys_of(texts.select("doc_id", "text"), levels, 1, percent, k), "keys")
+    return links_in_lists(members_of(keys), sets, links, docs, percent, k, allowed)
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, boundary: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; without a boundary the cheapest is taken."""
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -315,37 +360,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     copies = own.filter("doc_id <> rep").select("doc_id").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     single = base.filter("doc_id IS NOT NULL").join(few(materialize(copies.distinct(), "copies")), "doc_id", "left_anti")
 
-    windows = reps.agg(F.sum("n")).first()[0] or 0
-    levels, length = rarity(single.select("text"), k, min(MOST_CELLS, max(LEAST_CELLS, 1 << windows.bit_length())))
+    levels, length = rarity(single.select("text"), k, cells_for(reps))
     if boundary is None:
         boundary = boundary_of(dict(reps.filter(F.col("n") < MOST_LIGHT).groupBy("n").count().collect()), length, percent)
     keys = materialize(keys_of(single.select("doc_id", "text"), levels, boundary, percent, k), "keys")
-    lists = keys.groupBy("c", "key").agg(F.min(F.struct("n", "rep")).alias("led"), F.count("*").alias("many")).filter("many > 1")
-    members = materialize(keys.join(lists, ["c", "key"]), "members")
-
-    def star(rows: DataFrame) -> DataFrame:
-        """Links of members with the leader of their list."""
-        fits = (F.col("n") * 100 >= F.col("led.n") * percent) & (F.col("n") * percent <= F.col("led.n") * 100)
-        ends = F.least("rep", "led.rep").alias("a"), F.greatest("rep", "led.rep").alias("b")
-        pairs = rows.filter(fits & (F.col("rep") != F.col("led.rep"))).select(*ends).distinct()
-        return confirmed(materialize(by_bitmap(pairs, reps, percent), "star"), base, percent, k)
-
-    def mixed(rows: DataFrame, turn: int = 0) -> DataFrame:
-        """Lists with members of several components, and a leader for this turn, another one in each list."""
-        lead = F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("order"), "n", "rep", "comp")).alias("led")
-        return rows.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), lead).filter("p < q").select("key", "led")
-
-    links = materialize(same.distinct().union(star(members)), "links")
+    members, all_ = members_of(keys), lambda pairs: pairs
+    links = materialize(same.distinct().union(star(members, reps, base, percent, k, all_)), "links")
     # Subsets have found their links; in the lists other leaders have their turns.
-    at = with_components(members.filter("c = 0").select("key", "rep", "n", "many"), links)
-    for turn in range(TURNS):
-        links = materialize(links.union(star(at.join(mixed(at, turn), "key").filter("comp <> led.comp"))), "links")
-        at = with_components(at.drop("comp"), links)
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    dealt = at.join(mixed(at), "key", "left_semi").join(reps, ["rep", "n"]).withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"lo": F.least("part", "with"), "hi": F.greatest("part", "with")})
-    rest = confirmed(materialize(across(dealt, percent), "rest"), base, percent, k)
-    label = components(links.union(rest))
+    label = components(links_in_lists(members, reps, links, base, percent, k, all_))
 
     rows = own.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(label.withColumnsRenamed({"v": "rep", "c": "component_id"}), "rep", "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))

@@ -9,12 +9,12 @@ those equal by chance. Links are confirmed on the full sets.
 2. Every band bucket links each member to its smallest: as many pairs as members, not
    squares. Pairs with an estimate of at least `least_estimate` are confirmed on their
    sets, and connected components are found.
-3. Only buckets that still hold several components are searched further: inside such a
-   bucket, blocks of BLOCK members are compared by signature, and pairs of different
-   components with a high enough estimate are confirmed on their sets there and then, in
-   their first common band. Only links leave the task. Pairs inside a component are never
-   made; a group whose members all link costs a star. A bucket larger than BLOCK is split
-   over tasks.
+3. Only documents in buckets that still hold several components are searched further. Inside
+   such buckets members need not be alike, and comparing all would take squares; so they meet
+   in inverted lists of their rarest shingles, of which any two linked sets share one (see
+   jaccard_join): what a template has put in thousands of documents is rare in none of them.
+   Pairs of different components whose sizes, parity bitmaps and estimates allow a link are
+   confirmed on their sets; no text is dealt before that.
 
 Bands follow the threshold: 24 of 5 from 85 % on, else 32 of 4. A pair at similarity 0.85
 shares no band with probability 8e-7 (at 0.8: 5e-8), and `least_estimate` is five standard
@@ -23,9 +23,7 @@ deviations of the estimate below the threshold.
 Null or empty texts have an empty set and link with nothing. Rows that repeat a doc_id
 share its vertex: links of any of them count. Rows without a doc_id link with nothing,
 have a null component and are kept. An empty table gives an empty result. Extra columns
-are ignored. Texts of any length are hashed whole; blocks of a bucket have at most
-BLOCK_SHINGLES shingles, and a longer document is a block of its own. Equal similarity at
-the threshold is a link; ties need no rule, as a component is named by its smallest doc_id.
+are ignored. Texts of any length are hashed whole. Equal similarity at the threshold is a link; ties need no rule, as a component is named by its smallest doc_id.
 """
 
 from __future__ import annotations
@@ -37,27 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, few, free_memory, in_pieces, materialize, mix, split_words, texts_of, window_hashes
+from .common import WordHashes, few, free_memory, in_pieces, materialize, mix, split_words, texts_of
+from .jaccard_join import links_across, set_rows
+from .links import components, confirmed, shingle_set
 
 SHINGLE, LANES, BITS = 3, 128, 4
-#: Members of a bucket compared with each other in one task, and shingles of all of them: they bound a task's memory.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
-#: Bytes of shingle sets that a task keeps at once.
-MOST_SET_BYTES = 64 << 20
 #: How far below the threshold a pair's estimate may be and still be confirmed: five standard deviations.
 MARGIN = 0.17
 _MULTIPLIERS = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _LANE_LOW = np.uint64(0x1111111111111111)
 
 
-def shingle_set(words: list[bytes], cache: WordHashes, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; fewer than k words are one shingle."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    return np.unique(window_hashes(h, min(k, len(h)), 0x9FB21C651E98DF25))
-
-
 def minima(shingles: np.ndarray) -> np.ndarray:
     """The smallest value of each of LANES hash functions over the set."""
     low = np.full(LANES, np.iinfo(np.uint64).max, np.uint64)
@@ -125,147 +113,6 @@ def estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union. pairs are materialized."""
-    ids = few(materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids"))
-    texts = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi"), "texts")
-    left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(t)) for c, t in (("a", "s"), ("b", "t")))
-
-    def run(batches):
-        cache = WordHashes()
-        for batch in batches:
-            a, s, t = batch.column("a").to_pylist(), texts_of(batch.column("s")), texts_of(batch.column("t"))
-            known, keep = (None, None, None), []
-            for key, x, y in zip(a, s, t, strict=True):
-                if known[0] != key or known[1] != x:
-                    known = key, x, shingle_set(split_words(x.lower()), cache, k)
-                other = shingle_set(split_words(y.lower()), cache, k)
-                both = len(np.intersect1d(known[2], other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(known[2]) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """v, c: the smallest vertex reachable from each vertex of the edges (a, b).
-
-    Contraction: every vertex hooks to its smallest neighbour if that is smaller, chains
-    of hooks are shortened by pointer jumping, and edges are moved to the roots until
-    none is left. Each round at least halves what hangs on a root; each table is written
-    to the shared folder.
-    """
-    ends = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
-    rest = materialize(edges.select(*ends).filter("lo < hi").distinct(), "edges")
-    labels = rest.select(F.col("lo").alias("v")).union(rest.select("hi")).distinct().withColumn("c", F.col("v"))
-    while not rest.isEmpty():
-        up = materialize(rest.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("p")), "hooks")
-        while True:
-            over = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            if up.join(over, "p", "left_semi").isEmpty():
-                break
-            up = materialize(up.join(over, "p", "left").select("v", F.coalesce("q", "p").alias("p")), "hooks")
-        to = lambda df, c: df.join(up.select(F.col("v").alias(c), F.col("p").alias("_cw_p")), c, "left").withColumn(c, F.coalesce("_cw_p", c)).drop("_cw_p")
-        labels = materialize(to(labels, "c"), "labels")
-        rest = materialize(to(to(rest, "lo"), "hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).filter("lo < hi").distinct(), "edges")
-    return labels
-
-
-def _cross_links(rows: dict[str, np.ndarray], texts: list[bytes], least: float, percent: int, k: int, cache: WordHashes):
-    """Links (a, b) between different components of one bucket block whose first common band this is. rows are sorted by rep."""
-    rep, comp, part = rows["rep"], rows["comp"], rows["part"]
-    if comp.min() == comp.max():
-        return []
-    bits, keys = rows["bits"], rows["bands"]
-    band, lo, hi = int(rows["band"][0]), rows["lo"][0], rows["hi"][0]
-    left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-    sets: dict[int, np.ndarray] = {}
-    held = 0
-
-    def shingles(i: int) -> np.ndarray:
-        nonlocal held
-        if i not in sets:
-            if held > MOST_SET_BYTES:
-                sets.clear()
-                held = 0
-            sets[i] = shingle_set(split_words(texts[i].lower()), cache, k)
-            held += sets[i].nbytes
-        return sets[i]
-
-    out = []
-    for i in range(0, len(left), 32):
-        r = left[i : i + 32]
-        near = (estimate(bits[r][:, None, :], bits[right][None, :, :]) >= least) & (comp[r][:, None] != comp[right][None, :])
-        if lo == hi:
-            near &= r[:, None] < right[None, :]
-        x, y = np.nonzero(near)
-        x, y = r[x], right[y]
-        if band and len(x):
-            new = ~(keys[x, :band] == keys[y, :band]).any(1)
-            x, y = x[new], y[new]
-        for u, v in zip(x.tolist(), y.tolist(), strict=True):
-            p, q = shingles(u), shingles(v)
-            if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * both >= percent * (len(p) + len(q) - both):
-                    out.append((min(rep[u], rep[v]), max(rep[u], rep[v])))
-    return out
-
-
-def cross_links(dealt: DataFrame, least: float, percent: int, k: int) -> DataFrame:
-    """a, b: links inside the blocks (band, key, lo, hi) of dealt. A task reads its blocks one after the other, in order."""
-    group = ["band", "key", "lo", "hi"]
-
-    def run(batches):
-        free_memory("minhash")
-        cache, carried = WordHashes(), []
-        names = None
-
-        def solve(batch):
-            n = batch.num_rows
-            col = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
-            rows = {c: col[c].to_numpy(zero_copy_only=False) for c in (*group, "rep", "comp", "part")}
-            rows["bits"] = np.frombuffer(b"".join(col["bits"].to_pylist()), np.uint64).reshape(n, -1)
-            rows["bands"] = np.frombuffer(b"".join(col["bands"].to_pylist()), np.uint64).reshape(n, -1)
-            texts = texts_of(col["text"])
-            new = np.any([rows[c][1:] != rows[c][:-1] for c in group], 0)
-            cut = [0, *(np.flatnonzero(new) + 1).tolist(), n]
-            found = []
-            for a, z in zip(cut[:-1], cut[1:], strict=True):
-                if z - a > 1:
-                    found += _cross_links({c: v[a:z] for c, v in rows.items()}, texts[a:z], least, percent, k, cache)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = names or batch.schema.names
-            # The last block of a batch may go on in the next one.
-            keys = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in group]
-            last = np.all([v == v[-1] for v in keys], 0)
-            start = int(np.argmin(last[::-1])) if not last.all() else batch.num_rows
-            start = batch.num_rows - start
-            if carried:
-                same = all(carried[-1].column(carried[-1].schema.get_field_index(c))[-1].as_py() == v[0] for c, v in zip(group, keys, strict=True))
-                if not same or start > 0:
-                    yield solve(_one([*carried, batch.slice(0, start)] if same else carried))
-                    if same:
-                        batch, start = batch.slice(start), 0
-                    carried = []
-            if start:
-                yield solve(batch.slice(0, start))
-            carried.append(batch.slice(start))
-        if carried:
-            yield solve(_one(carried))
-
-    columns = [*group, "rep", "comp", "part", "bands", "bits", "text"]
-    return dealt.select(*columns).repartition(*group).sortWithinPartitions(*group, "rep").mapInArrow(run, "a long, b long")
-
-
-def _one(batches: list) -> pa.RecordBatch:
-    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, least_estimate: float | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     least = percent / 100 - MARGIN if least_estimate is None else least_estimate
@@ -281,14 +128,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, least_
     def explode(batches):
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, bands)
-            rep, size = (batch.column(i).take(pa.array(np.repeat(np.arange(len(keys)), bands))) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays([rep, pa.array(np.tile(np.arange(bands, dtype=np.int32), len(keys))), pa.array(keys.ravel()), size], names=["rep", "band", "key", "size"])
+            rep = batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), bands)))
+            yield pa.RecordBatch.from_arrays([rep, pa.array(np.tile(np.arange(bands, dtype=np.int32), len(keys))), pa.array(keys.ravel())], names=["rep", "band", "key"])
 
-    banded = reps.select("rep", "bands", "n_shingles").mapInArrow(explode, "rep long, band int, key long, size long")
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    shared = banded.groupBy("band", "key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), blocks).filter("first < last")
-    banded = banded.drop("size")
-    members = materialize(banded.join(materialize(shared.drop("last"), "shared"), ["band", "key"]), "members")
+    banded = reps.select("rep", "bands").mapInArrow(explode, "rep long, band int, key long")
+    shared = banded.groupBy("band", "key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first < last").drop("last")
+    members = materialize(banded.join(shared, ["band", "key"]), "members")
 
     star = members.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     tried = materialize(estimated(star, reps, least), "star")
@@ -296,17 +141,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, least_
     label = components(links)
 
     at = members.join(label.withColumnsRenamed({"v": "rep", "c": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    at = materialize(at, "at")
     mixed = at.groupBy("band", "key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p < q").select("band", "key")
-    blocks = F.col("blocks")
-    dealt = materialize(at.join(mixed, ["band", "key"], "left_semi").withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int")), "mixed")
-    ids = few(materialize(dealt.select(F.col("rep").alias("doc_id")).distinct(), "ids"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
-    sides = reps.drop("n_shingles").join(texts, "rep")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
-    more = materialize(cross_links(dealt.join(sides, "rep"), least, percent, k).distinct(), "more")
-    if not more.isEmpty():
-        label = components(links.union(more))
+    left = materialize(at.join(mixed, ["band", "key"], "left_semi").select("rep").distinct(), "mixed")
+    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = base.join(few(left.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
+    sets = materialize(set_rows(texts, k).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits").filter("n > 0").distinct(), "sets")
+    label = components(links_across(texts, sets, links, base, percent, k, lambda pairs: estimated(pairs, reps, least)))
 
     rows = own.select("doc_id", "n_shingles", "rep").join(label.withColumnsRenamed({"v": "rep", "c": "component_id"}), "rep", "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))

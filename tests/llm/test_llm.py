@@ -508,7 +508,7 @@ def test_near_duplicates_match_brute_force(spark, k, percent):
 
 
 def test_large_near_copy_group_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     rng = random.Random(11)
     base = prose(rng, 60)
     texts = []
@@ -521,6 +521,18 @@ def test_large_near_copy_group_in_blocks(spark, monkeypatch):
     assert [r.component_id for r in got] == brute_groups(texts, 3, 70)[1]
 
 
+def test_unlinked_documents_of_a_template_are_not_dealt_in_squares(spark, monkeypatch):
+    """600 documents share most of their words, none links: what is compared stays in proportion to them."""
+    rng = random.Random(21)
+    base = prose(rng, 100, 10**6)
+    texts = [" ".join([*base, *prose(rng, 30, 10**6)]) for _ in range(600)]
+    dealt = []
+    across = jaccard_join.across
+    monkeypatch.setattr(jaccard_join, "across", lambda rows, percent: (dealt.append(rows.count()), across(rows, percent))[1])
+    got = minhash.near_duplicates(docs_of(spark, texts), percent=85, k=3).collect()
+    assert all(r.kept for r in got) and dealt[0] <= 600
+
+
 def test_b_bit_estimates_are_unbiased():
     rng = np.random.default_rng(12)
     for share in (0.5, 0.8, 0.95):
