@@ -179,38 +179,40 @@ def fallback_windows(grouped: DataFrame, keys: list[str], most: int, target=40_0
     away = F.abs(F.col(END) - F.col(START) - target)
     wins = wins.withColumns({"_away": away, "score_milli": F.bround(1000 / (1 + away / 1000)).cast("long")})
 
-    def apart(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_away", START], kind="stable")
-        s, e = pdf[START].to_numpy(), pdf[END].to_numpy()
-        kept: list[int] = []
-        for i in range(len(s)):
-            if len(kept) < most and all(e[i] <= s[k] + slack or s[i] >= e[k] - slack for k in kept):
-                kept.append(i)
-        return pdf.iloc[kept].sort_values(START)
+    def keep(kept: list[tuple], c: dict, a: int, z: int) -> list[int]:
+        taken = []
+        for n in range(a, z):
+            s, e = c[START][n], c[END][n]
+            if len(kept) < most and apart(s, e, kept, slack):
+                kept.append((s, e))
+                taken.append(n)
+        return taken
+
+    return keep_in_order(wins, keys, ["_away", START, END], list, keep, [START, END]).drop("_away", "group_idx")
+
 
-    return wins.groupBy(*keys).applyInPandas(apart, wins.schema).drop("_away", "group_idx")
+def apart(start, end, taken: list[tuple], slack) -> bool:
+    return all(end <= s + slack or start >= e - slack for s, e in taken)
 
 
 def fill_candidates(cands: DataFrame, fallback: DataFrame, keys: list[str], most: int, slack=1000) -> DataFrame:
-    """The first `most` candidates in order; short of that fallbacks that overlap none, then fallbacks with unseen times. Both: keys, pos, start_ms, end_ms."""
-    both = cands.select(*keys, "pos", START, END, F.lit(0).alias("_kind")).unionByName(fallback.select(*keys, "pos", START, END, F.lit(1).alias("_kind")))
+    """The first `most` candidates in order; short of that fallbacks that overlap none, then fallbacks with unseen times. Both: keys, pos, start_ms, end_ms. A task holds the times taken."""
+    both = cands.select(*keys, "pos", START, END, F.lit(0).alias("_kind"), F.lit(0).alias("_turn"))
+    # Fallbacks have two turns: apart from all that is taken, then at any times not taken yet.
+    extra = fallback.select(*keys, "pos", START, END, F.lit(1).alias("_kind"), F.explode(F.array(F.lit(1), F.lit(2))).alias("_turn"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_kind", "pos"], kind="stable")
-        rows = list(pdf[[START, END, "_kind"]].itertuples(index=True, name=None))
-        own, extra = [r for r in rows if r[3] == 0][:most], [r for r in rows if r[3] == 1]
-        for r in extra:
-            if len(own) < most and all(r[2] <= o[1] + slack or r[1] >= o[2] - slack for o in own):
-                own.append(r)
-        seen = {(o[1], o[2]) for o in own}
-        for r in extra:
-            if len(own) < most and (r[1], r[2]) not in seen:
-                own.append(r)
-                seen.add((r[1], r[2]))
-        return pdf.loc[[o[0] for o in own]].assign(rank=range(1, len(own) + 1))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in both.dtypes) + ", rank long"
-    return both.groupBy(*keys).applyInPandas(run, schema).withColumnRenamed("_kind", "from_fallback")
+    def keep(taken: list[tuple], c: dict, a: int, z: int) -> list[int]:
+        out = []
+        for n in range(a, z):
+            turn, row = c["_turn"][n], (c[START][n], c[END][n])
+            if len(taken) < most and (turn == 0 or (apart(*row, taken, slack) if turn == 1 else row not in taken)):
+                taken.append(row)
+                out.append(n)
+        return out
+
+    kept = keep_in_order(both.unionByName(extra), keys, ["_turn", "pos"], list, keep, [START, END, "_turn"])
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("_turn", "pos")).cast("long")  # of at most `most` rows
+    return kept.withColumn("rank", rank).drop("_turn").withColumnRenamed("_kind", "from_fallback")
 
 
 def dedupe(cands: DataFrame, keys: list[str], order: str) -> DataFrame:

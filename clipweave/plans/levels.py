@@ -10,6 +10,7 @@ from ..operators import mixing as M
 from ..operators import shots as H
 from ..operators import signal as G
 from ..operators import speakers as P
+from ..operators import sync as Y
 from ..views import view, with_views
 
 CAM = ["recording_id", "camera"]
@@ -262,6 +263,34 @@ def xcorr_offset(spark, sf):
     return G.estimate_offset(rows, ["vec_id"], 16, 1.0, "xcorr").select("vec_id", F.col("offset").cast("long").alias("lag"))
 
 
+def tracks_of(spark, sf, late=0):
+    """A track per label, of its vectors, 64 samples each; `late` samples of silence before them."""
+    from pyspark.sql import Window as W
+
+    n = (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", n.alias("n"), F.col("embedding").cast("array<double>").alias("x"))
+    silent = F.when(F.col("n") == 0, F.array_repeat(F.lit(0.0), late)).otherwise(F.array().cast("array<double>"))
+    return rows.select("label", F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n") * 64 + late).cast("long").alias("start_sample"), F.concat(silent, "x").alias("samples"))
+
+
+def long_xcorr(spark, sf):
+    """Each label's track against the next label's, in blocks of 500 samples."""
+    t = tracks_of(spark, sf).withColumnRenamed("label", "track")
+    labels = t.select("track").distinct()
+    pairs = labels.select(F.col("track").alias("ref"), (F.col("track") + 1).alias("other")).join(labels.withColumnRenamed("track", "other"), "other", "left_semi").select("ref", "other")
+    return Y.long_xcorr(t, pairs, 30, 500, 512).withColumn("score", F.bround("score", 6))
+
+
+def sync_recordings(spark, sf):
+    """Each label's track against itself, 8 samples late at 100 a second, in windows of 256 samples."""
+    a = tracks_of(spark, sf).select(F.concat(F.lit("a"), "label").alias("track"), "start_sample", "samples")
+    b = tracks_of(spark, sf, 8).select(F.concat(F.lit("b"), "label").alias("track"), "start_sample", "samples")
+    n = tracks_of(spark, sf).groupBy("label").agg(F.count("*").alias("n")).filter("n > 8")
+    pairs = n.select(F.concat(F.lit("a"), "label").alias("ref"), F.concat(F.lit("b"), "label").alias("other"), F.lit(0.5).alias("fit_start"), ((F.col("n") - 6) * 0.64).alias("fit_duration"))
+    model = Y.sync_recordings(a.unionByName(b), pairs, 100, 2.56, 0.64, 0.5)
+    return model.select("ref", "other", F.bround("offset_start", 6).alias("offset_start"), "n", (F.bround("slope", 6) + 0.0).alias("slope"), F.bround("intercept", 6).alias("intercept"))
+
+
 def frames(spark, sf):
     """Each vector as a chunk of 64 samples, 1,000 a second."""
     return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", F.lit(1000).alias("sr"), F.lit(0).cast("long").alias("start_sample"), F.col("embedding").alias("samples"))
@@ -367,7 +396,7 @@ def residual_switch(spark, sf):
     return G.residual_switch(w, speech, "recording_id", 1000, 2000, 0.25)
 
 
-NAMES = "speech_level noise_floor level_normalize moving_average quietest_near check_cuts nudge_cuts clip_levels level_steps balance_gains level_at lag_scan motion_offset motion_signal filter_offset_outliers fit_drift best_offset map_time overlap_window sync_summary transcript_coverage caption_pass_rate qc_report camera_switch enforce_min_shot min_shot_report pin_camera camera_share insert_reactions balance_cameras shot_plan camera_ranges edit_list subtract_shots speaker_centroids speaker_similarity infer_speaker_map resolve_speaker_map speaker_switch end_window_drift xcorr_offset energy_envelope centred_envelope levels_db abs_envelope env_db gcc_phat_offset estimate_offset refine_offset verify_windows window_lags verify_alignment gated_mix residual_scores residual_switch"
+NAMES = "speech_level noise_floor level_normalize moving_average quietest_near check_cuts nudge_cuts clip_levels level_steps balance_gains level_at lag_scan motion_offset motion_signal filter_offset_outliers fit_drift best_offset map_time overlap_window sync_summary transcript_coverage caption_pass_rate qc_report camera_switch enforce_min_shot min_shot_report pin_camera camera_share insert_reactions balance_cameras shot_plan camera_ranges edit_list subtract_shots speaker_centroids speaker_similarity infer_speaker_map resolve_speaker_map speaker_switch end_window_drift xcorr_offset energy_envelope centred_envelope levels_db abs_envelope env_db gcc_phat_offset estimate_offset refine_offset verify_windows window_lags verify_alignment gated_mix long_xcorr sync_recordings residual_scores residual_switch"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _L = with_views("levels")
@@ -452,6 +481,11 @@ SQL = {
       SELECT recording_id, camera, camera AS audio_camera, x.s AS start_ms, x.e AS end_ms FROM (SELECT recording_id, camera, unnest(p) AS x FROM pc) WHERE x.e - x.s > 50""",
     "verify_windows": with_views("clips") + """, d AS (SELECT reel_id, clip_idx, start_ms AS s, end_ms AS e, end_ms - start_ms AS d FROM clips), w AS (SELECT reel_id, clip_idx, s, e, 0 AS "window", CASE WHEN d < 3000 THEN 150 ELSE 250 END AS i FROM d UNION ALL SELECT reel_id, clip_idx, s, e, 1, greatest(250, d - 2300) FROM d WHERE d >= 3000)
       SELECT reel_id, clip_idx, "window", s + i AS a, s + i + least(2000, e - s - i - 100) AS b FROM w WHERE e - s - i - 100 > 0""",
+    "long_xcorr": """WITH n AS (SELECT label, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings), r AS (SELECT label, n * 64 + i AS p, x[i + 1] AS v FROM n, LATERAL (SELECT unnest(range(64)) AS i)),
+      f AS (SELECT label, avg(v) AS m FROM r GROUP BY label), c AS (SELECT r.label, p, v - m AS v FROM r JOIN f ON f.label = r.label), e AS (SELECT label, sum(v * v) AS e FROM c GROUP BY label),
+      s AS (SELECT a.label, l AS lag, sum(a.v * b.v) AS v FROM c a, (SELECT unnest(range(-30, 31)) AS l), c b WHERE b.label = a.label + 1 AND b.p = a.p + l GROUP BY ALL)
+      SELECT s.label AS ref, s.label + 1 AS other, arg_max(lag, (v, -lag)) AS lag, round_even(max(v) / (sqrt(any_value(ea.e) * any_value(eb.e)) + 1e-12), 6) AS score FROM s JOIN e ea ON ea.label = s.label JOIN e eb ON eb.label = s.label + 1 GROUP BY s.label""",
+    "sync_recordings": "SELECT 'a' || label AS ref, 'b' || label AS other, 0.08::DOUBLE AS offset_start, count(*) - 5 AS n, 0.0::DOUBLE AS slope, 0.08::DOUBLE AS intercept FROM embeddings GROUP BY label HAVING count(*) > 8",
     "gated_mix": """WITH n AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings),
       src AS (SELECT label, CASE WHEN n % 2 = 0 THEN 'a' ELSE 'b' END AS camera, n // 2 * 64 + i AS at, x[i + 1] AS v FROM n, LATERAL (SELECT unnest(range(64)) AS i)),
       rg AS (SELECT label, CAST(round_even(((max(n) + 1) // 2 * 640 - 200) / 1000 * 100, 0) AS BIGINT) AS total FROM n GROUP BY label HAVING (max(n) + 1) // 2 * 640 > 200),

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from clipweave.functions import text as X
 from clipweave.functions import timecode as T
-from clipweave.operators import align, candidates, captions, catalog, intervals, levels, mixing, ranks, shots, signal, speakers, timeline
+from clipweave.operators import align, candidates, captions, catalog, intervals, levels, mixing, ranks, shots, signal, speakers, sync, timeline
 from clipweave.sources import readers, wav, writers
 from pyspark.sql import functions as F
 
@@ -650,3 +650,45 @@ def test_long_series_run_over_blocks(spark, block):
     bounds = spark.createDataFrame([("a", min(s for s, _ in plain), max(e for _, e in plain))], "k string, lo long, hi long")
     hole = max((b[0] - a[1] for a, b in itertools.pairwise(sorted(plain))), default=0)
     assert [intervals.covers_range(cuts, bounds, ["k"], t, block).first().covered for t in (hole, hole - 1)] == [True, False]
+
+
+def as_tracks(spark, tracks, sizes):
+    data = [(k, a, x[a : a + sizes[k]].tolist()) for k, x in tracks.items() for a in range(0, len(x), sizes[k])]
+    return spark.createDataFrame(data, "track string, start_sample long, samples array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("block", [64, 700, 1 << 20])
+def test_long_correlation_equals_that_of_one_row(spark, block):
+    rng = np.random.default_rng(block)
+    x = rng.normal(size=1500) + 3
+    tracks = {"a": x, "late": np.concatenate([np.zeros(37), x])[:1400], "early": x[60:] + 5, "short": x[500:530]}
+    t = as_tracks(spark, tracks, {"a": 100, "late": 333, "early": 64, "short": 7})
+    pairs = spark.createDataFrame([("a", "late"), ("a", "early"), ("late", "a"), ("a", "short"), ("short", "a")], "ref string, other string")
+    for most in (80, 2000):
+        got = {(r.ref, r.other): (r.lag, r.score) for r in sync.long_xcorr(t, pairs, most, block, 256).collect()}
+        for (p, q), (lag, score) in got.items():
+            want = signal.xcorr_lag(tracks[p], tracks[q], most)
+            assert lag == want[0] and score == pytest.approx(want[1], abs=1e-9)
+        assert len(got) == 5
+
+
+def test_sync_finds_offset_and_drift_in_chunks(spark):
+    rng = np.random.default_rng(9)
+    rate, x = 1000, rng.normal(size=60_000)
+    at = np.arange(60_000)
+    smooth = np.convolve(x, np.ones(5) / 5, "same")
+    other = np.interp(at - 40 - at * 0.0005, at, smooth)  # 40 samples late and slower
+    tracks = {"ref": smooth, "cam": other, "none": rng.normal(size=2000)}
+    t = as_tracks(spark, tracks, {"ref": 4000, "cam": 7001, "none": 500})
+    pairs = spark.createDataFrame([("ref", "cam", 1.0, 50.0), ("ref", "none", 30.0, 5.0)], "ref string, other string, fit_start double, fit_duration double")
+    points = sync.offset_points(t, pairs, 4.0, 5.0, 0.5, 0.0, rate).orderBy("window_idx").collect()
+    assert [(r.ref, r.other, r.t) for r in points] == [("ref", "cam", 1.0 + 5 * k) for k in range(11)]
+    for r in points:
+        a, b = (tracks[k][int(r.t * rate) : int(r.t * rate) + 4000] for k in ("ref", "cam"))
+        lag, sure = signal.gcc_phat(a, b, 500)
+        assert r.method != "gcc_phat" or (r.offset == lag / rate and r.confidence == pytest.approx(sure))
+    m = sync.sync_recordings(t, pairs, rate, 4.0, 5.0, 0.5).collect()
+    assert len(m) == 1 and m[0].n == 11
+    assert abs(m[0].slope - 0.0005) < 5e-5 and abs(m[0].intercept - 0.04) < 2e-3
+    slope, intercept = np.polyfit([r.t for r in points], [r.offset for r in points], 1, w=[max(r.score, 1e-6) for r in points])
+    assert m[0].slope == pytest.approx(slope, abs=1e-9) and m[0].intercept == pytest.approx(intercept, abs=1e-7)
