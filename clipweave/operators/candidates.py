@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timecode import number, seconds_to_timestamp, timestamp_to_seconds
-from .keyed import fold_in_order, keep_in_order
+from .keyed import dealt, fold_in_order, keep_in_order, runs_of, whole_runs
 
 START, END = "start_ms", "end_ms"
 CANDIDATE = "array<struct<start:string,end:string,title:string,reason:string,score:string>>"
@@ -259,27 +260,75 @@ def parse_llm_candidates(answers: DataFrame, segments: DataFrame, keys: list[str
     return clamp_to_end(enforce_duration(snap(ms, segments, keys, ids), segments, keys, ids, least, most), segments, keys)
 
 
-def greedy_match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """One-to-one pairs by falling overlap, larger positions first of equals: keys, i, j, overlap_ms, start_error_ms, end_error_ms, union_ms.
+def best_first(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], top: int = 16) -> list[tuple[int, int]]:
+    """One-to-one pairs of places by falling overlap, the earlier places first of equals. left and right: starts and ends.
 
-    left: keys, i, start_ms, end_ms; right: keys, j, r_start_ms, r_end_ms. Pairs without overlap are never made.
-    A key's pairs are read once, in order; a task holds the positions matched so far.
+    Every left interval has a list of its best `top` free partners, made anew when it runs out,
+    and stands in a heap with the first of them; so what is held grows with the intervals, not
+    with their pairs.
     """
-    from .intervals import overlap_join
+    (s, e), (t, f) = left, right
+    free = np.ones(len(t), bool)
+    lists: dict[int, list[tuple[float, int]]] = {}
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(a: int) -> None:
+        """Puts a into the heap with its best free partner, if it has one."""
+        while True:
+            if not lists.get(a):
+                if a in lists and len(lists[a]) == 0 and not more[a]:
+                    return
+                near = np.flatnonzero(free & (f > s[a]) & (t < e[a]))
+                overlap = np.minimum(e[a], f[near]) - np.maximum(s[a], t[near])
+                order = np.argsort(-overlap, kind="stable")[:top]
+                lists[a] = [(overlap[k].item(), int(near[k])) for k in order[::-1]]
+                more[a] = len(near) > top
+                if not lists[a]:
+                    return
+            overlap, b = lists[a].pop()
+            if free[b]:
+                heapq.heappush(heap, (-overlap, a, b))
+                return
+
+    more: dict[int, bool] = {}
+    for a in range(len(s)):
+        offer(a)
+    out = []
+    while heap:
+        _, a, b = heapq.heappop(heap)
+        if free[b]:
+            free[b] = False
+            out.append((a, b))
+        else:
+            offer(a)
+    return out
 
-    pairs = overlap_join(left, right, keys).select(*keys, "i", "j", "overlap_ms", F.abs(F.col(START) - F.col("r_start_ms")).alias("start_error_ms"), F.abs(F.col(END) - F.col("r_end_ms")).alias("end_error_ms"), (F.greatest(END, "r_end_ms") - F.least(START, "r_start_ms")).alias("union_ms"))
 
-    def keep(used: tuple[set, set], c: dict, a: int, z: int) -> list[int]:
-        taken = []
-        for n in range(a, z):
-            i, j = c["i"][n], c["j"][n]
-            if i not in used[0] and j not in used[1]:
-                used[0].add(i)
-                used[1].add(j)
-                taken.append(n)
-        return taken
+def greedy_match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """One-to-one pairs by falling overlap, larger positions first of equals: keys, i, j, overlap_ms, start_error_ms, end_error_ms, union_ms.
 
-    return keep_in_order(pairs, keys, [F.desc("overlap_ms"), F.desc("i"), F.desc("j")], lambda: (set(), set()), keep, ["i", "j"])
+    left: keys, i, start_ms, end_ms; right: keys, j, r_start_ms, r_end_ms. The intervals of a key
+    meet in a task; rows of pairs are made for matches only (see best_first).
+    """
+    kinds, other = dict(left.dtypes), dict(right.dtypes)
+    rows = left.select(*keys, F.lit(0).alias("_side"), F.col("i").alias("_n"), F.col(START).alias("_a"), F.col(END).alias("_b"))
+    rows = rows.unionByName(right.select(*keys, F.lit(1).alias("_side"), F.col("j").alias("_n"), F.col("r_start_ms").alias("_a"), F.col("r_end_ms").alias("_b"))).filter("_b > _a")
+
+    def run(batches):
+        for pdf in whole_runs(batches, keys):
+            cut = runs_of(pdf, keys)
+            side, n, a, b = (pdf[c].to_numpy() for c in ("_side", "_n", "_a", "_b"))
+            at = []
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                half = lo + int(np.searchsorted(side[lo:hi], 1))  # rows are sorted by side, then position, the largest first
+                at += [(lo + x, half + y) for x, y in best_first((a[lo:half], b[lo:half]), (a[half:hi], b[half:hi]))]
+            x, y = np.array(at, np.int64).reshape(-1, 2).T
+            head = pdf[keys].iloc[x].reset_index(drop=True)
+            yield head.assign(i=n[x], j=n[y], overlap_ms=np.minimum(b[x], b[y]) - np.maximum(a[x], a[y]), start_error_ms=abs(a[x] - a[y]), end_error_ms=abs(b[x] - b[y]), union_ms=np.maximum(b[x], b[y]) - np.minimum(a[x], a[y]))
+
+    ms = kinds[START]
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"i {kinds['i']}", f"j {other['j']}", *(f"{c} {ms}" for c in ("overlap_ms", "start_error_ms", "end_error_ms", "union_ms"))])
+    return dealt(rows, keys).sortWithinPartitions(*keys, "_side", F.desc("_n")).mapInPandas(run, schema)
 
 
 def candidate_stats(cands: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,17 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with those of equal keys in one partition.
+
+    The constant keeps the shuffle apart from one that a join below has on the same keys: Spark
+    leaves a repetition out, and then deals that join anew at run time (a small side is
+    broadcast, partitions are read where they lie), which nothing asks for above mapInPandas.
+    """
+    return rows.repartition(*keys, F.lit(0))
 
 
 def runs_of(pdf: pd.DataFrame, keys: list[str]) -> list[int]:
@@ -19,6 +30,26 @@ def key_at(pdf: pd.DataFrame, keys: list[str], row: int) -> tuple:
     return tuple(None if pd.isna(v) else v for v in (pdf[k].iat[row] for k in keys))
 
 
+def whole_runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterable[pd.DataFrame]:
+    """Frames of sorted batches cut anew: none ends inside a run of equal keys."""
+    kept: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        start = runs_of(pdf, keys)[-2]
+        if kept and (start or key_at(pdf, keys, 0) != key_at(kept[-1], keys, -1)):
+            same = key_at(pdf, keys, 0) == key_at(kept[-1], keys, -1)
+            yield pd.concat([*kept, *([pdf.iloc[:start]] if same else [])], ignore_index=True)
+            if not same and start:
+                yield pdf.iloc[:start]
+            kept = []
+        elif start:
+            yield pdf.iloc[:start]
+        kept.append(pdf.iloc[start:])
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
 def keep_in_order(rows: DataFrame, keys: list[str], order: list[Column | str], begin: Callable[[], object], keep: Callable[[object, dict[str, list], int, int], list[int]], used: list[str]) -> DataFrame:
     """The rows that keep takes, with all their columns.
 
@@ -42,7 +73,7 @@ def keep_in_order(rows: DataFrame, keys: list[str], order: list[Column | str], b
             last = key_at(pdf, keys, -1)
             yield pdf.iloc[take]
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, rows.schema)
+    return dealt(rows, keys).sortWithinPartitions(*keys, *order).mapInPandas(run, rows.schema)
 
 
 def fold_in_order(rows: DataFrame, keys: list[str], order: list[Column | str], begin: Callable[[], object], step: Callable[[object, tuple], Iterable[tuple]], finish: Callable[[object], Iterable[tuple]], used: list[str], schema: str) -> DataFrame:
@@ -80,4 +111,4 @@ def fold_in_order(rows: DataFrame, keys: list[str], order: list[Column | str], b
             yield frame([(*last, *r) for r in finish(state)])
 
     types = dict(rows.dtypes)
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *used).mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + schema)
+    return dealt(rows, keys).sortWithinPartitions(*keys, *order).select(*keys, *used).mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + schema)

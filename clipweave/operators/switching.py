@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keyed import fold_in_order, runs_of
+from .keyed import dealt, fold_in_order, runs_of, whole_runs
 
 #: Steps of a block.
 BLOCK = 4096
@@ -89,17 +89,9 @@ def switched(steps: DataFrame, firsts: DataFrame, key: str, least_steps: int, ca
 
     def blocks_of(batches):
         """Frames of one whole block each."""
-        kept = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
-            cut = runs_of(pdf, [key, "block"])
-            for a, z in zip(cut[:-2], cut[1:-1], strict=True):
-                yield pdf.iloc[a:z]
-            kept = pdf.iloc[cut[-2] :]
-        if kept is not None:
-            yield kept
+        for pdf in whole_runs(batches, [key, "block"]):
+            at = runs_of(pdf, [key, "block"])
+            yield from (pdf.iloc[a:z] for a, z in zip(at[:-1], at[1:], strict=True))
 
     def opened(pdf: pd.DataFrame) -> tuple[Block, np.ndarray]:
         some = np.flatnonzero(pdf["held"].notna().to_numpy())
@@ -114,8 +106,7 @@ def switched(steps: DataFrame, firsts: DataFrame, key: str, least_steps: int, ca
             row = {key: [pdf[key].iat[0]], "block": pdf["block"].iloc[:1].tolist(), "begin": [begin]}
             yield pd.DataFrame(row | {c: [[x[i] for x in found]] for i, c in enumerate(names)}).astype({key: pdf[key].dtype})
 
-    dealt = steps.repartition(key, "block").sortWithinPartitions(*order)
-    found = dealt.select(key, "block", "step", "best", "held").mapInPandas(maps, f"{key} {kind}, block long, begin long, camera array<string>, lo array<long>, hi array<long>, after array<string>, free array<long>")
+    found = dealt(steps, [key, "block"]).sortWithinPartitions(*order).select(key, "block", "step", "best", "held").mapInPandas(maps, f"{key} {kind}, block long, begin long, camera array<string>, lo array<long>, hi array<long>, after array<string>, free array<long>")
     found = found.join(firsts.select(F.col(key).alias("_cw_key"), "first"), F.col(key).eqNullSafe(F.col("_cw_key"))).drop("_cw_key")
 
     def compose(state: dict, r: tuple):
@@ -149,4 +140,4 @@ def switched(steps: DataFrame, firsts: DataFrame, key: str, least_steps: int, ca
     kinds = dict(steps.dtypes)
     schema = ", ".join([f"{key} {kind}", "step long", "before string", "camera string", *(f"{c} {kinds[c]}" for c in carry)])
     both = both.select(*dict.fromkeys([*order, "best", "held", "entry", "entry_free", *carry]))
-    return both.repartition(key, "block").sortWithinPartitions(*order).mapInPandas(replay, schema)
+    return dealt(both, [key, "block"]).sortWithinPartitions(*order).mapInPandas(replay, schema)

@@ -13,6 +13,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.keyed import dealt
+
 #: Schemes of stores that tasks open themselves, for ranges; files elsewhere are read whole by Spark.
 RANGED = ("file", "s3", "s3a", "gs")
 #: Chunks of one file that a task reads in a row, and bytes of sound for a task.
@@ -89,9 +91,9 @@ def read_wav_chunks(spark: SparkSession, paths, chunk_s: float, overlap_s: float
     if not by_range:
         return files.select("path", "content").mapInPandas(whole, schema)
     found = files.select("path").mapInPandas(headers, "path string, chunks int")
-    dealt = found.select("path", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk_idx"))
+    named = found.select("path", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk_idx"))
     tasks = 1 + (files.agg(F.sum("length")).first()[0] or 0) // task_bytes  # a fixed number: rows that name chunks are too small for Spark to tell
-    return dealt.repartition(tasks, "path", F.floor(F.col("chunk_idx") / run)).sortWithinPartitions("path", "chunk_idx").mapInPandas(ranges, schema)
+    return named.repartition(tasks, "path", F.floor(F.col("chunk_idx") / run)).sortWithinPartitions("path", "chunk_idx").mapInPandas(ranges, schema)
 
 
 def write_wav(chunks: DataFrame, path: str, key: str, sr: int) -> DataFrame:
@@ -134,6 +136,6 @@ def write_wav(chunks: DataFrame, path: str, key: str, sr: int) -> DataFrame:
         if out:
             yield close()
 
-    done = rows.repartition(key).sortWithinPartitions(key, "start_sample").mapInPandas(run, f"{key} {kind}, path string, n_samples long")
+    done = dealt(rows, [key]).sortWithinPartitions(key, "start_sample").mapInPandas(run, f"{key} {kind}, path string, n_samples long")
     done.write.mode("overwrite").parquet(f"{path}/files")
     return chunks.sparkSession.read.parquet(f"{path}/files")

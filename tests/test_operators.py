@@ -112,7 +112,7 @@ def test_wav_chunks(spark, tmp_path, by_range):
             w.setsampwidth(2)
             w.setframerate(8000)
             w.writeframes(data.tobytes())
-    read = lambda name: wav.read_wav_chunks(spark, str(tmp_path / f"{name}.wav"), 0.25, 0.05, by_range, 2, 4000)
+    read = lambda name: wav.read_wav_chunks(spark, str(tmp_path / f"{name}.wav"), 0.25, 0.05, by_range, 1, 100)
     got = read("a").orderBy("chunk_idx").collect()
     assert [(r.chunk_idx, r.sr, r.start_sample, len(r.samples)) for r in got] == [(0, 8000, 0, 2400), (1, 8000, 2000, 2400), (2, 8000, 4000, 2400), (3, 8000, 6000, 2000)]
     assert np.allclose(got[1].samples, x[2000:4400] / 32768, atol=1e-6)
@@ -692,3 +692,23 @@ def test_sync_finds_offset_and_drift_in_chunks(spark):
     assert abs(m[0].slope - 0.0005) < 5e-5 and abs(m[0].intercept - 0.04) < 2e-3
     slope, intercept = np.polyfit([r.t for r in points], [r.offset for r in points], 1, w=[max(r.score, 1e-6) for r in points])
     assert m[0].slope == pytest.approx(slope, abs=1e-9) and m[0].intercept == pytest.approx(intercept, abs=1e-7)
+
+
+def test_greedy_match_of_piles_makes_no_pairs(spark, tiny_batches):
+    rng = random.Random(2)
+    left, right = ([(k, i, s, s + d) for k in ("a", None, "b") for i, (s, d) in enumerate((rng.randrange(60), rng.choice([0, 5, 30, 30])) for _ in range(40 if k else 3))] for _ in range(2))
+    want = []
+    for k in ("a", None, "b"):
+        pairs = sorted(((min(e, f) - max(s, t), i, j) for q, i, s, e in left if q == k and e > s for r, j, t, f in right if r == k and f > t and min(e, f) > max(s, t)), reverse=True)
+        used = set(), set()
+        for o, i, j in pairs:
+            if i not in used[0] and j not in used[1]:
+                used[0].add(i)
+                used[1].add(j)
+                want.append((k, i, j, o))
+    df = [spark.createDataFrame(x, "k string, n long, s long, e long") for x in (left, right)]
+    got = candidates.greedy_match(df[0].toDF("k", "i", "start_ms", "end_ms"), df[1].toDF("k", "j", "r_start_ms", "r_end_ms"), ["k"]).collect()
+    assert sorted(((r.k, r.i, r.j, r.overlap_ms) for r in got), key=repr) == sorted(want, key=repr)
+    one = np.zeros(50, np.int64), np.full(50, 9)  # all alike: lists run out and are made anew
+    assert candidates.best_first(one, one, top=2) == [(n, n) for n in range(50)]
+    assert candidates.greedy_match(df[0].toDF("k", "i", "start_ms", "end_ms").limit(0), df[1].toDF("k", "j", "r_start_ms", "r_end_ms"), ["k"]).count() == 0
