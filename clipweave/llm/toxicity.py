@@ -32,7 +32,8 @@ and doc_id are no inputs of a score.
 
 Null or empty texts have the score of no match. Rows that repeat are scored alike; a
 doc_id with contradicting labels counts once for each. Texts of any length are read whole, clause by clause. An empty table
-gives an empty result; without any label 1 every score is low. Extra columns are ignored.
+gives an empty result; without any label 1 every score is low. Extra columns are ignored. A
+score of exactly 0.5 is predicted 1; equal scores need no order.
 """
 
 from __future__ import annotations
