@@ -9,9 +9,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .intervals import END, START, coalesce_shots
+from .intervals import END, START, coalesce_shots, overlap_join
 from .switching import BLOCK, switched
 
 SHOT = ["camera", "audio_camera", START, END]
@@ -162,9 +163,17 @@ class Scores:
         self.grid = {c: g.sort_values("step")[["step", "score"]].to_numpy(float) for c, g in pdf.groupby("camera")}
 
     def at(self, camera: str, t) -> np.ndarray:
-        g = self.grid[camera]
+        g = self.grid.get(camera)
+        if g is None:
+            return np.full(len(t), -np.inf)
         return np.interp(np.asarray(t, float) / self.hop, g[:, 0], g[:, 1], left=-np.inf, right=-np.inf)
 
+    @classmethod
+    def of(cls, spans, hop_ms: int) -> Scores:
+        """From the spans of a slice (with_slices); null is an empty one."""
+        rows = [] if spans is None else [p for r in spans for p in ((r["camera_pos"], r["seen"], r["step"], r["score"]), (r["camera_pos"], r["seen"], r["next"], r["next_score"])) if p[2] is not None]
+        return cls(pd.DataFrame(sorted(set(rows)), columns=["camera_pos", "camera", "step", "score"]), hop_ms)
+
     def best_other(self, camera: str, t: np.ndarray, ok=None) -> tuple[float, float, str] | None:
         """(score, time, camera) of the best other camera over times t; the earliest time, then the first camera of equals."""
         best = None
@@ -199,35 +208,56 @@ def insert_reactions(shots: DataFrame, scores: DataFrame, key: str, hop_ms: int,
     """
     side = 800
 
-    def edit(rows: list[list], table: Scores) -> list[list]:
-        out: list[list] = []
-        for cam, sound, a, b in rows:
-            size = b - a
-            if size < length + 2 * side:
-                out.append([cam, sound, a, b])
+    def edit(shot: tuple, table: Scores):
+        cam, sound, a, b = shot
+        size = b - a
+        if size < length + 2 * side:
+            yield shot
+            return
+        if size < every + length + 500:
+            targets = [max(a + side, min(a + (size - length) / 2, b - length - side))]
+        else:
+            targets = [t for t in range(a + every, b, every) if t + length < b]
+        cur = a
+        for t in targets:
+            probes = np.arange(t - search, t + search + 1e-3, max(100, step)) if search > 0 else np.array([t], float)
+            limit = lambda x, c=cur: np.maximum(c + 50, np.minimum(x, b - length - 50))
+            got = table.best_other(cam, limit(probes) + length / 2)
+            if got is None or (got[0] < least_score and not force):
                 continue
-            if size < every + length + 500:
-                targets = [max(a + side, min(a + (size - length) / 2, b - length - side))]
-            else:
-                targets = [t for t in range(a + every, b, every) if t + length < b]
-            cur = a
-            for t in targets:
-                probes = np.arange(t - search, t + search + 1e-3, max(100, step)) if search > 0 else np.array([t], float)
-                limit = lambda x, c=cur: np.maximum(c + 50, np.minimum(x, b - length - 50))
-                starts = limit(probes)
-                got = table.best_other(cam, starts + length / 2)
-                if got is None or (got[0] < least_score and not force):
-                    continue
-                cut = int(limit(got[1] - length / 2 if got[0] >= least_score else t))
-                if t - cur > 50:
-                    out.append([cam, sound, int(cur), cut])
-                out.append([got[2], sound, cut, cut + length])
-                cur = cut + length
-            if b - cur > 50:
-                out.append([cam, sound, int(cur), b])
-        return joined(out, 50)
+            cut = int(limit(got[1] - length / 2 if got[0] >= least_score else t))
+            if t - cur > 50:
+                yield cam, sound, int(cur), cut
+            yield got[2], sound, cut, cut + length
+            cur = cut + length
+        if b - cur > 50:
+            yield cam, sound, int(cur), b
 
-    return _with_scores(shots, scores, key, hop_ms, edit)
+    kind = dict(shots.dtypes)[key]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                shot = r.camera, r.audio_camera, r.start_ms, r.end_ms
+                pieces = edit(shot, Scores.of(r.near, hop_ms)) if r.cameras >= 2 else [shot]
+                out += [(getattr(r, key), *p) for p in pieces]
+            yield pd.DataFrame(out, columns=[key, *SHOT]).astype({key: pdf[key].dtype, START: "int64", END: "int64"})
+
+    rows = with_slices(coalesce_shots(shots, [key], 50).select(key, *SHOT), scores, key, hop_ms)
+    pieces = rows.mapInPandas(run, f"{key} {kind}, camera string, audio_camera string, {START} long, {END} long")
+    return coalesce_shots(pieces, [key], 50)
+
+
+def with_slices(shots: DataFrame, scores: DataFrame, key: str, hop_ms: int) -> DataFrame:
+    """shots with near (the scores that its time needs, with those before and after them, for interpolation) and cameras (how many the recording has scores of). Each shot gets its own slice, so no task holds a recording's scores."""
+    follow = W.partitionBy(key, "camera").orderBy("step")
+    spans = scores.select(key, "camera_pos", F.col("camera").alias("seen"), "step", "score", F.lead("step").over(follow).alias("next"), F.lead("score").over(follow).alias("next_score"))
+    spans = spans.withColumns({"r_start_ms": (F.col("step") * hop_ms).cast("long"), "r_end_ms": (F.coalesce("next", "step") * hop_ms + 1).cast("long")})
+    inside = overlap_join(shots, spans, [key])
+    near = inside.groupBy(key, *SHOT).agg(F.collect_list(F.struct("camera_pos", "seen", "step", "score", "next", "next_score")).alias("near"))
+    many = scores.groupBy(key).agg(F.count_distinct("camera").alias("cameras"))
+    return shots.join(near, [key, *SHOT], "left").join(many, key, "left").withColumn("cameras", F.coalesce("cameras", F.lit(0)))
 
 
 def balance_cameras(shots: DataFrame, scores: DataFrame, key: str, hop_ms: int, most_share: float, cutaway: int = 2400, gap: int = 7000, side: int = 800, search: int = 1200, step: int = 400, least_cut: int = 1600, advantage: float = 2.0, least_score: float = 0.0) -> DataFrame:

@@ -570,6 +570,56 @@ def test_cutaways_change_the_picture_only(spark):
     assert len(few) == 2  # none is good enough
 
 
+def reactions_by_hand(shots_, grid, hop, every, length, least, search, step):
+    """One recording's shots (camera, start, end), apart from each other; grid: camera -> {step: score} by position."""
+    out = []
+    for cam, a, b in shots_:
+        if b - a < length + 1600:
+            out.append((cam, a, b))
+            continue
+        short = b - a < every + length + 500
+        targets = [max(a + 800, min(a + (b - a - length) / 2, b - length - 800))] if short else [t for t in range(a + every, b, every) if t + length < b]
+        cur = a
+        for t in targets:
+            best = None
+            for k in range(2 * search // step + 1):
+                at = max(cur + 50, min(t - search + k * step, b - length - 50)) + length / 2
+                for c, g in grid.items():
+                    x = at / hop
+                    lo, hi = max((n for n in g if n <= x), default=None), min((n for n in g if n >= x), default=None)
+                    if c == cam or lo is None or hi is None:
+                        continue
+                    v = g[lo] if lo == hi else g[lo] + (g[hi] - g[lo]) * (x - lo) / (hi - lo)
+                    if best is None or v > best[0] + 1e-12:
+                        best = v, at, c
+            if best is None or best[0] < least:
+                continue
+            cut = int(max(cur + 50, min(best[1] - length / 2, b - length - 50)))
+            if t - cur > 50:
+                out.append((cam, int(cur), cut))
+            out.append((best[2], cut, cut + length))
+            cur = cut + length
+        if b - cur > 50:
+            out.append((cam, int(cur), b))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reactions_equal_trying_every_probe(spark, seed):
+    rng = random.Random(seed)
+    grid = {c: {n: float(rng.randrange(-3, 9)) for n in range(0, 130) if rng.random() < 0.5} for c in "xyz"}
+    t, cut = 0, []
+    for _ in range(9):
+        d = rng.choice([900, 4000, 9000, 30_000])
+        cut.append((rng.choice("xyz"), t, t + d))
+        t += d + 200  # apart, so that no neighbours are joined
+    scores = spark.createDataFrame([("r", n, "xyz".index(c), c, v) for c, g in grid.items() for n, v in g.items()] + [("one", 3, 0, "x", 1.0)], "k string, step long, camera_pos int, camera string, score double")
+    df = spark.createDataFrame([("r", c, "s", a, b) for c, a, b in cut] + [("one", "y", "s", 0, 60_000), ("none", "x", "s", 0, 60_000)], "k string, camera string, audio_camera string, start_ms long, end_ms long")
+    got = [tuple(r) for r in shots.insert_reactions(df, scores, "k", 1000, every=7000, length=2000, least_score=0.5).orderBy("k", "start_ms").collect()]
+    assert [r for r in got if r[0] != "r"] == [("none", "x", "s", 0, 60_000), ("one", "y", "s", 0, 60_000)]
+    assert [(c, a, b) for k, c, _, a, b in got if k == "r"] == [s for s in reactions_by_hand(cut, grid, 1000, 7000, 2000, 0.5, 1200, 400) if s[2] - s[1] > 10]
+
+
 def test_balance_brings_the_share_down(spark):
     shot = spark.createDataFrame([("r", "x", "x", 0, 100_000), ("r", "y", "y", 100_000, 120_000)], "k string, camera string, audio_camera string, start_ms long, end_ms long")
     share = lambda rs: sum(r.end_ms - r.start_ms for r in rs if r.camera == "x") / 120_000
