@@ -95,7 +95,7 @@ def level_at(points: DataFrame, levels: DataFrame, keys: list[str], ids: list[st
 def map_time(points: DataFrame, offsets: DataFrame, t: str = "t") -> DataFrame:
     """points (ref, other, t) with t_other = t + offset(t) and the offset; offsets are a small dimension table."""
     off = F.when(F.col("slope").isNull(), F.col("offset_start")).otherwise(F.col("slope") * F.col(t) + F.coalesce("intercept", "offset_start"))
-    return points.join(F.broadcast(offsets), ["ref", "other"]).withColumns({"offset": off, "t_other": F.col(t) + off})
+    return points.join(offsets, ["ref", "other"]).withColumns({"offset": off, "t_other": F.col(t) + off})
 
 
 def overlap_window(pairs: DataFrame, guard=0) -> DataFrame:

@@ -337,14 +337,14 @@ def shot_plan(scores: DataFrame, cuts: DataFrame | None, key: str, hop_ms: int,
 
 def camera_ranges(shots: DataFrame, offsets: DataFrame, key: str, pad: int) -> DataFrame:
     """Per camera what must be fetched: mapped shot times with a pad, from 0 on. offsets: camera, offset_ms."""
-    rows = shots.join(F.broadcast(offsets), "camera", "left").withColumn("_o", F.coalesce("offset_ms", F.lit(0)))
+    rows = shots.join(offsets, "camera", "left").withColumn("_o", F.coalesce("offset_ms", F.lit(0)))
     return rows.groupBy(key, "camera").agg(F.greatest(F.lit(0), F.min(F.col(START) + F.col("_o")) - pad).alias("from_ms"), (F.max(F.col(END) + F.col("_o")) + pad).alias("to_ms"))
 
 
 def edit_list(shots: DataFrame, offsets: DataFrame, key: str) -> DataFrame:
     """Picture and sound source times of each shot of at least 50 ms, from 0 on."""
     at = lambda c, n: offsets.select(F.col("camera").alias(c), F.col("offset_ms").alias(n))
-    rows = shots.filter(F.col(END) - F.col(START) >= 50).join(F.broadcast(at("camera", "_p")), "camera", "left").join(F.broadcast(at("audio_camera", "_s")), "audio_camera", "left")
+    rows = shots.filter(F.col(END) - F.col(START) >= 50).join(at("camera", "_p"), "camera", "left").join(at("audio_camera", "_s"), "audio_camera", "left")
     mapped = lambda n: F.greatest(F.lit(0), F.col(START) + F.coalesce(n, F.lit(0)))
     return rows.select(key, START, (F.col(END) - F.col(START)).alias("duration_ms"), "camera", mapped("_p").alias("picture_ms"), "audio_camera", mapped("_s").alias("sound_ms"))
 

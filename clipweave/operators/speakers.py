@@ -70,6 +70,6 @@ def resolve_speaker_map(labels: DataFrame, given: DataFrame, inferred: DataFrame
     for name, table in (("_g", given), ("_i", inferred), ("_c", config)):
         rows = rows.join(table.select("label", F.col("camera").alias(name)), "label", "left")
     known = cameras.select(F.col("camera").alias("_cam"))
-    own = rows.join(F.broadcast(known.withColumnRenamed("_cam", "_self")), F.col("label") == F.col("_self"), "left")
+    own = rows.join(known.withColumnRenamed("_cam", "_self"), F.col("label") == F.col("_self"), "left")
     value = F.coalesce("_g", "_i", "_c", "_self")
-    return own.select("label", source_stem(value).alias("camera")).join(F.broadcast(known), F.col("camera") == F.col("_cam"), "left_semi")
+    return own.select("label", source_stem(value).alias("camera")).join(known, F.col("camera") == F.col("_cam"), "left_semi")

@@ -107,10 +107,10 @@ def source_functions(spark, sf):
 
 
 def token_f1(spark, sf):
-    d = spark.read.parquet(f"{sf}/conversations.parquet")
-    a = d.filter("turn = 0").select("conv_id", X.tokens(F.col("text")).alias("a"))
-    b = d.filter("turn = 1").select("conv_id", X.tokens(F.col("text")).alias("b"))
-    return a.join(b, "conv_id").select("conv_id", F.size(F.array_intersect("a", "b")).alias("common"), F.size("a").alias("n_a"), F.size("b").alias("n_b"), (X.token_f1(F.col("a"), F.col("b")) >= 0.25).alias("close"))
+    """Every turn of a conversation against the next one."""
+    d = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", X.tokens(F.col("text")).alias("a"))
+    pairs = d.join(d.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", F.size(F.array_intersect("a", "b")).alias("common"), F.size("a").alias("n_a"), F.size("b").alias("n_b"), (X.token_f1(F.col("a"), F.col("b")) >= 0.25).alias("close"))
 
 
 def words_per_second(spark, sf):
@@ -268,9 +268,9 @@ SQL = {
         len(regexp_extract_all(text, '(?i)(?:^|[^\p{L}\p{N}_])(the|an)')) AS n_accents FROM w""",
     "source_functions": r"""WITH t AS (SELECT page_id, url, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/\\]*)$', 1) AS n FROM pages)
       SELECT page_id, regexp_replace(n, '(.)\.[^.]*$', '\1') AS stem, lower(regexp_extract(n, '.(\.[^.]*)$', 1)) AS ext, md5(url) AS key FROM t""",
-    "token_f1": r"""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(text), 'ё', 'е'), '[^a-z0-9а-я]+', ' ', 'g')), ' '), lambda w: w <> '')) AS k FROM conversations WHERE turn < 2),
-      j AS (SELECT a.conv_id, a.k AS a, b.k AS b, len(list_intersect(a.k, b.k)) AS c FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)
-      SELECT conv_id, CAST(c AS INTEGER) AS common, CAST(len(a) AS INTEGER) AS n_a, CAST(len(b) AS INTEGER) AS n_b, len(a) > 0 AND len(b) > 0 AND 2.0 * c / (len(a) + len(b)) >= 0.25 AS close FROM j""",
+    "token_f1": r"""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(text), 'ё', 'е'), '[^a-z0-9а-я]+', ' ', 'g')), ' '), lambda w: w <> '')) AS k FROM conversations),
+      j AS (SELECT a.conv_id, a.turn, a.k AS a, b.k AS b, len(list_intersect(a.k, b.k)) AS c FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+      SELECT conv_id, turn, CAST(c AS INTEGER) AS common, CAST(len(a) AS INTEGER) AS n_a, CAST(len(b) AS INTEGER) AS n_b, len(a) > 0 AND len(b) > 0 AND 2.0 * c / (len(a) + len(b)) >= 0.25 AS close FROM j""",
     "merge_segments": _S + """, r AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_ms) AS rn FROM segments),
       f AS (SELECT recording_id, rn, CAST(0 AS BIGINT) AS g, start_ms AS s0, end_ms AS e0 FROM r WHERE rn = 1
         UNION ALL SELECT r.recording_id, r.rn, CASE WHEN r.start_ms - f.e0 <= 1000 AND r.end_ms - f.s0 <= 12000 THEN f.g ELSE f.g + 1 END, CASE WHEN r.start_ms - f.e0 <= 1000 AND r.end_ms - f.s0 <= 12000 THEN f.s0 ELSE r.start_ms END, r.end_ms FROM f JOIN r ON r.recording_id = f.recording_id AND r.rn = f.rn + 1)
