@@ -109,7 +109,7 @@ def prefix_boundaries(texts: DataFrame, ranges: int) -> list[bytes]:
             rows = texts.withColumn("_cw_head", F.substring(text, 1, length // LONGER)).filter(F.col("_cw_head").isin(shared))
             n = rows.count()
         most = min(SAMPLE * ranges, MOST_SAMPLED // length)
-        heads = sorted(bytes(r[0]) for r in rows.select(F.substring(text, 1, length)).sample(min(1.0, most / max(1, n)), 7).limit(2 * most).collect())
+        heads = sorted(rows.select(F.substring(text, 1, length)).sample(min(1.0, most / max(1, n)), 7).limit(2 * most).toArrow().column(0).to_pylist())
         step = max(1, len(heads) // ranges)
         quantiles = heads[step::step]
         found.update(quantiles)
