@@ -344,6 +344,7 @@ def links_across(texts: DataFrame, sets: DataFrame, links: DataFrame, docs: Data
     """links and those that join further components among the documents of texts, all taken as heavy. sets: rep, n, bits of their texts; allowed filters candidate pairs (a, b)."""
     levels, _ = rarity(texts.select("text"), k, cells_for(sets))
     keys = materialize(keys_of(texts.select("doc_id", "text"), levels, 1, percent, k), "keys")
+    levels.unpersist()
     return links_in_lists(members_of(keys), sets, links, docs, percent, k, allowed)
 
 
@@ -364,6 +365,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     if boundary is None:
         boundary = boundary_of(dict(reps.filter(F.col("n") < MOST_LIGHT).groupBy("n").count().collect()), length, percent)
     keys = materialize(keys_of(single.select("doc_id", "text"), levels, boundary, percent, k), "keys")
+    levels.unpersist()
     members, all_ = members_of(keys), lambda pairs: pairs
     links = materialize(same.distinct().union(star(members, reps, base, percent, k, all_)), "links")
     # Subsets have found their links; in the lists other leaders have their turns.

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import in_pieces, materialize, texts_of
 from .tokenizer import encoder
 
+#: Words that a worker's encoder keeps: in the pipeline the workers stand beside a grown JVM.
+MOST_WORDS = 500_000
 CAPACITY = 2048
 #: Pieces that one task packs at once.
 GROUP = 60_000
@@ -68,7 +70,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capa
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
-        code = encoder(tokenizer_path)
+        code = encoder(tokenizer_path, MOST_WORDS)
         for batch in batches:
             texts, ids_of = texts_of(batch.column(1)), batch.column(0)
             for a, z in in_pieces(texts, 2 << 20):
@@ -142,7 +144,7 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer_path: str, end_id: i
     """
 
     def run(batches):
-        code = encoder(tokenizer_path)
+        code = encoder(tokenizer_path, MOST_WORDS)
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, z in in_pieces(texts, 2 << 20):

@@ -21,10 +21,14 @@ from .common import free_memory, kept_in_worker
 TAIL = b".,;:!?%&*$#|()"
 
 
+#: Words and parts that an encoder keeps before it starts anew.
+MOST_WORDS = 800_000
+
+
 class WordEncoder:
     """texts (UTF-8 bytes or None) -> (ids, offsets). most_words bounds the cache, in which words and their parts stand together."""
 
-    def __init__(self, path: str, most_words: int = 800_000):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -148,9 +152,10 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = kept_in_worker("tokenizer", {})
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most_words: int = MOST_WORDS) -> WordEncoder:
     """One encoder per worker process and file, kept until a task of another operator frees it."""
     free_memory("tokenizer")
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].most_words = most_words
     return _encoders[path]
