@@ -340,6 +340,13 @@ def test_url_parts(spark):
     assert got[6][3] == "block" and got[7] == ("notorg", "/", None, "allow")
 
 
+def test_url_rules_are_those_of_the_contract(spark):
+    want = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+    rows = [(i, f"s://{host}{rule}2") for i, (rule, host) in enumerate((r, h) for r in want for h in ("", "sub."))]
+    got = [(r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).orderBy("page_id").collect()]
+    assert got == [(r, v) for r, v in want.items() for _ in range(2)]
+
+
 def test_warc_rejects_magic_inside_payloads(spark, tmp_path):
     rng = random.Random(8)
     fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
