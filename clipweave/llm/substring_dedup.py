@@ -6,8 +6,9 @@ Three passes over the texts, none of which shuffles windows that occur once:
    sparse sketch blocks are merged by block, and a cell's "twice or more" bit is kept.
    A window that occurs twice always has both bits set, so none is lost; windows that
    only share cells pass as well. Cells grow with the corpus (at least two per window,
-   up to MOST_CELLS a row, which bounds the broadcast bits to 2 * MOST_CELLS / 8
-   bytes; beyond that more windows pass and the result stays the same).
+   up to MOST_CELLS a row, which bounds the bits to 2 * MOST_CELLS / 8 bytes; beyond
+   that more windows pass and the result stays the same). The bits are a file that every
+   executor gets once and its workers map.
 2. Windows with both bits set are resolved exactly by a 128-bit hash. Inside a batch all
    but the first start of a window are covered at once; only the batch's first start of
    each window is shuffled, so a passage in a third of all documents sends one row per
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, free_memory, in_pieces, materialize, mix, split_words, texts_of, window_hashes
+from .common import WordHashes, free_memory, give_back, in_pieces, materialize, mix, send_array, sent_array, split_words, texts_of, window_hashes
 
 WIDTH = 20
 #: Cells of a sketch row: a power of two, two per window or more, within these limits.
@@ -93,7 +94,7 @@ def _hashes(texts, cache: WordHashes, width: int):
 
 
 def _sketch(texts: DataFrame, cells: int, width: int):
-    """Bits of the cells counted twice or more, for both rows, from all windows of the texts."""
+    """Name of the array sent to the executors: bits of the cells counted twice or more, for both rows, from all windows of the texts."""
     blocks = max(1, cells >> BLOCK_BITS)
     block_bits = min(BLOCK_BITS, cells.bit_length() - 1)
 
@@ -126,6 +127,9 @@ def _sketch(texts: DataFrame, cells: int, width: int):
                     parts, n = [[] for _ in SEEDS], 0
         if n:
             yield send(parts)
+        cache.clear()
+        parts = []
+        give_back()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.zeros(1 << block_bits, np.int64)
@@ -143,7 +147,7 @@ def _sketch(texts: DataFrame, cells: int, width: int):
         for first in range(0, blocks, step):
             for x in merged.filter((F.col("row") == r) & F.col("block").between(first, first + step - 1)).collect():
                 bits[r, x["block"] * size : (x["block"] + 1) * size] = np.frombuffer(x["bits"], np.uint8)
-    return texts.sparkSession.sparkContext.broadcast(bits)
+    return send_array(texts.sparkSession, bits, "bits")
 
 
 def _units(batches):
@@ -220,30 +224,39 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None
             rank[i] = step
         return rank
 
+    def unit_rows(batch: pa.RecordBatch, cache, b):
+        """Rows of one unit: the first start of each window, and the ranges that the unit settles; None where no window passes."""
+        ids, ths = batch.column(0), batch.column(1)
+        h1, h2, doc, pos = passing(texts_of(batch.column(2)), cache, b)
+        if not len(h1):
+            return None
+        rank = document_ranks(ids.to_pylist(), ths.to_pylist())
+        o = np.lexsort((pos, rank[doc], h2, h1))
+        h1, h2, doc, pos = h1[o], h2[o], doc[o], pos[o]
+        head = np.ones(len(h1), bool)
+        head[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+        later = (rank[doc] != rank[doc[lead]]) | (pos != pos[lead])  # not the first start, nor that of a repeated row
+        rd, rf, rt = _merged_ranges(doc[later], pos[later], width) if later.any() else (np.zeros(0, np.int32),) * 3
+        hd, hp = doc[head], pos[head]
+        take = pa.array(np.concatenate([hd, rd]))
+        # A head is (h1; h2; text mark, lo); a settled range is (random bits, hi; SETTLED; text mark, lo).
+        spread = mix(rd.astype(np.uint64) * np.uint64(1 << 32) + rf.astype(np.uint64) + np.uint64(1)) >> np.uint64(32) << np.uint64(32) | rt.astype(np.uint64)
+        mark = np.asarray(ths.to_pylist(), np.uint64)[np.concatenate([hd, rd])] << np.uint64(32)
+        second = np.concatenate([h2[head], np.full(len(rd), SETTLED, np.uint64)])
+        place = mark | np.concatenate([hp, rf]).astype(np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h1[head], spread]).view(np.int64)), pa.array(second.view(np.int64)), pa.array(place.view(np.int64)), ids.take(take)], names=["h1", "h2", "place", "doc_id"])
+
     def candidates(batches):
         free_memory("substrings")
-        cache, b = WordHashes(), bits.value
+        cache, b = WordHashes(), sent_array(bits)
         for batch in _units(batches):
-            ids, ths = batch.column(0), batch.column(1)
-            h1, h2, doc, pos = passing(texts_of(batch.column(2)), cache, b)
-            if not len(h1):
-                continue
-            rank = document_ranks(ids.to_pylist(), ths.to_pylist())
-            o = np.lexsort((pos, rank[doc], h2, h1))
-            h1, h2, doc, pos = h1[o], h2[o], doc[o], pos[o]
-            head = np.ones(len(h1), bool)
-            head[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-            later = (rank[doc] != rank[doc[lead]]) | (pos != pos[lead])  # not the first start, nor that of a repeated row
-            rd, rf, rt = _merged_ranges(doc[later], pos[later], width) if later.any() else (np.zeros(0, np.int32),) * 3
-            hd, hp = doc[head], pos[head]
-            take = pa.array(np.concatenate([hd, rd]))
-            # A head is (h1; h2; text mark, lo); a settled range is (random bits, hi; SETTLED; text mark, lo).
-            spread = mix(rd.astype(np.uint64) * np.uint64(1 << 32) + rf.astype(np.uint64) + np.uint64(1)) >> np.uint64(32) << np.uint64(32) | rt.astype(np.uint64)
-            mark = np.asarray(ths.to_pylist(), np.uint64)[np.concatenate([hd, rd])] << np.uint64(32)
-            second = np.concatenate([h2[head], np.full(len(rd), SETTLED, np.uint64)])
-            place = mark | np.concatenate([hp, rf]).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h1[head], spread]).view(np.int64)), pa.array(second.view(np.int64)), pa.array(place.view(np.int64)), ids.take(take)], names=["h1", "h2", "place", "doc_id"])
+            found = unit_rows(batch, cache, b)
+            if found is not None:
+                yield found
+        cache.clear()
+        batch = found = None
+        give_back()
 
     # Four longs a row: this is what the prefilter leaves to be shuffled.
     rows = single.select("doc_id", "_cw_th", "text").mapInArrow(candidates, "h1 long, h2 long, place long, doc_id long")

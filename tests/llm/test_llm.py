@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from clipweave.llm import decontam, filter_audit, html_extract, jaccard_join, minhash, packing, quality, queries, spelling, substring_dedup, token_store, toxicity, url_filter, warc
-from clipweave.llm.common import whole_groups
+from clipweave.llm.common import sent_array, whole_groups
 from clipweave.llm.tokenizer import WordEncoder
 from compare import SF, connect, spark_rows, sql_rows
 from pyspark.sql import functions as F
@@ -323,6 +323,20 @@ def brute_glob(globs, url):
     return any(re.fullmatch("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in g), url, re.S) for g in globs)
 
 
+def test_sketch_is_mapped_from_one_file_by_all_workers(spark):
+    rng = random.Random(35)
+    shared = " ".join(prose(rng, 60, 10**6))
+    texts = spark.createDataFrame([(" ".join(prose(rng, 40, 10**6)) + " " + shared,) for _ in range(20)], "text string").repartition(4)
+    name = substring_dedup._sketch(texts, 1 << 10, substring_dedup.WIDTH)
+
+    def run(batches):
+        for _ in batches:
+            bits = sent_array(name)
+            yield pa.RecordBatch.from_arrays([pa.array([isinstance(bits.base, np.memmap)]), pa.array([int(bits.any(1).sum())])], names=["mapped", "rows"])
+
+    assert {tuple(r) for r in texts.mapInArrow(run, "mapped boolean, rows long").collect()} == {(True, 2)}
+
+
 def test_globs_match_brute_force():
     rng = random.Random(7)
     globs = ["*", "", "a*b", "?b*", "*é?", "abc", "*a*b*c*", "??"] + ["".join(rng.choice("ab*?") for _ in range(rng.randrange(1, 30))) for _ in range(12)]
