@@ -14,12 +14,12 @@ What is not aligned cannot be a leak:
 2. There the value is at most that of the best run of text in which each word of the item
    counts 2 and each other word -1, and no more words are matched than item and text share.
 
-How rare a word is is estimated from one document in SAMPLE. It decides what is looked at
-and the time it takes, never what is found.
+How rare a word is is counted over all documents. It decides what is looked at and the time
+it takes, never what is found.
 
 What is broadcast follows the test items, not the documents: at most MOST_WORDS words,
 checked; more items are done in rounds of that size. Nothing of a document is shuffled but
-the counts of the items' words in the sample.
+the counts of the items' words.
 
 Texts of any length are searched whole, in halves that overlap by a whole alignment where
 they have very many hits; of places with equal scores the first is returned. Null or empty
@@ -33,13 +33,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_memory, texts_of
+from .common import free_memory
 
-NEAR, WHOLE, SAMPLE = 4, 4, 16
+NEAR, WHOLE = 4, 4
 MOST_HITS, BLOCK = 2_000_000, 1 << 18
+#: Bytes of text whose words are looked up at once.
+PIECE = 2 << 20
 LEAST_SCORE = 0.5
 MOST_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -87,6 +90,22 @@ class Items:
         a = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         return a[a >= 0]
 
+    def numbers_of(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """numbers() of many texts in a row, and their offsets. Words of ASCII alone are looked up as arrays."""
+        split = pc.ascii_split_whitespace(texts)
+        sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+        words = split.flatten()
+        bare = pc.ascii_lower(pc.ascii_trim(words, _MARKS))
+        found = pc.index_in(bare, value_set=pa.array(self.vocab, pa.string()))  # vocab is in the order of its numbers
+        a = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        a[pc.equal(pc.binary_length(bare), 0).to_numpy(zero_copy_only=False)] = -1
+        other = np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False))
+        if len(other):
+            a[other] = np.fromiter(map(self.known.__getitem__, words.take(pa.array(other)).cast(pa.binary()).to_pylist()), np.int64, len(other))
+        kept = a >= 0
+        upto = np.concatenate([[0], np.cumsum(kept)])
+        return a[kept], upto[np.concatenate([[0], np.cumsum(sizes)])]
+
 
 class Finder:
     """Where in a text an item can have its least score."""
@@ -194,21 +213,29 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), *where
 
 
+def _pieces(texts: pa.StringArray):
+    """Ranges of the texts of about PIECE bytes each."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cut = np.flatnonzero(np.diff(upto // PIECE, prepend=0)) + 1
+    ends = [*cut.tolist(), len(texts)] if not len(cut) or cut[-1] < len(texts) else cut.tolist()
+    return [(a, z) for a, z in zip([0, *ends], ends, strict=False) if a < z]
+
+
 def _counts(docs: DataFrame, known) -> DataFrame:
-    """word, n: how often each word of the items occurs in the sample. A task sums before it sends."""
+    """word, n: how often each word of the items occurs in all documents. A task sums before it sends."""
 
     def run(batches):
         free_memory("decontam")
         items = known.value
         total = np.zeros(len(items.vocab) + 1, np.int64)
         for batch in batches:
-            for t in texts_of(batch.column(0)):
-                total += np.bincount(items.numbers(t), minlength=len(total))
+            for a, z in _pieces(batch.column(0)):
+                total += np.bincount(items.numbers_of(batch.column(0).slice(a, z - a))[0], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["word", "n"])
 
-    some = docs.select(F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    return some.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
@@ -236,14 +263,16 @@ def _aligned(docs: DataFrame, known, finder) -> DataFrame:
         items, find = known.value, finder.value
         for batch in batches:
             out = []
-            for i, t in enumerate(texts_of(batch.column(1))):
-                numbers = items.numbers(t)
-                best: dict[int, tuple[float, int, int]] = {}
-                for o, a, z in find.places(numbers):
-                    s, x, y = align(items.words[o], numbers[a:z])
-                    if s >= find.least[o] and s > best.get(items.ids[o], (0.0,))[0]:
-                        best[items.ids[o]] = (s, a + x, a + y)
-                out += [(i, item, *v) for item, v in sorted(best.items())]
+            for first, end in _pieces(batch.column(1)):
+                row, offsets = items.numbers_of(batch.column(1).slice(first, end - first))
+                for i in range(first, end):
+                    numbers = row[offsets[i - first] : offsets[i - first + 1]]
+                    best: dict[int, tuple[float, int, int]] = {}
+                    for o, a, z in find.places(numbers):
+                        s, x, y = align(items.words[o], numbers[a:z])
+                        if s >= find.least[o] and s > best.get(items.ids[o], (0.0,))[0]:
+                            best[items.ids[o]] = (s, a + x, a + y)
+                    out += [(i, item, *v) for item, v in sorted(best.items())]
             ids = batch.column(0).take(pa.array([x[0] for x in out], pa.int64()))
             kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[1 + j] for x in out], t) for j, t in enumerate(kinds))], names=["doc_id", "item_id", "score", "start", "end"])

@@ -669,6 +669,28 @@ def test_places_hold_every_alignment(monkeypatch):
         assert leaks or least > 0.5
 
 
+def test_words_of_items_are_counted_in_all_documents(spark):
+    rng = random.Random(34)
+    items = decontam.Items([(i, " ".join(prose(rng, 12, 60))) for i in range(5)])
+    texts = [" ".join(prose(rng, rng.randrange(1, 40), 80)) for _ in range(60)] + [None, "", "--- W1, w1"]
+    want = Counter(n for t in texts for n in items.numbers((t or "").encode()).tolist())
+    got = {r.word: r.n for r in decontam._counts(docs_of(spark, texts), spark.sparkContext.broadcast(items)).collect()}
+    assert got == dict(want)
+
+
+def test_numbers_of_many_texts_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(decontam, "PIECE", 40)
+    rng = random.Random(36)
+    items = decontam.Items([(1, "Straße ÉTÉ w1 w2 don't"), (2, "w3 İx ὈΔΟΣ A-B été")])
+    some = ["STRASSE", "straße,", "(ÉTÉ)", "été", "W1", "w2.", "--", "İX", "ὁδός", "ὀδοσ", "a-b!", "DON'T", "é", "\u00a0", "w3\x1cw1"]
+    texts = [None, "", " \t\n", "\x0b w1\x0c"] + ["".join(rng.choice(some) + rng.choice(" \t\n\r\x0b\x0c") for _ in range(rng.randrange(30))) for _ in range(40)]
+    column, got = pa.array(texts, pa.string()), []
+    for a, z in decontam._pieces(column):
+        row, at = items.numbers_of(column.slice(a, z - a))
+        got += [row[at[i] : at[i + 1]].tolist() for i in range(z - a)]
+    assert got == [items.numbers(None if t is None else t.encode()).tolist() for t in texts]
+
+
 def test_leaks_of_items_of_one_to_three_words(spark):
     items = [(1, "Alpha"), (2, "beta gamma"), (3, "delta, epsilon zeta")]
     texts = ["x x x alpha x x", "x beta gamma x x x", "x x delta epsilon zeta x", "x beta x gamma x delta epsilon x zeta x"]
