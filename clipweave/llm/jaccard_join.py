@@ -44,8 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, few, free_memory, in_pieces, materialize, mix, split_words, texts_of, whole_groups
-from .links import components, confirmed, shingle_set
+from .common import few, free_memory, in_pieces, materialize, mix, texts_of, whole_groups
+from .links import components, confirmed, shingle_sets
 
 SHINGLE, PERCENT = 4, 85
 #: Bits of a parity bitmap.
@@ -115,11 +115,10 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         free_memory("jaccard")
-        cache = WordHashes()
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, z in in_pieces(texts, PIECE):
-                sets = [shingle_set(split_words(t.lower() if t else t), cache, k) for t in texts[a:z]]
+                sets = shingle_sets(texts[a:z], k)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n_shingles", "set_key", "bits"])
 
@@ -157,10 +156,11 @@ def rarity(texts: DataFrame, k: int, cells: int):
 
     def count(batches):
         free_memory("jaccard")
-        cache, gathered, n = WordHashes(), [], 0
+        gathered, n = [], 0
         for batch in batches:
-            for t in texts_of(batch.column(0)):
-                gathered.append(_cells(shingle_set(split_words(t.lower() if t else t), cache, k), cells))
+            texts = texts_of(batch.column(0))
+            for a, z in in_pieces(texts, PIECE):
+                gathered.append(_cells(np.concatenate(shingle_sets(texts[a:z], k)), cells))
                 n += len(gathered[-1])
                 if n >= MOST_GATHERED:
                     yield send(gathered)
@@ -208,14 +208,13 @@ def keys_of(texts: DataFrame, levels, boundary: int, percent: int, k: int) -> Da
 
     def run(batches):
         free_memory("jaccard")
-        cache, table = WordHashes(), levels.value
+        table = levels.value
         for batch in batches:
             texts = texts_of(batch.column(1))
             ids = batch.column(0).to_pylist()
             for a, z in in_pieces(texts, PIECE):
                 found = []
-                for rep, t in zip(ids[a:z], texts[a:z], strict=True):
-                    s = shingle_set(split_words(t.lower() if t else t), cache, k)
+                for rep, s in zip(ids[a:z], shingle_sets(texts[a:z], k), strict=True):
                     found += [(c, keys, rep, len(s)) for c, keys in of_set(s, table) if len(keys)]
                 if found:
                     many = [len(x[1]) for x in found]

@@ -7,15 +7,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, few, materialize, split_words, texts_of, window_hashes
+from .common import few, hashed_words, materialize, texts_of, window_hashes
 
+_BASE = 0x9FB21C651E98DF25
 
-def shingle_set(words: list[bytes], cache: WordHashes, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; fewer than k words are one shingle."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    return np.unique(window_hashes(h, min(k, len(h)), 0x9FB21C651E98DF25))
+
+def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the k-word shingles of each text, A-Z lower-cased; fewer than k words are one shingle."""
+    h, many = hashed_words([t.lower() if t else t for t in texts])
+    rolled, sets = window_hashes(h, k, _BASE), []
+    ends = np.cumsum(many)
+    for a, z in zip((ends - many).tolist(), ends.tolist(), strict=True):
+        s = np.sort(rolled[a : z - k + 1] if z - a >= k else window_hashes(h[a:z], max(1, z - a), _BASE))
+        new = np.ones(len(s), bool)
+        np.not_equal(s[1:], s[:-1], out=new[1:])
+        sets.append(s[new])
+    return sets
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
@@ -25,14 +32,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFr
     left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(t)) for c, t in (("a", "s"), ("b", "t")))
 
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
             a, s, t = batch.column("a").to_pylist(), texts_of(batch.column("s")), texts_of(batch.column("t"))
             known, keep = (None, None, None), []
             for key, x, y in zip(a, s, t, strict=True):
                 if known[0] != key or known[1] != x:
-                    known = key, x, shingle_set(split_words(x.lower()), cache, k)
-                other = shingle_set(split_words(y.lower()), cache, k)
+                    known = key, x, shingle_sets([x], k)[0]
+                other = shingle_sets([y], k)[0]
                 both = len(np.intersect1d(known[2], other, assume_unique=True))
                 keep.append(100 * both >= percent * (len(known[2]) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -35,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, few, free_memory, in_pieces, materialize, mix, split_words, texts_of
+from .common import few, free_memory, in_pieces, materialize, mix, texts_of
 from .jaccard_join import links_across, set_rows
-from .links import components, confirmed, shingle_set
+from .links import components, confirmed, shingle_sets
 
 SHINGLE, LANES, BITS = 3, 128, 4
 #: How far below the threshold a pair's estimate may be and still be confirmed: five standard deviations.
@@ -81,11 +81,10 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         free_memory("minhash")
-        cache = WordHashes()
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, z in in_pieces(texts, 4 << 20):
-                sets = [shingle_set(split_words(t.lower() if t else t), cache, k) for t in texts[a:z]]
+                sets = shingle_sets(texts[a:z], k)
                 lows = np.stack([minima(s) for s in sets])
                 keys = np.zeros((len(sets), bands), np.uint64)
                 for r in range(rows):

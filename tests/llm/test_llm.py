@@ -12,8 +12,8 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
-from clipweave.llm import decontam, filter_audit, html_extract, jaccard_join, minhash, packing, quality, queries, spelling, substring_dedup, token_store, toxicity, url_filter, warc
-from clipweave.llm.common import sent_array, whole_groups
+from clipweave.llm import decontam, filter_audit, html_extract, jaccard_join, links, minhash, packing, quality, queries, spelling, substring_dedup, token_store, toxicity, url_filter, warc
+from clipweave.llm.common import hashed_words, sent_array, whole_groups
 from clipweave.llm.tokenizer import WordEncoder
 from compare import SF, connect, spark_rows, sql_rows
 from pyspark.sql import functions as F
@@ -851,6 +851,22 @@ def test_jaccard_join_of_a_large_list_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, rows)) == linked_components(texts, 4, 85)
 
 
+def test_hashes_of_many_texts_tell_words_apart():
+    rng = random.Random(37)
+    some = [b"".join(rng.choice([b"a", b"b", b"\0", b"\xc3\xa9", b"\x1c", b"\xc2\xa0"]) for _ in range(rng.randrange(1, 20))) for _ in range(300)]
+    some += [b"x" * n for n in (7, 8, 9, 16, 17, 511, 512, 513, 5000)] + [b"\0" * n for n in range(1, 20)]
+    texts = [None, b"", b" \t\n\r\x0b\x0c", b"a", b" a"] + [b"".join(rng.choice(some) + rng.choice([b" ", b"\n", b"\x0b", b"\t \r", b"\x0c"]) for _ in range(rng.randrange(40))) for _ in range(200)]
+    h, many = hashed_words(texts)
+    words = [w for t in texts for w in (t or b"").split()]
+    assert many.tolist() == [len((t or b"").split()) for t in texts]
+    assert len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+    for k in (1, 3, 4):
+        for t, s in zip(texts, links.shingle_sets(texts, k), strict=True):
+            w = (t or b"").lower().split()
+            assert len(s) == len({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}) * bool(w)
+            assert (np.diff(s.astype(object)) > 0).all() and s.tolist() == links.shingle_sets([t], k)[0].tolist()
+
+
 def test_jaccard_light_subsets_and_boundary():
     rng = random.Random(3)
     for s, t in itertools.product(range(1, 24), repeat=2):
