@@ -247,7 +247,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         )
 
     state = {"now": None, "at": 0, "next": None, "open": [], "left": 0}
-    walked = rows.mapInArrow(walk, "file string, key long, at long, value binary")
+    def walk_and_parse(batches):  # in one Python worker: a second one beside it would hold the records once more
+        for batch in walk(batches):
+            yield _parsed(batch.column("value").filter(batch.column("key").is_null()).to_pylist())
 
     def parse(batches):
         for batch in batches:
@@ -258,10 +260,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             values = [MAGIC.join(p["value"] for p in sorted(parts, key=lambda p: p["at"])) for parts in batch.column(0).to_pylist()]
             yield _parsed([v for v in values if len(MAGIC) + len(v) == _record_size(v)])
 
-    walked = materialize(walked, "records") if _may_cross(entries) else walked
-    records = walked.filter("key IS NULL").select("value").mapInArrow(parse, RECORD)
     if not _may_cross(entries):
-        return records
+        return rows.mapInArrow(walk_and_parse, RECORD)
+    walked = materialize(rows.mapInArrow(walk, "file string, key long, at long, value binary"), "records")
+    records = walked.filter("key IS NULL").select("value").mapInArrow(parse, RECORD)
     parts = walked.filter("key IS NOT NULL").groupBy("file", "key").agg(F.collect_list(F.struct("at", "value")).alias("parts"))
     return records.unionByName(parts.select("parts").mapInArrow(parse_parts, RECORD))
 

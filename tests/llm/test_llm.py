@@ -734,6 +734,14 @@ def test_url_awkward_rows(spark):
     assert next(r for r in got if r.page_id is None)[1:] == ("a.com", "/de/x", "com/de/", "block")
 
 
+def test_whole_warc_records_are_read_by_one_python_worker_a_task(spark, tmp_path):
+    pages = spark.range(50).selectExpr("id AS page_id", "'u' AS url", "repeat('x', 2000 + id) AS html")
+    warc.write_warc(pages, f"file://{tmp_path}/w")
+    got = warc.read_warc(spark, f"file://{tmp_path}/w")
+    assert sorted(r.payload_length for r in got.collect()) == list(range(2000, 2050))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_warc_awkward_and_empty_tables(spark, tmp_path):
     rows = [(1, "u", None), (1, "u", None), (2, None, "x" * 1200), (3, "a\r\nb", "x" * 1200), (3, "c", "x" * 1200), (None, "d", "y" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("d"), "refers_to": F.lit(1), "value": F.lit("v"), "size": F.lit(3)})
