@@ -1,8 +1,11 @@
 """Quality rules: text statistics, and bands on n-gram perplexity under modified Kneser-Ney models.
 
-A language has two n-gram models, whose size has a bound that no corpus exceeds:
+A language has three n-gram models. The first is that of the words themselves: bigrams of all
+words of all documents (`word_grams`), whose number grows with the corpus, so they stay in
+hash ranges and units of documents, and are never gathered. The other two have a size that no
+corpus exceeds; they see what the first cannot, as most bigrams of a text occur once:
 
-* words: n-grams of word classes across the whole text (order WORD_ORDER). A class is a
+* classes: n-grams of word classes across the whole text (order WORD_ORDER). A class is a
   short word itself or a longer word's ending, hashed to CLASSES; a word equal to the one
   before it and a word without letter or digit have classes of their own. So word order,
   runs and stray symbols count.
@@ -11,7 +14,7 @@ A language has two n-gram models, whose size has a bound that no corpus exceeds:
   OTHERS classes by code point.
 
 Spark counts the n-grams of all documents; a task sums before it sends. Counts of counts,
-discounts, lower orders and back-off weights of a model are made in one task from its
+discounts, lower orders and back-off weights of one of these two are made in one task from its
 n-grams, at most CLASSES**2 and (95 + OTHERS + 2)**3. A model is stored as sorted arrays of
 n-gram hashes (symbols packed into a whole number, so without collision) with log
 probabilities, and is broadcast by language; a task loads those of the languages it meets
@@ -20,7 +23,9 @@ and looks n-grams up by binary search. Nothing is pruned, at no size.
 The perplexity of a document is exp(-log p / words), one for each model. For each language
 the lower and upper band are BELOW and ABOVE robust standard deviations (1.4826 times the
 median absolute deviation) from the median of log perplexity over all documents that pass
-the base rules; a document outside the bands of either model is rejected. For a document of
+the base rules; a document outside the bands of any model is rejected. Word bigrams have an
+upper band only: a low value there says that the text stands elsewhere as well, which is for
+deduplication to judge, and runs leave the bands of the classes. For a document of
 fewer than FULL_WORDS words the bands are wider by the square root of the ratio, as its
 mean varies more.
 
@@ -42,7 +47,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_memory, in_pieces, materialize, mix, split_words, texts_of, window_hashes
+from .common import few, free_memory, in_pieces, materialize, mix, split_words, texts_of, window_hashes
+from .word_grams import log_perplexities
 
 WORD_ORDER, SPELLING_ORDER = 2, 3
 #: Word classes: two special ones (0 is a document's start), short words, endings.
@@ -200,7 +206,12 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 def discounts(c: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more, from the counts of counts."""
-    n = [0, *(int((c == k).sum()) for k in (1, 2, 3, 4))]
+    return discounts_from([int((c == k).sum()) for k in (1, 2, 3, 4)])
+
+
+def discounts_from(counts_of_counts: list[int]) -> np.ndarray:
+    """The same from how many n-grams occur 1, 2, 3 and 4 times."""
+    n = [0, *counts_of_counts]
     if not n[1] or not n[2]:
         return np.array([0.0, 0.5, 0.5, 0.5])
     y = n[1] / (n[1] + 2 * n[2])
@@ -380,21 +391,35 @@ def base_failed(stats: np.ndarray) -> np.ndarray:
 
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCORES = tuple(f"{m}_log_perplexity" for m in MODELS)
+BOUNDED = tuple(f"{m}_log_perplexity" for m in MODELS)  # of the models whose size has a bound; "word" is that of classes
+BIGRAM = "word_bigram_log_perplexity"
+SCORES = (BIGRAM, *BOUNDED)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _cw_key, the hash of what a row's scores depend on and of its doc_id: rows equal in it have equal scores."""
+    parts = [F.col(c).cast("string") for c in ("doc_id", "lang", "text")]
+    return docs.withColumn("_cw_key", F.xxhash64(*(F.coalesce(F.concat(F.lit("+"), p), F.lit("")) for p in parts)))
+
+
+def word_scores(docs: DataFrame) -> DataFrame:
+    """_cw_key and the log perplexity under word bigrams, for documents (keyed) with words; a row for each key."""
+    found = log_perplexities(docs.select("_cw_key", F.col("lang").cast("string"), F.col("text").cast("string")), discounts_from)
+    return found.groupBy(F.col("key").alias("_cw_key")).agg(F.first("score").alias(BIGRAM))
 
 
 def scored(docs: DataFrame, models: dict) -> DataFrame:
-    """doc_id, lang, the statistics, base_failed, log perplexity per word under each model."""
+    """doc_id, lang, the statistics, base_failed, log perplexity per word under each model of BOUNDED, _cw_key. docs: keyed."""
 
     def run(batches):
         free_memory("quality")
         scorer = Scorer(models)
         for batch in batches:
             stats, score = scorer.rows(batch.column(1).to_pylist(), texts_of(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(stats[:, k]) for k in range(5)), pa.array(base_failed(stats)), *(pa.array(score[:, k]) for k in range(len(MODELS)))], names=["doc_id", "lang", *STATS, "base_failed", *SCORES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(stats[:, k]) for k in range(5)), pa.array(base_failed(stats)), *(pa.array(score[:, k]) for k in range(len(MODELS))), batch.column(3)], names=["doc_id", "lang", *STATS, "base_failed", *BOUNDED, "_cw_key"])
 
-    fields = "doc_id long, lang string, " + ", ".join(f"{s} long" for s in STATS) + ", base_failed boolean, " + ", ".join(f"{s} double" for s in SCORES)
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, fields)
+    fields = "doc_id long, lang string, " + ", ".join(f"{s} long" for s in STATS) + ", base_failed boolean, " + ", ".join(f"{s} double" for s in BOUNDED) + ", _cw_key long"
+    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), "_cw_key").mapInArrow(run, fields)
 
 
 def bands(scores: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
@@ -413,23 +438,33 @@ def judged(scores: DataFrame, below: float, above: float) -> DataFrame:
     inside = F.lit(True)
     for s in SCORES:
         off = F.col(s) - F.col(f"_cw_mid_{s}")
-        inside = inside & (off >= -F.col(f"_cw_low_{s}") * wider) & (off <= F.col(f"_cw_high_{s}") * wider)
+        inside = inside & (off <= F.col(f"_cw_high_{s}") * wider)
+        if s != BIGRAM:
+            inside = inside & (off >= -F.col(f"_cw_low_{s}") * wider)
     return scores.join(materialize(band, "bands"), F.col("lang").eqNullSafe(F.col("_cw_lang")), "left").withColumn("_cw_inside", F.coalesce(inside, F.lit(False)))
 
 
+def with_word_scores(scores: DataFrame, docs: DataFrame) -> DataFrame:
+    """scores (with _cw_key) with the log perplexity of docs (keyed) under word bigrams; 99 for a document without words."""
+    return scores.join(word_scores(docs), "_cw_key", "left").withColumn(BIGRAM, F.coalesce(BIGRAM, F.lit(99.0)))
+
+
 def quality_rules(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """doc_id, the statistics, base_failed, kept, log perplexities for every document."""
+    docs = keyed(docs)
     models = train(docs)
-    scores = materialize(scored(docs, models), "quality")
+    scores = materialize(scored(docs, models), "quality-bounded")
     forget(models)
+    scores = materialize(with_word_scores(scores, docs), "quality")
     kept = ~F.col("base_failed") & F.col("_cw_inside")
     return judged(scores, below, above).select("doc_id", *STATS, "base_failed", kept.alias("kept"), *SCORES)
 
 
 def filter_quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """The documents that quality_rules keeps, all columns, without a join of texts: one pass scores and writes those that pass the base rules, the bands cut them."""
-    models = train(docs)
+    """The documents that quality_rules keeps, all columns, without a join of texts: one pass scores and writes those that pass the base rules, the bands cut them by a list of keys."""
     names = docs.columns
+    docs = keyed(docs)
+    models = train(docs)
     lang_at, text_at = names.index("lang"), names.index("text")
 
     def run(batches):
@@ -440,10 +475,12 @@ def filter_quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE)
             stats, score = scorer.rows(langs, texts_of(batch.column(text_at)))
             ok = pa.array(~base_failed(stats))
             more = [pa.array(langs, pa.string()), pa.array(stats[:, 0]), *(pa.array(score[:, k]) for k in range(len(MODELS)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[f"_cw_{i}" for i in range(len(names))] + ["lang", "n_words", *SCORES]).filter(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[f"_cw_{i}" for i in range(len(names))] + ["_cw_key", "lang", "n_words", *BOUNDED]).filter(ok)
 
-    kinds = [f"_cw_{i} {t}" for i, (_, t) in enumerate(docs.dtypes)]
-    rows = docs.mapInArrow(run, ", ".join([*kinds, "lang string", "n_words long", *(f"{s} double" for s in SCORES)]))
+    kinds = [f"_cw_{i} {t}" for i, (_, t) in enumerate(docs.dtypes[:-1])]
+    rows = docs.mapInArrow(run, ", ".join([*kinds, "_cw_key long", "lang string", "n_words long", *(f"{s} double" for s in BOUNDED)]))
     rows = materialize(rows.withColumn("base_failed", F.lit(False)), "quality")
     forget(models)
-    return judged(rows, below, above).filter("_cw_inside").select(*(F.col(f"_cw_{i}").alias(c) for i, c in enumerate(names)))
+    scores = materialize(with_word_scores(rows.select("_cw_key", "lang", "n_words", "base_failed", *BOUNDED), docs), "scores")
+    outside = materialize(judged(scores, below, above).filter("NOT _cw_inside").select("_cw_key").distinct(), "outside")
+    return rows.join(few(outside), "_cw_key", "left_anti").select(*(F.col(f"_cw_{i}").alias(c) for i, c in enumerate(names)))

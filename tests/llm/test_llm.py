@@ -12,7 +12,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
-from clipweave.llm import decontam, filter_audit, html_extract, jaccard_join, links, minhash, packing, quality, queries, spelling, substring_dedup, token_store, toxicity, url_filter, warc
+from clipweave.llm import decontam, filter_audit, html_extract, jaccard_join, links, minhash, packing, quality, queries, spelling, substring_dedup, token_store, toxicity, url_filter, warc, word_grams
 from clipweave.llm.common import hashed_words, sent_array, whole_groups
 from clipweave.llm.tokenizer import WordEncoder
 from compare import SF, connect, spark_rows, sql_rows
@@ -231,6 +231,63 @@ def test_grams_are_counted_across_words_and_batches(spark):
     assert got == dict(want)
 
 
+def brute_word_perplexities(docs):
+    """(key, lang, text) -> key: mean of -log p under a plain interpolated modified Kneser-Ney over word bigrams."""
+    out = {}
+    for lang in {x for _, x, _ in docs}:
+        own = [(k, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, x, t in docs if x == lang]
+        pairs = Counter(p for _, w in own for p in zip([None, *w], w, strict=False))
+        ahead = Counter(b for _, b in pairs)
+        if not pairs:
+            continue
+        d, e = (quality.discounts(np.array(list(c.values()), float)) for c in (pairs, ahead))
+        total, cut = Counter(), Counter()
+        for (a, _), n in pairs.items():
+            total[a] += n
+            cut[a] += d[min(n, 3)]
+        left = sum(e[min(n, 3)] for n in ahead.values()) / len(pairs)
+        q = {b: (n - e[min(n, 3)]) / len(pairs) + left / (len(ahead) + 1) for b, n in ahead.items()}
+        for k, w in own:
+            if w:
+                out[k] = -sum(math.log((pairs[a, b] - d[min(pairs[a, b], 3)] + cut[a] * q[b]) / total[a]) for a, b in zip([None, *w], w, strict=False)) / len(w)
+    return out
+
+
+def test_word_bigrams_match_brute_force_across_units_and_ranges(spark, monkeypatch):
+    rng = random.Random(12)
+    docs = [(i, rng.choice(["en", "fr", None]), " ".join(prose(rng, rng.randrange(0, 80), rng.choice([20, 300])))) for i in range(150)]
+    docs += [(200, "en", None), (201, "en", " \t"), (202, "xx", "one"), (203, "fr", "é̀ x\u00a0y\x1cz " * 9), (204, "yy", ""), (205, "en", docs[0][2]), (206, "en", docs[0][2])]
+    df = spark.createDataFrame(docs, "key long, lang string, text string").repartition(3)
+    want = brute_word_perplexities(docs)
+    for words, entries in ((word_grams.UNIT_WORDS, word_grams.RANGE), (300, 200)):
+        bits, units = word_grams.bits_for, word_grams.UNIT_WORDS
+        monkeypatch.setattr(word_grams, "RANGE", entries)
+        held = word_grams.units
+        if words != units:
+            monkeypatch.setattr(word_grams, "units", lambda d: held(d.repartition(20)))
+            assert bits(1000) > 0
+        got = {r.key: r.score for r in word_grams.log_perplexities(df, quality.discounts_from).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_quality_bands_see_words_that_follow_no_usual_word(spark):
+    """Each word's class and spelling are usual, and so are the classes in a row; only which word follows which is not."""
+    rng = random.Random(6)
+    names = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) + "an" for _ in range(400)]
+    after = {a: rng.sample(names, 2) for a in names}
+
+    def chain(n):
+        out = [rng.choice(names)]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    texts = [" ".join(chain(250)) for _ in range(200)] + [" ".join(rng.choice(names) for _ in range(250)) for _ in range(6)]
+    kept = [r.kept for r in quality.quality_rules(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert all(kept[:200]) and not any(kept[200:])
+    assert quality.filter_quality(docs_of(spark, texts)).count() == 200
+
+
 def grammatical(rng, n):
     """Sentences in which an article, an adjective, a noun and a verb follow each other."""
     out = []
