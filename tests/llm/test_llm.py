@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -13,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from clipweave.llm import decontam, filter_audit, html_extract, jaccard_join, links, minhash, packing, quality, queries, spelling, substring_dedup, token_store, toxicity, url_filter, warc, word_grams
-from clipweave.llm.common import hashed_words, sent_array, whole_groups
+from clipweave.llm.common import hashed_words, send_array, sent_array, whole_groups
 from clipweave.llm.tokenizer import WordEncoder
 from compare import SF, connect, spark_rows, sql_rows
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -394,6 +396,14 @@ def test_sketch_is_mapped_from_one_file_by_all_workers(spark):
     assert {tuple(r) for r in texts.mapInArrow(run, "mapped boolean, rows long").collect()} == {(True, 2)}
 
 
+def test_sent_arrays_travel_compressed_and_arrive_whole(spark):
+    bits = np.zeros((2, 1 << 20), np.uint8)
+    bits[:, ::64] = np.random.default_rng(1).integers(0, 256, (2, 1 << 14), np.uint8)
+    name = send_array(spark, bits, "test")
+    assert os.path.getsize(SparkFiles.get(name)) < bits.nbytes // 4
+    assert (sent_array(name) == bits).all() and (sent_array(name) == bits).all()
+
+
 def test_globs_match_brute_force():
     rng = random.Random(7)
     globs = ["*", "", "a*b", "?b*", "*é?", "abc", "*a*b*c*", "??"] + ["".join(rng.choice("ab*?") for _ in range(rng.randrange(1, 30))) for _ in range(12)]
