@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, free_memory, give_back, in_pieces, materialize, mix, send_array, sent_array, split_words, texts_of, window_hashes
+from .common import free_memory, give_back, hashed_words, in_pieces, materialize, mix, send_array, sent_array, split_words, texts_of, window_hashes
 
 WIDTH = 20
 #: Cells of a sketch row: a power of two, two per window or more, within these limits.
@@ -75,12 +75,24 @@ def _cells_of(gaps: bytes) -> np.ndarray:
     return np.cumsum(b, dtype=np.int64)[b != 255]
 
 
-def _hashes(texts, cache: WordHashes, width: int):
+def _listed(gathered: list[np.ndarray], blocks: int, block_bits: int):
+    """(block, gaps) of the cells gathered for a row of the sketch; takes them out of the list, as they are most of a task's memory."""
+    c = np.concatenate(gathered)
+    gathered.clear()
+    c.sort()
+    # A cell is listed once, or twice when it was counted more than once: counts saturate at two.
+    third = np.zeros(len(c), bool)
+    third[2:] = c[2:] == c[:-2]
+    c = c[~third]
+    cut = np.append(np.searchsorted(c, (np.arange(blocks) << block_bits).astype(np.uint32)), len(c))  # both of 32 bits, so that c is not copied
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        yield b, _gaps((c[cut[b] : cut[b + 1]] & np.uint32((1 << block_bits) - 1)).astype(np.int64))
+
+
+def _hashes(texts, width: int):
     """(window hashes, second hashes, document index, word position) of all windows of the texts in a row."""
-    split = [split_words(t) for t in texts]
-    counts = np.fromiter(map(len, split), np.int64, len(split))
-    total = int(counts.sum())
-    w = np.fromiter(map(cache.__getitem__, (x for ws in split for x in ws)), np.uint64, total)
+    w, counts = hashed_words(texts)
+    total = len(w)
     if total < width:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z.astype(np.uint64), z, z
@@ -99,26 +111,16 @@ def _sketch(texts: DataFrame, cells: int, width: int):
     block_bits = min(BLOCK_BITS, cells.bit_length() - 1)
 
     def send(parts: list[list[np.ndarray]]):
-        rows = []
-        for r, gathered in enumerate(parts):
-            c = np.sort(np.concatenate(gathered))
-            # A cell is listed once, or twice when it was counted more than once: counts saturate at two.
-            third = np.zeros(len(c), bool)
-            third[2:] = (c[2:] == c[1:-1]) & (c[1:-1] == c[:-2])
-            c = c[~third]
-            cut = np.searchsorted(c, (np.arange(blocks + 1) << block_bits).astype(np.int64))
-            low = (c & ((1 << block_bits) - 1)).astype(np.int64)
-            rows += [(r, b, _gaps(low[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut)).tolist()]
+        rows = [(r, b, gaps) for r, gathered in enumerate(parts) for b, gaps in _listed(gathered, blocks, block_bits)]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary())], names=["row", "block", "cells"])
 
     def count(batches):
         free_memory("substrings")
-        cache = WordHashes()
         parts, n = [[] for _ in SEEDS], 0
         for batch in batches:
             col = texts_of(batch.column(0))
             for a, z in in_pieces(col, PIECE):
-                h = _hashes(col[a:z], cache, width)[0]
+                h = _hashes(col[a:z], width)[0]
                 for r in range(len(SEEDS)):
                     parts[r].append(_cells(h, r, cells).astype(np.uint32))
                 n += len(h)
@@ -127,7 +129,6 @@ def _sketch(texts: DataFrame, cells: int, width: int):
                     parts, n = [[] for _ in SEEDS], 0
         if n:
             yield send(parts)
-        cache.clear()
         parts = []
         give_back()
 
@@ -202,11 +203,11 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None
         cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(1, 2 * windows).bit_length()))
     bits = _sketch(single.select("text"), cells, width)
 
-    def passing(col, cache, b):
+    def passing(col, b):
         """Windows of the texts whose bits are all set: both hashes, document index, word position."""
         out = []
         for a, z in in_pieces(col, PIECE):
-            h1, h2, doc, pos = _hashes(col[a:z], cache, width)
+            h1, h2, doc, pos = _hashes(col[a:z], width)
             keep = np.ones(len(h1), bool)
             for r in range(len(SEEDS)):
                 c = _cells(h1, r, cells)
@@ -224,10 +225,10 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None
             rank[i] = step
         return rank
 
-    def unit_rows(batch: pa.RecordBatch, cache, b):
+    def unit_rows(batch: pa.RecordBatch, b):
         """Rows of one unit: the first start of each window, and the ranges that the unit settles; None where no window passes."""
         ids, ths = batch.column(0), batch.column(1)
-        h1, h2, doc, pos = passing(texts_of(batch.column(2)), cache, b)
+        h1, h2, doc, pos = passing(texts_of(batch.column(2)), b)
         if not len(h1):
             return None
         rank = document_ranks(ids.to_pylist(), ths.to_pylist())
@@ -249,12 +250,11 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, cells: int | None = None
 
     def candidates(batches):
         free_memory("substrings")
-        cache, b = WordHashes(), sent_array(bits)
+        b = sent_array(bits)
         for batch in _units(batches):
-            found = unit_rows(batch, cache, b)
+            found = unit_rows(batch, b)
             if found is not None:
                 yield found
-        cache.clear()
         batch = found = None
         give_back()
 

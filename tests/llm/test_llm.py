@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -382,6 +383,21 @@ def brute_glob(globs, url):
     return any(re.fullmatch("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in g), url, re.S) for g in globs)
 
 
+def test_gathered_cells_are_listed_in_little_memory():
+    rng = np.random.default_rng(3)
+    cells = rng.integers(0, 1 << 24, 1_000_000, dtype=np.uint32)
+    cells[:9] = 77
+    gathered = [cells[:500_000].copy(), cells[500_000:].copy()]
+    tracemalloc.start()
+    listed = dict(substring_dedup._listed(gathered, 1 << 8, 16))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = np.concatenate([(b << 16) + substring_dedup._cells_of(g) for b, g in sorted(listed.items())])
+    values, times = np.unique(cells, return_counts=True)
+    assert got.tolist() == np.repeat(values, np.minimum(times, 2)).tolist()
+    assert peak < 3.3 * cells.nbytes and not gathered  # 2.5 times; 4.2 with copies of 64 bits
+
+
 def test_sketch_is_mapped_from_one_file_by_all_workers(spark):
     rng = random.Random(35)
     shared = " ".join(prose(rng, 60, 10**6))
