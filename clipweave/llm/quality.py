@@ -114,6 +114,22 @@ def spelling_grams(words: list[bytes], times: np.ndarray, order: int = SPELLING_
     return found, np.bincount(at, weight).astype(np.int64)
 
 
+class _Shorts(dict):
+    """Lower-cased word of at most SHORT_LETTERS letters, without marks around it -> class."""
+
+    def __missing__(self, bare: str) -> int:
+        c = self[bare] = word_class(bare.encode())
+        return c
+
+
+class _Endings(dict):
+    """Last ENDING letters of a lower-cased longer word -> class; 0 where they do not tell it, as they hold no letter or digit."""
+
+    def __missing__(self, ending: str) -> int:
+        c = self[ending] = word_class(("x" * SHORT_LETTERS + ending).encode()) if any(map(str.isalnum, ending)) else 0
+        return c
+
+
 class Words(dict):
     """word -> its place in the arrays of one language: class, and log p of its spelling if there is a model."""
 
@@ -121,17 +137,27 @@ class Words(dict):
         super().__init__()
         self.model, self.new = model, []
         self.classes, self.spelling = np.zeros(0, np.uint8), np.zeros(0)
+        self.shorts, self.endings = _Shorts(), _Endings()
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
         self.new.append(word)
         return n
 
+    def classes_of(self, words: list[bytes]) -> np.ndarray:
+        """word_class of each, worked out once for an ending or a short word."""
+        bare = [w.strip(_MARKS).decode("utf-8", "replace").lower() for w in words]
+        shorts, endings = self.shorts, self.endings
+        found = np.fromiter((shorts[b] if len(b) <= SHORT_LETTERS else endings[b[-ENDING:]] for b in bare), np.uint8, len(bare))
+        for i in np.flatnonzero(found == 0).tolist():
+            found[i] = word_class(words[i])
+        return found
+
     def places(self, words: list[bytes], n: int) -> np.ndarray:
         """Places of the words, n in all; new words are added."""
         at = np.fromiter(map(self.__getitem__, words), np.int64, n)
         if self.new:
-            self.classes = np.concatenate([self.classes, np.fromiter(map(word_class, self.new), np.uint8, len(self.new))])
+            self.classes = np.concatenate([self.classes, self.classes_of(self.new)])
             if self.model:
                 self.spelling = np.concatenate([self.spelling, self.model.spell(self.new)])
             self.new = []

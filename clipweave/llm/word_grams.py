@@ -5,7 +5,7 @@ the number of distinct words before w2, over 1 / (words + 1). The word before a
 
 Neither bigrams nor words pass the driver, and no table of them is broadcast:
 
-1. Units: a task numbers the words of about UNIT_WORDS words of one language. A unit is a row: its documents, its
+1. Units: a task hashes the words of about UNIT_WORDS words of one language as arrays. A unit is a row: its documents, its
    sorted word hashes (64 bits) and its words as places in them. Later steps read units, not texts.
 2. A unit sends its distinct bigrams (60-bit hashes, sorted, as gaps) with counts, cut by hash range, a row a range.
    A range's task sums them and answers each unit with the counts in the unit's own order; one unit owns each bigram.
@@ -24,15 +24,14 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_memory, give_back, in_pieces, materialize, mix, new_path, split_words, texts_of
+from .common import free_memory, give_back, hashed_words, in_pieces, materialize, mix, new_path, texts_of
 
-#: Words of a unit; words of a language's lexicon and languages that a task holds before it sends units.
-UNIT_WORDS, MOST_WORDS, MOST_LANGUAGES = 2_000_000, 400_000, 64
+#: Words of a unit; languages that a task holds before it sends units.
+UNIT_WORDS, MOST_LANGUAGES = 2_000_000, 64
 #: Words, or entries of units' word lists, for which a hash range is made.
 RANGE = 2_000_000
 PIECE = 1 << 20
@@ -84,10 +83,9 @@ def units(docs: DataFrame) -> DataFrame:
     """docs: key (long), lang, text. A row per unit; documents without words are in none."""
 
     def row(number, lang, held):
-        lexicon, keys, sizes, places = held
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lexicon), np.uint64, len(lexicon))
-        vocabulary, rank = np.unique(np.append(np.maximum(hashes, np.uint64(1)), np.uint64(START)), return_inverse=True)
-        words = rank[np.concatenate(places)]
+        keys, sizes, hashes = held
+        vocabulary, words = np.unique(np.concatenate([np.zeros(1, np.uint64) + np.uint64(START), *hashes]), return_inverse=True)
+        words = words[1:]
         columns = [number, lang, len(words), len(vocabulary), np.asarray(keys, "<i8").tobytes(), packed(np.asarray(sizes)), gaps(vocabulary), packed(words)]
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 4], strict=True)], names=[f.split()[0] for f in UNITS.split(", ")])
 
@@ -97,20 +95,21 @@ def units(docs: DataFrame) -> DataFrame:
         for batch in batches:
             all_keys, langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))
             for a, z in in_pieces(texts, PIECE):
-                for i in range(a, z):
-                    words = split_words(texts[i])
-                    if not words:
+                h, counts = hashed_words(texts[a:z])
+                h = np.maximum(h, np.uint64(START + 1))
+                ends = np.cumsum(counts)
+                for i, many, end in zip(range(a, z), counts.tolist(), ends.tolist(), strict=True):
+                    if not many:
                         continue
-                    lexicon, keys, sizes, places = known.setdefault(langs[i], ({}, [], [], []))
-                    place = [lexicon.setdefault(w, len(lexicon)) for w in words]
+                    keys, sizes, hashes = known.setdefault(langs[i], ([], [], []))
                     keys.append(all_keys[i])
-                    sizes.append(len(words))
-                    places.append(np.asarray(place, np.int32))
-                    n[langs[i]] = n.get(langs[i], 0) + len(words)
-                    if n[langs[i]] >= UNIT_WORDS or len(lexicon) >= MOST_WORDS:
+                    sizes.append(many)
+                    hashes.append(h[end - many : end].copy())  # a view would keep the words of other languages in memory
+                    n[langs[i]] = n.get(langs[i], 0) + many
+                    if n[langs[i]] >= UNIT_WORDS:
                         yield row(number, langs[i], known.pop(langs[i]))
                         number, n[langs[i]] = number + 1, 0
-                if len(known) > MOST_LANGUAGES or sum(n.values()) > 2 * UNIT_WORDS or sum(len(k[0]) for k in known.values()) > 2 * MOST_WORDS:
+                if len(known) > MOST_LANGUAGES or sum(n.values()) > 2 * UNIT_WORDS:
                     lang = max(known, key=lambda x: n[x])
                     yield row(number, lang, known.pop(lang))
                     number, n[lang] = number + 1, 0

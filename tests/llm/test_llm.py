@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from clipweave.llm import decontam, filter_audit, html_extract, jaccard_join, links, minhash, packing, quality, queries, spelling, substring_dedup, token_store, toxicity, url_filter, warc, word_grams
-from clipweave.llm.common import hashed_words, send_array, sent_array, whole_groups
+from clipweave.llm.common import CLEANUP, hashed_words, materialize, send_array, sent_array, whole_groups
 from clipweave.llm.tokenizer import WordEncoder
 from compare import SF, connect, spark_rows, sql_rows
 from pyspark import SparkFiles
@@ -47,6 +48,21 @@ def awkward(spark):
     return base.union(base.limit(6)).withColumns({"kept": F.lit("x"), "score": F.lit(1), "rep": F.lit(2), "_bucket": F.lit(3), "row": F.lit("r")})
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().endswith(".data")}
+
+    before = shuffled()
+    got = materialize(spark.range(50_000).groupBy(F.col("id") % 777).count(), "counted")
+    for _ in range(50):  # they are removed in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert got.count() == 777 and spark.conf.get(CLEANUP) == "false"
+
+
 def test_awkward_documents_have_a_row_each(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int")
@@ -256,6 +272,13 @@ def brute_word_perplexities(docs):
     return out
 
 
+def test_classes_of_many_words_are_those_of_each():
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"aZ09.,-_'~^+=@\x00\xff\xc3\xa9\xb2") for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
+    words += [w.encode() for w in ("\u0130x\u00b2\u0663\u00c0\u00c9", "\u00b2", "\u039f\u0394\u039f\u03a3\u03a3", "\u0391\u03a3", "word12345", "WORD99999", "ab^^~^^~", "^^~^^~^")]
+    assert quality.Words().classes_of(words).tolist() == [quality.word_class(w) for w in words]
+
+
 def test_word_bigrams_match_brute_force_across_units_and_ranges(spark, monkeypatch):
     rng = random.Random(12)
     docs = [(i, rng.choice(["en", "fr", None]), " ".join(prose(rng, rng.randrange(0, 80), rng.choice([20, 300])))) for i in range(150)]
