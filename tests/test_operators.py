@@ -762,3 +762,20 @@ def test_greedy_match_of_piles_makes_no_pairs(spark, tiny_batches):
     one = np.zeros(50, np.int64), np.full(50, 9)  # all alike: lists run out and are made anew
     assert candidates.best_first(one, one, top=2) == [(n, n) for n in range(50)]
     assert candidates.greedy_match(df[0].toDF("k", "i", "start_ms", "end_ms").limit(0), df[1].toDF("k", "j", "r_start_ms", "r_end_ms"), ["k"]).count() == 0
+
+
+def test_buckets_fit_long_intervals(spark):
+    rng = random.Random(4)
+    left, right = ([(rng.choice("ab"), i, s, s + rng.choice([0, 3, 200, 40_000, 10**14])) for i, s in enumerate(rng.randrange(60_000) for _ in range(60))] for _ in range(2))
+    want = sorted((k, i, j, max(s, t), min(e, f)) for k, i, s, e in left for q, j, t, f in right if k == q and e > s and f > t and e > t and s < f)
+    a, b = spark.createDataFrame(left, "k string, i long, start_ms long, end_ms long"), spark.createDataFrame(right, "k string, j long, r_start_ms long, r_end_ms long")
+    got = intervals.overlap_join(a, b, ["k"], None)
+    assert sorted(map(tuple, got.select("k", "i", "j", "clip_start_ms", "clip_end_ms").collect())) == want
+
+
+def test_cuts_of_shots_of_any_length(spark):
+    far = 3 * 10**14  # of minutes more than an array can hold
+    df = spark.createDataFrame([("r", "x", None, 0, far), ("r", "y", "x", far, far + 500), ("r", "z", "z", far + 500, far + 2000), ("s", "x", "x", 0, far)], "k string, camera string, audio_camera string, start_ms long, end_ms long")
+    cuts = spark.createDataFrame([("r", 100, 140), ("r", 130, 200), ("r", 5 * 10**13, 5 * 10**13 + 60), ("r", far - 10, far + 900), ("t", 0, 9)], "k string, start_ms long, end_ms long")
+    got = [tuple(r) for r in shots.apply_cuts(df, cuts, "k").select("k", "camera", "audio_camera", "start_ms", "end_ms").orderBy("k", "start_ms").collect()]
+    assert got == [("r", "x", "x", 0, 100), ("r", "x", "x", 200, 5 * 10**13), ("r", "x", "x", 5 * 10**13 + 60, far - 10), ("r", "z", "z", far + 900, far + 2000), ("s", "x", "x", 0, far)]
