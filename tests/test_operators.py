@@ -779,3 +779,11 @@ def test_cuts_of_shots_of_any_length(spark):
     cuts = spark.createDataFrame([("r", 100, 140), ("r", 130, 200), ("r", 5 * 10**13, 5 * 10**13 + 60), ("r", far - 10, far + 900), ("t", 0, 9)], "k string, start_ms long, end_ms long")
     got = [tuple(r) for r in shots.apply_cuts(df, cuts, "k").select("k", "camera", "audio_camera", "start_ms", "end_ms").orderBy("k", "start_ms").collect()]
     assert got == [("r", "x", "x", 0, 100), ("r", "x", "x", 200, 5 * 10**13), ("r", "x", "x", 5 * 10**13 + 60, far - 10), ("r", "z", "z", far + 900, far + 2000), ("s", "x", "x", 0, far)]
+
+
+def test_reactions_between_far_scores(spark):
+    far = 2 * 10**11  # seconds: of minutes more than an array can hold
+    scores = spark.createDataFrame([("r", 0, 0, "x", 9.0), ("r", 0, 1, "y", 0.0), ("r", far, 1, "y", float(far))], "k string, step long, camera_pos int, camera string, score double")
+    df = spark.createDataFrame([("r", "x", "x", 0, 30_000), ("s", "z", "x", 0, 1000 * far)], "k string, camera string, audio_camera string, start_ms long, end_ms long")
+    got = shots.insert_reactions(df, scores, "k", 1000, every=20_000, length=2000).filter("k = 'r'").orderBy("start_ms")
+    assert [tuple(r)[1:] for r in got.collect()] == [("x", "x", 0, 21_200), ("y", "x", 21_200, 23_200), ("x", "x", 23_200, 30_000)]
