@@ -807,3 +807,7 @@ def test_phase_transform_places_the_peak_by_plain_correlation(spark):
         for sign in (1, -1):
             assert abs(signal.gcc_phat(a + rng.normal(size=512) * 0.05, sign * b + rng.normal(size=512) * 0.05, 50)[0] - d) <= 0.125
     assert signal.gcc_phat(np.zeros(20), np.zeros(20), 5)[1] == 0.0
+
+
+def test_offset_of_cut_off_signals(spark):
+    assert {(r.offset, r.method) for r in signal.estimate_offset(late_pairs(spark)[2], ["id"], 0.05, 1000.0).collect()} == {(0.003, "gcc_phat")}
