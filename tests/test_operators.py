@@ -811,3 +811,7 @@ def test_phase_transform_places_the_peak_by_plain_correlation(spark):
 
 def test_offset_of_cut_off_signals(spark):
     assert {(r.offset, r.method) for r in signal.estimate_offset(late_pairs(spark)[2], ["id"], 0.05, 1000.0).collect()} == {(0.003, "gcc_phat")}
+
+
+def test_alignment_of_cut_off_signals(spark):
+    assert {(r.corrected, r.aligned) for r in signal.verify_alignment(late_pairs(spark)[2], ["id"], 1.0, 0.1, 16).collect()} == {(3.0, True)}
