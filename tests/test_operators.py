@@ -826,3 +826,23 @@ def test_listening_windows_of_clips_of_whole_milliseconds(spark):
         want += [(i, n, a + s, a + s + min(2000, b - a - s - 100)) for n, s in enumerate(into) if b - a - s - 100 > 0]
     got = [(r.clip_idx, r.window, r.a * 1000, r.b * 1000) for r in signal.verify_windows(df, "r").orderBy("clip_idx", "window").collect()]
     assert [(i, n, round(a), round(b)) for i, n, a, b in got] == want and all(abs(x - round(x)) < 1e-4 for r in got for x in r[2:])
+
+
+def test_minimum_length_goes_through_many_recordings_at_once(spark, tiny_batches):
+    rng = random.Random(8)
+    want, given = {}, []
+    for k in range(40):
+        t, own = 0, []
+        for _ in range(rng.randrange(1, 9)):
+            d = rng.choice([20, 300, 700, 5000])
+            own.append([rng.choice("xy"), "s", t, t + d])
+            t += d + rng.choice([0, 0, 30, 900])
+        want[k] = [(k, *r) for r in shots.dissolved(own, 1000, 60)[0]]
+        given += [(k, *r) for r in own]
+    rng.shuffle(given)
+    df = spark.createDataFrame(given, "k long, camera string, audio_camera string, start_ms long, end_ms long")
+    got = shots.enforce_min_shot(df, "k", 1000)
+    assert sorted(map(tuple, got.collect())) == sorted(r for rs in want.values() for r in rs)
+    assert shots.enforce_min_shot(df.limit(0), "k", 1000).count() == 0
+    # A call of pandas for every recording took more time than the rule.
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
